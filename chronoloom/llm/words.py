@@ -62,7 +62,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 def shingle_hashes(words: np.ndarray, pointers: np.ndarray, k: int) -> list[np.ndarray]:
     """The distinct k-word shingles of each row, sorted by hash; a shorter row is one shingle."""
-    factors = [np.uint64((2 * i + 1) * 0xA0761D6478BD642F % 2**64 | 1) for i in range(k)]
+    factors = mix(np.arange(1, k + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
     rolled = np.zeros(max(0, len(words) - k + 1), np.uint64)
     with np.errstate(over="ignore"):
         for i, f in enumerate(factors):
@@ -75,7 +75,7 @@ def shingle_hashes(words: np.ndarray, pointers: np.ndarray, k: int) -> list[np.n
                 s = np.sort(rolled[a : b - k + 1])
                 out.append(s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) > 1 else s)
             elif n:
-                short = words[a:b] * np.array(factors[:n])
+                short = words[a:b] * factors[:n]
                 out.append(mix(short.sum(keepdims=True) ^ np.uint64(0x589965CC75374CC3 + n)))
             else:
                 out.append(np.empty(0, np.uint64))
