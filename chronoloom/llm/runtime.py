@@ -29,9 +29,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint a small frame in the shared folder, so that lost executors cost no lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Cut the lineage of an iteration's table by writing it to the shared folder.
+
+    A written table also sheds the optimiser's constraints, which ``checkpoint()`` hands on and
+    which double with every step of an iteration.
+    """
+    return materialise(df, "step")
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
