@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, langid, mixing, mpeg_audio, preference, url_reputation
+from . import exact_dedup, jaccard_join, langid, mixing, mpeg_audio, preference, toxicity, url_reputation
 from .url_reputation import Rule
 
 RULES = [
@@ -37,6 +37,15 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(_table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = langid.remainder("doc_id", 5)
+    learned = _table(spark, sf_dir, "labels").filter(fold != 0).select("doc_id", "toxic").filter("toxic IS NOT NULL")
+    model = toxicity.fit(docs.join(learned, "doc_id"), calibrates=fold == 4)
+    scored = toxicity.score(docs.withColumn("held_out", fold == 0), model, keep=("doc_id", "held_out"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcomes = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.expr("toxic = 1 OR quality = 0").alias("bad"))
     judged = url_reputation.judge_urls(_table(spark, sf_dir, "pages"), outcomes, RULES)
@@ -61,7 +70,7 @@ def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op3_ngram_jaccard_join, op5_source_mixing, op7_url_reputation, op8_preference_chat, op9_exact_dedup, op10_mpeg_audio]
+    found = [op1_language_id, op3_ngram_jaccard_join, op5_source_mixing, op6_toxicity, op7_url_reputation, op8_preference_chat, op9_exact_dedup, op10_mpeg_audio]
     return {f.__name__: f for f in found}
 
 
