@@ -213,5 +213,5 @@ def keep_one(
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), payload.alias("payload"))
     local, groups = _grace(slim, table_bytes, bucket_bytes)
     stays = local.filter("best").join(groups.filter("wins").select("rep"), "rep", "left_semi")
-    text = F.when(~F.col("payload.none"), F.decode("content", F.lit("UTF-8"))).alias(text_col)
+    text = F.when(~F.col("payload.none"), F.decode("content", "UTF-8")).alias(text_col)
     return stays.select(*[text if c == text_col else F.col(f"payload.c{others.index(c)}").alias(c) for c in docs.columns])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, langid, mixing, mpeg_audio, preference, toxicity, url_reputation
+from . import exact_dedup, jaccard_join, langid, mixing, mpeg_audio, preference, sentencepiece_wfst, toxicity, url_reputation
 from .url_reputation import Rule
 
 RULES = [
@@ -29,6 +29,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, filters, keep=("doc_id", "held_out"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_wfst.digests(_table(spark, sf_dir, "documents"), sentencepiece_wfst.read_model())
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.linked_documents(_table(spark, sf_dir, "documents")).drop("key")
 
@@ -70,7 +74,7 @@ def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op3_ngram_jaccard_join, op5_source_mixing, op6_toxicity, op7_url_reputation, op8_preference_chat, op9_exact_dedup, op10_mpeg_audio]
+    found = [op1_language_id, op2_sentencepiece, op3_ngram_jaccard_join, op5_source_mixing, op6_toxicity, op7_url_reputation, op8_preference_chat, op9_exact_dedup, op10_mpeg_audio]
     return {f.__name__: f for f in found}
 
 
