@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, langid, mixing, mpeg_audio, preference, sentencepiece_wfst, toxicity, url_reputation
+from . import exact_dedup, jaccard_join, langid, lm, mixing, mpeg_audio, preference, sentencepiece_wfst, toxicity, url_reputation
 from .url_reputation import Rule
 
 RULES = [
@@ -37,6 +37,11 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.linked_documents(_table(spark, sf_dir, "documents")).drop("key")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", langid.remainder("doc_id", 7) == 2)
+    return lm.scores(docs, lm.read_vocabulary())
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(_table(spark, sf_dir, "documents"))
 
@@ -74,7 +79,7 @@ def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op2_sentencepiece, op3_ngram_jaccard_join, op5_source_mixing, op6_toxicity, op7_url_reputation, op8_preference_chat, op9_exact_dedup, op10_mpeg_audio]
+    found = [op1_language_id, op2_sentencepiece, op3_ngram_jaccard_join, op4_lm_scoring, op5_source_mixing, op6_toxicity, op7_url_reputation, op8_preference_chat, op9_exact_dedup, op10_mpeg_audio]
     return {f.__name__: f for f in found}
 
 

@@ -35,6 +35,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def lowered(raw: bytes) -> bytes:
+    """A-Z as a-z."""
+    return raw.translate(_LOWER.tobytes())
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all rows in order, and where each row's words begin."""
     rows = len(offsets) - 1
