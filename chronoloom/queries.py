@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.operators import anomaly, experiment, pairwise, spectral, stats, trend, verify
+from chronoloom.operators import anomaly, branches, experiment, kernels, pairwise, spectral, stats, trend, verify
 from chronoloom.plans import numeric
 from chronoloom.sources import series
 
@@ -512,6 +512,105 @@ def verifier_flags(spark, sf_dir):
     )
 
 
+def _arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.to_arrays(series.user_values(spark, sf_dir))
+
+
+def _array_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pack = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("pos", c))), lambda p: p[c])
+    return _pairs(spark, sf_dir).groupBy("pair_id").agg(pack("a").alias("a"), pack("b").alias("b"))
+
+
+@query()
+def adf_kpss(spark, sf_dir):
+    return kernels.series_kernels(_arrays(spark, sf_dir), ["stationarity"])
+
+
+@query()
+def pacf(spark, sf_dir):
+    return kernels.series_kernels(_arrays(spark, sf_dir), ["pacf", "ljung_box"])
+
+
+@query()
+def arch_lm(spark, sf_dir):
+    return kernels.series_kernels(_arrays(spark, sf_dir), ["arch_lm"])
+
+
+@query()
+def pelt(spark, sf_dir):
+    return kernels.series_kernels(_arrays(spark, sf_dir), ["change_points"])
+
+
+@query()
+def stl(spark, sf_dir):
+    return kernels.series_kernels(_arrays(spark, sf_dir), ["seasonal"])
+
+
+@query()
+def decomp_type(spark, sf_dir):
+    return kernels.series_kernels(_arrays(spark, sf_dir), ["decomposition_type"])
+
+
+@query()
+def hilbert(spark, sf_dir):
+    return kernels.series_kernels(_arrays(spark, sf_dir), ["hilbert_envelope"])
+
+
+@query()
+def shape_features(spark, sf_dir):
+    return kernels.series_kernels(_arrays(spark, sf_dir), ["shape_features"])
+
+
+@query()
+def cwt(spark, sf_dir):
+    return kernels.scalograms(_arrays(spark, sf_dir))
+
+
+@query()
+def jigsaw_perm(spark, sf_dir):
+    return kernels.jigsaw_orders(_arrays(spark, sf_dir))
+
+
+@query()
+def dtw(spark, sf_dir):
+    return kernels.pair_kernels(_array_pairs(spark, sf_dir), ["warping"])
+
+
+@query()
+def granger(spark, sf_dir):
+    return kernels.pair_kernels(_array_pairs(spark, sf_dir), ["causality"])
+
+
+@query()
+def branch_trend(spark, sf_dir):
+    return branches.trend_branch(series.user_values(spark, sf_dir))
+
+
+@query()
+def branch_periodicity(spark, sf_dir):
+    return branches.periodicity_branch(series.user_values(spark, sf_dir))
+
+
+@query()
+def branch_anomaly(spark, sf_dir):
+    return branches.anomaly_branch(series.user_values(spark, sf_dir))
+
+
+@query()
+def branch_noise(spark, sf_dir):
+    return branches.noise_branch(series.user_values(spark, sf_dir))
+
+
+@query()
+def branch_similarity(spark, sf_dir):
+    return branches.similarity_branch(_pairs(spark, sf_dir), _array_pairs(spark, sf_dir))
+
+
+@query()
+def branch_causality(spark, sf_dir):
+    return branches.causality_branch(_pairs(spark, sf_dir), _array_pairs(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
