@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 #: Where the public tokenizers' files lie; any other model with byte fallback can be given.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 META = "▁"
-CACHE = 400_000
+_WORD = re.compile(f"{META}+[^{META}]*|[^{META}]+")
+CACHE = 250_000
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
 
 
@@ -79,6 +80,7 @@ class Transducer:
     join_spaces: bool
     longest: int
     reach: dict[str, int]  # first two characters to the longest piece that begins with them
+    joined: set[str]  # two characters side by side in a piece
     spelled: list[bytes]  # what each piece decodes to
     fallback: float  # weight of the byte fallback: above that of any piece
     follows: dict[int, bool] = field(default_factory=dict)
@@ -91,17 +93,17 @@ class Transducer:
         return META + text if self.dummy_prefix and text else text
 
     def words(self, normal: str) -> list[str]:
-        """Cuts in front of every meta symbol that follows another character."""
-        parts = normal.split(META)
-        out = [parts[0]] if parts[0] else []
-        lead = ""
-        for p in parts[1:]:
-            lead += META
-            if p:
-                out.append(lead + p)
-                lead = ""
-        if lead:
-            out.append(lead)
+        """Cuts in front of every run of meta symbols that follows another character."""
+        return _WORD.findall(normal)
+
+    def segments(self, word: str) -> list[str]:
+        """Cuts between characters that stand side by side in no piece: no path crosses there."""
+        joined, out, start = self.joined, [], 0
+        for i in range(1, len(word)):
+            if word[i - 1 : i + 1] not in joined:
+                out.append(word[start:i])
+                start = i
+        out.append(word[start:])
         return out
 
     def _merges(self, text: str) -> list[tuple[str, bool, bool]]:
@@ -257,7 +259,7 @@ def compile_model(model: bytes) -> Transducer:
     spelled = [bytes([byte_at[i]]) if i in byte_at else p.replace(META, " ").encode() for i, p in enumerate(pieces)]
     return Transducer(
         pieces, ids, [-s for s in scores], [of_byte[b] for b in range(256)], byte_at, bpe, dummy, join, max(map(len, ids)), reach,
-        spelled, 10 - min(scores),
+        {p[i : i + 2] for p in ids for i in range(len(p) - 1)}, spelled, 10 - min(scores),
     )
 
 
@@ -276,19 +278,33 @@ class Encoder:
     """A transducer with the paths of words met so far."""
 
     def __init__(self, machine: Transducer) -> None:
-        self.machine, self.known, self.older = machine, {}, {}
+        self.machine, self.known, self.older, self.parts = machine, {}, {}, {}
+
+    def _new(self, word: str) -> list[int]:
+        """The path of a word not met yet, from those of its segments."""
+        out: list[int] = []
+        for part in self.machine.segments(word):
+            path = self.parts.get(part)
+            if path is None:
+                path = self.machine.path(part)
+                if len(part) <= 64:
+                    self.parts[part] = path
+            out += path
+        return out
 
     def encode(self, text: str) -> list[int]:
         machine, known, older, out = self.machine, self.known, self.older, []
         for word in machine.words(machine.normalise(text)):
             path = known.get(word)
             if path is None:
-                path = older.get(word) or machine.path(word)
+                path = older.get(word) or self._new(word)
                 if len(word) <= 64:
                     known[word] = path
             out += path
         if len(known) > CACHE:
             self.known, self.older = {}, known
+        if len(self.parts) > 2 * CACHE:
+            self.parts = {}
         return out
 
 
