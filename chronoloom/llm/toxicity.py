@@ -18,7 +18,7 @@ The models are fitted on a bounded sample of the labelled rows: at most about ``
 class, chosen by a hash of the id, and as many again for the curve.
 
 Defined results: null and empty texts score as n = 0 (the curve at 0); rows without label are not
-learned from; with a class missing from the sample every score is 0; null or repeated ids and extra
+learned from; with a class missing from the sample every score is 0 (below 1e-100); null or repeated ids and extra
 columns are rows like any other.
 """
 
