@@ -156,3 +156,58 @@ def leave_one_subset_out(rows: DataFrame, thresholds: int = 61) -> DataFrame:
     held = per.withColumnRenamed("subset", "fold").join(best, "fold").join(others.select("fold", "branch", (F.col("g") / F.col("n")).alias("mean")), ["fold", "branch"], "left")
     follow = F.col("mean").isNull() | (F.col("mean") >= F.col("tau"))
     return held.groupBy("fold", "tau").agg(F.sum(F.when(follow, F.col("g")).otherwise(0)).alias("gain"), F.sum("n").alias("n"))
+
+
+def normal_label(text: Column) -> Column:
+    return F.lower(F.regexp_replace(F.trim(text), r"[\s_-]", ""))
+
+
+def score_predictions(rows: DataFrame, tolerance: float = 0.10) -> DataFrame:
+    """``outcome`` of ``answer_type, predicted, gold, options, error``: error, open, abstain, correct or incorrect.
+
+    Choices are compared as letters or as option texts, labels without case, spaces and dashes.
+    """
+    p, g = F.col("predicted"), F.col("gold")
+    letter = lambda t: F.when(F.upper(F.trim(t)).rlike("^[A-D]$"), F.ascii(F.upper(F.trim(t))) - 64)
+    place = lambda t: F.coalesce(letter(t), F.nullif(F.array_position(F.transform("options", normal_label), normal_label(t)), F.lit(0)))
+    x, y = F.regexp_replace(p, ",", "").try_cast("double"), F.regexp_replace(g, ",", "").try_cast("double")
+    near = F.when(F.abs(y) < 1e-9, F.abs(x - y) <= 1e-9).otherwise(F.abs(x - y) <= tolerance * F.abs(y))
+    right = F.when(F.col("answer_type") == "mcq", place(p) == place(g)).when(F.col("answer_type") == "numeric", near).otherwise(normal_label(p) == normal_label(g))
+    outcome = (
+        F.when(F.col("error").isNotNull(), "error").when(F.col("answer_type").isin("open", "textual"), "open").when(p.isNull(), "abstain")
+        .when(F.coalesce(right, F.lit(False)), "correct").otherwise("incorrect")
+    )
+    return rows.withColumn("outcome", outcome)
+
+
+def score_summary(scored: DataFrame) -> DataFrame:
+    n = lambda *names: F.count_if(F.col("outcome").isin(*names))
+    return scored.agg(
+        F.count("*").alias("total"), F.count_if(F.col("outcome") != "open").alias("eligible"), n("correct").alias("correct"), n("incorrect").alias("incorrect"),
+        n("open").alias("open_excluded"), n("abstain").alias("abstained"), n("error").alias("errors"),
+    )
+
+
+def trust_table(rows: DataFrame, by: str) -> DataFrame:
+    """Where maths and vision (``m, v``: right or not) disagree: how often the final answer ``f`` follows vision, and the net."""
+    fired = rows.groupBy(by).agg(
+        F.count("*").alias("n_fired"), F.count_if(F.expr("m != v")).alias("n_disc"), F.count_if(F.expr("m != v AND f = v")).alias("followed"),
+        F.count_if(F.expr("m != v AND v = 1")).alias("v_right"), F.count_if(F.expr("m = 0 AND f = 1")).alias("gained"), F.count_if(F.expr("m = 1 AND f = 0")).alias("lost"),
+    )
+    return fired.select(
+        by, "n_fired", "n_disc", ratio(F.col("followed"), F.col("n_disc")).alias("follow_rate"), ratio(F.col("v_right"), F.col("n_disc")).alias("p_vision"),
+        (F.col("gained") - F.col("lost")).alias("net"),
+    )
+
+
+def gate_efficiency(rows: DataFrame, by: str) -> DataFrame:
+    """Of the looks a gate suppressed: harmful (``base`` right, ``gated`` wrong), helpful (the reverse), neutral."""
+    kind = F.when(F.expr("base = 1 AND gated = 0"), "harmful").when(F.expr("base = 0 AND gated = 1"), "helpful").otherwise("neutral")
+    return crosstab(rows.withColumn("kind", kind), by, "kind", ["harmful", "helpful", "neutral"])
+
+
+def spend(calls: DataFrame, prices: DataFrame) -> DataFrame:
+    """Tokens and cost by model; ``prices`` per million tokens is a short list, an unknown model has null cost."""
+    sums = calls.groupBy("model").agg(F.count("*").alias("calls"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"))
+    cost = (F.col("tokens_in") * F.col("price_in") + F.col("tokens_out") * F.col("price_out")) / 1e6
+    return sums.join(prices, "model", "left").select("model", "calls", "tokens_in", "tokens_out", cost.alias("cost"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.operators import anomaly, branches, experiment, kernels, pairwise, spectral, stats, trend, verify
 from chronoloom.plans import numeric
-from chronoloom.sources import series
+from chronoloom.sources import ingest, series
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -512,6 +512,72 @@ def verifier_flags(spark, sf_dir):
     )
 
 
+@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
+SELECT vec_id AS series_id, CAST(len(e) AS INTEGER) AS n, round(e[1], 6) AS first, round(list_sum(list_transform(e, lambda x: round(x, 4))), 4) AS total FROM v""")
+def array_parse(spark, sf_dir):
+    e = series.embedding_series(spark, sf_dir)
+    text = F.concat(F.lit("["), F.array_join(F.transform("values", lambda v: v.cast("string")), ", "), F.lit("]"))
+    parsed = e.select("series_id", ingest.parse_array(text).alias("v"))
+    total = F.round(F.aggregate(F.transform("v", lambda v: F.round(v, 4)), F.lit(0.0), lambda a, b: a + b), 4)
+    return parsed.select("series_id", F.size("v").alias("n"), F.col("v")[0].alias("first"), total.alias("total"))
+
+
+@query("""SELECT conv_id, turn, CAST(len(string_split(text, ',')) AS INTEGER) AS n, trim(string_split(text, ',')[1], ' ') AS first FROM conversations
+WHERE NOT regexp_matches(text, '(^|\\s)[A-D][\\).:]') AND NOT starts_with(trim(text, ' '), '[')""")
+def options_parse(spark, sf_dir):
+    rows = series.table(spark, sf_dir, "conversations").filter(~F.col("text").rlike(r"(^|\s)[A-D][\).:]") & ~F.startswith(F.trim("text"), F.lit("[")))
+    options = ingest.parse_options(F.col("text"))
+    return rows.select("conv_id", "turn", F.size(options).alias("n"), options[0].alias("first"))
+
+
+@query(f"""WITH {_PTS}, k AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY md5('ctl:' || pos), value) - 1 AS place FROM pts)
+SELECT series_id, place AS pos, round(value, 6) AS value FROM k""")
+def input_shuffle(spark, sf_dir):
+    mixed = ingest.shuffled(series.to_arrays(series.user_values(spark, sf_dir)), "ctl")
+    return series.to_points(mixed)
+
+
+@query("""WITH r AS (SELECT d.lang AS gold, CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN upper(lang) WHEN doc_id % 3 = 1 THEN 'en' ELSE lang END AS predicted,
+  CASE WHEN doc_id % 13 = 0 THEN 'timeout' END AS error FROM documents d),
+o AS (SELECT CASE WHEN error IS NOT NULL THEN 'error' WHEN predicted IS NULL THEN 'abstain' WHEN lower(predicted) = lower(gold) THEN 'correct' ELSE 'incorrect' END AS outcome FROM r)
+SELECT count(*) AS total, count(*) AS eligible, count(*) FILTER (outcome = 'correct') AS correct, count(*) FILTER (outcome = 'incorrect') AS incorrect, CAST(0 AS BIGINT) AS open_excluded,
+  count(*) FILTER (outcome = 'abstain') AS abstained, count(*) FILTER (outcome = 'error') AS errors FROM o""")
+def score_summary(spark, sf_dir):
+    d = series.table(spark, sf_dir, "documents")
+    predicted = F.expr("CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN upper(lang) WHEN doc_id % 3 = 1 THEN 'en' ELSE lang END")
+    rows = d.select(
+        F.lit("categorical").alias("answer_type"), F.col("lang").alias("gold"), predicted.alias("predicted"), F.array("lang").alias("options"),
+        F.expr("CASE WHEN doc_id % 13 = 0 THEN 'timeout' END").alias("error"),
+    )
+    return experiment.score_summary(experiment.score_predictions(rows))
+
+
+_LOOKS = "looks AS (SELECT lang, correct AS m, correct_t AS v, CASE WHEN doc_id % 2 = 0 THEN correct ELSE correct_t END AS f FROM arms)"
+
+
+@query(f"""WITH {_ARMS}, {_LOOKS}, g AS (SELECT lang, count(*) AS n_fired, count(*) FILTER (m <> v) AS n_disc, count(*) FILTER (m <> v AND f = v) AS fo, count(*) FILTER (m <> v AND v = 1) AS vr,
+  count(*) FILTER (m = 0 AND f = 1) - count(*) FILTER (m = 1 AND f = 0) AS net FROM looks GROUP BY 1)
+SELECT lang, n_fired, n_disc, round(fo / nullif(n_disc, 0), 6) AS follow_rate, round(vr / nullif(n_disc, 0), 6) AS p_vision, net FROM g""")
+def trust_table(spark, sf_dir):
+    rows = _arms(spark, sf_dir).select("lang", F.col("correct").alias("m"), F.col("correct_t").alias("v"), F.expr("IF(doc_id % 2 = 0, correct, correct_t)").alias("f"))
+    return experiment.trust_table(rows, "lang")
+
+
+@query(f"""WITH {_ARMS} SELECT lang, count(*) FILTER (correct = 1 AND correct_t = 0) AS harmful, count(*) FILTER (correct = 0 AND correct_t = 1) AS helpful,
+  count(*) FILTER (correct = correct_t) AS neutral FROM arms GROUP BY 1""")
+def gate_efficiency(spark, sf_dir):
+    return experiment.gate_efficiency(_arms(spark, sf_dir).select("lang", F.col("correct").alias("base"), F.col("correct_t").alias("gated")), "lang")
+
+
+@query("""WITH c AS (SELECT role AS model, length(text) AS i, length(text) // 2 AS o FROM conversations), s AS (SELECT model, count(*) AS calls, sum(i) AS i, sum(o) AS o FROM c GROUP BY 1)
+SELECT model, calls, CAST(i AS BIGINT) AS tokens_in, CAST(o AS BIGINT) AS tokens_out, round(CASE model WHEN 'user' THEN i * 0.25::DOUBLE + o * 1.5::DOUBLE WHEN 'assistant' THEN i * 1.0::DOUBLE + o * 2.0::DOUBLE END / 1e6, 6) AS cost FROM s""")
+def spend_report(spark, sf_dir):
+    n = F.length("text").cast("long")
+    calls = series.table(spark, sf_dir, "conversations").select(F.col("role").alias("model"), n.alias("tokens_in"), F.floor(n / 2).alias("tokens_out"))
+    prices = spark.createDataFrame([("user", 0.25, 1.5), ("assistant", 1.0, 2.0)], "model string, price_in double, price_out double")
+    return experiment.spend(calls, prices)
+
+
 def _arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.to_arrays(series.user_values(spark, sf_dir))
 
