@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import cut
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -120,9 +122,9 @@ def judge_urls(
         F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad")
     )
     seen = split.select("page_id", "host").join(known, "page_id", "left")
-    counts = seen.groupBy("host").agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")
-    )
+    counts = cut(  # read by each level's sums
+        seen.groupBy("host").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    )
     judged = split.join(host_reputation(counts, z), "host")
     method = F.when(F.col("lower") > max_bad, F.lit("block")).otherwise(F.lit("allow"))
     return judged.select(
