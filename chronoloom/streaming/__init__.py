@@ -1,0 +1 @@
+"""Reserved: the series operators have no streaming counterpart in what they re-express."""
