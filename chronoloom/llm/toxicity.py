@@ -15,7 +15,9 @@ normalised by length as S / n and S / sqrt(n), and a logistic curve turns these
 The curve, and which of ``THRESHOLDS`` is used, are fitted on labelled rows apart from those counted.
 
 The models are fitted on a bounded sample of the labelled rows: at most about ``max_docs`` of each
-class, chosen by a hash of the id, and as many again for the curve.
+class, chosen by a hash of the id, and as many again for the curve.  A class cut further than the other
+counts by the inverse of its rate wherever both meet (the shared shares, the curve, the threshold's loss), so
+that the share of toxic rows is the table's at any size.
 
 Defined results: null and empty texts score as n = 0 (the curve at 0); rows without label are not
 learned from; with a class missing from the sample every score is 0 (below 1e-100); null or repeated ids and extra
@@ -126,25 +128,25 @@ def _features(ratio: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(n)), 10 * ratio / n, ratio / np.sqrt(n)], axis=1)
 
 
-def _fit_curve(x: np.ndarray, y: np.ndarray, penalty: float = 0.01) -> np.ndarray:
-    """Logistic regression by Newton's method with a small penalty on the slopes."""
+def _fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 0.01) -> np.ndarray:
+    """Weighted logistic regression by Newton's method with a small penalty on the slopes; weights have mean 1."""
     beta = np.zeros(x.shape[1])
     ridge = penalty * np.diag([0.0] + [1.0] * (x.shape[1] - 1)) * max(1, len(y)) / 100
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + ridge + 1e-9 * np.eye(len(beta)), x.T @ (y - p) - ridge @ beta)
+        step = np.linalg.solve((x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x + ridge + 1e-9 * np.eye(len(beta)), x.T @ (weight * (y - p)) - ridge @ beta)
         beta += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
             break
     return beta
 
 
-def _sample(rows: DataFrame, max_docs: int) -> DataFrame:
-    """About ``max_docs`` of each class (all of a smaller one), by a hash of the id."""
+def _sample(rows: DataFrame, max_docs: int) -> tuple[DataFrame, list[int]]:
+    """About ``max_docs`` of each class (all of a smaller one), by a hash of the id, and both classes' rows before."""
     counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     rate = lambda c: int(min(1.0, max_docs / max(1, counts.get(c, 0))) * 1_000_000)
-    return rows.filter(draw < F.when(F.col("toxic") == 1, rate(1)).otherwise(rate(0)))
+    return rows.filter(draw < F.when(F.col("toxic") == 1, rate(1)).otherwise(rate(0))), [counts.get(c, 0) for c in (0, 1)]
 
 
 def _information(n: str, total: float, pool: Column) -> Column:
@@ -154,7 +156,9 @@ def _information(n: str, total: float, pool: Column) -> Column:
 def fit(labelled: DataFrame, calibrates: Column, max_docs: int = MAX_DOCS) -> Model:
     """A model from ``doc_id, text, toxic`` (0 or 1; others ignored); ``calibrates`` marks the curve's rows."""
     rows = labelled.filter("toxic IN (0, 1)").withColumn("toxic", F.col("toxic").cast("int")).withColumn("__curve", F.coalesce(calibrates, F.lit(False)))
-    sample = _sample(rows.filter("NOT __curve"), max_docs)
+    sample, sizes = _sample(rows.filter("NOT __curve"), max_docs)
+    scale = [F.lit(max(1.0, size / max_docs)) for size in sizes]
+    both = lambda a, b: F.col(a) * scale[0] + F.col(b) * scale[1]
     counted = sample.select("text", "toxic").mapInArrow(_count, "key long, h long, w long, n0 long, n1 long")
     grams = cut(counted.groupBy("key", "h", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
     words, pairs = grams.filter("h = 0"), grams.filter("h != 0")
@@ -169,7 +173,7 @@ def fit(labelled: DataFrame, calibrates: Column, max_docs: int = MAX_DOCS) -> Mo
     shared = max(DISCOUNT * all_words[f"v{c}"] / totals[c] for c in (0, 1))
     types = pairs.groupBy("w").agg(F.count("*").alias("types"))
     all_types = types.agg(F.sum("types")).first()[0]
-    pool = (F.col("n0") + F.col("n1")) / F.lit(float(sum(totals)))
+    pool = both("n0", "n1") / (scale[0] * totals[0] + scale[1] * totals[1])
     own = lambda n, total: F.greatest(F.col(n) - DISCOUNT, F.lit(0.0)) / total
     information = F.greatest(_information("n0", totals[0], pool), _information("n1", totals[1], pool)).alias("information")
     p = [(own(f"n{c}", F.lit(float(totals[c]))) * (1 - shared) + F.col("types") * F.lit(shared / all_types)).alias(f"p{c}") for c in (0, 1)]
@@ -177,7 +181,7 @@ def fit(labelled: DataFrame, calibrates: Column, max_docs: int = MAX_DOCS) -> Mo
     kept_words = scored.filter(F.col("information") > THRESHOLDS[0])
     context = pairs.groupBy("h").agg(F.sum("n0").alias("h0"), F.sum("n1").alias("h1"), F.count("*").alias("followers"))
     # After h both classes back off to the same P(w): a pair is held against the words' own shares.
-    pair_pool = (F.col("n0") + F.col("n1")) / (F.col("h0") + F.col("h1"))
+    pair_pool = both("n0", "n1") / both("h0", "h1")
     told = [F.col(f"n{c}") * F.abs(F.ln(F.greatest(F.col(f"n{c}"), F.lit(0.5)) / F.greatest(f"h{c}", F.lit(1)) / pair_pool)) for c in (0, 1)]
     kept_pairs = pairs.filter(F.col("n0") + F.col("n1") > THRESHOLDS[0] / 10).join(context, "h").withColumn("information", F.greatest(*told))
     kept_pairs = kept_pairs.filter(F.col("information") > THRESHOLDS[0]).join(scored.select("w", "p0", "p1"), "w")
@@ -191,16 +195,19 @@ def fit(labelled: DataFrame, calibrates: Column, max_docs: int = MAX_DOCS) -> Mo
         setattr(model, f"{name}s", keys[order])
         setattr(model, f"{name}_ratio", table["ratio"].to_numpy()[order])
         setattr(model, f"{name}_information", table["information"].to_numpy()[order])
-    points = _apply(_sample(rows.filter("__curve"), max_docs).select("toxic", "text"), model, ["toxic"], THRESHOLDS).toArrow()
+    sample, sizes = _sample(rows.filter("__curve"), max_docs)
+    points = _apply(sample.select("toxic", "text"), model, ["toxic"], THRESHOLDS).toArrow()
     if not points.num_rows:
         return model
     y, n = points["toxic"].to_numpy().astype(float), points["n"].to_numpy()
+    weight = (np.array(sizes) / np.maximum(np.bincount(points["toxic"].to_numpy(), minlength=2), 1))[points["toxic"].to_numpy()]
+    weight /= weight.mean()
     found = []
     for i, threshold in enumerate(THRESHOLDS):
         x = _features(np.array([r[i] for r in points["ratios"].to_pylist()]), n)
-        curve = _fit_curve(x, y)
+        curve = _fit_curve(x, y, weight)
         z = np.clip(x @ curve, -30, 30)
-        found.append((float(np.mean(np.log1p(np.exp(z)) - y * z)), threshold, curve))
+        found.append((float(np.mean(weight * (np.log1p(np.exp(z)) - y * z))), threshold, curve))
     _, model.threshold, model.curve = min(found, key=lambda f: f[0])
     return model
 

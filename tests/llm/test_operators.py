@@ -212,6 +212,25 @@ def test_toxicity(spark, empty):
     assert toxicity.score(empty, model).count() == 0
 
 
+def test_toxicity_keeps_the_share_of_a_larger_table(spark):
+    """A tenfold copy, of which only the ordinary class is cut, flags the same rows."""
+    rng = random.Random(23)
+    rows = []
+    for i in range(3000):
+        toxic = int(i // 2 % 10 == 0)
+        words = [rng.choice(["vile", "foul", "rank"]) if rng.random() < (0.24 if toxic else 0.12) else f"w{rng.randrange(40)}" for _ in range(30)]
+        rows.append((i, " ".join(words), toxic))
+    small = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3).cache()
+    large = small.crossJoin(spark.range(10).withColumnRenamed("id", "copy")).withColumn("doc_id", F.col("doc_id") + 10_000 * F.col("copy")).drop("copy")
+    scores = []
+    for table in (small, large):
+        model = toxicity.fit(table, calibrates=F.col("doc_id") % 2 == 1, max_docs=1500)
+        scores.append({r["doc_id"]: r for r in toxicity.score(small, model).collect()})
+    a, b = scores
+    assert sum(a[i]["predicted"] == b[i]["predicted"] for i in a) >= 0.9 * len(a)
+    assert abs(sum(a[i]["score"] - b[i]["score"] for i in a)) < 0.05 * len(a)
+
+
 RULES = [Rule("com", "/", "allow"), Rule("example.com", "/en/", "block"), Rule("www.example.com", "/en/", "allow")]
 
 
