@@ -9,42 +9,72 @@ import numpy as np
 
 from chronoloom.kernels.noise import acf
 
-#: Quadratic kernels refuse longer series; the caller gets a status.
-MOST_POINTS = 4000
-
 
 def detrended(x: np.ndarray) -> np.ndarray:
     t = np.arange(len(x))
     return x - np.polyval(np.polyfit(t, x, 1), t) if len(x) > 1 else x - x.mean()
 
 
+def _median_gap(x: np.ndarray) -> float:
+    """Median squared difference of all pairs of points, in memory of O(n): differences are counted, not listed."""
+    x = np.sort(x)
+    n = len(x)
+    own = np.arange(n)
+    pairs = n * (n - 1) // 2
+
+    def ends(t: float) -> np.ndarray:
+        return np.maximum(np.searchsorted(x, x + t, "right"), own + 1)
+
+    def nth(k: int) -> float:
+        """The k-th smallest difference: bisection over the bits of a double, then the nearest one that occurs."""
+        low, high = -1, int(np.float64(x[-1] - x[0]).view(np.int64))
+        while high - low > 1:
+            middle = (low + high) // 2
+            if (ends(np.int64(middle).view(np.float64)) - own - 1).sum() >= k:
+                high = middle
+            else:
+                low = middle
+        t = np.int64(high).view(np.float64)
+        end = ends(t)
+        near = np.concatenate([(x[np.minimum(end, n - 1)] - x)[end < n], (x[end - 1] - x)[end - 1 > own]])
+        return float(near[np.abs(near - t).argmin()])
+
+    middle = nth((pairs + 1) // 2)
+    return (middle**2 + (middle if pairs % 2 else nth(pairs // 2 + 1)) ** 2) / 2
+
+
 def change_points(x: np.ndarray, penalty_factor: float = 3.0, jump: int = 5) -> dict:
-    """Penalised optimal segmentation under a radial-basis cost, with pruning."""
+    """Penalised optimal segmentation under a radial-basis cost, with pruning.
+
+    The kernel's sum over [s, e) squared is kept for each open start s and grows by one strip of columns as e
+    moves on, so memory is O(n) at any length; time is O(n^2), as each pair of points is met once.
+    """
     n = len(x)
-    if not 4 <= n <= MOST_POINTS:
-        raise ValueError("too short or too long")
+    if n < 4:
+        raise ValueError("too short")
     least, penalty = max(2, n // 20), penalty_factor * math.log(n)
-    gap = (x[:, None] - x[None]) ** 2
-    middle = np.median(gap[np.triu_indices(n, 1)])
-    gram = np.exp(-np.clip(gap / middle if middle > 0 else gap, 1e-2, 1e2))
-    corner = np.zeros((n + 1, n + 1))
-    corner[1:, 1:] = gram.cumsum(0).cumsum(1)
-    diagonal = np.concatenate([[0.0], np.cumsum(np.diag(gram))])
-
-    def cost(s: np.ndarray, e: int) -> np.ndarray:
-        block = corner[e, e] - corner[s, e] - corner[e, s] + corner[s, s]
-        return diagonal[e] - diagonal[s] - block / (e - s)
-
-    best, origin, open_starts = {0: -penalty}, {0: 0}, [0]
+    middle = _median_gap(x)
+    inside = np.zeros(-(-n // jump))
+    best, origin, starts, before = np.zeros(len(inside) + 1), {0: 0}, np.array([0]), 0
+    best[0] = -penalty
     for e in [*range(jump, n, jump), n]:
-        usable = np.array([s for s in open_starts if e - s >= least], int)
-        if len(usable):
-            totals = np.array([best[s] for s in usable]) + cost(usable, e) + penalty
+        first = int(starts.min())
+        rows = np.zeros(e - first)
+        for column in x[before:e]:
+            gap = (x[first:e] - column) ** 2
+            rows += np.exp(-np.clip(gap / middle if middle > 0 else gap, 1e-2, 1e2))
+        strips = np.add.reduceat(rows, np.arange(0, len(rows), jump))
+        inside[first // jump : before // jump + 1] += 2 * strips[::-1].cumsum()[::-1] - strips[-1]
+        size = e - starts
+        usable = size >= least
+        if usable.any():
+            # A point's kernel with itself is exp(-0.01), the clipped gap.
+            costs = size * math.exp(-1e-2) - inside[starts // jump] / size
+            totals = np.where(usable, best[starts // jump] + costs + penalty, np.inf)
             at = int(totals.argmin())
-            best[e], origin[e] = float(totals[at]), int(usable[at])
-            drop = set(usable[totals > best[e] + penalty].tolist())
-            open_starts = [s for s in open_starts if s not in drop]
-            open_starts.append(e)
+            best[-(-e // jump)], origin[e] = totals[at], int(starts[at])
+            starts = np.append(starts[~usable | (totals <= totals[at] + penalty)], e)
+        before = e
     breaks, e = [], n
     while e > 0:
         breaks.append(e)
@@ -214,26 +244,24 @@ def scalogram(x: np.ndarray, w0: float = 5.0) -> np.ndarray:
 
 def warping(a: np.ndarray, b: np.ndarray) -> dict:
     """Dynamic time warping of the standardised series within a band, per step of the path."""
-    if len(a) * len(b) > MOST_POINTS**2:
-        raise ValueError("too long")
     z = lambda v: (v - v.mean()) / v.std() if v.std() > 0 else np.zeros(len(v))
     a, b = z(a), z(b)
     n, m = len(a), len(b)
-    for band in (max(10, min(n, m) // 10), max(n, m)):
-        d = np.full((n + 1, m + 1), np.inf)
-        d[0, 0] = 0
-        for s in range(2, n + m + 1):  # one anti-diagonal at a time
-            i = np.arange(max(1, s - m), min(n, s - 1) + 1)
-            i = i[np.abs(2 * i - s) <= band]
-            j = s - i
-            d[i, j] = np.abs(a[i - 1] - b[j - 1]) + np.minimum(np.minimum(d[i - 1, j - 1], d[i - 1, j]), d[i, j - 1])
-        if np.isfinite(d[n, m]):
-            break
-    i, j, steps = n, m, 0
-    while i > 0 and j > 0:
-        steps += 1
-        i, j = min(((i - 1, j - 1), (i - 1, j), (i, j - 1)), key=lambda c: d[c])
-    distance = float(d[n, m] / max(1, steps))
+    band = max(10, min(n, m) // 10)
+    band = band if abs(n - m) <= band else max(n, m)  # no path leaves the corner otherwise
+    # The last three anti-diagonals by i, and the steps of the path to each cell: memory is O(n) at any length.
+    d, steps = np.full((3, n + 2), np.inf), np.zeros((3, n + 2), int)
+    d[0, 0] = 0
+    for s in range(2, n + m + 1):
+        low, high = max(1, s - m, -((band - s) // 2)), min(n, s - 1, (s + band) // 2)
+        this, one, two = s % 3, (s - 1) % 3, (s - 2) % 3
+        d[this, low - 1], d[this, high + 1] = np.inf, np.inf
+        own, up = slice(low, high + 1), slice(low - 1, high)
+        choices = np.stack([d[two, up], d[one, up], d[one, own]])
+        chosen = choices.argmin(axis=0)
+        d[this, own] = np.abs(a[low - 1 : high] - b[s - high - 1 : s - low][::-1]) + choices.min(axis=0)
+        steps[this, own] = 1 + np.choose(chosen, [steps[two, up], steps[one, up], steps[one, own]])
+    distance = float(d[(n + m) % 3, n] / max(1, steps[(n + m) % 3, n]))
     return {"dtw_distance": distance, "dtw_similarity": 1 - math.tanh(distance)}
 
 

@@ -64,6 +64,40 @@ def test_warping_against_plain_dynamic_programming():
     assert shape.warping(a, a)["dtw_distance"] == 0
 
 
+def test_long_series_are_not_refused():
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(0, 1, 2500), rng.normal(4, 1, 2000), rng.normal(-3, 1, 1500)])
+    assert shape.change_points(x)["breakpoint_positions"] == pytest.approx([2500 / 6000, 4500 / 6000], abs=0.002)
+    n = 4100
+    a, b = rng.normal(size=n).cumsum(), rng.normal(size=n).cumsum()
+    z = lambda v: ((v - v.mean()) / v.std()).tolist()
+    p, q = z(a), z(b)
+    far, band = (math.inf, 0), n // 10
+    row = [(0.0, 0)] + [far] * n
+    for i in range(1, n + 1):
+        new = [far] * (n + 1)
+        for j in range(max(1, i - band), min(n, i + band) + 1):
+            d, steps = min(row[j - 1], row[j], new[j - 1], key=lambda c: c[0])
+            new[j] = (d + abs(p[i - 1] - q[j - 1]), steps + 1)
+        row = new
+    assert shape.warping(a, b)["dtw_distance"] == pytest.approx(row[n][0] / row[n][1])
+
+
+def test_change_points_against_all_segmentations():
+    rng = np.random.default_rng(8)
+    for n in (23, 60, 101):
+        x = np.round(rng.normal(size=n) + 3 * (np.arange(n) > n // 2), 1)
+        gap = (x[:, None] - x[None]) ** 2
+        gram = np.exp(-np.clip(gap / np.median(gap[np.triu_indices(n, 1)]), 1e-2, 1e2))
+        best = {0: (0.0, [])}
+        for e in [*range(5, n, 5), n]:
+            cost = lambda s: np.trace(gram[s:e, s:e]) - gram[s:e, s:e].sum() / (e - s)  # noqa: B023, E731
+            ways = [(best[s][0] + cost(s) + 3 * math.log(n) * (s > 0), [*best[s][1], e]) for s in best if e - s >= max(2, n // 20)]
+            if ways:
+                best[e] = min(ways)
+        assert shape.change_points(x)["breakpoint_positions"] == [e / n for e in best[n][1][:-1]]
+
+
 def test_peaks_and_jigsaw():
     x = np.array([0, 1, 0, 3, 3, 0, 2, 0.0])
     assert shape.peaks(x, 0.5) == [1, 3, 6]
