@@ -89,6 +89,31 @@ def change_points(x: np.ndarray, penalty_factor: float = 3.0, jump: int = 5) ->
     }
 
 
+def _segment_trend(y: np.ndarray) -> tuple[float | None, float | None, str, str]:
+    """Slope, r2, direction and best of the linear, exponential and logarithmic fits; ties go to the earlier."""
+    if len(y) < 3:
+        return None, None, "flat", "linear"
+    t = np.arange(len(y), dtype=float)
+
+    def r2(u: np.ndarray, v: np.ndarray) -> float:
+        return float(np.corrcoef(u, v)[0, 1] ** 2) if np.ptp(v) > 0 else 0.0
+
+    slope = float(np.polyfit(t, y, 1)[0]) if np.ptp(y) > 0 else 0.0
+    flat = abs(slope) < (1e-4 * y.std() if y.std() > 0 else 1e-10)
+    fits = {"linear": r2(t, y)} | ({"exponential": r2(t, np.log(y))} if y.min() > 0 else {}) | {"logarithmic": r2(np.log(t + 1), y)}
+    return slope, fits["linear"], "flat" if flat else "upward" if slope > 0 else "downward", max(fits, key=fits.get)
+
+
+def trend_segments(x: np.ndarray) -> dict:
+    """Change points under a penalty of 10 ln n, against too many segments, and the trend of each segment."""
+    found = change_points(x, 10.0)
+    bounds = [0, *[round(p * len(x)) for p in found["breakpoint_positions"]], len(x)]
+    slopes, r2s, directions, kinds = (list(c) for c in zip(*[_segment_trend(x[a:b]) for a, b in itertools.pairwise(bounds)], strict=True))
+    return found | {
+        "n_segments": len(slopes), "segment_slopes": slopes, "segment_r2s": r2s, "segment_directions": directions, "segment_best_fits": kinds,
+    }
+
+
 def _loess(y: np.ndarray, span: int, weights: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Local linear fits with tricube weights at positions ``at`` of points 0 .. n - 1."""
     n = len(y)

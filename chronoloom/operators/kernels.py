@@ -20,6 +20,8 @@ FIELDS = {
     "ljung_box": "lb_pval_min double, is_white_noise boolean",
     "arch_lm": "arch_lm_stat double, arch_pvalue double, arch_effect_detected boolean",
     "change_points": "n_breakpoints long, breakpoint_positions array<double>, segment_means array<double>, segment_stds array<double>, largest_mean_shift double, largest_std_shift double",
+    "trend_segments": "n_breakpoints long, breakpoint_positions array<double>, segment_means array<double>, segment_stds array<double>, largest_mean_shift double, largest_std_shift double, "
+    "n_segments long, segment_slopes array<double>, segment_r2s array<double>, segment_directions array<string>, segment_best_fits array<string>",
     "seasonal": "stl_period_used long, seasonal_strength double, trend_strength double, residual_std double",
     "decomposition_type": "decomp_type string, decomp_confidence double, amplitude_trend_corr double",
     "hilbert_envelope": "amplitude_ratio double, amplitude_change string, amplitude_trend string",
@@ -29,7 +31,7 @@ PAIR_FIELDS = {
     "warping": "dtw_distance double, dtw_similarity double",
     "causality": "granger_best_lag long, pval_12 double, pval_21 double, direction string",
 }
-_KINDS = {"double": pa.float64(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64())}
+_KINDS = {"double": pa.float64(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64()), "array<string>": pa.list_(pa.string())}
 
 
 def _kernel(name: str):

@@ -16,15 +16,18 @@ def aligned(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(a, "a_id").join(b, ["b_id", "pos"]).select("pair_id", "pos", "a", "b")
 
 
-def lag_correlation(pair: DataFrame, max_lag: int) -> DataFrame:
+def lag_correlation(pair: DataFrame, max_lag: int, part: int | None = None) -> DataFrame:
     """The lag of largest |r| among -L .. L with 3 common points or more; positive: a leads.
 
-    Of equals lag 0 is taken first, then the smallest.
+    Of equals lag 0 is taken first, then the smallest.  With ``part``, no lag exceeds that part of a pair's points.
     """
     shifted = pair.select("pair_id", F.col("pos").alias("at"), "a", F.explode(F.expr(f"sequence(-{max_lag}, {max_lag})")).alias("lag"))
     shifted = shifted.withColumn("pos", F.col("at") + F.col("lag"))
     met = shifted.join(pair.select("pair_id", "pos", "b"), ["pair_id", "pos"])
     r = met.groupBy("pair_id", "lag").agg(correlation(F.col("a"), F.col("b")).alias("r"), F.count("*").alias("n")).filter("n >= 3 AND r IS NOT NULL")
+    if part:
+        most = pair.groupBy("pair_id").agg(F.floor(F.count("*") / part).alias("most"))
+        r = r.join(most, "pair_id").filter(F.abs("lag") <= F.col("most"))
     order = F.struct(F.round(F.abs("r"), 9).alias("s"), (F.col("lag") == 0).alias("zero"), (-F.col("lag")).alias("l"), F.col("r"))
     best = r.groupBy("pair_id").agg(F.max(order).alias("b"), F.max(F.when(F.col("lag") == 0, F.col("r"))).alias("corr_at_zero"))
     return best.select("pair_id", (-F.col("b.l")).cast("long").alias("best_lag"), F.col("b.r").alias("best_corr"), "corr_at_zero")

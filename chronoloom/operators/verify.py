@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +26,9 @@ def keyword_routes(question: Column, most: int = 3) -> Column:
     return F.slice(F.array_compact(F.array(*hits)), 1, most)
 
 
-def verifier_flags(e: dict[str, Column]) -> Column:
-    """Flags of an evidence row with keys r2, period, n, std, mean, lag1 (missing keys raise no flag)."""
+def verifier_flags(e: dict[str, Column], required: Sequence[Column] = ()) -> Column:
+    """Flags of an evidence row with keys r2, period, n, std, mean, corr, adf_pval, kpss_pval, direction (of
+    causality), arch_effect_detected; missing keys raise no flag, a null among ``required`` does."""
     tests = []
     if "r2" in e:
         tests.append(F.when(e["r2"] < 0.65, "low_r2"))
@@ -36,6 +40,14 @@ def verifier_flags(e: dict[str, Column]) -> Column:
         tests.append(F.when(wild, "high_volatility"))
     if "corr" in e:
         tests.append(F.when(F.abs(e["corr"]) < 0.2, "weak_correlation"))
+    if "adf_pval" in e:
+        tests.append(F.when((e["adf_pval"] < 0.10) != (e["kpss_pval"] >= 0.05), "adf_kpss_disagree"))
+    if "direction" in e:
+        tests.append(F.when(e["direction"] == "none", "granger_not_significant"))
+    if "arch_effect_detected" in e:
+        tests.append(F.when(e["arch_effect_detected"], "arch_effects"))
+    if required:
+        tests.append(F.when(reduce(Column.__or__, [c.isNull() for c in required]), "evidence_incomplete"))
     return F.array_compact(F.array(*tests))
 
 

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoloom import queries
-from chronoloom.operators import anomaly, experiment, kernels, pairwise, stats, trend, verify
+from chronoloom.kernels import shape
+from chronoloom.operators import anomaly, branches, experiment, kernels, pairwise, stats, trend, verify
 from chronoloom.plans import numeric
 from chronoloom.sources.series import to_arrays, to_points
 
@@ -102,6 +103,37 @@ def test_experiment(spark):
     assert experiment.majority_vote(votes, "k", "v").first()["vote"] == "A"
 
 
+def test_branches_have_flags_segments_and_lags_of_the_reference(spark):
+    rng = np.random.default_rng(4)
+    series = {1: [*np.arange(60.0), *np.arange(60.0, 0.0, -1.0), *[30.0] * 60] + rng.normal(0, 0.1, 180), 2: rng.normal(0, 1, 120).cumsum(), 3: rng.normal(0, 1, 12)}
+    pts = spark.createDataFrame([(k, i, float(v)) for k, values in series.items() for i, v in enumerate(values)], "series_id long, pos long, value double").cache()
+    got = {r["series_id"]: r for r in branches.trend_branch(pts).collect()}
+    for k, r in got.items():
+        x, want = series[k], shape.change_points(series[k], 10.0)
+        bounds = [0, *[round(p * len(x)) for p in want["breakpoint_positions"]], len(x)]
+        parts = [x[a:b] for a, b in zip(bounds, bounds[1:])]
+        assert r["n_breakpoints"] == want["n_breakpoints"] and r["n_segments"] == len(parts)
+        assert r["segment_slopes"] == pytest.approx([np.polyfit(np.arange(len(y)), y, 1)[0] for y in parts])
+        assert ("low_r2" in r["flags"]) == (r["r2"] < 0.65)
+    assert shape.change_points(series[2])["n_breakpoints"] > got[2]["n_breakpoints"]
+    noise = {r["series_id"]: r for r in branches.noise_branch(pts).collect()}
+    for r in noise.values():
+        assert ("adf_kpss_disagree" in r["flags"]) == ((r["adf_pval"] < 0.1) != (r["kpss_pval"] >= 0.05))
+        assert ("arch_effects" in r["flags"]) == bool(r["arch_effect_detected"])
+    assert any("arch_effects" in r["flags"] for r in noise.values())
+    n = 40
+    a = rng.normal(size=n)
+    b = np.concatenate([rng.normal(size=20), a[:20]])
+    pair = spark.createDataFrame([("p", i, float(a[i]), float(b[i])) for i in range(n)], "pair_id string, pos long, a double, b double")
+    arrays = spark.createDataFrame([("p", a.tolist(), b.tolist())], "pair_id string, a array<double>, b array<double>")
+    assert pairwise.lag_correlation(pair, 20).first()["best_lag"] == 20
+    row = branches.causality_branch(pair, arrays).first()
+    assert abs(row["best_lag"]) <= n // 5
+    assert ("granger_not_significant" in row["flags"]) == (row["direction"] == "none") and "evidence_incomplete" not in row["flags"]
+    nothing = spark.createDataFrame([("p", [1.0], [2.0])], "pair_id string, a array<double>, b array<double>")
+    assert "evidence_incomplete" in branches.causality_branch(pair, nothing).first()["flags"]
+
+
 @pytest.mark.parametrize("name", COMPARED)
 def test_query_equals_sql(spark, sf_dir, name):
     con = duckdb.connect()
