@@ -1,21 +1,26 @@
 """Language identification by bit-sliced Bloom filters of character n-grams.
 
-Training counts the n-grams of lower-cased letters (words padded by one space) per language.  An
-n-gram belongs to a language's filter if it makes up at least ``min_share`` of that language's
-n-grams, so a filter holds at most 1 / min_share of them whatever the size of the corpus.  The
-filters are bit-sliced: row ``i`` of the table is the bitmask of the languages whose filter has bit
-``i`` set, and the AND of an n-gram's ``HASHES`` rows is the bitmask of all languages containing it.
-Per text the popcounts per language are corrected for false positives, (hits - n f) / (1 - f) with
-f = fill ** HASHES, and the largest decides.
+Training counts the n-grams of lower-cased letters (words padded by one space) per language; all of them go
+into the language's filter.  The filters are sized from the counts, so that the largest language's has a rate
+of false positives of ``FALSE_POSITIVE`` at most.  They are bit-sliced: row ``i`` of the table is the bitmask
+of the languages whose filter has bit ``i`` set, and the AND of an n-gram's ``HASHES`` rows is the bitmask of all
+languages containing it.  Per text the popcounts per language are corrected for false positives,
+(hits - n f) / (1 - f) with f = fill ** HASHES, and the largest decides.
+
+A table of more than ``SLICE_ROWS`` rows is cut by bits of the n-gram's hash into slices of that size, which
+are sent out one by one: each pass over the texts adds its n-grams' corrected hits, so what is broadcast at a time is
+bounded whatever the corpus.
 
 Defined results: null text or one without a letter gives ``und`` with score 0; a text with letters
 but no known n-gram gets the language with most training n-grams, score 0; ties go to the language
 with more training n-grams, then by name; rows with null lang are not learned from; without any
-training row all texts are ``und``; null or repeated ids and extra columns are rows like any other.
+training row all texts are ``und``; null or repeated ids and extra columns are rows like any other; a very long text
+is worked on whole in its task (about 50 bytes of memory a character).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,14 +28,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .runtime import cut
+from .runtime import cut, materialise, release
 from .words import mix
 
 HASHES = 3
 ORDER = 4
-ROWS_LOG2 = 20
-MIN_SHARE = 1e-5
+FALSE_POSITIVE = 0.01
+SLICE_ROWS = 1 << 24
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _letter: np.ndarray | None = None
 
@@ -115,24 +121,51 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if size > 2_000_000:
                 yield from drain()
     yield from drain()
+    pending.clear()
+    release()
 
 
 @dataclass
 class Filters:
-    """Languages and the bit-sliced table: ``table[plane, row]`` has the bits of 8 languages."""
+    """Languages, and the rows ``slice, plane, row, bits`` of the bit-sliced table (a plane has the bits of 8 languages)."""
+
+    languages: list[str]
+    bits: DataFrame | None
+    rows: int  # of a slice
+    slices: int
+
+    def table(self, number: int) -> Table:
+        """One slice as an array; it has at most ``SLICE_ROWS`` rows a plane."""
+        cells = np.zeros((-(-len(self.languages) // 8), self.rows), np.uint8)
+        if self.bits is not None:
+            found = self.bits.filter(F.col("slice") == number).select("plane", "row", "bits").toArrow()
+            cells[found["plane"].to_numpy(), found["row"].to_numpy()] = found["bits"].to_numpy()
+        fill = np.array([(cells[i // 8] >> (i % 8) & 1).mean() for i in range(len(self.languages))])
+        return Table(self.languages, cells, fill**HASHES, number, self.slices)
+
+
+@dataclass
+class Table:
+    """``cells[plane, row]`` of one slice, and each language's rate of false positives."""
 
     languages: list[str]
-    table: np.ndarray
+    cells: np.ndarray
     false_positive: np.ndarray
+    number: int
+    slices: int
 
-    def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Corrected hits per text and language, n-grams per text, which texts have a letter."""
+    def hits(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Corrected hits of this slice's n-grams per text and language, all n-grams per text, which texts have a letter."""
         h, rows, has_letter = grams(texts)
         n = np.bincount(rows, minlength=len(texts))
-        mask = np.uint64(self.table.shape[1] - 1)
-        at = [((h >> np.uint64(ROWS_LOG2 * i)) & mask).astype(np.int64) for i in range(HASHES)]
+        if self.slices > 1:
+            mine = (h >> np.uint64(24)) & np.uint64(self.slices - 1) == np.uint64(self.number)
+            h, rows = h[mine], rows[mine]
+        own = np.bincount(rows, minlength=len(texts))
+        mask, step = np.uint64(self.cells.shape[1] - 1), (h >> np.uint64(32)) | np.uint64(1)
+        at = [((h + np.uint64(i) * step) & mask).astype(np.int64) for i in range(HASHES)]
         hits = []
-        for plane in self.table:
+        for plane in self.cells:
             found = plane[at[0]]
             for a in at[1:]:
                 found = found & plane[a]
@@ -140,38 +173,38 @@ class Filters:
             hits.append(histogram @ _BITS)
         hit = np.concatenate(hits, axis=1)[:, : len(self.languages)] if hits else np.zeros((len(texts), 0))
         f = self.false_positive
-        return np.clip((hit - n[:, None] * f) / (1 - f), 0, None), n, has_letter
+        return (hit - own[:, None] * f) / np.maximum(1 - f, 1e-9), n, has_letter
 
-    def decide(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        hits, n, has_letter = self.score(texts)
+    def decide(self, hits: np.ndarray, n: np.ndarray, has_letter: np.ndarray) -> tuple[list[str], np.ndarray]:
         if not self.languages:
-            return ["und"] * len(texts), np.zeros(len(texts))
+            return ["und"] * len(n), np.zeros(len(n))
+        hits = np.clip(hits, 0, None)
         best = hits.argmax(axis=1)
-        share = np.minimum(hits[np.arange(len(texts)), best] / np.maximum(n, 1), 1.0)
+        share = np.minimum(hits[np.arange(len(n)), best] / np.maximum(n, 1), 1.0)
         names = [self.languages[b] if ok else "und" for b, ok in zip(best.tolist(), has_letter.tolist(), strict=True)]
         return names, np.where(has_letter, share, 0.0)
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", min_share: float = MIN_SHARE) -> Filters:
-    """Filters from the texts with a language.  What is fetched has at most 2**ROWS_LOG2 rows a plane."""
+def train(
+    labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", false_positive: float = FALSE_POSITIVE, slice_rows: int = SLICE_ROWS
+) -> Filters:
+    """Filters from the texts with a language; ``slice_rows`` (a power of 2 up to 2**24) bounds what is held at once."""
     rows = labelled.filter(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     counts = cut(rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    languages = sorted(totals, key=lambda k: (-totals[k], k))
-    size = 1 << ROWS_LOG2
-    table = np.zeros((-(-len(languages) // 8), size), np.uint8)
-    if languages:
-        known = counts.sparkSession.createDataFrame(
-            [(name, i // 8, 1 << i % 8, totals[name] * min_share) for i, name in enumerate(languages)],
-            "lang string, plane int, bit int, least double",
-        )
-        kept = counts.join(F.broadcast(known), "lang").filter("n >= least")  # one row per language
-        slots = F.array(*[F.shiftrightunsigned("gram", ROWS_LOG2 * i).bitwiseAND(F.lit(size - 1)).cast("int") for i in range(HASHES)])
-        bits = kept.select("plane", "bit", F.explode(slots).alias("row")).groupBy("plane", "row").agg(F.bit_or("bit").alias("bits"))
-        found = bits.toArrow()
-        table[found["plane"].to_numpy(), found["row"].to_numpy()] = found["bits"].to_numpy()
-    fill = np.concatenate([np.array([(p >> b & 1).mean() for b in range(8)]) for p in table]) if languages else np.zeros(0)
-    return Filters(languages, table, fill[: len(languages)] ** HASHES)
+    totals = {r["lang"]: r for r in counts.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect()}  # one row a language
+    languages = sorted(totals, key=lambda k: (-totals[k]["n"], k))
+    if not languages:
+        return Filters([], None, 1, 1)
+    wanted = max(r["types"] for r in totals.values()) * HASHES / -math.log(1 - false_positive ** (1 / HASHES))
+    total = 1 << max(10, math.ceil(math.log2(wanted)))
+    size = min(total, slice_rows)
+    known = counts.sparkSession.createDataFrame([(name, i // 8, 1 << i % 8) for i, name in enumerate(languages)], "lang string, plane int, bit int")
+    step = F.shiftrightunsigned("gram", 32).bitwiseOR(F.lit(1))
+    slots = F.array(*[(F.col("gram").bitwiseAND(F.lit(size - 1)) + i * step).bitwiseAND(F.lit(size - 1)).cast("int") for i in range(HASHES)])
+    part = F.shiftrightunsigned("gram", 24).bitwiseAND(F.lit(total // size - 1)).cast("int")
+    placed = counts.join(F.broadcast(known), "lang").select(part.alias("slice"), "plane", "bit", F.explode(slots).alias("row"))  # one row a language
+    bits = placed.groupBy("slice", "plane", "row").agg(F.bit_or("bit").alias("bits"))
+    return Filters(languages, cut(bits), size, total // size)
 
 
 def remainder(id_col: str, modulus: int) -> Column:
@@ -179,41 +212,55 @@ def remainder(id_col: str, modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(0)) % modulus
 
 
-def predict(docs: DataFrame, filters: Filters, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns plus ``lang_pred, score``."""
-    shared = docs.sparkSession.sparkContext.broadcast(filters)
-    slim = docs.select(*keep, F.col(text_col).alias("__text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            names, scores = [], []
-            for _, texts in _text_chunks(batch.column(len(keep))):
-                found, score = model.decide(texts)
-                names += found
-                scores.append(score)
-            if names:
-                own = [batch.column(i) for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays(
-                    [*own, pa.array(names, pa.string()), pa.array(np.concatenate(scores))], names=[*keep, "lang_pred", "score"]
-                )
+def _decided(frame: DataFrame, filters: Filters, at: int, keep: list[int]) -> DataFrame:
+    """Columns ``keep`` (by place) of ``frame`` and ``lang_pred, score`` of the texts in column ``at``, in one pass a slice."""
+    spark, fields = frame.sparkSession, frame.schema.fields
+    width = len(fields)
+    own = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)])
+    current = frame.toDF(*own.names)
+
+    def one_pass(table, first: bool, last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model: Table = table.value
+            for batch in batches:
+                for start, texts in _text_chunks(batch.column(at)):
+                    part = batch.slice(start, len(texts))
+                    hits, n, has_letter = model.hits(texts)
+                    if not first:
+                        hits = hits + np.array(part.column(width).to_pylist()).reshape(hits.shape)
+                    if last:
+                        names, scores = model.decide(hits, n, has_letter)
+                        columns = [*[part.column(i) for i in keep], pa.array(names, pa.string()), pa.array(scores)]
+                    else:
+                        columns = [*part.columns[:width], pa.array(list(hits), pa.list_(pa.float64()))]
+                    yield pa.RecordBatch.from_arrays(columns, names=[f"x{i}" for i in range(len(columns))])
+            release()
+
+        return run
+
+    for number in range(filters.slices):
+        last = number == filters.slices - 1
+        shared = spark.sparkContext.broadcast(filters.table(number))
+        more = [("lang_pred", T.StringType()), ("score", T.DoubleType())] if last else [("hits", T.ArrayType(T.DoubleType()))]
+        kept = [(fields[i].name, fields[i].dataType) for i in keep] if last else [(f.name, f.dataType) for f in own.fields]
+        schema = T.StructType([T.StructField(f"x{i}", kind) for i, (_, kind) in enumerate([*kept, *more])])
+        current = current.mapInArrow(one_pass(shared, number == 0, last), schema).toDF(*[name for name, _ in [*kept, *more]])
+        if not last:
+            current = materialise(current, "language-hits")
+    return current
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[: len(keep)])
-    return slim.mapInArrow(run, f"{schema}, lang_pred string, score double")
 
+def predict(docs: DataFrame, filters: Filters, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns plus ``lang_pred, score``."""
+    return _decided(docs.select(*keep, F.col(text_col).alias("__text")), filters, len(keep), list(range(len(keep))))
 
-def accept(docs: DataFrame, filters: Filters, text_col: str = "text", min_score: float = 0.2) -> DataFrame:
-    """The documents in a learned language: not ``und`` and at least ``min_score`` of n-grams known."""
-    shared = docs.sparkSession.sparkContext.broadcast(filters)
-    at = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            good = []
-            for _, texts in _text_chunks(batch.column(at)):
-                names, scores = model.decide(texts)
-                good += [n != "und" and s >= min_score for n, s in zip(names, scores.tolist(), strict=True)]
-            yield batch.filter(pa.array(good, pa.bool_()))
+def accept(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataFrame:
+    """The documents with evidence for a learned language: a score above 0, so more known n-grams than chance.
 
-    return docs.mapInArrow(run, docs.schema)
+    Rejected are ``und`` and texts of which no language knows an n-gram.
+    """
+    decided = _decided(docs, filters, docs.columns.index(text_col), list(range(len(docs.columns))))
+    width = len(docs.columns)
+    renamed = decided.toDF(*[f"c{i}" for i in range(width)], "lang_pred", "score").filter("score > 0")
+    return renamed.select([f"c{i}" for i in range(width)]).toDF(*docs.columns)
