@@ -1,21 +1,27 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-``compile_model`` reads a model file into three machines over characters: the normaliser (spaces
-become the meta symbol, one is put in front, runs of spaces are joined if the model says so), the
-lexicon of pieces (arcs of weight -score, so that best is least in the tropical semiring), and
-the byte fallback (a character outside all pieces goes to its UTF-8 byte pieces).  For models of
-kind BPE a fourth machine, a bigram acceptor over pieces, is composed: two pieces may follow each
-other only if merging their joint text gives just those two.  A sequence is the model's
-segmentation exactly if all its neighbours satisfy that, so the shortest path in the
-composition with a text is the library's own encoding; for unigram models it is the best path.
+``compile_model`` turns a model file into machines, kept as tables of arcs:
+
+* the normaliser over characters (a meta symbol for each space and one in front; where the model says so, leading and
+  trailing spaces go and runs are joined): ``normal[state, space?] -> (state, what is put in front, whether the character is echoed)``;
+* the lexicon, a tree of arcs ``lexicon[state, character] -> state`` with the piece that ends at a state, which goes
+  back to the root with weight -score, so that best is least in the tropical semiring;
+* the byte fallback, an arc for each character without a piece of its own, with its UTF-8 byte pieces as output;
+* for models of kind BPE the order of merges, as an acceptor whose states are the last piece: its arc from one piece to the
+  next weighs 0 where merging their joint text gives just those two and is infinite where it doesn't.  A sequence is
+  the model's segmentation exactly if all its neighbours satisfy that, so the shortest path is the library's own encoding.
+
+An input is composed with the normaliser, then with lexicon, fallback and acceptor: states are (position, last piece), or
+positions alone for unigram models.  They are relaxed in order of position, and the shortest path is read off backwards.
 The acceptor's arcs are computed when first met and kept.
 
-No piece crosses the start of a word (a meta symbol after another character), so texts are
-composed word by word, and each worker keeps the paths of the last ``CACHE`` to twice as many words.
+No piece crosses the start of a word (meta symbols or spaces after another character), so texts are composed word by word,
+and each worker keeps the paths of the last ``CACHE`` to twice as many words.
 
-Defined results: null text encodes to null, empty text to no pieces; decoding gives the normalised
-text back exactly; unknown bytes can't occur as all 256 have pieces; control pieces are never
-produced; null or repeated ids and extra columns are rows like any other.
+Defined results: null text encodes to null, empty text to no pieces; decoding gives the normalised text back exactly; of
+paths of equal weight the one whose last piece is longest is taken, as in the library; unknown bytes can't
+occur as all 256 have pieces; where a model joins spaces, meta symbols of the text itself are not taken for spaces; control pieces are never produced; a very long text is worked on whole in its task, in memory of
+some 10 bytes a character (a very long word about 500 a character); null or repeated ids and extra columns are rows like any other.
 """
 
 from __future__ import annotations
@@ -32,10 +38,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import fresh, release
+
 #: Where the public tokenizers' files lie; any other model with byte fallback can be given.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 META = "▁"
 _WORD = re.compile(f"{META}+[^{META}]*|[^{META}]+")
+_TOKEN = re.compile(f"[ {META}]*[^ {META}]+|[ {META}]+")
+#: States of the normaliser: nothing but spaces so far, in a text, after a space that may have to go.
+BEGIN, TEXT, GAP = 0, 1, 2
 CACHE = 250_000
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
 
@@ -71,30 +82,35 @@ class Transducer:
     """The compiled machines of one model."""
 
     pieces: list[str]
-    ids: dict[str, int]  # lexicon: text of a piece to its id
+    ids: dict[str, int]  # text of a piece to its id
     weights: list[float]  # -score by id
+    normal: dict[tuple[int, bool], tuple[int, str, bool]]
+    lexicon: dict[int, int]  # state << 21 | character to state
+    ends: list[int]  # piece that ends at a state of the lexicon, or -1
     bytes_of: list[int]  # id of each byte's piece
-    byte_at: dict[int, int]  # and back
+    is_byte: np.ndarray
+    fallback: float  # weight of the byte fallback: above that of any piece
     bpe: bool
     dummy_prefix: bool
     join_spaces: bool
-    longest: int
-    reach: dict[str, int]  # first two characters to the longest piece that begins with them
     joined: set[str]  # two characters side by side in a piece
     spelled: list[bytes]  # what each piece decodes to
-    fallback: float  # weight of the byte fallback: above that of any piece
-    follows: dict[int, bool] = field(default_factory=dict)
+    follows: dict[int, bool] = field(default_factory=dict)  # arcs of the acceptor met so far: whether their weight is 0
     spines: dict[tuple[int, bool], list[tuple[str, float]]] = field(default_factory=dict)
 
-    def normalise(self, text: str) -> str:
-        if self.join_spaces:
-            text = re.sub(" +", " ", text.strip(" "))
-        text = text.replace(" ", META)
-        return META + text if self.dummy_prefix and text else text
-
-    def words(self, normal: str) -> list[str]:
-        """Cuts in front of every run of meta symbols that follows another character."""
-        return _WORD.findall(normal)
+    def normalised(self, text: str, state: int = BEGIN) -> str:
+        """Composition of the normaliser with a text (or a part of it, from the state before it)."""
+        out: list[str] = []
+        for run in re.findall(" +|[^ ]+", text):
+            space = run[0] == " "
+            for character in run if space else run[:1]:
+                state, front, echo = self.normal[state, space]
+                out.append(front)
+                if echo:
+                    out.append(character)
+            if not space:
+                out.append(run[1:])  # all further arcs of a run without spaces are the same loop
+        return "".join(out)
 
     def segments(self, word: str) -> list[str]:
         """Cuts between characters that stand side by side in no piece: no path crosses there."""
@@ -161,68 +177,75 @@ class Transducer:
         self.follows[key] = found
         return found
 
+    def arcs(self, word: str, i: int) -> list[tuple[int, int, float]]:
+        """Arcs of lexicon and fallback composed with a word at a position: where they lead, piece (-1: bytes), weight."""
+        lexicon, found, state = self.lexicon, [], 0
+        for j in range(i, len(word)):
+            state = lexicon.get(state << 21 | ord(word[j]), -1)
+            if state < 0:
+                break
+            piece = self.ends[state]
+            if piece >= 0:
+                found.append((j + 1, piece, self.weights[piece]))
+        if not found or found[0][0] > i + 1:
+            found.append((i + 1, -1, self.fallback))
+        return found
+
     def path(self, word: str) -> list[int]:
-        """Output labels of the shortest path through the composition with one word."""
-        return self._accepted(word) if self.bpe else self._shortest(word)
-
-    def _accepted(self, word: str) -> list[int]:
-        """With the acceptor one path is left: depth first along the longest arcs, remembering dead ends."""
-        ids, follows, reach, n = self.ids, self.follows, self.reach, len(word)
-        at, labels, ends = [0], [-1], [min(n, reach.get(word[:2], 1))]
-        dead: set[tuple[int, int]] = set()
-        while at[-1] < n:
-            i, last, j = at[-1], labels[-1], ends[-1]
-            while j > i:
-                piece = ids.get(word[i:j], -1)
-                if piece < 0:
-                    good = j == i + 1  # byte fallback: no piece for this character
-                elif last < 0:
-                    good = True
-                else:
-                    good = follows.get(last << 20 | piece)
-                    if good is None:
-                        good = self.may_follow(last, piece)
-                if good and not (dead and (j, piece) in dead):
-                    break
-                j -= 1
-            if j > i:
-                ends[-1] = j - 1
-                at.append(j)
-                labels.append(piece)
-                ends.append(min(n, j + reach.get(word[j : j + 2], 1)))
-            else:
-                dead.add((i, last))
-                at.pop()
-                labels.pop()
-                ends.pop()
-        out: list[int] = []
-        for i, piece in zip(at, labels[1:], strict=False):
-            out += [piece] if piece >= 0 else [self.bytes_of[b] for b in word[i].encode()]
-        return out
+        """Output labels of the shortest path through the composition with one word.
 
-    def _shortest(self, word: str) -> list[int]:
-        """Relaxation in the tropical semiring over positions."""
-        n = len(word)
-        cost = [0.0] + [float("inf")] * n
-        back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
+        A state is (weight from the start, last piece, the state before it); they stand by position.
+        """
+        n, follows, bpe = len(word), self.follows, self.bpe
+        at: list[list[tuple]] = [[] for _ in range(n + 1)]
+        at[0].append((0.0, -1, None))
         for i in range(n):
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                piece = self.ids.get(word[i:j], -1)
-                if piece >= 0 or j == i + 1:
-                    c = cost[i] + (self.weights[piece] if piece >= 0 else self.fallback)
-                    if c < cost[j]:
-                        cost[j], back[j] = c, (i, piece)
+            states = at[i]
+            if not states:
+                continue
+            for j, piece, weight in self.arcs(word, i):
+                best = None
+                for state in states:
+                    last = state[1]
+                    if bpe and last >= 0 and piece >= 0:
+                        allowed = follows.get(last << 20 | piece)
+                        if allowed is None:
+                            allowed = self.may_follow(last, piece)
+                        if not allowed:
+                            continue
+                    if best is None or state[0] < best[0]:
+                        best = state
+                if best is None:
+                    continue
+                made = (best[0] + weight, piece, best)
+                if bpe:
+                    at[j].append(made)
+                elif not at[j] or made[0] < at[j][0][0]:
+                    at[j] = [made]
+            if i:
+                at[i] = []
+        state, back = min(at[n], key=lambda s: s[0]), []
+        while state[2] is not None:
+            back.append(state[1])
+            state = state[2]
         out: list[int] = []
-        while n > 0:
-            i, piece = back[n]
-            out += [piece] if piece >= 0 else [self.bytes_of[b] for b in reversed(word[i].encode())]
-            n = i
-        return out[::-1]
+        place = 0
+        for piece in reversed(back):
+            out += [piece] if piece >= 0 else [self.bytes_of[b] for b in word[place].encode("utf-8", "replace")]
+            place += len(self.pieces[piece]) if piece >= 0 else 1
+        return out
 
     def decode(self, ids: list[int]) -> str:
         spelled = self.spelled
-        text = b"".join([spelled[i] for i in ids]).decode("utf-8", "replace")
-        return text[1:] if self.dummy_prefix and text.startswith(" ") else text
+        text = b"".join(map(spelled.__getitem__, ids)).decode("utf-8", "replace")
+        gone = int(self.dummy_prefix and text.startswith(" "))
+        if self.join_spaces:  # as in the library: pieces lose one space in front until something is left
+            gone = 0
+            for i in ids:
+                gone += spelled[i].startswith(b" ")
+                if spelled[i] != b" ":
+                    break
+        return text[gone:]
 
 
 def read_model(path: str = MODEL) -> bytes:
@@ -253,14 +276,29 @@ def compile_model(model: bytes) -> Transducer:
         raise ValueError("a model with byte fallback is needed")
     ids = {p: i for i, (p, k) in enumerate(zip(pieces, kinds, strict=True)) if k in (_NORMAL, _USER)}
     byte_at = {i: b for b, i in of_byte.items()}
-    reach: dict[str, int] = {}
-    for p in ids:
-        reach[p[:2]] = max(reach.get(p[:2], 0), len(p))
+    is_byte = np.zeros(len(pieces), bool)
+    is_byte[list(byte_at)] = True
+    lexicon, ends = {}, [-1]
+    for piece, i in ids.items():
+        state = 0
+        for character in piece:
+            key = state << 21 | ord(character)
+            if key not in lexicon:
+                lexicon[key] = len(ends)
+                ends.append(-1)
+            state = lexicon[key]
+        ends[state] = i
+    front = META if dummy else ""
+    if join:
+        normal = {
+            (BEGIN, True): (BEGIN, "", False), (BEGIN, False): (TEXT, front, True), (TEXT, True): (GAP, "", False),
+            (TEXT, False): (TEXT, "", True), (GAP, True): (GAP, "", False), (GAP, False): (TEXT, META, True),
+        }
+    else:
+        normal = {(BEGIN, True): (TEXT, front + META, False), (BEGIN, False): (TEXT, front, True), (TEXT, True): (TEXT, META, False), (TEXT, False): (TEXT, "", True)}
     spelled = [bytes([byte_at[i]]) if i in byte_at else p.replace(META, " ").encode() for i, p in enumerate(pieces)]
-    return Transducer(
-        pieces, ids, [-s for s in scores], [of_byte[b] for b in range(256)], byte_at, bpe, dummy, join, max(map(len, ids)), reach,
-        {p[i : i + 2] for p in ids for i in range(len(p) - 1)}, spelled, 10 - min(scores),
-    )
+    joined = {p[i : i + 2] for p in ids for i in range(len(p) - 1)}
+    return Transducer(pieces, ids, [-s for s in scores], normal, lexicon, ends, [of_byte[b] for b in range(256)], is_byte, 10 - min(scores), bpe, dummy, join, joined, spelled)
 
 
 _encoders: dict[bytes, Encoder] = {}
@@ -275,37 +313,42 @@ def _encoder(model: bytes) -> Encoder:
 
 
 class Encoder:
-    """A transducer with the paths of words met so far."""
+    """A transducer with the paths (bytes of 32-bit ids) of words met so far."""
 
     def __init__(self, machine: Transducer) -> None:
         self.machine, self.known, self.older, self.parts = machine, {}, {}, {}
 
-    def _new(self, word: str) -> list[int]:
-        """The path of a word not met yet, from those of its segments."""
-        out: list[int] = []
-        for part in self.machine.segments(word):
-            path = self.parts.get(part)
-            if path is None:
-                path = self.machine.path(part)
-                if len(part) <= 64:
-                    self.parts[part] = path
-            out += path
-        return out
-
-    def encode(self, text: str) -> list[int]:
-        machine, known, older, out = self.machine, self.known, self.older, []
-        for word in machine.words(machine.normalise(text)):
-            path = known.get(word)
-            if path is None:
-                path = older.get(word) or self._new(word)
-                if len(word) <= 64:
-                    known[word] = path
-            out += path
-        if len(known) > CACHE:
-            self.known, self.older = {}, known
-        if len(self.parts) > 2 * CACHE:
-            self.parts = {}
-        return out
+    def _path(self, token: str, state: int) -> bytes:
+        """The path of a token, from those of its segments."""
+        machine, out = self.machine, []
+        for word in _WORD.findall(machine.normalised(token, state)):
+            for part in machine.segments(word):
+                path = self.parts.get(part)
+                if path is None:
+                    path = array("i", machine.path(part)).tobytes()
+                    if len(part) <= 64:
+                        self.parts[part] = path
+                out.append(path)
+        return b"".join(out)
+
+    def encode(self, text: str) -> np.ndarray:
+        tokens = _TOKEN.findall(text)
+        if not tokens:
+            return np.empty(0, np.int32)
+        paths = list(map(self.known.get, tokens))
+        paths[0] = self._path(tokens[0], BEGIN)
+        if None in paths:
+            for i, (token, path) in enumerate(zip(tokens, paths, strict=True)):
+                if path is None:
+                    path = self.older.get(token) or self.known.get(token) or self._path(token, TEXT)
+                    if len(token) <= 64:
+                        self.known[token] = path
+                    paths[i] = path
+            if len(self.known) > CACHE:
+                self.known, self.older = {}, self.known
+            if len(self.parts) > 2 * CACHE:
+                self.parts = {}
+        return np.frombuffer(b"".join(paths), np.int32)
 
 
 def _run(docs: DataFrame, model: bytes, keep: list[str], row, schema: str) -> DataFrame:
@@ -335,6 +378,7 @@ def _run(docs: DataFrame, model: bytes, keep: list[str], row, schema: str) -> Da
                     rows, size, a = [], 0, i + 1
             if rows:
                 yield out(rows, batch, a)
+        release()
 
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     full = ", ".join([*[f"`{k}` {types[k]}" for k in keep], schema])
@@ -348,11 +392,15 @@ def encode(docs: DataFrame, model: bytes, keep: tuple[str, ...] = ("doc_id",), t
 
 
 def encoded_documents(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
-    """All columns as they are, and ``piece_ids``."""
+    """All columns as they are, ``piece_ids``, and ``round_trip``: whether decoding them gives the text back.
+
+    Where a column has one of these names already, the new one gets an underscore in front.
+    """
     own = [f"__c{i}" for i in range(len(docs.columns))]
     slim = docs.toDF(*own).withColumn("__text", F.col(own[docs.columns.index(text_col)]))
-    full = _run(slim, model, own, lambda machine, text, ids: (ids,), "piece_ids array<int>")
-    return full.toDF(*docs.columns, "piece_ids")
+    both = lambda machine, text, ids: (ids, None if ids is None else machine.decode(ids.tolist()) == text)
+    full = _run(slim, model, own, both, "piece_ids array<int>, round_trip boolean")
+    return full.toDF(*docs.columns, fresh("piece_ids", docs.columns), fresh("round_trip", docs.columns))
 
 
 def decode(encoded: DataFrame, model: bytes, keep: tuple[str, ...] = ("doc_id",), ids_col: str = "ids") -> DataFrame:
@@ -371,13 +419,12 @@ def decode(encoded: DataFrame, model: bytes, keep: tuple[str, ...] = ("doc_id",)
     return slim.mapInArrow(run, f"{schema}, text string")
 
 
-def _digest(machine: Transducer, text: str | None, ids: list[int] | None) -> tuple:
+def _digest(machine: Transducer, text: str | None, ids: np.ndarray | None) -> tuple:
     if ids is None:
         return None, None, None, None, None
-    raw = array("i", ids)
-    fallback = int(np.isin(np.frombuffer(raw, np.int32), list(machine.byte_at)).sum())
-    back = machine.decode(ids)
-    return len(ids), fallback, hashlib.sha256(raw.tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == text
+    back = machine.decode(ids.tolist())
+    told = (hashlib.sha256(x).hexdigest() for x in (ids.tobytes(), back.encode()))
+    return len(ids), int(machine.is_byte[ids].sum()), *told, back == text
 
 
 def digests(docs: DataFrame, model: bytes, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
