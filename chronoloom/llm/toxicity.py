@@ -1,27 +1,31 @@
 """Toxicity scores from two class-conditional Kneser-Ney bigram models of words.
 
-N-grams count once per document, so that one repetitive text counts once.  For class c the
-probability of word w after h interpolates three levels with discount D:
+N-grams count once per document, so that one repetitive text counts once.  With ``n_c`` the counts of class c, a discount D and
+the shared back-off counts ``N1+(. w)`` (different words before w, in both classes together), class c gives word w after h
 
-    P_c(w | h) = max(n_c(h, w) - D, 0) / n_c(h) + l(h) P_c(w),   l(h) = D N1+(h .) / n(h)
-    P_c(w)     = (1 - l) max(n_c(w) - D, 0) / n_c + l P(w),      l = max_c D N1+_c / n_c
-    P(w)       = N1+(. w) / N1+(. .)
+    P(w)       = N1+(. w) / (N1+(. .) + 1), and 1 / (N1+(. .) + 1) for all unknown words together      (shared)
+    P_c(w)     = max(n_c(w) - D, 0) / n_c + g_c P(w)             for telling words,      a_c P(w)            for the others
+    P_c(w | h) = max(n_c(h, w) - D, 0) / n_c(h) + g_c(h) P_c(w)  for telling pairs,      a_c(h) P_c(w)       for the others
 
-``P(w)``, ``l(h)`` and ``l`` are shared by both classes, so what is unknown to a model backs off to the
-same value in both and says nothing.  Rare expressions back off as well: an n-gram keeps its own
-probability only if the information it carries, n_c |log p_c / p| against the counts of both classes,
-is above a threshold (entropy pruning).  A text's log-likelihood ratio S over its n words is
-normalised by length as S / n and S / sqrt(n), and a logistic curve turns these into a score.
-The curve, and which of ``THRESHOLDS`` is used, are fitted on labelled rows apart from those counted.
+with g the mass that the discounts free (at least one discount), and a what is left for the others by what the level below gives them, so that both
+models sum to 1 over all words and the unknown one, at both levels and after any h.  An n-gram is telling if the information it carries,
+n_c |log p_c / p| against the counts of both classes, is above a threshold (entropy pruning): rare and indifferent expressions back
+off to the same shared counts in both models and say next to nothing.  (With all n-grams kept, the differences of the two samples' chance n-grams
+drown the telling ones: 11 % of held-out toxic rows found, against 99 %.)
+
+With S the difference of a text's log-likelihoods (toxic less ordinary) over its n words, S / n and S / sqrt(n) are the normalised
+values, and a logistic curve turns these into a score.  The curve, and which of ``THRESHOLDS`` is used, are fitted on labelled
+rows apart from those counted.
 
 The models are fitted on a bounded sample of the labelled rows: at most about ``max_docs`` of each
 class, chosen by a hash of the id, and as many again for the curve.  A class cut further than the other
-counts by the inverse of its rate wherever both meet (the shared shares, the curve, the threshold's loss), so
+counts by the inverse of its rate wherever both meet (the information's shares, the curve, the threshold's loss), so
 that the share of toxic rows is the table's at any size.
 
 Defined results: null and empty texts score as n = 0 (the curve at 0); rows without label are not
 learned from; with a class missing from the sample every score is 0 (below 1e-100); null or repeated ids and extra
-columns are rows like any other.
+columns are rows like any other (equal ids are drawn alike); ties don't arise; a very long text is worked on whole in its task (about
+60 bytes of memory a byte of text).
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import chunks, cut, text_bytes
+from .runtime import chunks, cut, release, text_bytes
 from .words import mix, word_hashes
 
 DISCOUNT = 0.75
@@ -88,39 +92,75 @@ def _lookup(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 @dataclass
 class Model:
-    """Sorted hashes of the n-grams kept, their log ratios and the information they carry."""
+    """Log ratios (toxic to ordinary) by sorted hashes: of telling words and pairs, and of contexts' weights for the other pairs."""
 
     words: np.ndarray
     word_ratio: np.ndarray
-    word_information: np.ndarray
     pairs: np.ndarray
     pair_ratio: np.ndarray
-    pair_information: np.ndarray
-    threshold: float
-    curve: np.ndarray
+    contexts: np.ndarray
+    context_ratio: np.ndarray
+    other_word: float
 
-    def ratios(self, data: np.ndarray, offsets: np.ndarray, thresholds: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray]:
-        """Log-likelihood ratios of each row for each threshold, and its number of words."""
+    def ratios(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log-likelihood ratio of each row, and its number of words."""
         words, pointers = word_hashes(data, offsets)
         n = np.diff(pointers)
-        out = np.zeros((len(n), len(thresholds)))
-        if not len(words) or not len(self.words):
-            return out, n
-        _, pair = _bigrams(words, pointers)
+        if not len(words):
+            return np.zeros(len(n)), n
+        before, pair = _bigrams(words, pointers)
         at, seen = _lookup(self.words, words)
-        pair_at, pair_seen = _lookup(self.pairs, pair)
-        where = np.flatnonzero(seen | pair_seen)
-        row = np.searchsorted(pointers, where, "right") - 1
-        at, seen, pair_at, pair_seen = at[where], seen[where], pair_at[where], pair_seen[where]
-        for i, t in enumerate(thresholds):
-            ratio = np.where(seen & (self.word_information[at] > t), self.word_ratio[at], 0.0)
-            if len(self.pairs):
-                ratio = np.where(pair_seen & (self.pair_information[pair_at] > t), self.pair_ratio[pair_at], ratio)
-            out[:, i] = np.bincount(row, ratio, len(n))
-        return out, n
+        ratio = np.full(len(words), self.other_word)
+        ratio[seen] = self.word_ratio[at[seen]]
+        at, seen = _lookup(self.contexts, before)
+        ratio[seen] += self.context_ratio[at[seen]]
+        at, seen = _lookup(self.pairs, pair)
+        ratio[seen] = self.pair_ratio[at[seen]]
+        return np.bincount(np.repeat(np.arange(len(n)), n), ratio, len(n)), n
+
+
+@dataclass
+class Scorer:
+    """A model and its curve."""
+
+    model: Model
+    curve: np.ndarray
 
-    def score(self, ratio: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(_features(ratio, n) @ self.curve, -500, 500)))
+
+@dataclass
+class Counts:
+    """The n-grams above the lowest threshold: hashes, counts by class, shared probability of the (last) word, information."""
+
+    words: np.ndarray
+    word_n: np.ndarray
+    word_p: np.ndarray
+    word_information: np.ndarray
+    pairs: np.ndarray
+    before: np.ndarray
+    after: np.ndarray
+    pair_n: np.ndarray
+    pair_h: np.ndarray  # n_c(h)
+    pair_p: np.ndarray
+    pair_information: np.ndarray
+    total: np.ndarray  # n_c
+
+    def model(self, threshold: float) -> Model:
+        mine, told = self.word_information > threshold, self.pair_information > threshold
+        words, n, p = self.words[mine], self.word_n[mine], self.word_p[mine]
+        free = DISCOUNT * np.maximum((n > 0).sum(axis=0), 1) / self.total
+        own = np.maximum(n - DISCOUNT, 0) / self.total + free * p[:, None]
+        rest = (1 - own.sum(axis=0)) / (1 - p.sum())
+        n, h = self.pair_n[told], self.pair_h[told]
+        at, seen = _lookup(words, self.after[told])
+        below = np.where(seen[:, None], own[at] if len(words) else 0.0, rest * self.pair_p[told][:, None])
+        contexts, of = np.unique(self.before[told], return_inverse=True)
+        sums = lambda x: np.stack([np.bincount(of, x[:, c], len(contexts)) for c in (0, 1)], axis=1)
+        known = np.maximum(h, 1)
+        freed = np.where(h > 0, DISCOUNT * np.maximum(sums((n > 0).astype(float)), 1)[of] / known, 1.0)
+        q = np.maximum(n - DISCOUNT, 0) / known + freed * below
+        left = (1 - sums(q)) / (1 - sums(below))
+        ratio = lambda x: np.log(x[:, 1] / x[:, 0])
+        return Model(words, ratio(own), self.pairs[told], ratio(q), contexts, ratio(left), float(np.log(rest[1] / rest[0])))
 
 
 def _features(ratio: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -144,97 +184,101 @@ def _fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float
 def _sample(rows: DataFrame, max_docs: int) -> tuple[DataFrame, list[int]]:
     """About ``max_docs`` of each class (all of a smaller one), by a hash of the id, and both classes' rows before."""
     counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    rate = lambda c: int(min(1.0, max_docs / max(1, counts.get(c, 0))) * 1_000_000)
-    return rows.filter(draw < F.when(F.col("toxic") == 1, rate(1)).otherwise(rate(0))), [counts.get(c, 0) for c in (0, 1)]
+    least = lambda c: min(2**63 - 1, int(min(1.0, max_docs / max(1, counts.get(c, 0))) * 2**64) - 2**63)  # noqa: E731  of 64 bits: no share is rounded to nothing
+    drawn = F.xxhash64("doc_id") <= F.when(F.col("toxic") == 1, F.lit(least(1))).otherwise(F.lit(least(0)))
+    return rows.filter(drawn), [counts.get(c, 0) for c in (0, 1)]
 
 
-def _information(n: str, total: float, pool: Column) -> Column:
-    return F.col(n) * F.abs(F.ln(F.greatest(F.col(n), F.lit(0.5)) / F.lit(float(total)) / pool))
+def _information(n: str, total: Column, pool: Column) -> Column:
+    return F.col(n) * F.abs(F.ln(F.greatest(F.col(n), F.lit(0.5)) / total / pool))
 
 
-def fit(labelled: DataFrame, calibrates: Column, max_docs: int = MAX_DOCS) -> Model:
-    """A model from ``doc_id, text, toxic`` (0 or 1; others ignored); ``calibrates`` marks the curve's rows."""
-    rows = labelled.filter("toxic IN (0, 1)").withColumn("toxic", F.col("toxic").cast("int")).withColumn("__curve", F.coalesce(calibrates, F.lit(False)))
-    sample, sizes = _sample(rows.filter("NOT __curve"), max_docs)
+def count(sample: DataFrame, sizes: list[int], max_docs: int) -> Counts | None:
+    """The telling n-grams of a sample (as many as carry the least information), or None where a class is missing."""
     scale = [F.lit(max(1.0, size / max_docs)) for size in sizes]
     both = lambda a, b: F.col(a) * scale[0] + F.col(b) * scale[1]
     counted = sample.select("text", "toxic").mapInArrow(_count, "key long, h long, w long, n0 long, n1 long")
     grams = cut(counted.groupBy("key", "h", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
     words, pairs = grams.filter("h = 0"), grams.filter("h != 0")
-    all_words = words.agg(
-        F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count_if(F.col("n0") > 0).alias("v0"), F.count_if(F.col("n1") > 0).alias("v1")
-    ).first()
-    totals = [all_words["n0"] or 0, all_words["n1"] or 0]
-    nothing = np.empty(0)
-    model = Model(nothing.astype(np.uint64), nothing, nothing, nothing.astype(np.uint64), nothing, nothing, 0.0, np.array([-500.0, 0, 0]))
+    sums = words.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).first()
+    totals = [sums["n0"] or 0, sums["n1"] or 0]
     if not min(totals):
-        return model
-    shared = max(DISCOUNT * all_words[f"v{c}"] / totals[c] for c in (0, 1))
+        return None
     types = pairs.groupBy("w").agg(F.count("*").alias("types"))
-    all_types = types.agg(F.sum("types")).first()[0]
+    shared = F.col("types") / F.lit(float(types.agg(F.sum("types")).first()[0] + 1))
     pool = both("n0", "n1") / (scale[0] * totals[0] + scale[1] * totals[1])
-    own = lambda n, total: F.greatest(F.col(n) - DISCOUNT, F.lit(0.0)) / total
-    information = F.greatest(_information("n0", totals[0], pool), _information("n1", totals[1], pool)).alias("information")
-    p = [(own(f"n{c}", F.lit(float(totals[c]))) * (1 - shared) + F.col("types") * F.lit(shared / all_types)).alias(f"p{c}") for c in (0, 1)]
-    scored = words.join(types, "w").select("w", *p, information)
-    kept_words = scored.filter(F.col("information") > THRESHOLDS[0])
-    context = pairs.groupBy("h").agg(F.sum("n0").alias("h0"), F.sum("n1").alias("h1"), F.count("*").alias("followers"))
-    # After h both classes back off to the same P(w): a pair is held against the words' own shares.
-    pair_pool = both("n0", "n1") / both("h0", "h1")
-    told = [F.col(f"n{c}") * F.abs(F.ln(F.greatest(F.col(f"n{c}"), F.lit(0.5)) / F.greatest(f"h{c}", F.lit(1)) / pair_pool)) for c in (0, 1)]
-    kept_pairs = pairs.filter(F.col("n0") + F.col("n1") > THRESHOLDS[0] / 10).join(context, "h").withColumn("information", F.greatest(*told))
-    kept_pairs = kept_pairs.filter(F.col("information") > THRESHOLDS[0]).join(scored.select("w", "p0", "p1"), "w")
-    back = F.lit(DISCOUNT) * F.col("followers") / (F.col("h0") + F.col("h1"))
-    q = [own(f"n{c}", F.greatest(F.col(f"h{c}"), F.lit(1))) + back * F.col(f"p{c}") for c in (0, 1)]
-    kept_pairs = kept_pairs.select("key", F.ln(q[1] / q[0]).alias("ratio"), "information")
-    for name, frame in (("word", kept_words.select(F.col("w").alias("key"), F.ln(F.col("p1") / F.col("p0")).alias("ratio"), "information")), ("pair", kept_pairs)):
-        table = frame.toArrow()
-        keys = table["key"].to_numpy().view(np.uint64)
-        order = np.argsort(keys)
-        setattr(model, f"{name}s", keys[order])
-        setattr(model, f"{name}_ratio", table["ratio"].to_numpy()[order])
-        setattr(model, f"{name}_information", table["information"].to_numpy()[order])
+    told = F.greatest(*[_information(f"n{c}", F.lit(float(totals[c])), pool) for c in (0, 1)])
+    kept = words.withColumn("information", told).filter(F.col("information") > THRESHOLDS[0])
+    kept = kept.join(types, "w").select("key", "n0", "n1", shared.alias("p"), "information").orderBy("key").toArrow()
+    context = pairs.groupBy("h").agg(F.sum("n0").alias("h0"), F.sum("n1").alias("h1"))
+    # After h both classes back off to the words' own shares: a pair is held against these.
+    told = F.greatest(*[_information(f"n{c}", F.greatest(f"h{c}", F.lit(1)), both("n0", "n1") / both("h0", "h1")) for c in (0, 1)])
+    few = pairs.join(context, "h").withColumn("information", told).filter(F.col("information") > THRESHOLDS[0])
+    few = few.join(types, "w").select("key", "h", "w", "n0", "n1", "h0", "h1", shared.alias("p"), "information").orderBy("key").toArrow()
+    hashes = lambda table, c: table[c].to_numpy().view(np.uint64)
+    pair = lambda table, a, b: np.stack([table[a].to_numpy(), table[b].to_numpy()], axis=1).astype(float)
+    number = lambda table, c: table[c].to_numpy().astype(float)
+    first, second = np.argsort(hashes(kept, "key")), np.argsort(hashes(few, "key"))
+    return Counts(
+        hashes(kept, "key")[first], pair(kept, "n0", "n1")[first], number(kept, "p")[first], number(kept, "information")[first],
+        hashes(few, "key")[second], hashes(few, "h")[second], hashes(few, "w")[second], pair(few, "n0", "n1")[second], pair(few, "h0", "h1")[second],
+        number(few, "p")[second], number(few, "information")[second], np.array(totals, float),
+    )
+
+
+def fit(labelled: DataFrame, calibrates: Column, max_docs: int = MAX_DOCS) -> Scorer:
+    """A scorer from ``doc_id, text, toxic`` (0 or 1; others ignored); ``calibrates`` marks the curve's rows."""
+    rows = labelled.filter("toxic IN (0, 1)").withColumn("toxic", F.col("toxic").cast("int")).withColumn("__curve", F.coalesce(calibrates, F.lit(False)))
+    counts = count(*_sample(rows.filter("NOT __curve"), max_docs), max_docs)
+    none, keys = np.empty(0), np.empty(0, np.uint64)
+    never = Scorer(Model(keys, none, keys, none, keys, none, 0.0), np.array([-500.0, 0, 0]))
+    if counts is None:
+        return never
+    models = [counts.model(threshold) for threshold in THRESHOLDS]
     sample, sizes = _sample(rows.filter("__curve"), max_docs)
-    points = _apply(sample.select("toxic", "text"), model, ["toxic"], THRESHOLDS).toArrow()
+    points = _apply(sample.select("toxic", "text"), models, ["toxic"]).toArrow()
     if not points.num_rows:
-        return model
-    y, n = points["toxic"].to_numpy().astype(float), points["n"].to_numpy()
-    weight = (np.array(sizes) / np.maximum(np.bincount(points["toxic"].to_numpy(), minlength=2), 1))[points["toxic"].to_numpy()]
+        return never
+    toxic, n = points["toxic"].to_numpy(), points["n"].to_numpy()
+    weight = (np.array(sizes) / np.maximum(np.bincount(toxic, minlength=2), 1))[toxic]
     weight /= weight.mean()
     found = []
-    for i, threshold in enumerate(THRESHOLDS):
+    for i, model in enumerate(models):
         x = _features(np.array([r[i] for r in points["ratios"].to_pylist()]), n)
-        curve = _fit_curve(x, y, weight)
+        curve = _fit_curve(x, toxic.astype(float), weight)
         z = np.clip(x @ curve, -30, 30)
-        found.append((float(np.mean(weight * (np.log1p(np.exp(z)) - y * z))), threshold, curve))
-    _, model.threshold, model.curve = min(found, key=lambda f: f[0])
-    return model
+        found.append((float(np.mean(weight * (np.log1p(np.exp(z)) - toxic * z))), i, Scorer(model, curve)))
+    return min(found, key=lambda f: f[:2])[2]
 
 
-def _apply(docs: DataFrame, model: Model, keep: list[str], thresholds: tuple[float, ...]) -> DataFrame:
-    """``keep`` columns, then ``ratios, n, score`` (of the first ratio); the text is the last column of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _apply(docs: DataFrame, models: list[Model], keep: list[str]) -> DataFrame:
+    """``keep`` columns, then ``ratios`` (one a model) and ``n``; the text is the last column of ``docs``."""
+    shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        own = shared.value
         for batch in batches:
             data, offsets = text_bytes(batch.column(len(keep)))
-            found = [m.ratios(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], thresholds) for a, b in chunks(offsets)]
-            if found:
-                ratios, n = (np.concatenate(x) for x in zip(*found, strict=True))
-                own = [batch.column(i) for i in range(len(keep))]
+            for a, b in chunks(offsets):
+                found = [m.ratios(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for m in own]
+                ratios = pa.array(list(np.stack([f[0] for f in found], axis=1)), pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays(
-                    [*own, pa.array(list(ratios), pa.list_(pa.float64())), pa.array(n.astype(np.int64)), pa.array(m.score(ratios[:, 0], n))],
-                    names=[*keep, "ratios", "n", "score"],
+                    [*[batch.column(i).slice(a, b - a) for i in range(len(keep))], ratios, pa.array(found[0][1].astype(np.int64))], names=[*keep, "ratios", "n"]
                 )
+        release()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[: len(keep)])
-    return docs.mapInArrow(run, f"{schema}, ratios array<double>, n long, score double")
+    return docs.mapInArrow(run, f"{schema}, ratios array<double>, n long")
 
 
-def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, scorer: Scorer, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """``keep`` columns, ``score`` and ``predicted`` (1 from 0.5)."""
-    slim = docs.select(*keep, F.col(text_col).alias("__text"))
-    scored = _apply(slim, model, list(keep), (model.threshold,))
-    return scored.select(*keep, "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+    own = [f"k{i}" for i in range(len(keep))]
+    slim = docs.select(*[F.col(k).alias(o) for k, o in zip(keep, own, strict=True)], F.col(text_col).alias("text"))
+    c = [float(x) for x in scorer.curve]
+    n = F.greatest(F.col("n"), F.lit(1))
+    z = F.lit(c[0]) + F.lit(10 * c[1]) * F.col("ratios")[0] / n + F.lit(c[2]) * F.col("ratios")[0] / F.sqrt(n)
+    scored = _apply(slim, [scorer.model], own).withColumn("z", F.lit(1.0) / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), z)))))
+    return scored.select(
+        *[F.col(o).alias(k) for k, o in zip(keep, own, strict=True)], F.col("z").alias("score"), F.when(F.col("z") >= 0.5, 1).otherwise(0).alias("predicted")
+    )
