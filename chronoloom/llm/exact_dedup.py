@@ -4,16 +4,17 @@
    and writes one *local representative* per distinct content, with its number of rows and its
    largest id.  A table that outgrows ``table_bytes`` is written out and begun anew, so one
    content held by a third of all rows shrinks to one representative per table.
-2. The representatives are partitioned by the leading bits of a content hash.  Buckets whose
-   representatives exceed ``bucket_bytes`` are partitioned again by further bits, until each fits
-   or all bits are used (then it holds one content, of which a table keeps one copy).
+2. The representatives are partitioned by the leading bits of a content hash.  Buckets are weighed, those
+   of several contents above ``bucket_bytes`` are partitioned again by further bits, and what comes of them is weighed
+   again, until each fits or all bits are used.  Of a bucket of one content a table keeps one copy.
    The shuffle files of that partitioning are Grace's spill files.
-3. Each bucket goes through an open-addressing table that compares complete contents, which
+3. Each bucket goes through an open-addressing table of its own that compares complete contents, which
    numbers the groups; the numbers return to the rows by their representative.
 
 Defined results: null text counts as empty; a null id is smaller than any other (a group of null
 ids only has a null ``keep_id``); of equal texts the row with the largest id stays, of rows that
-repeat that id just one; an empty table gives an empty result; other columns are not read.
+repeat that id just one; a very long text is one content, held whole a few times over in its task; an empty table gives an
+empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialise, parallelism
+from .runtime import cut, materialise, parallelism, release
 
 _LOCAL = "doc_id long, text_sha256 string, rep long, best boolean, content binary, hash long, rows long, max_id long"
 _LEAST = -(2**63)
@@ -106,41 +107,68 @@ def _local(table_bytes: int, carry: bool):
                 carried.append(batch.column(2).slice(begun))
         if ids:
             yield flush()
+        release()
 
     return run
 
 
-def _buckets(reps: DataFrame, bucket_bytes: int, least: int) -> tuple[Column, int]:
-    """The bucket of a representative, split recursively where one is too large, and their number."""
-    weighed = reps.select("hash", (F.length("content") + 64).alias("bytes"))
-    total = weighed.agg(F.sum("bytes")).first()[0] or 0
-    bits = max(1, math.ceil(math.log2(max(least, 2 * total / bucket_bytes))))
-    prefix = lambda b: F.shiftrightunsigned("hash", 64 - b)
-    bucket, count = prefix(bits), 1 << bits
-    within = F.lit(True)
-    while bits < 60:
-        over = weighed.filter(within).groupBy(prefix(bits).alias("p")).agg(F.sum("bytes").alias("b"))
-        large = [r["p"] for r in over.filter(F.col("b") > bucket_bytes).select("p").collect()]  # at most total / bucket_bytes
-        if not large:
+def _prefix() -> Column:
+    return F.expr("shiftrightunsigned(hash, 64 - bits)")
+
+
+def _buckets(reps: DataFrame, bucket_bytes: int, least: int) -> tuple[DataFrame, int]:
+    """The representatives with ``bits, prefix`` of their bucket, and a number of partitions for them."""
+    total = reps.agg(F.sum(F.length("content") + 64)).first()[0] or 0
+    parts = max(least, math.ceil(2 * total / bucket_bytes))
+    placed = reps.withColumn("bits", F.lit(max(1, math.ceil(math.log2(parts)))))
+    for _ in range(16):  # 4 more bits each time
+        weighed = placed.groupBy("bits", _prefix().alias("prefix")).agg(
+            F.sum(F.length("content") + 64).alias("bytes"), F.min("hash").alias("one"), F.max("hash").alias("other")
+        )
+        over = cut(weighed.filter((F.col("bytes") > bucket_bytes) & (F.col("one") != F.col("other")) & (F.col("bits") < 60)))
+        if over.isEmpty():
             break
-        within = prefix(bits).isin(large)
-        bits = min(60, bits + 4)
-        bucket = F.when(within, F.pmod(F.hash(prefix(bits), F.lit(bits)), F.lit(count)).cast("long")).otherwise(bucket)
-    return bucket, count
+        over = over.select(F.col("bits").alias("over_bits"), F.col("prefix").alias("over"))  # at most total / bucket_bytes rows; Spark sees their size
+        placed = placed.join(over, (F.col("bits") == F.col("over_bits")) & (_prefix() == F.col("over")), "left")
+        placed = placed.withColumn("bits", F.when(F.col("over").isNotNull(), F.least(F.col("bits") + 4, F.lit(60))).otherwise(F.col("bits"))).drop("over_bits", "over")
+    return placed.withColumn("prefix", _prefix()), parts
 
 
 def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Global groups of the representatives of one partition, by complete content."""
+    """Global groups of the representatives by complete content, bucket by bucket (``bits, prefix``, in order)."""
     table: dict[bytes, int] = {}
     reps: list[int] = []
     group_of: list[int] = []
     rows: list[int] = []
     best: list[tuple[int, int]] = []
+    bucket = None
+
+    def flush() -> pa.RecordBatch:
+        at = np.array(group_of)
+        tops = np.array([b[0] for b in best])
+        winners = np.array([-b[1] for b in best])
+        out = pa.RecordBatch.from_arrays(
+            [
+                pa.array(reps, pa.int64()),
+                pa.array(tops[at], pa.int64(), mask=tops[at] == _LEAST),
+                pa.array(np.array(rows)[at], pa.int64()),
+                pa.array(winners[at] == np.array(reps)),
+            ],
+            names=["rep", "keep_id", "group_size", "wins"],
+        )
+        for held in (table, reps, group_of, rows, best):
+            held.clear()
+        return out
+
     for batch in batches:
+        keys = zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)
         columns = [batch.column(i) for i in range(4)]
-        for rep, content, count, top in zip(
-            columns[0].to_pylist(), columns[1], columns[2].to_pylist(), columns[3].to_pylist(), strict=True
+        for key, rep, content, count, top in zip(
+            keys, columns[0].to_pylist(), columns[1], columns[2].to_pylist(), columns[3].to_pylist(), strict=True
         ):
+            if key != bucket and reps:
+                yield flush()
+            bucket = key
             g = table.setdefault(content.as_py(), len(rows))
             rank = (_LEAST if top is None else top, -rep)
             if g == len(rows):
@@ -152,18 +180,8 @@ def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             reps.append(rep)
             group_of.append(g)
     if reps:
-        at = np.array(group_of)
-        tops = np.array([b[0] for b in best])
-        winners = np.array([-b[1] for b in best])
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(reps, pa.int64()),
-                pa.array(tops[at], pa.int64(), mask=tops[at] == _LEAST),
-                pa.array(np.array(rows)[at], pa.int64()),
-                pa.array(winners[at] == np.array(reps)),
-            ],
-            names=["rep", "keep_id", "group_size", "wins"],
-        )
+        yield flush()
+    release()
 
 
 def _grace(slim: DataFrame, table_bytes: int, bucket_bytes: int) -> tuple[DataFrame, DataFrame]:
@@ -172,11 +190,11 @@ def _grace(slim: DataFrame, table_bytes: int, bucket_bytes: int) -> tuple[DataFr
     schema = f"{_LOCAL}, payload {slim.schema['payload'].dataType.simpleString()}" if carry else _LOCAL
     local = materialise(slim.mapInArrow(_local(table_bytes, carry), schema), "exact-dedup")
     reps = local.filter("best")
-    bucket, n = _buckets(reps, bucket_bytes, parallelism(slim.sparkSession))
+    placed, n = _buckets(reps.select("rep", "content", "rows", "max_id", "hash"), bucket_bytes, parallelism(slim.sparkSession))
     groups = (
-        reps.select("rep", "content", "rows", "max_id", bucket.cast("int").alias("bucket"))
-        .repartitionById(n, "bucket")
-        .select("rep", "content", "rows", "max_id")
+        placed.select("rep", "content", "rows", "max_id", "bits", "prefix")
+        .repartition(n, "bits", "prefix")
+        .sortWithinPartitions("bits", "prefix")
         .mapInArrow(_group, "rep long, keep_id long, group_size long, wins boolean")
     )
     return local, groups
@@ -186,8 +204,8 @@ def exact_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    table_bytes: int = 48 << 20,
-    bucket_bytes: int = 64 << 20,
+    table_bytes: int = 16 << 20,
+    bucket_bytes: int = 32 << 20,
 ) -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
@@ -204,8 +222,8 @@ def keep_one(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    table_bytes: int = 48 << 20,
-    bucket_bytes: int = 64 << 20,
+    table_bytes: int = 16 << 20,
+    bucket_bytes: int = 32 << 20,
 ) -> DataFrame:
     """The one row of each group that stays, with all its columns as they were."""
     others = [c for c in docs.columns if c != text_col]
