@@ -7,7 +7,12 @@ frames, 32 kHz mono, 1440 bytes at 320 kbit/s and a last frame of the smallest s
 with CRC-16 over header and (empty) side information and the payload in the data area; before them
 an ID3v2 tag with the payload's length and CRC-32 and a frame with the variable-bitrate table.
 
-Defined results: null text counts as empty; the payload is the UTF-8 text with zero bytes up to
+Read besides: ID3v2.2 to 2.4 and ID3v1 tags, Xing, Info and VBRI tables, checksums of Layers I and III, and streams that change
+their sample rate.  Not read: free-format frames (bytes without a frame); not verified: Layer II checksums (``crc_unchecked``).
+
+Defined results: null media has status ``none``, media without a frame ``no_frames``, media without a payload's tags ``foreign``, and a
+payload that is cut short or fails a checksum ``damaged``; these have no payload columns, ``ok`` has all.  A very long text is one
+stream, worked on whole in its task (about ten times its bytes); ties don't arise.  Null text counts as empty; the payload is the UTF-8 text with zero bytes up to
 a positive multiple of 64; null or repeated ids are rows like any other; an empty table gives an
 empty result; other columns are ignored.
 """
@@ -62,6 +67,7 @@ class Header:
     size: int
     samples: int
     side: int  # bytes of Layer III side information
+    covered: int  # bytes after the checksum that it covers, -1: not known
 
 
 def header(word: int) -> Header | None:
@@ -76,30 +82,31 @@ def header(word: int) -> Header | None:
     samples = 384 if layer == 1 else 576 if layer == 3 and version != 3 else 1152
     size = (12 * bitrate // hertz + padding) * 4 if layer == 1 else samples // 8 * bitrate // hertz + padding
     side = 0 if layer != 3 else (17 if mono else 32) if version == 3 else (9 if mono else 17)
-    return Header(version, layer, not word >> 16 & 1, bitrate, hertz, size, samples, side)
+    bound = 4 * (word >> 4 & 3) + 4 if word >> 6 & 3 == 1 else 32  # Layer I: 4 bits a channel and band, shared ones once
+    covered = side if layer == 3 else (16 if mono else 16 + bound // 2) if layer == 1 else -1
+    return Header(version, layer, not word >> 16 & 1, bitrate, hertz, size, samples, side, covered)
 
 
 @dataclass
 class Index:
     """What ``index_stream`` found."""
 
+    kind: str = ""  # of the first frame
     sample_rate: int = 0
     samples: int = 0
+    seconds: float = 0.0
     offsets: list[int] = field(default_factory=list)
     sizes: list[int] = field(default_factory=list)
     data_at: list[int] = field(default_factory=list)
     crc_ok: int = 0
     crc_bad: int = 0
+    crc_unchecked: int = 0
     skipped: int = 0
     tags: dict[str, bytes] = field(default_factory=dict)
     table_frames: int | None = None
     table_bytes: int | None = None
     seek_table: bytes = b""
 
-    @property
-    def seconds(self) -> float:
-        return self.samples / self.sample_rate if self.sample_rate else 0.0
-
 
 def _synchsafe(b: bytes) -> int:
     return b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
@@ -111,15 +118,17 @@ def _tags(media: bytes) -> tuple[dict[str, bytes], int]:
         return {}, 0
     end = min(len(media), 10 + _synchsafe(media[6:10]))
     at, tags = 10, {}
-    while at + 10 <= end and media[at] != 0:
-        size = _synchsafe(media[at + 4 : at + 8]) if media[3] >= 4 else int.from_bytes(media[at + 4 : at + 8], "big")
-        body = media[at + 10 : min(end, at + 10 + size)]
-        name = media[at : at + 4].decode("latin-1")
+    letters, head = (3, 6) if media[3] == 2 else (4, 10)
+    while at + head <= end and media[at] != 0:
+        width = media[at + letters : at + 2 * letters]
+        size = _synchsafe(width) if media[3] >= 4 else int.from_bytes(width, "big")
+        body = media[at + head : min(end, at + head + size)]
+        name = media[at : at + letters].decode("latin-1")
         if name in ("TXXX", "PRIV"):
             owner, _, body = body.lstrip(b"\x00\x03" if name == "TXXX" else b"").partition(b"\0")
             name = f"{name}:{owner.decode('latin-1')}"
         tags[name] = body
-        at += 10 + size
+        at += head + size
     return tags, end
 
 
@@ -129,6 +138,7 @@ def index_stream(media: bytes) -> Index:
     end = len(media) - 128 if len(media) >= at + 128 and media[-128:-125] == b"TAG" else len(media)
     known: dict[int, Header | None] = {}
     protected: dict[int, list[int]] = {}
+    by_rate: dict[int, int] = {}
 
     def frame(i: int) -> Header | None:
         if i + 4 > end:
@@ -161,19 +171,28 @@ def index_stream(media: bytes) -> Index:
                 found.table_bytes, p = int.from_bytes(media[p : p + 4], "big"), p + 4
             if flags & 4:
                 found.seek_table = media[p : p + 100]
+        elif not found.offsets and found.table_frames is None and media[at + 36 : at + 40] == b"VBRI":
+            found.table_bytes, found.table_frames = (int.from_bytes(media[p : p + 4], "big") for p in (at + 46, at + 50))
+            entries, width = (int.from_bytes(media[p : p + 2], "big") for p in (at + 54, at + 58))
+            found.seek_table = media[at + 62 : at + 62 + entries * width]
         else:
             found.offsets.append(at)
             found.sizes.append(h.size)
             found.data_at.append(data)
             found.samples += h.samples
-            found.sample_rate = found.sample_rate or h.rate
-            if h.protected and h.layer == 3:
-                protected.setdefault(h.side, []).append(at)
+            if not found.sample_rate:
+                found.sample_rate, found.kind = h.rate, f"mpeg{ {3: '1', 2: '2', 0: '2.5'}[h.version] }-layer{h.layer}"
+            by_rate[h.rate] = by_rate.get(h.rate, 0) + h.samples
+            if h.protected and h.covered < 0:
+                found.crc_unchecked += 1
+            elif h.protected:
+                protected.setdefault(h.covered, []).append(at)
         at, synced = at + h.size, True
     found.skipped += max(0, end - at)
+    found.seconds = sum(samples / rate for rate, samples in by_rate.items())
     raw = np.frombuffer(media, np.uint8)
     for side, frames in protected.items():
-        where = np.array(frames)
+        where = np.array([f for f in frames if f + 6 + side <= len(raw)])
         covered = np.concatenate([raw[where[:, None] + np.array([2, 3])], raw[where[:, None] + np.arange(6, 6 + side)]], axis=1)
         stored = raw[where + 4].astype(np.uint16) << np.uint16(8) | raw[where + 5]
         good = int((crc16(covered) == stored).sum())
@@ -223,13 +242,19 @@ def carry(payload: bytes) -> bytes:
     return tag + bytes(info) + audio + b"TAG" + bytes(125)
 
 
-def carried(media: bytes, index: Index) -> bytes:
-    """The payload of a stream from ``carry``; raises if its checksum fails."""
-    parts = [media[d : o + s] for d, o, s in zip(index.data_at, index.offsets, index.sizes, strict=True)]
-    payload = b"".join(parts)[: int(index.tags["TXXX:payload"])]
-    if zlib.crc32(payload) != int.from_bytes(index.tags["PRIV:crc32"], "big") or index.crc_bad:
-        raise ValueError("a checksum of the stored media fails")
-    return payload
+def carried(media: bytes, index: Index) -> tuple[str, bytes | None]:
+    """Status and payload of a stream from ``carry``."""
+    if not index.offsets:
+        return "no_frames", None
+    length, check = index.tags.get("TXXX:payload", b""), index.tags.get("PRIV:crc32", b"")
+    if not length.isdigit() or len(check) != 4:
+        return "foreign", None
+    payload = b"".join(media[d : o + s] for d, o, s in zip(index.data_at, index.offsets, index.sizes, strict=True))[: int(length)]
+    good = len(payload) == int(length) and zlib.crc32(payload) == int.from_bytes(check, "big") and not index.crc_bad
+    return ("ok", payload) if good else ("damaged", None)
+
+
+_STORED = "doc_id long, n_bytes long, media binary"
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,55 +266,53 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             done.append((doc, len(raw), carry(raw + bytes(-len(raw) % 64 if raw else 64))))
             size += len(raw)
             if size > 4 << 20:
-                yield _rows(done, "doc_id", "n_bytes", "media")
+                yield _rows(done, _STORED)
                 done, size = [], 0
         if done:
-            yield _rows(done, "doc_id", "n_bytes", "media")
+            yield _rows(done, _STORED)
+
 
+_FEATURES = (
+    "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
+    "feature string, seconds double, n_crc_ok long, frame_offsets array<long>, status string"
+)
 
-def _rows(rows: list[tuple], *names: str) -> pa.RecordBatch:
-    kinds = {"media": pa.binary(), "frame_offsets": pa.list_(pa.int64()), "seconds": pa.float64(), "n_crc_ok": pa.int64()}
-    text = {"payload_sha256", "media_sha256", "feature"}
-    columns = zip(*rows, strict=True)
+
+def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    fields = [f.split() for f in schema.split(", ")]
     return pa.RecordBatch.from_arrays(
-        [pa.array(list(c), kinds.get(n, pa.string() if n in text else pa.int64())) for n, c in zip(names, columns, strict=True)],
-        names=list(names),
+        [pa.array(list(c), kinds[kind]) for (_, kind), c in zip(fields, zip(*rows, strict=True), strict=True)], names=[name for name, _ in fields]
     )
 
 
+def _described(doc: int | None, n: int | None, media: bytes | None) -> tuple:
+    if media is None:
+        return doc, n, *[None] * 9, "none"
+    index = index_stream(media)
+    status, payload = carried(media, index)
+    told = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:])) if payload is not None else (None, None, None)
+    seek = zlib.crc32(np.array(index.offsets, ">i8").tobytes())
+    feature = f"{index.kind} {index.sample_rate} Hz {len(index.offsets)} frames {index.samples} samples seek {seek:08x}" if index.offsets else None
+    return doc, n, *told, len(media), hashlib.sha256(media).hexdigest(), feature, index.seconds, index.crc_ok, index.offsets, status
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = (
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature",
-        "seconds", "n_crc_ok", "frame_offsets",
-    )
     for batch in batches:
-        rows = []
-        for doc, n, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            media = cell.as_py()
-            index = index_stream(media)
-            payload = carried(media, index)
-            seek = zlib.crc32(np.array(index.offsets, ">i8").tobytes())
-            feature = f"mpeg1-layer3 {index.sample_rate} Hz {len(index.offsets)} frames {index.samples} samples seek {seek:08x}"
-            rows.append(
-                (
-                    doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media),
-                    hashlib.sha256(media).hexdigest(), feature, index.seconds, index.crc_ok, index.offsets,
-                )
-            )
+        rows = [
+            _described(doc, n, cell.as_py())
+            for doc, n, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)
+        ]
         if rows:
-            yield _rows(rows, *names)
+            yield _rows(rows, _FEATURES)
 
 
 def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, media``: every text stored as an MPEG stream."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(_store, "doc_id long, n_bytes long, media binary")
+    return slim.mapInArrow(_store, _STORED)
 
 
 def media_features(media: DataFrame) -> DataFrame:
     """Digests, duration and seek offsets of the streams of ``media_column``."""
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(
-        _features,
-        "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
-        "media_sha256 string, feature string, seconds double, n_crc_ok long, frame_offsets array<long>",
-    )
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(_features, _FEATURES)
