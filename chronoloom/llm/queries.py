@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, jaccard_join, langid, lm, mixing, mpeg_audio, preference, sentencepiece_wfst, toxicity, url_reputation
-from .url_reputation import Rule
+from .url_reputation import SECOND_LEVEL, WILDCARD, Rule
 
 RULES = [
     Rule("com", "/", "allow"),
@@ -34,7 +34,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.linked_documents(_table(spark, sf_dir, "documents")).drop("key")
+    return jaccard_join.linked_documents(_table(spark, sf_dir, "documents"))
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,11 +62,7 @@ def op7_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = _table(spark, sf_dir, "conversations").select(
-        F.expr("conv_id DIV 2").alias("pair_id"), F.expr("CASE conv_id % 2 WHEN 0 THEN 'chosen' ELSE 'rejected' END").alias("side"),
-        "turn", "role", "text",
-    )
-    pairs = preference.preference_pairs(turns)
+    pairs = preference.corrupted_pairs(_table(spark, sf_dir, "conversations"))
     return pairs.withColumns({c: preference.mask_text(c) for c in ("chosen_mask", "rejected_mask")})
 
 
@@ -106,10 +102,18 @@ WITH base AS (
 ), known AS (
   SELECT doc_id AS page_id, count(*) AS n, sum(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad
   FROM labels WHERE (toxic = 1 OR quality = 0) IS NOT NULL GROUP BY doc_id
-), hosts AS (
+), counted AS (
   SELECT host, CAST(coalesce(sum(n), 0) AS DOUBLE) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS bad,
-    list_aggregate(string_split(host, '.')[-2:], 'string_agg', '.') AS domain, string_split(host, '.')[-1] AS suffix
+    regexp_replace(regexp_extract(regexp_replace(host, '^.*@', ''), '^(\\[[^\\]]*\\]?|[^:]*)', 1), '\\.+$', '') AS name
   FROM split LEFT JOIN known USING (page_id) GROUP BY host
+), parts AS (
+  SELECT *, regexp_matches(name, '^\\[|^[0-9]+(\\.[0-9]+){{3}}$') AS address, string_split(name, '.') AS labels,
+    list_aggregate(string_split(name, '.')[-2:], 'string_agg', '.') AS two
+  FROM counted
+), hosts AS (
+  SELECT host, n, bad, CASE WHEN address THEN 'address' WHEN deep THEN two ELSE labels[-1] END AS suffix,
+    CASE WHEN address THEN name WHEN deep THEN list_aggregate(labels[-3:], 'string_agg', '.') ELSE two END AS domain
+  FROM (SELECT *, two IN {SECOND_LEVEL} OR (labels[-1] IN {WILDCARD} AND two NOT IN ('www.ck')) AS deep FROM parts)
 ), domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY domain, suffix
 ), suffixs AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY suffix
 ), everywhere AS (SELECT CASE WHEN sum(n) > 0 THEN sum(bad) / sum(n) ELSE 0.0 END AS rate FROM suffixs
@@ -133,12 +137,24 @@ FROM ruled
 """
 
 _CHAT_SQL = """
-WITH t AS (
-  SELECT conv_id // 2 AS pair_id, CASE conv_id % 2 WHEN 0 THEN 'chosen' ELSE 'rejected' END AS side, turn, role, text
+WITH said AS (
+  SELECT conv_id AS pair_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos
   FROM conversations WHERE conv_id IS NOT NULL
+), sized AS (SELECT pair_id, count(*) AS turns FROM said GROUP BY pair_id
+), cut AS (
+  SELECT pair_id, pos AS cut_at FROM said WHERE role = 'assistant'
+  QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY md5('preference-cut:' || pair_id || ':' || (pos - 1)), pos) = 1
+), given AS (
+  SELECT xor(pair_id, 1) AS pair_id, role, text FROM said WHERE role = 'assistant'
+  QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY md5('preference-give:' || pair_id || ':' || (pos - 1)), pos) = 1
+), ends AS (
+  SELECT pair_id, coalesce(cut_at, turns + 1) AS cut_at, g.role, g.text FROM sized LEFT JOIN cut USING (pair_id) JOIN given g USING (pair_id)
+), t AS (
+  SELECT pair_id, 'chosen' AS side, pos, role, text FROM said
+  UNION ALL SELECT pair_id, 'rejected', pos, s.role, s.text FROM said s JOIN ends USING (pair_id) WHERE pos < cut_at
+  UNION ALL SELECT pair_id, 'rejected', cut_at, role, text FROM ends
 ), o AS (
-  SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos,
-    '<|im_start|>' || coalesce(role, 'unknown') || chr(10) AS head,
+  SELECT *, '<|im_start|>' || coalesce(role, 'unknown') || chr(10) AS head,
     replace(coalesce(text, ''), '<|im_', '<| im_') || '<|im_end|>' || chr(10) AS body
   FROM t
 ), c AS (SELECT * FROM o WHERE side = 'chosen'), r AS (SELECT * FROM o WHERE side = 'rejected'),
@@ -163,7 +179,8 @@ sides AS (
   SELECT o.pair_id, string_agg(head || body, '' ORDER BY pos) AS prompt
   FROM o JOIN n ON o.pair_id = n.pair_id WHERE side = 'chosen' AND pos <= n.n GROUP BY o.pair_id
 )
-SELECT n.pair_id, CASE WHEN nc = 0 THEN 'no_chosen' WHEN nr = 0 THEN 'no_rejected' WHEN n.n = nc AND n.n = nr THEN 'identical' ELSE 'pair' END AS status,
+SELECT n.pair_id, CASE WHEN nc = 0 THEN 'no_chosen' WHEN nr = 0 THEN 'no_rejected' WHEN n.n = nc AND n.n = nr THEN 'identical'
+    WHEN n.n = nc THEN 'chosen_is_prefix' WHEN n.n = nr THEN 'rejected_is_prefix' ELSE 'pair' END AS status,
   CAST(n.n AS BIGINT) AS n_prompt_turns, coalesce(prompt, '') AS prompt,
   coalesce(a.completion, '') AS chosen, coalesce(b.completion, '') AS rejected,
   coalesce(a.mask, '') AS chosen_mask, coalesce(b.mask, '') AS rejected_mask
