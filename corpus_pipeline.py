@@ -11,7 +11,7 @@ from chronoloom.llm.runtime import materialise
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages; texts without a letter or in none of them go."""
+    """Documents with n-grams of a learned language; texts without a letter or without any known n-gram go."""
     filters = langid.train(docs.filter(langid.remainder("doc_id", 3) != 1))
     return langid.accept(docs, filters)
 
@@ -32,7 +32,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their SentencePiece ids."""
+    """The documents with their SentencePiece ids, and whether these decode to the text."""
     return sentencepiece_wfst.encoded_documents(docs, sentencepiece_wfst.read_model())
 
 
