@@ -17,16 +17,19 @@ def zscore_outliers(pts: DataFrame, threshold: float = 3.0) -> DataFrame:
 
 
 def iqr_outliers(pts: DataFrame, k: float = 1.5) -> DataFrame:
-    """Tukey fences per series and how many points lie strictly outside; status says why there are none."""
+    """Tukey fences per series, how many points lie strictly outside and where; status says why there are none."""
     present = pts.filter("value IS NOT NULL AND NOT isnan(value)")
     q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.75)))
-    fences = present.groupBy("series_id").agg(q.alias("q"), F.count("*").alias("n"), F.array_agg("value").alias("values"))
+    fences = present.groupBy("series_id").agg(q.alias("q"), F.count("*").alias("n"))
     iqr = F.col("q")[1] - F.col("q")[0]
     low, high = F.col("q")[0] - k * iqr, F.col("q")[1] + k * iqr
     status = F.when(F.col("n") < 4, "too short").when(iqr == 0, "no spread").otherwise("ok")
-    f = fences.select("series_id", low.alias("low"), high.alias("high"), status.alias("status"), "values")
-    outside = F.size(F.filter("values", lambda v: (v < F.col("low")) | (v > F.col("high"))))
-    return f.select("series_id", "low", "high", F.when(F.col("status") == "ok", outside.cast("long")).alias("outliers"), "status")
+    f = fences.select("series_id", low.alias("low"), high.alias("high"), status.alias("status"))
+    outside = present.join(f, "series_id").filter("status = 'ok' AND (value < low OR value > high)")
+    found = outside.groupBy("series_id").agg(F.count("*").alias("outliers"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    told = lambda c, none: F.when(F.col("status") == "ok", F.coalesce(c, none)).alias(c)
+    none = F.expr("CAST(array() AS array<bigint>)")
+    return f.join(found, "series_id", "left").select("series_id", "low", "high", told("outliers", F.lit(0).cast("long")), "status", told("positions", none))
 
 
 def anomaly_score(pts: DataFrame) -> DataFrame:

@@ -147,8 +147,12 @@ def leave_one_subset_out(rows: DataFrame, thresholds: int = 61) -> DataFrame:
     where its mean gain on the other subsets is at least the threshold.
     """
     per = rows.groupBy("subset", "branch").agg(F.sum("gain").alias("g"), F.count("*").alias("n"))
-    subsets = per.select(F.col("subset").alias("fold")).distinct()
-    others = subsets.join(per, F.col("fold") != F.col("subset")).groupBy("fold", "branch").agg(F.sum("g").alias("g"), F.sum("n").alias("n"))
+    # What the other subsets have is the total less the own; branches are few, so their totals are one row.
+    totals = per.groupBy("branch").agg(F.sum("g").alias("g"), F.sum("n").alias("n")).agg(F.collect_list(F.struct("branch", "g", "n")).alias("all"))
+    own = per.groupBy(F.col("subset").alias("fold")).agg(F.map_from_entries(F.collect_list(F.struct("branch", F.struct("g", "n")))).alias("own"))
+    others = own.join(F.broadcast(totals)).select("fold", "own", F.explode("all").alias("t"))
+    mine = lambda c: F.coalesce(F.try_element_at("own", F.col("t.branch"))[c], F.lit(0))
+    others = others.select("fold", "t.branch", (F.col("t.g") - mine("g")).alias("g"), (F.col("t.n") - mine("n")).alias("n")).filter("n > 0")
     grid = others.select("fold", "branch", "g", (F.col("g") / F.col("n")).alias("mean"), F.explode(F.sequence(F.lit(0), F.lit(thresholds - 1))).alias("i"))
     grid = grid.withColumn("tau", (F.col("i") - (thresholds - 1) // 2) / F.lit(100.0))
     scored = grid.groupBy("fold", "i", "tau").agg(F.sum(F.when(F.col("mean") >= F.col("tau"), F.col("g")).otherwise(0)).alias("total"))
@@ -162,28 +166,52 @@ def normal_label(text: Column) -> Column:
     return F.lower(F.regexp_replace(F.trim(text), r"[\s_-]", ""))
 
 
+def to_float(text: Column) -> Column:
+    """A text's number: all of it without commas, or else its first number; never infinite."""
+    plain = F.replace(F.trim(text), F.lit(","), F.lit(""))
+    first = F.nullif(F.regexp_extract(plain, r"([-+]?\d*\.?\d+(?:[eE][-+]?\d+)?)", 1), F.lit(""))
+    whole = plain.try_cast("double")
+    finite = lambda x: F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+    return F.when(whole.isNotNull(), finite(whole)).otherwise(finite(first.try_cast("double")))
+
+
+def _choice(p: Column, g: Column) -> Column:
+    """Letters A to Z are compared as such, or through the option they stand for; else the texts as labels."""
+    p, g = F.trim(p), F.trim(g)
+    at = lambda t: F.when(F.upper(t).rlike("^[A-Z]$"), F.ascii(F.upper(t)) - 64)
+    option = lambda i: normal_label(F.try_element_at("options", i))
+    some = F.coalesce(F.size("options"), F.lit(0)) > 0
+    same = normal_label(p) == normal_label(g)
+    inside = lambda i: i <= F.size("options")
+    return (
+        F.when(at(p).isNotNull() & at(g).isNotNull(), at(p) == at(g)).when(at(p).isNotNull() & some, inside(at(p)) & (option(at(p)) == normal_label(g)))
+        .when(at(g).isNotNull() & some & inside(at(g)), normal_label(p) == option(at(g))).otherwise(same)
+    )
+
+
 def score_predictions(rows: DataFrame, tolerance: float = 0.10) -> DataFrame:
-    """``outcome`` of ``answer_type, predicted, gold, options, error``: error, open, abstain, correct or incorrect.
+    """``outcome, rel_acc`` of ``answer_type, predicted, gold, options, error``: error, open, abstain, correct or incorrect.
 
-    Choices are compared as letters or as option texts, labels without case, spaces and dashes.
+    Types are numerical, categorical, mcq, and textual or open, which aren't scored.
     """
     p, g = F.col("predicted"), F.col("gold")
-    letter = lambda t: F.when(F.upper(F.trim(t)).rlike("^[A-D]$"), F.ascii(F.upper(F.trim(t))) - 64)
-    place = lambda t: F.coalesce(letter(t), F.nullif(F.array_position(F.transform("options", normal_label), normal_label(t)), F.lit(0)))
-    x, y = F.regexp_replace(p, ",", "").try_cast("double"), F.regexp_replace(g, ",", "").try_cast("double")
-    near = F.when(F.abs(y) < 1e-9, F.abs(x - y) <= 1e-9).otherwise(F.abs(x - y) <= tolerance * F.abs(y))
-    right = F.when(F.col("answer_type") == "mcq", place(p) == place(g)).when(F.col("answer_type") == "numeric", near).otherwise(normal_label(p) == normal_label(g))
+    x, y = to_float(p), to_float(g)
+    tiny, gap = F.abs(y) < 1e-9, F.abs(x - y)
+    near = F.when(tiny, gap <= 1e-9).otherwise(gap / F.abs(y) <= tolerance)
+    right = F.when(F.col("answer_type") == "mcq", _choice(p, g)).when(F.col("answer_type") == "numerical", near).otherwise(normal_label(p) == normal_label(F.coalesce(g, F.lit(""))))
+    open_ = F.col("answer_type").isin("open", "textual")
     outcome = (
-        F.when(F.col("error").isNotNull(), "error").when(F.col("answer_type").isin("open", "textual"), "open").when(p.isNull(), "abstain")
-        .when(F.coalesce(right, F.lit(False)), "correct").otherwise("incorrect")
+        F.when(F.col("error").isNotNull(), "error").when(open_, "open").when(p.isNull(), "abstain").when(F.coalesce(right, F.lit(False)), "correct").otherwise("incorrect")
     )
-    return rows.withColumn("outcome", outcome)
+    accuracy = F.when(tiny, F.when(gap <= 1e-9, 1.0).otherwise(0.0)).when(gap.isNotNull(), F.greatest(1 - gap / F.abs(y), F.lit(0.0)))
+    scored = F.col("error").isNull() & (F.col("answer_type") == "numerical") & p.isNotNull()
+    return rows.withColumns({"outcome": outcome, "rel_acc": F.when(scored, accuracy), "eligible": ~open_})
 
 
 def score_summary(scored: DataFrame) -> DataFrame:
     n = lambda *names: F.count_if(F.col("outcome").isin(*names))
     return scored.agg(
-        F.count("*").alias("total"), F.count_if(F.col("outcome") != "open").alias("eligible"), n("correct").alias("correct"), n("incorrect").alias("incorrect"),
+        F.count("*").alias("total"), F.count_if("eligible").alias("eligible"), n("correct").alias("correct"), n("incorrect").alias("incorrect"),
         n("open").alias("open_excluded"), n("abstain").alias("abstained"), n("error").alias("errors"),
     )
 

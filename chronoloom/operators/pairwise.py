@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronoloom.functions.guards import correlation
+from chronoloom.functions.guards import correlation, slope
+from chronoloom.operators.trend import trend_direction
 
 
 def aligned(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -34,17 +35,23 @@ def lag_correlation(pair: DataFrame, max_lag: int, part: int | None = None) -> D
 
 
 def similarity_labels(pair: DataFrame) -> DataFrame:
-    """Level, range and spread of both sides compared, as high, medium or low."""
+    """Trend, level, range and variance of both sides compared, as high, medium or low, and which side varies more."""
+    x = F.col("pos").cast("double")
     s = pair.groupBy("pair_id").agg(
         F.avg("a").alias("ma"), F.avg("b").alias("mb"), F.stddev_pop("a").alias("sa"), F.stddev_pop("b").alias("sb"),
-        (F.max("a") - F.min("a")).alias("ra"), (F.max("b") - F.min("b")).alias("rb"),
+        (F.max("a") - F.min("a")).alias("ra"), (F.max("b") - F.min("b")).alias("rb"), slope(F.col("a"), x).alias("ta"), slope(F.col("b"), x).alias("tb"),
     )
-    grade = lambda x: F.when(x >= 0.8, "high").when(x >= 0.5, "medium").otherwise("low")
     like = lambda x, y: F.when(F.greatest(x, y) > 0, F.least(x, y) / F.greatest(x, y)).otherwise(1.0)
-    apart = F.abs(F.col("ma") - F.col("mb")) / F.when(F.greatest("ra", "rb") > 0, F.greatest("ra", "rb")).otherwise(1.0)
+    apart, bend = F.abs(F.col("ma") - F.col("mb")), F.abs(F.col("ta") - F.col("tb"))
+    alike = trend_direction(F.col("ta"), F.col("sa")) == trend_direction(F.col("tb"), F.col("sb"))
+    width, spread = like(F.col("ra"), F.col("rb")), like(F.col("sa"), F.col("sb"))
+    more = F.when(spread > 0.85, "same").when(F.col("sa") > F.col("sb"), "series_1").otherwise("series_2")
     return s.select(
-        "pair_id", grade(1 - apart).alias("level"), grade(like(F.col("ra"), F.col("rb"))).alias("range"), grade(like(F.col("sa"), F.col("sb"))).alias("variance")
-    )
+        "pair_id", F.when(alike & (bend < 0.1), "high").when(alike | (bend < 0.5), "medium").otherwise("low").alias("trend"),
+        F.when(apart < 0.1, "high").when(apart < 1.0, "medium").otherwise("low").alias("level"),
+        F.when(width > 0.8, "high").when(width > 0.5, "medium").otherwise("low").alias("range"),
+        F.when(spread > 0.85, "high").otherwise("low").alias("variance"), more.alias("higher_variance"), spread.alias("std_ratio"),
+    )
 
 
 def scaled_version(pair: DataFrame) -> DataFrame:
@@ -52,10 +59,31 @@ def scaled_version(pair: DataFrame) -> DataFrame:
     m = pair.groupBy("pair_id").agg(
         F.sum(F.col("a") * F.col("b")).alias("ab"), F.sum(F.col("a") * F.col("a")).alias("aa"), F.sum(F.col("b") * F.col("b")).alias("bb")
     )
-    s12 = F.when(F.col("aa") > 0, F.col("ab") / F.col("aa"))
-    error = F.when((F.col("aa") > 0) & (F.col("bb") > 0), F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("ab") * F.col("ab") / (F.col("aa") * F.col("bb")))))
-    out = m.select("pair_id", s12.alias("scale"), error.alias("error"))
-    return out.withColumn("scaled", F.coalesce((F.col("error") < 0.15) & (F.abs(F.col("scale") - 1) > 0.15), F.lit(False)))
+    ab, aa, bb = F.col("ab"), F.col("aa"), F.col("bb")
+    s12, s21 = ab / (bb + 1e-12), ab / (aa + 1e-12)
+    off = lambda own, other, s: F.round(F.sqrt(F.greatest(F.lit(0.0), own - 2 * s * ab + s * s * other)) / (F.sqrt(own) + 1e-12), 9)
+    both = m.select("pair_id", s12.alias("s12"), s21.alias("s21"), off(aa, bb, s12).alias("e12"), off(bb, aa, s21).alias("e21"))
+    found = F.coalesce((F.least("e12", "e21") < 0.15) & (F.abs(F.col("s12") - 1) > 0.15), F.lit(False))
+    first = F.col("e12") <= F.col("e21")
+    way = F.when(~found, "none").when(first, "series_1_scaled_from_series_2").otherwise("series_2_scaled_from_series_1")
+    return both.select(
+        "pair_id", F.least("e12", "e21").alias("error"), found.alias("scaled"), way.alias("direction"), F.when(found, F.when(first, F.col("s12")).otherwise(F.col("s21"))).alias("factor")
+    )
+
+
+def acf_similarity(pair: DataFrame, max_lag: int = 20) -> DataFrame:
+    """Correlation of both sides' autocorrelations at lags 1 .. ``max_lag``, with each side's peak, and its label."""
+    from chronoloom.operators.spectral import autocorrelation
+
+    def side(c: str) -> DataFrame:
+        acf = autocorrelation(pair.select(F.col("pair_id").alias("series_id"), "pos", F.col(c).alias("value")), max_lag, half=False)
+        return acf.select(F.col("series_id").alias("pair_id"), "lag", F.col("acf").alias(f"acf_{c}"))
+
+    both = side("a").join(side("b"), ["pair_id", "lag"])
+    peak = lambda c: F.max(F.struct(F.round(F.abs(f"acf_{c}"), 9).alias("size"), (-F.col("lag")).alias("lag")))
+    r = both.groupBy("pair_id").agg(correlation(F.col("acf_a"), F.col("acf_b")).alias("acf_corr"), peak("a").alias("pa"), peak("b").alias("pb"))
+    label = F.when(F.col("acf_corr") > 0.8, "high").when(F.col("acf_corr") > 0.5, "medium").otherwise("low")
+    return r.select("pair_id", "acf_corr", (-F.col("pa.lag")).alias("peak_lag_1"), (-F.col("pb.lag")).alias("peak_lag_2"), label.alias("autocorr_similarity"))
 
 
 def flipped_version(pair: DataFrame) -> DataFrame:

@@ -6,21 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronoloom.operators.stats import whole, detrended
+from chronoloom.operators.stats import by_pos, detrended, whole
 
 
-def autocorrelation(pts: DataFrame, max_lag: int = 50) -> DataFrame:
-    """Biased autocorrelation at lags 1 .. min(max_lag, n / 2 - 1); null for a constant series.
+def autocorrelation(pts: DataFrame, max_lag: int = 50, half: bool = True) -> DataFrame:
+    """Biased autocorrelation at lags 1 .. ``max_lag``, below n / 2 with ``half`` (else below n); null for a constant series.
 
-    Each point meets the ``max_lag`` points before it, so work is linear in a series' length.
+    All lags are windows over one partitioning by series and one aggregate of it: the points are shuffled once.
     """
-    centred = pts.select("series_id", "pos", (F.col("value") - F.avg("value").over(whole())).alias("v"), F.count("*").over(whole()).alias("n"))
-    total = centred.groupBy("series_id").agg(F.sum(F.col("v") * F.col("v")).alias("total"), F.max("n").alias("n"))
-    ahead = centred.select("series_id", "n", F.col("v").alias("a"), "pos", F.explode(F.expr(f"sequence(1, {max_lag})")).alias("lag"))
-    ahead = ahead.filter("lag <= n DIV 2 - 1").withColumn("pos", F.col("pos") + F.col("lag"))
-    products = ahead.join(centred.select("series_id", "pos", F.col("v").alias("b")), ["series_id", "pos"])
-    sums = products.groupBy("series_id", "lag").agg(F.sum(F.col("a") * F.col("b")).alias("s"))
-    return sums.join(total, "series_id").select("series_id", F.col("lag").cast("long").alias("lag"), F.when(F.col("total") > 0, F.col("s") / F.col("total")).alias("acf"), "n")
+    centred = pts.select("series_id", "pos", (F.col("value") - F.avg("value").over(whole())).alias("v"))
+    lags = range(1, max_lag + 1)
+    near = centred.select("series_id", "v", *[F.lag("v", k).over(by_pos()).alias(f"v{k}") for k in lags])
+    sums = near.groupBy("series_id").agg(
+        F.count("*").alias("n"), F.sum(F.col("v") * F.col("v")).alias("total"), F.array(*[F.sum(F.col("v") * F.col(f"v{k}")) for k in lags]).alias("sums")
+    )
+    long = sums.select("series_id", "n", "total", F.posexplode("sums").alias("at", "s")).withColumn("lag", (F.col("at") + 1).cast("long"))
+    long = long.filter("lag <= n DIV 2 - 1" if half else "lag <= n - 1")
+    return long.select("series_id", "lag", F.when(F.col("total") > 0, F.col("s") / F.col("total")).alias("acf"), "n")
 
 
 def first_peak(acf: DataFrame) -> DataFrame:
@@ -41,7 +43,7 @@ def ljung_box(pts: DataFrame, max_lag: int = 20) -> DataFrame:
 def spectrum(pts: DataFrame, detrend: bool = True) -> DataFrame:
     """Magnitude of the real discrete Fourier transform at bins 1 .. n / 2, as a join with bins.
 
-    Quadratic in a series' length, for short series; ``kernels.spectral`` has the fast form.
+    Quadratic in a series' length, for short series.
     """
     base = detrended(pts) if detrend else pts.select("series_id", "pos", (F.col("value") - F.avg("value").over(whole())).alias("value"))
     n = F.count("*").over(whole())
@@ -65,12 +67,22 @@ def dominant_period(pts: DataFrame, detrend: bool = True) -> DataFrame:
 
 
 def rolling_std(pts: DataFrame) -> DataFrame:
-    """Mean rolling deviation of the halves, with windows of clip(n / 10, 4, 200) points, and its trend."""
-    sized = pts.select("series_id", "pos", "value", F.count("*").over(whole()).alias("n"))
-    sized = sized.withColumn("w", F.greatest(F.lit(4), F.least(F.lit(200), F.floor(F.col("n") / 10))))
-    spread = sized.select("series_id", "n", "w", "value", F.explode(F.expr("sequence(pos, pos + w - 1)")).alias("pos"))
-    full = spread.groupBy("series_id", "pos").agg(F.stddev_pop("value").alias("std"), F.count("*").alias("c"), F.max("w").alias("w"), F.max("n").alias("n"))
-    full = full.filter("c = w AND pos < n").withColumn("place", F.col("pos") - F.col("w") + 1).withColumn("m", F.col("n") - F.col("w") + 1)
+    """Mean rolling deviation of the halves, with windows of clip(n / 10, 4, 200) points, and its trend.
+
+    From running sums of the centred values and their squares, each met with that of one window before.
+    """
+    sized = pts.select("series_id", "pos", (F.col("value") - F.avg("value").over(whole())).alias("v"), F.count("*").over(whole()).alias("n"))
+    so_far = by_pos().rowsBetween(W.unboundedPreceding, 0)
+    sums = sized.select(
+        "series_id", "pos", "n", F.greatest(F.lit(4), F.least(F.lit(200), F.floor(F.col("n") / 10))).alias("w"),
+        F.sum("v").over(so_far).alias("s"), F.sum(F.col("v") * F.col("v")).over(so_far).alias("q"),
+    )
+    before = sums.select("series_id", (F.col("pos") + F.col("w")).alias("pos"), F.col("s").alias("s0"), F.col("q").alias("q0"))
+    full = sums.filter("pos >= w - 1").join(before, ["series_id", "pos"], "left")
+    mean = (F.col("s") - F.coalesce("s0", F.lit(0.0))) / F.col("w")
+    square = (F.col("q") - F.coalesce("q0", F.lit(0.0))) / F.col("w")
+    std = F.sqrt(F.greatest(F.lit(0.0), square - mean * mean))
+    full = full.select("series_id", std.alias("std"), (F.col("pos") - F.col("w") + 1).alias("place"), (F.col("n") - F.col("w") + 1).alias("m"))
     half = lambda cond: F.avg(F.when(cond, F.col("std")))
     halves = full.groupBy("series_id").agg(half(F.expr("place < m DIV 2")).alias("first"), half(F.expr("place >= m DIV 2")).alias("second"))
     ratio = F.when(F.col("first") > 0, F.col("second") / F.col("first"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -10,25 +10,37 @@ from chronoloom.functions.guards import intercept, r_squared, slope
 from chronoloom.operators.stats import by_pos, whole, chunk_of
 
 
+def trend_direction(line: Column, std: Column) -> Column:
+    """flat below a ten-thousandth of the deviation a step, else increasing or decreasing."""
+    flat = F.abs(line) < F.when(std > 0, std * 1e-4).otherwise(1e-10)
+    return F.when(line.isNull() | flat, "flat").when(line > 0, "increasing").otherwise("decreasing")
+
+
 def trend_fit(pts: DataFrame) -> DataFrame:
-    """Linear, exponential and logarithmic fits; ties go to the earlier of these."""
+    """Linear, exponential (where all values are above 0) and logarithmic fits; ties go to the earlier of these."""
     x, y = F.col("pos").cast("double"), F.col("value")
     fits = pts.groupBy("series_id").agg(
         slope(y, x).alias("slope"), intercept(y, x).alias("intercept"), r_squared(y, x).alias("r2"), F.stddev_pop(y).alias("std"),
-        F.when(F.min(y) > 0, r_squared(F.ln(F.when(y > 0, y)), x)).otherwise(0.0).alias("exp_r2"), r_squared(y, F.ln(x + 1)).alias("log_r2"),
+        F.when(F.min(y) > 0, r_squared(F.ln(F.when(y > 0, y)), x)).alias("exp_r2"), r_squared(y, F.ln(x + 1)).alias("log_r2"),
     )
-    flat = F.abs("slope") < F.when(F.col("std") > 0, F.col("std") * 1e-4).otherwise(1e-10)
-    direction = F.when(F.col("slope").isNull() | flat, "flat").when(F.col("slope") > 0, "upward").otherwise("downward")
-    best = F.when((F.col("r2") >= F.col("exp_r2")) & (F.col("r2") >= F.col("log_r2")), "linear").when(F.col("exp_r2") >= F.col("log_r2"), "exponential")
-    return fits.select("series_id", "slope", "intercept", "r2", "exp_r2", "log_r2", direction.alias("direction"), best.otherwise("logarithmic").alias("best_fit"))
+    exp = F.coalesce("exp_r2", F.lit(-1.0))
+    best = F.when((F.col("r2") >= exp) & (F.col("r2") >= F.col("log_r2")), "linear").when(exp >= F.col("log_r2"), "exponential").otherwise("log")
+    direction = trend_direction(F.col("slope"), F.col("std"))
+    return fits.select("series_id", "slope", "intercept", "r2", "exp_r2", "log_r2", direction.alias("direction"), best.alias("best_fit"))
 
 
 def ols_summary(pts: DataFrame) -> DataFrame:
-    """A sentence with the slope of the finite points."""
+    """A sentence with the slope of the finite points, numbered again; null for series without any."""
     finite = pts.filter("value IS NOT NULL AND NOT isnan(value) AND abs(value) < double('infinity')")
-    s = finite.groupBy("series_id").agg(slope(F.col("value"), F.col("pos").cast("double")).alias("slope"))
-    word = F.when(F.abs("slope") < 1e-10, "flat").when(F.col("slope") > 0, "upward").otherwise("downward")
-    return s.select("series_id", F.format_string("The series has a slope of %.2f per step (%s).", "slope", word).alias("summary"))
+    numbered = finite.withColumn("pos", F.row_number().over(by_pos()) - 1)
+    s = numbered.groupBy("series_id").agg(slope(F.col("value"), F.col("pos").cast("double")).alias("slope"), F.count("*").alias("n"), F.stddev_pop("value").alias("std"))
+    word = F.when(F.col("slope") > 0, "upward").when(F.col("slope") < 0, "downward").otherwise("flat")
+    text = (
+        F.when(F.col("n") < 2, "Global OLS Slope = 0.00, indicating an undefined/flat trend (insufficient data).")
+        .when(F.col("std") == 0, "Global OLS Slope = 0.00, indicating a flat trend (zero variance).")
+        .otherwise(F.format_string("Global OLS Slope = %.2f, indicating a %s trend.", "slope", word))
+    )
+    return s.select("series_id", text.alias("summary"))
 
 
 def chunk_trend(pts: DataFrame, k: int = 4) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.operators import anomaly, branches, experiment, kernels, pairwise, spectral, stats, trend, verify
@@ -164,18 +164,24 @@ def subsample(spark, sf_dir):
     return stats.subsampled(series.user_values(spark, sf_dir), 16)
 
 
-@query(f"""WITH {_PTS}, f AS (
+_FIT = """f AS (
   SELECT series_id, regr_slope(value, pos) AS slope, regr_intercept(value, pos) AS intercept, regr_r2(value, pos) AS r2, stddev_pop(value) AS std,
-    CASE WHEN min(value) > 0 THEN regr_r2(ln(greatest(value, 1e-300)), pos) ELSE 0.0 END AS exp_r2, regr_r2(value, ln(pos + 1)) AS log_r2 FROM pts GROUP BY 1)
-SELECT series_id, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r2, 6) AS r2, round(exp_r2, 6) AS exp_r2, round(log_r2, 6) AS log_r2,
-  CASE WHEN abs(slope) < std * 1e-4 THEN 'flat' WHEN slope > 0 THEN 'upward' ELSE 'downward' END AS direction,
-  CASE WHEN r2 >= exp_r2 AND r2 >= log_r2 THEN 'linear' WHEN exp_r2 >= log_r2 THEN 'exponential' ELSE 'logarithmic' END AS best_fit FROM f""")
+    CASE WHEN min(value) > 0 THEN regr_r2(ln(greatest(value, 1e-300)), pos) END AS exp_r2, regr_r2(value, ln(pos + 1)) AS log_r2,
+    avg(value) AS mean, max(abs(value)) AS top, corr(value, pos) AS best_corr FROM pts GROUP BY 1),
+fit AS (SELECT *, CASE WHEN abs(slope) < CASE WHEN std > 0 THEN 1e-4 * std ELSE 1e-10 END THEN 'flat' WHEN slope > 0 THEN 'increasing' ELSE 'decreasing' END AS direction,
+  CASE WHEN r2 >= coalesce(exp_r2, -1) AND r2 >= log_r2 THEN 'linear' WHEN coalesce(exp_r2, -1) >= log_r2 THEN 'exponential' ELSE 'log' END AS best_fit FROM f)"""
+
+
+@query(f"""WITH {_PTS}, {_FIT} SELECT series_id, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r2, 6) AS r2, round(exp_r2, 6) AS exp_r2,
+  round(log_r2, 6) AS log_r2, direction, best_fit FROM fit""")
 def trend_fit(spark, sf_dir):
     return trend.trend_fit(series.user_values(spark, sf_dir))
 
 
-@query(f"""WITH {_PTS}, f AS (SELECT series_id, regr_slope(value, pos) AS s FROM pts GROUP BY 1)
-SELECT series_id, printf('The series has a slope of %.2f per step (%s).', s, CASE WHEN abs(s) < 1e-10 THEN 'flat' WHEN s > 0 THEN 'upward' ELSE 'downward' END) AS summary FROM f""")
+@query(f"""WITH {_PTS}, f AS (SELECT series_id, regr_slope(value, pos) AS s, count(*) AS n, stddev_pop(value) AS sd FROM pts GROUP BY 1)
+SELECT series_id, CASE WHEN n < 2 THEN 'Global OLS Slope = 0.00, indicating an undefined/flat trend (insufficient data).'
+  WHEN sd = 0 THEN 'Global OLS Slope = 0.00, indicating a flat trend (zero variance).'
+  ELSE printf('Global OLS Slope = %.2f, indicating a %s trend.', s, CASE WHEN s > 0 THEN 'upward' WHEN s < 0 THEN 'downward' ELSE 'flat' END) END AS summary FROM f""")
 def ols_summary(spark, sf_dir):
     return trend.ols_summary(series.user_values(spark, sf_dir))
 
@@ -269,10 +275,11 @@ f AS (SELECT series_id, a - 1.5 * (b - a) AS low, b + 1.5 * (b - a) AS high, CAS
 
 
 @query(f"""WITH {_PTS}, {_FENCES}
-SELECT series_id, round(low, 6) AS low, round(high, 6) AS high, CASE WHEN status = 'ok' THEN count(*) FILTER (value < low OR value > high) END AS outliers, status
+SELECT series_id, round(low, 6) AS low, round(high, 6) AS high, CASE WHEN status = 'ok' THEN count(*) FILTER (value < low OR value > high) END AS outliers, status,
+  CASE WHEN status = 'ok' THEN coalesce(string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) FILTER (value < low OR value > high), '') END AS positions
 FROM pts JOIN f USING (series_id) GROUP BY series_id, low, high, status""")
 def iqr_outliers(spark, sf_dir):
-    return anomaly.iqr_outliers(series.user_values(spark, sf_dir))
+    return anomaly.iqr_outliers(series.user_values(spark, sf_dir)).withColumn("positions", F.array_join("positions", ","))
 
 
 @query(f"""WITH {_PTS}, {_FENCES}, z AS (SELECT series_id, greatest(max(value) - avg(value), avg(value) - min(value)) / stddev_pop(value) AS z FROM pts GROUP BY 1),
@@ -290,17 +297,32 @@ def lag_corr(spark, sf_dir):
     return pairwise.lag_correlation(_pairs(spark, sf_dir), 12)
 
 
-@query(f"""WITH {_PAIR}, s AS (SELECT pair_id, avg(a) AS ma, avg(b) AS mb, stddev_pop(a) AS sa, stddev_pop(b) AS sb, max(a) - min(a) AS ra, max(b) - min(b) AS rb FROM pair GROUP BY 1),
-g AS (SELECT pair_id, 1 - abs(ma - mb) / greatest(ra, rb) AS l, least(ra, rb) / greatest(ra, rb) AS r, least(sa, sb) / greatest(sa, sb) AS v FROM s)
-SELECT pair_id, CASE WHEN l >= 0.8 THEN 'high' WHEN l >= 0.5 THEN 'medium' ELSE 'low' END AS level, CASE WHEN r >= 0.8 THEN 'high' WHEN r >= 0.5 THEN 'medium' ELSE 'low' END AS range,
-  CASE WHEN v >= 0.8 THEN 'high' WHEN v >= 0.5 THEN 'medium' ELSE 'low' END AS variance FROM g""")
+@query(f"""WITH {_PAIR}, s AS (SELECT pair_id, avg(a) AS ma, avg(b) AS mb, stddev_pop(a) AS sa, stddev_pop(b) AS sb, max(a) - min(a) AS ra, max(b) - min(b) AS rb,
+  regr_slope(a, pos) AS ta, regr_slope(b, pos) AS tb FROM pair GROUP BY 1),
+d AS (SELECT *, CASE WHEN abs(ta) < 1e-4 * sa THEN 0 ELSE sign(ta) END = CASE WHEN abs(tb) < 1e-4 * sb THEN 0 ELSE sign(tb) END AS alike, least(ra, rb) / greatest(ra, rb) AS r,
+  least(sa, sb) / greatest(sa, sb) AS v FROM s)
+SELECT pair_id, CASE WHEN alike AND abs(ta - tb) < 0.1 THEN 'high' WHEN alike OR abs(ta - tb) < 0.5 THEN 'medium' ELSE 'low' END AS trend,
+  CASE WHEN abs(ma - mb) < 0.1 THEN 'high' WHEN abs(ma - mb) < 1 THEN 'medium' ELSE 'low' END AS level, CASE WHEN r > 0.8 THEN 'high' WHEN r > 0.5 THEN 'medium' ELSE 'low' END AS range,
+  CASE WHEN v > 0.85 THEN 'high' ELSE 'low' END AS variance, CASE WHEN v > 0.85 THEN 'same' WHEN sa > sb THEN 'series_1' ELSE 'series_2' END AS higher_variance, round(v, 6) AS std_ratio FROM d""")
 def similarity_labels(spark, sf_dir):
     return pairwise.similarity_labels(_pairs(spark, sf_dir))
 
 
+@query(f"""WITH {_PAIR}, sides AS (SELECT pair_id, 1 AS side, pos, a - avg(a) OVER (PARTITION BY pair_id) AS v FROM pair UNION ALL SELECT pair_id, 2, pos, b - avg(b) OVER (PARTITION BY pair_id) FROM pair),
+lags AS (SELECT unnest(range(1, 21)) AS lag), total AS (SELECT pair_id, side, sum(v * v) AS t FROM sides GROUP BY ALL),
+acf AS (SELECT x.pair_id, x.side, lag, sum(x.v * y.v) / any_value(t) AS r FROM sides x CROSS JOIN lags JOIN sides y ON y.pair_id = x.pair_id AND y.side = x.side AND y.pos = x.pos + lag
+  JOIN total t ON t.pair_id = x.pair_id AND t.side = x.side GROUP BY x.pair_id, x.side, lag),
+sided AS (SELECT a.pair_id, a.lag, a.r AS ra, b.r AS rb FROM acf a JOIN acf b ON a.pair_id = b.pair_id AND a.lag = b.lag AND a.side = 1 AND b.side = 2)
+SELECT pair_id, round(corr(ra, rb), 6) AS acf_corr, arg_max(lag, round(abs(ra), 9) * 1000 - lag / 1e9) AS peak_lag_1, arg_max(lag, round(abs(rb), 9) * 1000 - lag / 1e9) AS peak_lag_2,
+  CASE WHEN corr(ra, rb) > 0.8 THEN 'high' WHEN corr(ra, rb) > 0.5 THEN 'medium' ELSE 'low' END AS autocorr_similarity FROM sided GROUP BY 1""")
+def acf_similarity(spark, sf_dir):
+    return pairwise.acf_similarity(_pairs(spark, sf_dir))
+
+
 @query(f"""WITH {_PAIR}, m AS (SELECT pair_id, sum(a * b) AS ab, sum(a * a) AS aa, sum(b * b) AS bb FROM pair GROUP BY 1),
-s AS (SELECT pair_id, ab / aa AS scale, sqrt(greatest(0, 1 - ab * ab / (aa * bb))) AS error FROM m)
-SELECT pair_id, round(scale, 6) AS scale, round(error, 6) AS error, error < 0.15 AND abs(scale - 1) > 0.15 AS scaled FROM s""")
+s AS (SELECT pair_id, ab / (bb + 1e-12) AS s12, ab / (aa + 1e-12) AS s21, round(sqrt(greatest(0, 1 - ab * ab / (aa * bb))), 9) AS error FROM m)
+SELECT pair_id, round(error, 6) AS error, error < 0.15 AND abs(s12 - 1) > 0.15 AS scaled,
+  CASE WHEN error < 0.15 AND abs(s12 - 1) > 0.15 THEN 'series_1_scaled_from_series_2' ELSE 'none' END AS direction, CASE WHEN error < 0.15 AND abs(s12 - 1) > 0.15 THEN round(s12, 6) END AS factor FROM s""")
 def scaled_version(spark, sf_dir):
     return pairwise.scaled_version(_pairs(spark, sf_dir))
 
@@ -355,37 +377,140 @@ def forecast_rank(spark, sf_dir):
     return verify.forecast_rank(series.to_arrays(series.user_values(spark, sf_dir)))
 
 
-@query(f"WITH {_PTS} SELECT series_id, CASE WHEN max(value) >= 60 THEN 'yes' ELSE 'no' END AS answer FROM pts GROUP BY 1")
-def event_threshold(spark, sf_dir):
-    return verify.event_head(series.to_arrays(series.user_values(spark, sf_dir)), 60)
+# Options of event questions, and how these ask; picked by a row's number.
+_EVENT_OPTIONS = ("Yes|No", "No|Yes", "It does not occur|It occurs", "True|False", "maybe|perhaps", "only one")
+_EVENT_ASKS = ("Does it go above 60?", "Is any value less than 1.5", "Does the series exceed 55.5 at least once?", "Is it <= -3?", "Is it rising?", "Are there values at least 2e1?")
 
 
-# Questions of four kinds, dealt to the series in turn.
-_QUESTIONS = (
-    "What is the standard deviation of the sequence?",
-    "What is the ratio of the range to the mean value of the sequence?",
-    "What is the maximum value minus the median?",
-    "Is there an increasing trend or a season in the sequence?",
-)
+def _pick_sql(values: tuple[str, ...], at: str) -> str:
+    return f"CASE {at} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
 
 
-def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    users = series.table(spark, sf_dir, "events").select(F.col("user_id").alias("series_id")).distinct()
-    text = F.element_at(F.array(*[F.lit(q) for q in _QUESTIONS]), (F.pmod("series_id", F.lit(4)) + 1).cast("int"))
-    return users.select(F.col("series_id").alias("question_id"), "series_id", text.alias("question"))
+def _any_sql(text: str, words: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
 
 
-@query("""SELECT DISTINCT user_id AS question_id, CASE user_id % 4 WHEN 1 THEN 'ratio' WHEN 2 THEN 'subtract' END AS op,
-  CASE user_id % 4 WHEN 0 THEN 'std' WHEN 1 THEN 'range' WHEN 2 THEN 'max' END AS left_q, CASE user_id % 4 WHEN 1 THEN 'mean' WHEN 2 THEN 'median' END AS right_q FROM events""")
+_EVENT_ROWS = f"""SELECT question_id, question_id AS series_id, {_pick_sql(_EVENT_ASKS, "question_id % 6")} AS question,
+  {_pick_sql(_EVENT_OPTIONS, "CAST(floor(question_id / 6) AS BIGINT) % 6")} AS texts FROM {{users}}"""
+
+
+@query(f"""WITH {_PTS}, users AS (SELECT DISTINCT user_id AS question_id FROM events), rows AS ({_EVENT_ROWS.format(users="users")}),
+ends AS (SELECT series_id, max(value) AS hi, min(value) AS lo FROM pts GROUP BY 1),
+t AS (SELECT r.*, hi, lo, string_split(texts, '|') AS o, CASE WHEN contains(texts, '|') THEN CAST(nullif(regexp_extract(question,
+  '(?i)(?:greater than|more than|above|exceeds?|>=|at least|less than|below|under|<=|at most)\\s*([-+]?\\d*\\.?\\d+(?:[eE][-+]?\\d+)?)', 1), '') AS DOUBLE) END AS threshold FROM rows r LEFT JOIN ends USING (series_id)),
+e AS (SELECT *, CASE WHEN {_any_sql("lower(question)", verify.LOW)} THEN lo <= threshold ELSE hi >= threshold END AS event FROM t),
+f AS (SELECT *, list_position(list_transform(o, lambda x: CASE WHEN event THEN {_any_sql("lower(x)", verify.POSITIVE)} ELSE {_any_sql("lower(x)", verify.NEGATIVE)} END), true) AS spot FROM e)
+SELECT question_id, CASE WHEN event IS NOT NULL AND spot > 0 THEN chr(CAST(64 + spot AS INTEGER)) END AS letter, event, threshold FROM f""")
+def event_threshold(spark, sf_dir):
+    users = series.table(spark, sf_dir, "events").select(F.col("user_id").alias("question_id")).distinct()
+    rows = users.selectExpr("question_id", "question_id AS series_id", f"{_pick_sql(_EVENT_ASKS, 'question_id % 6')} AS question", f"split({_pick_sql(_EVENT_OPTIONS, 'CAST(floor(question_id / 6) AS BIGINT) % 6')}, '[|]') AS options")
+    return verify.event_head(rows, series.user_values(spark, sf_dir))
+
+
+# Questions are made of operands, forms and preambles, picked by a row's number: every rung, synonym, bare noun and form occurs, and phrases that no parser knows.
+_OPERANDS = (
+    "the standard deviation", "the variance", "the median", "the mean value", "the average value", "the range", "the minimum value", "the maximum value",
+    "the skewness", "the kurtosis", "the slope", "the 90th percentile", "the 12.5 percentile", "how spread out it is", "the dispersion", "the typical value",
+    "the central tendency", "the middle value", "the smallest value", "the peak value", "the foo", "the index of the maximum", "the index of the minimum", "the number of local maxima",
+    "how many local minima there are", "the skew",
+)
+_FORMS = (
+    "What is {a} of the sequence?", "Tell me {a}", "What is the difference between {a} and {b}?", "the ratio of {a} to {b}", "Ratio between {a} and {b}",
+    "What is the sum of {a} and {b} of the sequence?", "the product of {a} and {b}", "{a} divided by {b}", "What is {a} minus {b}?", "{a} plus {b}, please",
+    "Where does the global maximum occur?", "Is there a season in it?",
+)
+_PREAMBLES = ("", "Time series 1 and time series 2 are shown. For Time Series 2: ", "Given time series 2, look at time series 1. ")
+
+
+def _question_sql(k: str, operands: tuple[str, ...]) -> str:
+    """The text of question number ``k``, in SQL that both engines read."""
+    pick = lambda values, at: f"CASE {at} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
+    n = len(operands)
+    a, b = pick(operands, f"(({k}) % {n})"), pick(operands, f"(({k}) * 7 + 3) % {n}")
+    form = f"replace(replace({pick(_FORMS, f'(CAST(floor(({k}) / {n}) AS BIGINT) + ({k})) % {len(_FORMS)}')}, '{{a}}', {a}), '{{b}}', {b})"
+    return f"concat({pick(_PREAMBLES, f'({k}) % 3')}, {form})"
+
+
+def _ladder_sql(q: str) -> str:
+    has = lambda words: " OR ".join(f"contains({q}, '{w}')" for w in words)
+    index = [
+        f"WHEN contains({q}, 'where does the global {end}') OR (contains({q}, 'index') AND contains({q}, '{end}') AND NOT contains({q}, 'how many')) THEN '{name}'"
+        for end, name in (("maximum", "argmax"), ("minimum", "argmin"))
+    ]
+    phrase = lambda table: [f"WHEN {has(words)} THEN '{name}'" for name, words in table]
+    return f"CASE {' '.join([*index, *phrase(numeric.COUNTS), f"WHEN regexp_matches({q}, '{numeric.PERCENTILE}') THEN 'percentile'", *phrase(numeric.SUMMARIES)])} END"
+
+
+def _parsed_sql(questions: str) -> str:
+    """Plan columns by the rules of the language, but for typing errors (the questions have none)."""
+    syn = "{q}"
+    for old, new in sorted(numeric.SYNONYMS, key=lambda x: -len(x[0])):
+        syn = f"replace({syn}, '{old}', '{new}')"
+    bare = "CASE " + " ".join(f"WHEN regexp_matches({{q}}, '\\b{noun}\\b') THEN '{name}'" for noun, name in numeric.BARE) + " END"
+    forms = [f"WHEN regexp_matches(q, '{p}') THEN {{}}" for _, p in numeric.PREFIX_FORMS] + [f"WHEN contains(q, '{t}') THEN {{}}" for _, t in numeric.INFIX_FORMS]
+    said = lambda results: "CASE " + " ".join(f.format(r) for f, r in zip(forms, results, strict=True)) + " END"
+    ops = [f"'{op}'" for op, _ in (*numeric.PREFIX_FORMS, *numeric.INFIX_FORMS)]
+    side = lambda i: [f"regexp_extract(q, '{p}', {i})" for _, p in numeric.PREFIX_FORMS]
+    left = side(1) + [f"substr(q, 1, strpos(q, '{t}') - 1)" for _, t in numeric.INFIX_FORMS]
+    right = side(2) + [f"substr(q, strpos(q, '{t}') + {len(t)})" for _, t in numeric.INFIX_FORMS]
+    match = lambda c: f"coalesce({_ladder_sql(c)}, {bare.format(q=c)})"
+    param = lambda c, name: f"CASE WHEN {name} = 'percentile' THEN CAST(regexp_extract({c}, '{numeric.PERCENTILE}', 1) AS DOUBLE) END"
+    return f"""questions AS ({questions}), lowered AS (SELECT *, lower(question) AS q, regexp_extract_all(lower(question), 'time series\\s*(\\d+)', 1)[-1] AS last FROM questions),
+formed AS (SELECT *, {said(ops)} AS form, {said(left)} AS l, {said(right)} AS r FROM lowered),
+spans AS (SELECT *, {syn.format(q="coalesce(l, q)")} AS sl, {syn.format(q="r")} AS sr FROM formed),
+named AS (SELECT *, {match("sl")} AS lq, CASE WHEN form IS NOT NULL THEN {match("sr")} END AS rq FROM spans),
+plans AS (SELECT * EXCLUDE (op, left_q, right_q), op, left_q, right_q, {param("sl", "left_q")} AS left_p, {param("sr", "right_q")} AS right_p,
+  CASE WHEN last = '2' THEN 'ts2' ELSE 'primary' END AS series FROM (
+    SELECT *, CASE WHEN lq IS NOT NULL AND rq IS NOT NULL THEN form END AS op, CASE WHEN form IS NULL OR (lq IS NOT NULL AND rq IS NOT NULL) THEN lq END AS left_q,
+      CASE WHEN lq IS NOT NULL THEN rq END AS right_q FROM named))"""
+
+
+_ASKED = f"SELECT conv_id, turn, {_question_sql('conv_id * 8 + turn', _OPERANDS)} AS question FROM conversations"
+
+
+@query(f"WITH {_parsed_sql(_ASKED)} SELECT conv_id, turn, question, op, left_q, left_p, right_q, right_p, series FROM plans")
 def plan_parse(spark, sf_dir):
-    return numeric.parse(_questions(spark, sf_dir)).select("question_id", "op", "left_q", "right_q")
+    asked = series.table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", f"{_question_sql('conv_id * 8 + turn', _OPERANDS)} AS question")
+    return numeric.parse(asked)
+
 
+@query(f"""WITH q AS ({_ASKED}), l AS (SELECT *, {_ladder_sql("lower(question)")} AS quantity FROM q)
+SELECT conv_id, turn, quantity, CASE WHEN quantity = 'percentile' THEN CAST(regexp_extract(lower(question), '{numeric.PERCENTILE}', 1) AS DOUBLE) END AS param FROM l""")
+def plan_parse_exact(spark, sf_dir):
+    """The exact arm."""
+    asked = series.table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", f"{_question_sql('conv_id * 8 + turn', _OPERANDS)} AS question")
+    return numeric.parse(asked, arm="A0").select("conv_id", "turn", F.col("left_q").alias("quantity"), F.col("left_p").alias("param"))
 
-@query("""WITH s AS (SELECT user_id AS u, stddev_pop(value) AS sd, (max(value) - min(value)) / avg(value) AS rm, max(value) - median(value) AS mm FROM events GROUP BY 1)
-SELECT u AS question_id, u AS series_id, round(CASE u % 4 WHEN 0 THEN sd WHEN 1 THEN rm WHEN 2 THEN mm END, 6) AS value,
-  CASE WHEN u % 4 = 3 THEN 'abstain: no quantity' ELSE 'closed_form' END AS note FROM s""")
+
+@query()
+def typo_parse(spark, sf_dir):
+    """Questions with two letters changed over: the parser's repairs (tested against a plain loop)."""
+    asked = series.table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", f"{_question_sql('conv_id * 8 + turn', _OPERANDS)} AS question")
+    swapped = F.regexp_replace("question", r"(?i)\b(\w{3})(\w)(\w)(\w*)", "$1$3$2$4")
+    return numeric.parse(asked.withColumn("question", swapped))
+
+
+_PAIRED = f"SELECT question_id, question_id AS series_id, question_id + 1 AS series_2_id, {_question_sql('question_id', _OPERANDS)} AS question FROM (SELECT DISTINCT user_id AS question_id FROM events)"
+
+
+@query(f"""WITH {_PTS}, {_parsed_sql(_PAIRED)}, near AS (SELECT *, lag(value) OVER s AS p, lead(value) OVER s AS f FROM pts WINDOW s AS (PARTITION BY series_id ORDER BY pos)),
+st AS (SELECT series_id, avg(value) AS mean, median(value) AS median, stddev_pop(value) AS std, var_pop(value) AS var, min(value) AS min, max(value) AS max, max(value) - min(value) AS range,
+  (sum(value*value*value)/count(*) - 3*avg(value)*sum(value*value)/count(*) + 2*avg(value)*avg(value)*avg(value)) / (var_pop(value)*stddev_pop(value)) AS skewness, kurtosis_pop(value) AS kurtosis,
+  regr_slope(value, pos) AS slope, CAST(arg_max(pos, value) AS DOUBLE) AS argmax, CAST(arg_min(pos, value) AS DOUBLE) AS argmin,
+  CAST(count(*) FILTER (value > p AND value > f) AS DOUBLE) AS count_local_max, CAST(count(*) FILTER (value < p AND value < f) AS DOUBLE) AS count_local_min,
+  quantile_cont(value, 0.9) AS p90, quantile_cont(value, 0.125) AS p125 FROM near GROUP BY series_id),
+every AS (UNPIVOT st ON COLUMNS(* EXCLUDE series_id) INTO NAME quantity VALUE value),
+chosen AS (SELECT p.*, CASE WHEN series = 'ts2' AND s.series_id IS NOT NULL THEN series_2_id ELSE p.series_id END AS of FROM plans p LEFT JOIN st s ON s.series_id = p.series_2_id),
+got AS (SELECT c.*, l.value AS a, r.value AS b FROM chosen c
+  LEFT JOIN every l ON l.series_id = of AND l.quantity = CASE WHEN left_q = 'percentile' THEN CASE left_p WHEN 90 THEN 'p90' ELSE 'p125' END ELSE left_q END
+  LEFT JOIN every r ON r.series_id = of AND r.quantity = CASE WHEN right_q = 'percentile' THEN CASE right_p WHEN 90 THEN 'p90' ELSE 'p125' END ELSE right_q END)
+SELECT question_id, round(CASE op WHEN 'subtract' THEN a - b WHEN 'add' THEN a + b WHEN 'product' THEN a * b WHEN 'ratio' THEN CASE WHEN b <> 0 THEN a / b END ELSE a END, 6) AS value,
+  CASE WHEN left_q IS NULL THEN 'abstain' WHEN op = 'ratio' AND b = 0 THEN 'composition:divzero' WHEN op IS NOT NULL THEN 'composition:' || op WHEN left_q = 'slope' THEN 'regression:ols'
+    WHEN left_q LIKE 'count_local%' THEN 'method_sensitive:strict_interior' ELSE 'closed_form' END AS note FROM got""")
 def plan_eval(spark, sf_dir):
-    return numeric.evaluate(numeric.parse(_questions(spark, sf_dir)), series.user_values(spark, sf_dir))
+    users = series.table(spark, sf_dir, "events").select(F.col("user_id").alias("question_id")).distinct()
+    asked = users.selectExpr("question_id", "question_id AS series_id", "question_id + 1 AS series_2_id", f"{_question_sql('question_id', _OPERANDS)} AS question")
+    return numeric.evaluate(numeric.parse(asked), series.user_values(spark, sf_dir))
 
 
 @query("""WITH s AS (SELECT user_id AS u, avg(value) AS gold, median(value) AS predicted FROM events GROUP BY 1)
@@ -491,25 +616,187 @@ def loso_cv(spark, sf_dir):
     return experiment.leave_one_subset_out(rows)
 
 
-@query("""SELECT DISTINCT user_id AS question_id, CASE WHEN user_id % 4 = 3 THEN 'periodicity,trend' ELSE '' END AS routes FROM events""")
+# Questions for routing and gates, with words of every branch; picked by a row's number.
+_ROUTE_ASKS = (
+    "Is there an upward drift?", "Which seasonal cycle repeats?", "Is there an outlier or a spike?", "White noise or stationary?", "Does x Granger-cause y, with what lag?",
+    "Do the shapes resemble each other?", "Describe it.", "Plot the waveform and its frequency", "Does the trend predict a jump, and is the series stationary or not?",
+    "Is this series stationary", "Compare the variance level, the slope and the period", "",
+)
+_BRANCH_OF = ("trend", "periodicity", "anomaly", "noise", "similarity", "causality", "TREND", "unknown")
+
+
+def _routes_sql(q: str, primary: str) -> str:
+    hits = ", ".join(f"CASE WHEN {_any_sql(f'lower({q})', words)} THEN '{branch}' END" for branch, words in verify.BRANCH_WORDS)
+    known = ", ".join(f"'{b}'" for b in verify.BRANCHES)
+    first = f"CASE WHEN lower({primary}) IN ({known}) THEN lower({primary}) END"
+    return f"array_to_string(list_filter([{first}, {hits}], lambda x, i: x IS NOT NULL AND list_position([{first}, {hits}], x) = i)[1:3], ',')"
+
+
+_ROUTED = f"SELECT conv_id, turn, {_pick_sql(_ROUTE_ASKS, '(conv_id + turn) % 12')} AS question, {_pick_sql(_BRANCH_OF, 'conv_id % 8')} AS primary_branch FROM conversations"
+
+
+@query(f"WITH r AS ({_ROUTED}) SELECT conv_id, turn, question, {_routes_sql('question', 'primary_branch')} AS routes FROM r")
 def keyword_route(spark, sf_dir):
-    return _questions(spark, sf_dir).select("question_id", F.array_join(verify.keyword_routes(F.col("question")), ",").alias("routes"))
+    rows = series.table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", f"{_pick_sql(_ROUTE_ASKS, '(conv_id + turn) % 12')} AS question", f"{_pick_sql(_BRANCH_OF, 'conv_id % 8')} AS primary_branch")
+    return rows.select("conv_id", "turn", "question", F.array_join(verify.keyword_routes(F.col("question"), F.col("primary_branch")), ",").alias("routes"))
+
+
+# A router's answers: plain, fenced, within prose, with values that don't exist, and broken ones.
+_ROUTER_SAYS = (
+    '{"branch": "B", "scope": "local", "series_type": "dual", "subtype": "direction"}', 'Sure: ```json\n{"branch": "B", "subtype": "waveform_type", "scope": "far"}\n``` ',
+    'I think {"branch": " B ", "expected_schema": "numerical", "series_type": "many"} fits', '{"branch": "B", "subtype": "Shape"', 'no idea', '{"scope": "local"}',
+)
+
+
+def _router_sql() -> str:
+    return f"replace({_pick_sql(_ROUTER_SAYS, '(conv_id * 5 + turn) % 6')}, 'B', {_pick_sql(_BRANCH_OF, 'conv_id % 8')})"
+
+
+def _parsed_route_sql() -> str:
+    said = lambda f: f"trim(lower(coalesce(json_extract_string(j, '$.{f}'), '')))"
+    allowed = " OR ".join(f"(branch = '{b}' AND subtype IN ({', '.join(repr(x) for x in known)}))" for b, known in verify.SUBTYPES.items())
+    known = ", ".join(f"'{b}'" for b in verify.BRANCHES)
+    return f"""SELECT conv_id, turn, CASE WHEN ok THEN branch END AS branch, CASE WHEN ok AND scope IN ('global', 'local') THEN scope ELSE 'global' END AS scope,
+  CASE WHEN ok AND series_type IN ('single', 'dual') THEN series_type ELSE 'single' END AS series_type, CASE WHEN ok AND ({allowed}) THEN subtype END AS subtype,
+  CASE WHEN ok AND expected_schema IN ('mcq', 'numerical', 'categorical') THEN expected_schema ELSE 'mcq' END AS expected_schema, ok AS parse_success
+FROM (SELECT conv_id, turn, {', '.join(f'{said(f)} AS {f}' for f in ('branch', 'scope', 'series_type', 'subtype', 'expected_schema'))},
+    coalesce({said('branch')} IN ({known}), false) AS ok
+  FROM (SELECT conv_id, turn, CASE WHEN json_valid(inside) THEN inside END AS j FROM (SELECT conv_id, turn, regexp_extract(raw, '(?s)\\{{.*\\}}') AS inside FROM
+    (SELECT conv_id, turn, {_router_sql()} AS raw FROM conversations))))"""
+
+
+@query(_parsed_route_sql())
+def route_parse(spark, sf_dir):
+    rows = series.table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", f"{_router_sql()} AS raw")
+    return rows.select("conv_id", "turn", verify.parse_routing(F.col("raw")).alias("r")).select("conv_id", "turn", "r.*")
+
+
+# Options and answers in all forms; picked by a row's number.
+_SHAPE_OPTIONS = ("1|2.5|3,000", "up|down", "[1, 2]|[3, 4]", "1 to 2|3-4", "only", "", "a series|b", "5-6|7")
+_SHAPE_ANSWERS = ("A", "3.5", "1,200", "rising", "", " UP ", "nan", "e")
+_SHAPE_KINDS = ("", "single choice", "numeric", "open text")
+
+
+def _shape_columns() -> list[str]:
+    reply = (" Confidence: HIGH", " confidence=0.75", " confidently", " confidence - 1.0")
+    return [
+        "conv_id", "turn", f"{_pick_sql(_SHAPE_OPTIONS, '(conv_id + 3 * turn) % 8')} AS texts", f"{_pick_sql(_SHAPE_ANSWERS, '(conv_id * 3 + turn) % 8')} AS answer",
+        f"{_pick_sql(_SHAPE_KINDS, 'CAST(floor(conv_id / 8) AS BIGINT) % 4')} AS kind", f"{_pick_sql(_ROUTE_ASKS, '(conv_id + turn) % 12')} AS question",
+        f"concat({_pick_sql(_SHAPE_ANSWERS, 'turn % 8')}, {_pick_sql(reply, 'conv_id % 4')}) AS reply",
+    ]
+
+
+@query(f"""WITH r AS (SELECT {", ".join(_shape_columns())} FROM conversations), o AS (SELECT *, CASE WHEN texts = '' THEN CAST([] AS VARCHAR[]) ELSE string_split(texts, '|') END AS options,
+  TRY_CAST(replace(trim(answer), ',', '') AS DOUBLE) IS NOT NULL AS number FROM r),
+t AS (SELECT *, CASE WHEN len(options) >= 2 THEN 'mcq' WHEN {_any_sql("lower(question)", verify.LABEL_QUESTIONS)} THEN 'categorical' ELSE 'numerical' END AS schema,
+  CASE WHEN len(options) >= 2 OR contains(kind, 'choice') THEN 'mcq' WHEN contains(kind, 'numeric') OR number THEN 'numerical' WHEN trim(answer) <> '' THEN 'categorical' ELSE 'open' END AS answer_type,
+  CASE WHEN texts = '' THEN 'none' WHEN regexp_matches(texts, '\\[|\\]|series') THEN 'trajectory' WHEN texts = '1|2.5|3,000' THEN 'scalar' WHEN texts = '1 to 2|3-4' THEN 'range' ELSE 'categorical_text' END AS option_type
+  FROM o)
+SELECT conv_id, turn, schema, answer_type, option_type, CASE schema WHEN 'mcq' THEN upper(trim(answer)) IN ('A', 'B', 'C', 'D') WHEN 'categorical' THEN trim(answer) <> ''
+    ELSE coalesce(isfinite(TRY_CAST(answer AS DOUBLE)), false) END AS complies,
+  nullif(lower(regexp_extract(reply, '(?i)\\bconfidence\\s*[:=-]\\s*(high|medium|low|0(?:\\.\\d+)?|1(?:\\.0+)?)\\b', 1)), '') AS confidence,
+  CASE WHEN list_position(list_transform(options, lambda x: trim(lower(x))), trim(lower(answer))) > 0 THEN chr(CAST(64 + list_position(list_transform(options, lambda x: trim(lower(x))), trim(lower(answer))) AS INTEGER)) END AS gold_letter
+FROM t""")
+def answer_shapes(spark, sf_dir):
+    rows = series.table(spark, sf_dir, "conversations").selectExpr(*_shape_columns())
+    options = F.when(F.col("texts") == "", F.array().cast("array<string>")).otherwise(F.split("texts", "[|]"))
+    rows = rows.withColumn("options", options).withColumn("schema", verify.expected_schema(F.col("options"), F.col("question")))
+    return rows.select(
+        "conv_id", "turn", "schema", verify.answer_type(F.col("options"), F.col("answer"), F.col("kind")).alias("answer_type"), verify.option_type(F.col("options")).alias("option_type"),
+        verify.complies(F.col("answer"), F.col("schema")).alias("complies"), verify.stated_confidence(F.col("reply")).alias("confidence"),
+        verify.gold_letter(F.col("options"), F.col("answer")).alias("gold_letter"),
+    )
 
 
-@query(f"""WITH {_PTS}, s AS (SELECT series_id, regr_r2(value, pos) AS r2, stddev_pop(value) AS sd, avg(value) AS m FROM pts GROUP BY 1),
-f AS (SELECT series_id, r2, CASE WHEN r2 < 0.65 THEN 1 ELSE 0 END + CASE WHEN sd > 1.5 * abs(m) THEN 1 ELSE 0 END AS k,
-  concat_ws(',', CASE WHEN r2 < 0.65 THEN 'low_r2' END, CASE WHEN sd > 1.5 * abs(m) THEN 'high_volatility' END) AS flags FROM s)
-SELECT series_id, flags, round(greatest(0, least(1, 1 - 0.15 * k - CASE WHEN r2 < 0.5 THEN 0.2 ELSE 0 END)), 6) AS confidence,
-  round(0.35 + 0.3 * (1 - least(1, k * 0.15)) + 0.2 * r2, 4) AS quality FROM f""")
+@query(f"""WITH {_PTS}, users AS (SELECT DISTINCT user_id AS question_id FROM events), w AS (SELECT question_id, 20 + (question_id % 5) * 8 AS a, 4 + question_id % 9 AS b FROM users),
+ends AS (SELECT series_id, count(*) AS n, arg_min(value, pos) AS f, arg_max(value, pos) AS l FROM pts GROUP BY 1),
+centred AS (SELECT series_id, pos, value - avg(value) OVER (PARTITION BY series_id) AS v, count(*) OVER (PARTITION BY series_id) AS n FROM pts),
+bins AS (SELECT series_id, n, unnest(range(1, n // 2 + 1)) AS bin, pos, v FROM centred),
+mags AS (SELECT series_id, n, bin, sqrt(pow(sum(v * cos(2 * pi() * ((bin * pos) % n) / n)), 2) + pow(sum(v * sin(2 * pi() * ((bin * pos) % n) / n)), 2)) AS m FROM bins GROUP BY ALL),
+per AS (SELECT series_id, any_value(n) AS n, round_even(any_value(n) / arg_max(bin, m), 0) AS p FROM mags GROUP BY 1),
+back AS (SELECT e.*, CASE WHEN p BETWEEN 2 AND e.n // 2 THEN (SELECT value FROM pts x WHERE x.series_id = e.series_id AND x.pos = e.n - CAST(p AS BIGINT)) END AS s FROM ends e JOIN per USING (series_id)),
+points AS (SELECT series_id, unnest([l, l + (l - f) / greatest(n - 1, 1), coalesce(s, l)]) AS x, unnest([0, -1, -2]) AS place FROM back),
+opts AS (SELECT question_id, unnest([0, 1, 2, 3]) AS i, unnest([a, a + b, a - b, a + 3 * b]) AS lo, unnest([a + b, a + 2 * b, a, a + 5 * b]) AS hi FROM w),
+sc AS (SELECT question_id, i, place, CASE WHEN x BETWEEN lo AND hi THEN 1.0 ELSE round(-abs(x - (lo + hi) / 2) / (hi - lo), 9) END AS score FROM opts JOIN points ON series_id = question_id),
+best AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, i, place DESC) = 1)
+SELECT question_id, chr(CAST(65 + i AS INTEGER)) AS letter, CASE place WHEN 0 THEN 'persistence' WHEN -1 THEN 'drift' ELSE 'seasonal_naive' END AS method FROM best""")
+def forecast_range(spark, sf_dir):
+    """Range options ranked against forecasts of each user's next value."""
+    users = series.table(spark, sf_dir, "events").select(F.col("user_id").alias("question_id")).distinct()
+    a, b = F.lit(20) + (F.col("question_id") % 5) * 8, F.lit(4) + F.col("question_id") % 9
+    said = lambda lo, hi: F.concat_ws(" to ", lo.cast("string"), hi.cast("string"))
+    rows = users.select("question_id", F.col("question_id").alias("series_id"), F.array(said(a, a + b), said(a + b, a + 2 * b), said(a - b, a), said(a + 3 * b, a + 5 * b)).alias("options"))
+    return verify.range_head(rows, series.user_values(spark, sf_dir))
+
+
+_FIRED = ("trend", "periodicity")
+
+
+def _evidence_sql() -> str:
+    """Evidence of each user's series, with a branch, subtype and question picked by its number."""
+    return f"""{_PTS}, {_FIT}, parts AS (SELECT series_id, pos * 4 // count(*) OVER (PARTITION BY series_id) AS part, value FROM pts),
+chunks AS (SELECT series_id, list(m ORDER BY part) AS means, max(CASE WHEN part = 3 THEN v END) / max(CASE WHEN part = 0 THEN v END) AS variance_ratio
+  FROM (SELECT series_id, part, avg(value) AS m, var_pop(value) AS v FROM parts GROUP BY 1, 2) GROUP BY 1),
+z AS (SELECT series_id, max(abs(value - mean) / std) AS max_deviation, count(*) FILTER (abs(value - mean) / std > 3) AS outlier_count FROM pts JOIN f USING (series_id) GROUP BY 1),
+ev AS (SELECT *, abs(best_corr) AS pval_12, 1 - abs(best_corr) AS pval_21, {_pick_sql(_BRANCH_OF, "series_id % 8")} AS branch, {_pick_sql(("waveform_type", "variance_level", "direction"), "series_id % 3")} AS subtype,
+  {_pick_sql(_ROUTE_ASKS, "series_id % 12")} AS question FROM fit JOIN chunks USING (series_id) JOIN z USING (series_id)),
+tested AS (SELECT *, list_filter([CASE WHEN branch = 'trend' AND r2 < 0.65 THEN 'low_r2' END, CASE WHEN branch = 'causality' AND direction = 'none' THEN 'granger_not_significant' END,
+  CASE WHEN abs(best_corr) < 0.2 THEN 'weak_correlation' END, CASE WHEN std / abs(mean) > 1.5 THEN 'high_volatility' END,
+  CASE WHEN branch IN ('periodicity', 'noise', 'similarity', 'causality') OR (branch = 'trend' AND slope IS NULL) OR branch = 'anomaly' THEN 'evidence_incomplete' END], lambda x: x IS NOT NULL) AS flags FROM ev)"""
+
+
+@query(f"""WITH {_evidence_sql()}, p AS (SELECT *, least(1, 0.12 * len(list_filter(flags, lambda x: x <> 'evidence_incomplete')) + CASE WHEN list_contains(flags, 'evidence_incomplete') THEN 0.3 ELSE 0 END) AS penalty,
+  CASE branch WHEN 'trend' THEN 1.0 WHEN 'periodicity' THEN 0.0 WHEN 'anomaly' THEN 2 / 3.0 WHEN 'noise' THEN 0.0 WHEN 'similarity' THEN 0.0 WHEN 'causality' THEN 4 / 5.0 ELSE 1.0 END AS complete,
+  CASE WHEN r2 >= 0.75 THEN 1.0 WHEN r2 >= 0.5 THEN 0.7 ELSE 0.4 END AS math FROM tested),
+q AS (SELECT *, greatest(0, least(1, 0.35 * complete + 0.3 * (1 - penalty) + 0.2 * math)) AS score FROM p)
+SELECT series_id, branch, array_to_string(flags, ',') AS flags, round(score, 4) AS quality, round(score, 9) >= 0.55 AS passed, round(complete, 6) AS completeness, round(penalty, 6) AS penalty, round(math, 6) AS math FROM q""")
 def verifier_flags(spark, sf_dir):
+    """Flags and quality of evidence on each user's series."""
+    e, fields = _evidence(spark, sf_dir)
+    judged = e.withColumn("q", verify.quality_gate(fields, F.col("flags"), F.col("branch"), F.lit(0.0)))
+    return judged.select("series_id", "branch", F.array_join("flags", ",").alias("flags"), F.col("q.score").alias("quality"), "q.passed", "q.completeness", "q.penalty", "q.math")
+
+
+@query(f"""WITH {_evidence_sql()}, r AS (SELECT *, list_sort(list_filter([r2, exp_r2, log_r2], lambda x: x IS NOT NULL), 'DESC') AS fits, lower(question) AS q FROM tested),
+s AS (SELECT *, len(flags) AS k, list_contains(flags, 'evidence_incomplete') AS incomplete, {_any_sql("q", verify.VISUAL_WORDS)} AS explicit,
+  [fits[1] < 0.65, fits[1] - fits[2] < 0.05, (pval_12 BETWEEN 0.04 AND 0.1) OR (pval_21 BETWEEN 0.04 AND 0.1), abs(best_corr) >= 0.3 AND greatest(pval_12, pval_21) >= 0.1,
+   variance_ratio >= 1.5 OR variance_ratio <= 0.67 OR (len(means) >= 3 AND CASE WHEN list_avg(means) = 0 THEN list_stddev_pop(means) > 0 ELSE abs(list_stddev_pop(means) / list_avg(means)) > 0.5 END),
+   {_any_sql("q", verify.ANOMALY_WORDS)} AND max_deviation < 2] AS t FROM r),
+c AS (SELECT *, greatest(0, least(1, 1 - 0.15 * k - CASE WHEN incomplete THEN 0.25 ELSE 0 END - CASE WHEN t[1] THEN 0.2 ELSE 0 END - CASE WHEN t[2] THEN 0.15 ELSE 0 END - CASE WHEN t[3] THEN 0.15 ELSE 0 END
+    - CASE WHEN t[4] THEN 0.15 ELSE 0 END - CASE WHEN t[5] THEN 0.15 ELSE 0 END - CASE WHEN t[6] THEN 0.1 ELSE 0 END)) AS score,
+  list_concat(list_sort(flags), list_filter([CASE WHEN t[1] THEN 'low_fit' END, CASE WHEN t[2] THEN 'fit_ambiguous' END, CASE WHEN t[3] THEN 'pval_marginal' END, CASE WHEN t[4] THEN 'corr_granger_conflict' END,
+    CASE WHEN t[5] THEN 'chunk_variance' END, CASE WHEN t[6] THEN 'weak_anomaly_signal' END], lambda x: x IS NOT NULL)) AS reasons,
+  k = 0 AND ((fits[1] >= 0.75 AND (fits[2] IS NULL OR fits[1] - fits[2] >= 0.1)) OR (abs(best_corr) >= 0.3 AND least(pval_12, pval_21) <= 0.01)) AS sure FROM s),
+g AS (SELECT *, CASE WHEN sure AND NOT explicit THEN false ELSE k >= 2 OR (incomplete AND branch = 'unknown') OR round(score, 9) <= 0.85 OR explicit END AS fires,
+  CASE WHEN subtype = 'waveform_type' THEN 'line_plot' WHEN {_any_sql("q", verify.SPECTROGRAM_WORDS)} OR list_has_any(reasons, {list(verify.SPECTROGRAM_REASONS)}) THEN 'spectrogram'
+    WHEN {_any_sql("q", verify.SHAPE_WORDS)} OR list_has_any(reasons, {list(verify.LINE_REASONS)}) THEN 'line_plot' WHEN branch IN ('periodicity', 'noise', 'causality') THEN 'spectrogram' ELSE 'line_plot' END AS kind FROM c)
+SELECT series_id, fires AS triggered, CASE WHEN fires THEN kind END AS viz_type, round(score, 6) AS confidence, array_to_string(reasons, ',') AS reasons,
+  fires AND branch NOT IN ('anomaly', 'noise', 'similarity', 'causality') AS learned, CASE WHEN branch IN ('anomaly', 'noise', 'similarity', 'causality') THEN 'suppress' WHEN fires THEN 'keep' ELSE 'keep_skip' END AS policy_decision FROM g""")
+def visual_gate(spark, sf_dir):
+    """The additive gate and the learned one over the same evidence."""
+    e, fields = _evidence(spark, sf_dir)
+    gated = e.withColumn("g", verify.visual_gate(fields, F.col("flags"), F.col("branch"), F.col("subtype"), F.col("question"), [F.col("means")]))
+    gated = gated.withColumn("l", verify.learned_gate(F.col("g"), F.col("branch"), [b for b in verify.BRANCHES if b not in _FIRED]))
+    return gated.select("series_id", "g.triggered", "g.viz_type", "g.confidence", F.array_join("g.reasons", ",").alias("reasons"), F.col("l.triggered").alias("learned"), "l.policy_decision")
+
+
+def _evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, Column]]:
     pts = series.user_values(spark, sf_dir)
-    e = trend.trend_fit(pts).select("series_id", "r2").join(stats.basic_stats(pts).select("series_id", "std", "mean"), "series_id")
-    flags = verify.verifier_flags({c: F.col(c) for c in ("r2", "std", "mean")})
-    e = e.withColumn("flags", flags)
-    return e.select(
-        "series_id", F.array_join("flags", ",").alias("flags"), verify.additive_gate(F.col("flags"), F.col("r2")).alias("confidence"),
-        verify.quality_score(F.lit(1.0), F.col("flags"), F.col("r2"), F.lit(0.0)).alias("quality"),
-    )
+    n = F.count("*").over(stats.whole())
+    parts = pts.withColumn("part", F.floor(F.col("pos") * 4 / n)).groupBy("series_id", "part").agg(F.avg("value").alias("m"), F.var_pop("value").alias("v"))
+    part = lambda k: F.max(F.when(F.col("part") == k, F.col("v")))
+    chunks = parts.groupBy("series_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "m"))), lambda c: c["m"]).alias("means"), (part(3) / part(0)).alias("variance_ratio"))
+    sums = pts.groupBy("series_id").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.max("value").alias("hi"), F.min("value").alias("lo"), F.corr("value", "pos").alias("best_corr"))
+    e = trend.trend_fit(pts).join(chunks, "series_id").join(sums, "series_id")
+    e = e.withColumn("max_deviation", F.greatest(F.col("hi") - F.col("mean"), F.col("mean") - F.col("lo")) / F.col("std"))
+    e = e.withColumns({"pval_12": F.abs("best_corr"), "pval_21": 1 - F.abs("best_corr"), "outlier_count": F.lit(0)})
+    e = e.selectExpr(
+        "*", f"{_pick_sql(_BRANCH_OF, 'series_id % 8')} AS branch", f"{_pick_sql(('waveform_type', 'variance_level', 'direction'), 'series_id % 3')} AS subtype", f"{_pick_sql(_ROUTE_ASKS, 'series_id % 12')} AS question"
+    )
+    names = ("slope", "direction", "r2", "exp_r2", "log_r2", "mean", "std", "best_corr", "pval_12", "pval_21", "variance_ratio", "max_deviation", "outlier_count")
+    fields = {c: F.col(c) for c in names}
+    fields["best_lag"] = F.lit(None)
+    return e.withColumn("flags", verify.row_flags(fields, F.col("branch"))), fields
 
 
 @query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
@@ -537,19 +824,50 @@ def input_shuffle(spark, sf_dir):
     return series.to_points(mixed)
 
 
-@query("""WITH r AS (SELECT d.lang AS gold, CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN upper(lang) WHEN doc_id % 3 = 1 THEN 'en' ELSE lang END AS predicted,
-  CASE WHEN doc_id % 13 = 0 THEN 'timeout' END AS error FROM documents d),
-o AS (SELECT CASE WHEN error IS NOT NULL THEN 'error' WHEN predicted IS NULL THEN 'abstain' WHEN lower(predicted) = lower(gold) THEN 'correct' ELSE 'incorrect' END AS outcome FROM r)
-SELECT count(*) AS total, count(*) AS eligible, count(*) FILTER (outcome = 'correct') AS correct, count(*) FILTER (outcome = 'incorrect') AS incorrect, CAST(0 AS BIGINT) AS open_excluded,
-  count(*) FILTER (outcome = 'abstain') AS abstained, count(*) FILTER (outcome = 'error') AS errors FROM o""")
+# Answers of every type: letters, option texts, numbers in words, labels with dashes, errors and abstentions.
+_SCORE_TYPES = ("mcq", "numerical", "categorical", "open", "textual")
+_SCORE_PREDICTED = ("A", "second option", "11", "about 9.7 units", "Trend Up", "b", "1,000", "z", "nothing", "-3e1")
+_SCORE_GOLD = ("B", "10", "trend-up", "second option", "1000", "first option", "-30.5", "0")
+
+
+def _score_columns() -> list[str]:
+    return [
+        "doc_id", f"{_pick_sql(_SCORE_TYPES, 'doc_id % 5')} AS answer_type", f"CASE WHEN doc_id % 11 = 0 THEN NULL ELSE {_pick_sql(_SCORE_PREDICTED, 'CAST(floor(doc_id / 5) AS BIGINT) % 10')} END AS predicted",
+        f"{_pick_sql(_SCORE_GOLD, 'CAST(floor(doc_id / 3) AS BIGINT) % 8')} AS gold", "CASE WHEN doc_id % 13 = 0 THEN 'timeout' END AS error",
+    ]
+
+
+def _number_sql(t: str) -> str:
+    first = f"regexp_extract(replace(trim({t}), ',', ''), '([-+]?\\d*\\.?\\d+(?:[eE][-+]?\\d+)?)', 1)"
+    return f"coalesce(TRY_CAST(replace(trim({t}), ',', '') AS DOUBLE), TRY_CAST(nullif({first}, '') AS DOUBLE))"
+
+
+_SCORED = f"""r AS (SELECT {", ".join(_score_columns())} FROM documents),
+n AS (SELECT *, {_number_sql("predicted")} AS x, {_number_sql("gold")} AS y, ['First Option', 'Second-Option', 'third'] AS options, regexp_replace(lower(trim(predicted)), '[\\s_-]', '', 'g') AS pl,
+  regexp_replace(lower(trim(gold)), '[\\s_-]', '', 'g') AS gl, CASE WHEN regexp_full_match(predicted, '[A-Za-z]') THEN ascii(upper(predicted)) - 64 END AS pi, CASE WHEN regexp_full_match(gold, '[A-Za-z]') THEN ascii(upper(gold)) - 64 END AS gi FROM r),
+m AS (SELECT *, CASE answer_type WHEN 'mcq' THEN CASE WHEN pi IS NOT NULL AND gi IS NOT NULL THEN pi = gi
+      WHEN pi IS NOT NULL THEN pi <= 3 AND ['firstoption', 'secondoption', 'third'][pi] = gl WHEN gi <= 3 THEN pl = ['firstoption', 'secondoption', 'third'][gi] ELSE pl = gl END
+    WHEN 'numerical' THEN CASE WHEN abs(y) < 1e-9 THEN abs(x - y) <= 1e-9 ELSE abs(x - y) / abs(y) <= 0.1 END ELSE pl = gl END AS good FROM n),
+o AS (SELECT *, CASE WHEN error IS NOT NULL THEN 'error' WHEN answer_type IN ('open', 'textual') THEN 'open' WHEN predicted IS NULL THEN 'abstain' WHEN good THEN 'correct' ELSE 'incorrect' END AS outcome,
+  CASE WHEN error IS NULL AND answer_type = 'numerical' AND predicted IS NOT NULL THEN CASE WHEN abs(y) < 1e-9 THEN CASE WHEN abs(x - y) <= 1e-9 THEN 1.0 ELSE 0.0 END
+    WHEN x IS NOT NULL AND y IS NOT NULL THEN greatest(1 - abs(x - y) / abs(y), 0) END END AS rel_acc FROM m)"""
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = series.table(spark, sf_dir, "documents").selectExpr(*_score_columns())
+    return experiment.score_predictions(rows.withColumn("options", F.array(F.lit("First Option"), F.lit("Second-Option"), F.lit("third"))))
+
+
+@query(f"WITH {_SCORED} SELECT doc_id, answer_type, predicted, gold, outcome, round(rel_acc, 6) AS rel_acc FROM o")
+def score_rows(spark, sf_dir):
+    """Typed scoring, row by row."""
+    return _scored(spark, sf_dir).select("doc_id", "answer_type", "predicted", "gold", "outcome", "rel_acc")
+
+
+@query(f"""WITH {_SCORED} SELECT count(*) AS total, count(*) FILTER (answer_type NOT IN ('open', 'textual')) AS eligible, count(*) FILTER (outcome = 'correct') AS correct, count(*) FILTER (outcome = 'incorrect') AS incorrect,
+  count(*) FILTER (outcome = 'open') AS open_excluded, count(*) FILTER (outcome = 'abstain') AS abstained, count(*) FILTER (outcome = 'error') AS errors FROM o""")
 def score_summary(spark, sf_dir):
-    d = series.table(spark, sf_dir, "documents")
-    predicted = F.expr("CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN upper(lang) WHEN doc_id % 3 = 1 THEN 'en' ELSE lang END")
-    rows = d.select(
-        F.lit("categorical").alias("answer_type"), F.col("lang").alias("gold"), predicted.alias("predicted"), F.array("lang").alias("options"),
-        F.expr("CASE WHEN doc_id % 13 = 0 THEN 'timeout' END").alias("error"),
-    )
-    return experiment.score_summary(experiment.score_predictions(rows))
+    return experiment.score_summary(_scored(spark, sf_dir))
 
 
 _LOOKS = "looks AS (SELECT lang, correct AS m, correct_t AS v, CASE WHEN doc_id % 2 = 0 THEN correct ELSE correct_t END AS f FROM arms)"

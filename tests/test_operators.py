@@ -15,7 +15,10 @@ from chronoloom.sources.series import to_arrays, to_points
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: A sample of the registered queries; the driver compares all of them.
-COMPARED = ["basic_stats", "moving_average", "trend_fit", "autocorr", "lag_corr", "jigsaw_ref", "plan_eval", "paired_stats", "holm", "hash_bootstrap", "loso_cv"]
+COMPARED = [
+    "basic_stats", "moving_average", "trend_fit", "autocorr", "rolling_std", "lag_corr", "acf_similarity", "jigsaw_ref", "plan_parse", "plan_eval", "route_parse", "answer_shapes", "visual_gate",
+    "verifier_flags", "event_threshold", "forecast_range", "score_rows", "paired_stats", "holm", "hash_bootstrap", "loso_cv",
+]
 
 
 @pytest.fixture(scope="module")
@@ -76,12 +79,66 @@ def test_pairs(spark):
 
 
 def test_plan_language(spark):
-    asked = ["What is the standard deviation?", "ratio of the range to the mean value", "what is the mean?", "maximum value minus the minimum value of time series 2"]
-    q = spark.createDataFrame(list(enumerate(asked)), "question_id long, question string")
-    got = [(r["op"], r["left_q"], r["right_q"], r["series_2"]) for r in numeric.parse(q).orderBy("question_id").collect()]
-    assert got == [(None, "std", None, False), ("ratio", "range", "mean", False), (None, None, None, False), ("subtract", "max", "min", True)]
+    questions = [
+        "difference between the minimum value and the maximum value", "ratio of the range to the foo", "what is the mean of the series?", "90th percentile", "varaince",
+        "typical value", "what is the mean?", "how many local maximum points", "Where does the global maximum occur?", "period length", "the skew of time series 1 and time series 2",
+        "standrad deviatoin divided by the medain", "", None,
+    ]
+    table = spark.createDataFrame(list(enumerate(questions)), "question_id int, question string")
+    got = [tuple(r)[2:] for r in numeric.parse(table).orderBy("question_id").collect()]
+    none = (None, None, None, None, None, "primary")
+    one = lambda q, p=None, s="primary": (None, q, p, None, None, s)
+    assert got == [
+        ("subtract", "min", None, "max", None, "primary"), none, one("mean"), one("percentile", 90.0), one("var"), one("mean"), none, one("count_local_max"), one("argmax"),
+        one("period"), one("skewness", None, "ts2"), ("ratio", "std", None, "median", None, "primary"), none, none,
+    ]
+    exact = [r["left_q"] for r in numeric.parse(table, arm="A0").orderBy("question_id").collect()]
+    assert exact[3] == "percentile" and exact[4] is None and exact[5] is None
     with pytest.raises(ValueError):
-        numeric.validate("power", ["mean", "std"])
+        numeric.parse(table, arm="A9")
+
+
+def test_typo_query_against_plain_loop(spark, sf_dir):
+    """The query's plans, by the language's rules in plain Python."""
+    import re
+
+    from chronoloom import queries
+
+    def ladder(q):
+        for end, name in (("maximum", "argmax"), ("minimum", "argmin")):
+            if f"where does the global {end}" in q or ("index" in q and end in q and "how many" not in q):
+                return name
+        for words, name in [(w, n) for n, w in numeric.COUNTS]:
+            if any(x in q for x in words):
+                return name
+        if re.search(numeric.PERCENTILE, q):
+            return "percentile"
+        return next((n for n, words in numeric.SUMMARIES if any(x in q for x in words)), None)
+
+    def named(q):
+        for old, new in sorted(numeric.SYNONYMS, key=lambda x: -len(x[0])):
+            q = q.replace(old, new)
+        return ladder(q) or ladder(numeric.corrected(q)) or next((n for noun, n in numeric.BARE if re.search(rf"\b{noun}\b", q)), None)
+
+    rows = queries.queries()["typo_parse"](spark, sf_dir).collect()
+    assert any(r["op"] for r in rows) and any(r["left_q"] is None for r in rows)
+    for r in rows:
+        q = r["question"].lower()
+        found = next(((op, *re.search(p, q).groups()) for op, p in numeric.PREFIX_FORMS if re.search(p, q)), None)
+        found = found or next(((op, *q.split(t, 1)) for op, t in numeric.INFIX_FORMS if t in q), None)
+        want = (None, named(q), None)
+        if found:
+            want = (found[0], named(found[1]), named(found[2]))
+            want = want if want[1] and want[2] else (None, None, None)
+        assert (r["op"], r["left_q"], r["right_q"]) == want, q
+
+
+def test_plans_from_outside(spark):
+    assert numeric.validate_plan({"op": "ratio", "args": [{"quantity": "std"}, {"op": "add", "args": [{"quantity": "min"}, {"quantity": "slope"}]}]})
+    assert not numeric.validate_plan({"op": "power", "args": [{"quantity": "std"}, {"quantity": "mean"}]}) and not numeric.validate_plan({"quantity": "skewness"}) and not numeric.validate_plan([])
+    said = ['{"quantity": "std", "series": "ts2"}', '{"op": "ratio", "args": [{"quantity": "max"}, {"quantity": "percentile", "param": 90}]}', '{"op": "ratio", "args": [{"quantity": "max"}]}', "none", None]
+    got = [r["p"] for r in spark.createDataFrame([(s,) for s in said], "s string").select(numeric.planned(F.col("s")).alias("p")).collect()]
+    assert got[0]["left_q"] == "std" and got[0]["series"] == "ts2" and tuple(got[1])[:5] == ("ratio", "max", None, "percentile", 90.0) and got[2:] == [None] * 3
 
 
 def test_answers(spark):
