@@ -55,6 +55,13 @@ def spectrum(pts: DataFrame, detrend: bool = True) -> DataFrame:
     return sums.select("series_id", F.col("bin").cast("long").alias("bin"), "n", F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("magnitude"))
 
 
+def strongest_bins(pts: DataFrame, k: int = 3, detrend: bool = True) -> DataFrame:
+    """The ``k`` strongest bins of each spectrum with frequency and period; of equals the lower bin."""
+    rank = F.row_number().over(W.partitionBy("series_id").orderBy(F.desc(F.round("magnitude", 9)), "bin"))
+    top = spectrum(pts, detrend).withColumn("place", rank).filter(F.col("place") <= k)
+    return top.select("series_id", "place", "bin", (F.col("bin") / F.col("n")).alias("frequency"), (F.col("n") / F.col("bin")).alias("period"), "magnitude")
+
+
 def dominant_period(pts: DataFrame, detrend: bool = True) -> DataFrame:
     """n / k of the strongest bin, and the entropy of the spectrum (1 if there is none)."""
     s = spectrum(pts, detrend)

@@ -147,3 +147,21 @@ def subsampled(pts: DataFrame, m: int) -> DataFrame:
     wanted = n.select("series_id", "n", F.explode(F.expr(f"sequence(0, CAST(least(n, {m}) - 1 AS INT))")).alias("i"))
     at = F.when(F.col("n") <= m, F.col("i")).otherwise(F.bround(F.col("i") * (F.col("n") - 1) / F.lit(m - 1)))
     return wanted.select("series_id", F.col("i").cast("long").alias("i"), at.cast("long").alias("pos")).join(pts, ["series_id", "pos"])
+
+
+def peak_flanks(pts: DataFrame) -> DataFrame:
+    """Per strict peak the nearest troughs before and after (as-of both ways): ``series_id, pos, rise, fall``; peaks without both are left out."""
+    a, b = F.lag("value").over(by_pos()), F.lead("value").over(by_pos())
+    near = cleaned(pts).select("series_id", "pos", F.expr("value").alias("v"), a.alias("a"), b.alias("b"))
+    trough = F.when(F.expr("v < a AND v < b"), F.col("pos"))
+    before = F.last(trough, ignorenulls=True).over(by_pos().rowsBetween(W.unboundedPreceding, -1))
+    after = F.first(trough, ignorenulls=True).over(by_pos().rowsBetween(1, W.unboundedFollowing))
+    met = near.withColumns({"before": before, "after": after}).filter("v > a AND v > b AND before IS NOT NULL AND after IS NOT NULL")
+    return met.select("series_id", "pos", (F.col("pos") - F.col("before")).alias("rise"), (F.col("after") - F.col("pos")).alias("fall"))
+
+
+def rise_fall_ratio(pts: DataFrame) -> DataFrame:
+    """Mean rise over mean fall of the peaks, with a hint; 1 where there are no peaks between troughs."""
+    flanks = peak_flanks(pts).groupBy("series_id").agg((F.avg("rise") / F.avg("fall")).alias("ratio"), F.count("*").alias("peaks"))
+    every = pts.select("series_id").distinct().join(flanks, "series_id", "left")
+    return every.select("series_id", F.coalesce("ratio", F.lit(1.0)).alias("ratio"), F.coalesce("peaks", F.lit(0)).alias("peaks"))

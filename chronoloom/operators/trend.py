@@ -29,6 +29,16 @@ def trend_fit(pts: DataFrame) -> DataFrame:
     return fits.select("series_id", "slope", "intercept", "r2", "exp_r2", "log_r2", direction.alias("direction"), best.alias("best_fit"))
 
 
+def linear_trend(pts: DataFrame) -> DataFrame:
+    """Least squares over the points that aren't NaN, which keep their places; series with fewer than 2 have a status only."""
+    present = F.when(~F.isnan("value"), F.col("value"))
+    x = F.when(present.isNotNull(), F.col("pos").cast("double"))
+    fit = pts.groupBy("series_id").agg(slope(present, x).alias("slope"), intercept(present, x).alias("intercept"), r_squared(present, x).alias("r_squared"), F.count(present).alias("n"))
+    good = F.col("n") >= 2
+    word = F.when(F.abs("slope") < 1e-10, "stationary").when(F.col("slope") > 0, "upward").otherwise("downward")
+    return fit.select("series_id", *[F.when(good, F.col(c)).alias(c) for c in ("slope", "intercept", "r_squared")], F.when(good, word).alias("direction"), F.when(good, "ok").otherwise("too few values").alias("status"))
+
+
 def ols_summary(pts: DataFrame) -> DataFrame:
     """A sentence with the slope of the finite points, numbered again; null for series without any."""
     finite = pts.filter("value IS NOT NULL AND NOT isnan(value) AND abs(value) < double('infinity')")

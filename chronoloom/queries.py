@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.operators import anomaly, branches, experiment, kernels, pairwise, spectral, stats, trend, verify
+from chronoloom.operators import anomaly, branches, experiment, kernels, pairwise, reports, spectral, stats, trend, verify
 from chronoloom.plans import numeric
 from chronoloom.sources import ingest, series
 
@@ -896,6 +896,212 @@ def spend_report(spark, sf_dir):
     return experiment.spend(calls, prices)
 
 
+# A run's result table on the documents' labels; further columns are picked by a row's number.
+_RUN_COLUMNS = [
+    "doc_id", "source AS subset", "lang AS category", "quality AS correct", "1 - toxic AS correct_t", "CASE WHEN quality + toxic > 0 THEN 1 ELSE 0 END AS correct_p",
+    f"CASE WHEN doc_id % 17 = 0 THEN NULL ELSE {_pick_sql(_BRANCH_OF[:6], 'doc_id % 6')} END AS branch", f"CASE WHEN doc_id % 13 = 0 THEN NULL ELSE {_pick_sql(_BRANCH_OF[:6], '(doc_id + CAST(floor(doc_id / 9) AS BIGINT) % 2) % 6')} END AS branch_t",
+    f"{_pick_sql(('direction', 'shape', 'lag_value'), 'doc_id % 3')} AS subtype", f"{_pick_sql(verify.SCHEMAS, 'CAST(floor(doc_id / 2) AS BIGINT) % 3')} AS schema",
+    f"{_pick_sql(('numerical value', 'single choice', 'open', 'Binary Choice'), 'doc_id % 4')} AS qa_type", f"CASE WHEN doc_id % 7 = 6 THEN NULL ELSE {_pick_sql(('a', 'B ', 'C', 'D', 'nan', 'E'), 'doc_id % 6')} END AS gold",
+    f"CASE WHEN doc_id % 5 = 4 THEN NULL ELSE {_pick_sql(('A', 'b', 'C', 'D'), 'CAST(floor(doc_id / 3) AS BIGINT) % 4')} END AS pred", f"{_pick_sql(('A', 'B', ' c', 'none'), 'CAST(floor(doc_id / 4) AS BIGINT) % 4')} AS look_s",
+    f"{_pick_sql(('D', 'B', 'C', 'A'), 'CAST(floor(doc_id / 5) AS BIGINT) % 4')} AS look_p", f"{_pick_sql(('A', 'C', 'D'), 'CAST(floor(doc_id / 6) AS BIGINT) % 3')} AS math",
+    f"{_pick_sql(('True', 'no', '1', '0', 'yes', '1.0'), 'CAST(floor(doc_id / 2) AS BIGINT) % 6')} AS fired", f"{_pick_sql(('HIGH', ' low', 'medium', 'sure', ''), 'doc_id % 5')} AS confidence",
+    f"{_pick_sql(('low_r2|arch_effects', '', 'weak_correlation', 'low_r2'), 'doc_id % 4')} AS flag_text", f"CASE WHEN doc_id % 9 = 0 THEN NULL ELSE {_pick_sql(('std', 'slope', 'period', 'max'), 'doc_id % 4')} END AS quantity",
+    f"{_pick_sql(('1.5', '', ' ', '7'), 'CAST(floor(doc_id / 7) AS BIGINT) % 4')} AS predicted_value", "CASE WHEN doc_id % 8 = 0 THEN NULL ELSE (doc_id % 11) / CAST(10 AS DOUBLE) END AS rel_acc",
+    "CASE WHEN doc_id % 10 = 0 THEN NULL ELSE (doc_id % 21) / CAST(20 AS DOUBLE) END AS quality_score",
+    f"""{_pick_sql(('["redo", "zoom"]', '[]', '["zoom"]', ''), 'CAST(floor(doc_id / 3) AS BIGINT) % 4')} AS executed""", "doc_id % 3 = 0 AS looked", "doc_id % 4 = 0 AS looked_t",
+]
+_RUNS = f"runs AS (SELECT {', '.join(_RUN_COLUMNS)} FROM documents JOIN labels USING (doc_id))"
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = series.table(spark, sf_dir, "documents").join(series.table(spark, sf_dir, "labels"), "doc_id")
+    return rows.selectExpr(*_RUN_COLUMNS)
+
+
+_NORM = """CASE WHEN upper(trim(coalesce({0}, ''))) IN ('NAN', 'NONE') THEN '' ELSE upper(trim(coalesce({0}, ''))) END"""
+
+
+@query(f"""WITH {_RUNS} SELECT doc_id, lower(trim(fired)) IN ('true', '1', '1.0', 'yes') AS wide, lower(trim(fired)) IN ('true', '1', '1.0') AS narrow, {_NORM.format("gold")} AS letter,
+  CASE WHEN lower(trim(confidence)) IN ('high', 'medium', 'low') THEN lower(trim(confidence)) ELSE 'other' END AS bucket FROM runs""")
+def normalised_cells(spark, sf_dir):
+    r = _runs(spark, sf_dir)
+    return r.select("doc_id", reports.truthy(F.col("fired")).alias("wide"), reports.truthy(F.col("fired"), wide=False).alias("narrow"), reports.normal_letter(F.col("gold")).alias("letter"), reports.confidence_bucket(F.col("confidence")).alias("bucket"))
+
+
+@query(f"WITH {_RUNS} SELECT doc_id, gold, branch FROM runs WHERE {_NORM.format('gold')} IN ('A', 'B', 'C', 'D') AND schema = 'mcq' AND branch IN ('trend', 'noise')")
+def scoreable_choices(spark, sf_dir):
+    """Rows with a letter as gold, asked as a choice, of enabled branches."""
+    return reports.scoreable(_runs(spark, sf_dir)).filter(F.col("schema") == "mcq").filter(F.col("branch").isin("trend", "noise")).select("doc_id", "gold", "branch")
+
+
+@query(f"""WITH {_RUNS}, g AS (SELECT *, lower(trim(fired)) IN ('true', '1', '1.0', 'yes') AS fell FROM runs WHERE gold IS NOT NULL),
+d AS (SELECT 'overall' AS dim, 'all' AS key, * FROM g UNION ALL SELECT 'category', coalesce(nullif(category, ''), 'unknown'), * FROM g UNION ALL SELECT 'branch', coalesce(branch, 'fallback'), * FROM g
+  UNION ALL SELECT 'flag', f, g.* FROM g, unnest(CASE WHEN flag_text = '' THEN [] ELSE string_split(flag_text, '|') END) u(f))
+SELECT dim, key, count(*) AS total, CAST(sum(correct) AS BIGINT) AS correct, count(*) FILTER (pred IS NULL) AS parse_failures, count(*) FILTER (fell) AS fallbacks,
+  CASE WHEN dim = 'overall' THEN (SELECT count(*) FROM runs WHERE gold IS NULL) END AS no_gold FROM d GROUP BY 1, 2""")
+def run_metrics(spark, sf_dir):
+    flags = F.when(F.col("flag_text") == "", F.array().cast("array<string>")).otherwise(F.split("flag_text", "[|]"))
+    return reports.metrics(_runs(spark, sf_dir).withColumns({"flags": flags, "used_fallback": reports.truthy(F.col("fired"))}))
+
+
+@query(f"""WITH {_RUNS} SELECT CASE WHEN grouping(subset) = 1 THEN 'OVERALL' ELSE coalesce(subset, 'unknown') END AS subset, CASE WHEN grouping(category) = 1 THEN 'OVERALL' ELSE coalesce(category, 'unknown') END AS category,
+  count(*) AS n, round(avg(correct), 6) AS accuracy FROM runs GROUP BY ROLLUP (subset, category)""")
+def accuracy_rollup(spark, sf_dir):
+    return reports.accuracy_rollup(_runs(spark, sf_dir), "subset", "category")
+
+
+@query(f"WITH {_RUNS} SELECT category, count(*) AS n, round(avg(CASE WHEN branch IS DISTINCT FROM branch_t THEN 1.0 ELSE 0.0 END), 6) AS rate FROM runs GROUP BY 1")
+def router_disagreement(spark, sf_dir):
+    return reports.router_disagreement(_runs(spark, sf_dir), "category", "branch", "branch_t")
+
+
+@query(f"WITH {_RUNS} SELECT branch, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, branch NULLS LAST) AS INTEGER) AS place FROM runs GROUP BY 1")
+def value_counts(spark, sf_dir):
+    return reports.value_counts(_runs(spark, sf_dir), "branch")
+
+
+@query(f"""WITH {_RUNS} SELECT CASE WHEN grouping(schema) = 0 THEN 'schema' WHEN grouping(subtype) = 0 THEN 'branch_subtype' ELSE 'branch' END AS level, branch, subtype, schema, count(*) AS n
+FROM runs GROUP BY GROUPING SETS ((branch), (branch, subtype), (schema))""")
+def routing_audit(spark, sf_dir):
+    return reports.routing_audit(_runs(spark, sf_dir))
+
+
+def _resampled(base: str, treat: str, seed: str, reps: int = 200) -> str:
+    return f"""grp AS (SELECT CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) % 1000 AS g, {base} AS b, {treat} AS t FROM runs),
+per AS (SELECT g, sum(b) AS b, sum(t) AS t, count(*) AS n, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS k FROM grp GROUP BY g),
+drawn AS (SELECT rep, CAST(('0x' || substr(md5('{seed}:' || rep || ':' || i), 1, 8)) AS BIGINT) % k AS i FROM per, range({reps}) r(rep)),
+boot AS (SELECT rep, (sum(t) - sum(b)) / sum(n) AS delta FROM drawn JOIN per USING (i) GROUP BY 1)"""
+
+
+_ENDS = "round(quantile_cont(delta, 0.025), 6) AS low, round(quantile_cont(delta, 0.975), 6) AS high, round(avg(delta), 6) AS mean"
+
+
+@query(f"WITH {_RUNS}, {_resampled('correct', 'correct_t', 'pair')} SELECT {_ENDS} FROM boot")
+def paired_bootstrap(spark, sf_dir):
+    return reports.paired_bootstrap(_runs(spark, sf_dir), F.col("doc_id"))
+
+
+@query(f"WITH {_RUNS}, {_resampled('0', 'correct_t', 'one')} SELECT {_ENDS} FROM boot")
+def single_bootstrap(spark, sf_dir):
+    return reports.single_bootstrap(_runs(spark, sf_dir), F.col("doc_id"), "correct_t")
+
+
+@query(f"""WITH {_RUNS}, grp AS (SELECT CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) % 1000 AS g, correct_t - correct AS d FROM runs),
+per AS (SELECT g, sum(d) AS d, count(*) AS n FROM grp GROUP BY g), total AS (SELECT sum(d) AS d, sum(n) AS n FROM per),
+sums AS (SELECT rep, abs(sum(CASE WHEN CAST(('0x' || substr(md5('flip:' || rep || ':' || g), 1, 8)) AS BIGINT) % 2 = 0 THEN d ELSE -d END)) AS s FROM per, range(200) r(rep) GROUP BY 1)
+SELECT round(any_value(t.d / t.n), 6) AS observed, round((count(*) FILTER (s >= abs(t.d)) + 1) / 201, 6) AS p FROM sums, total t""")
+def paired_permutation(spark, sf_dir):
+    return reports.paired_permutation(_runs(spark, sf_dir), F.col("doc_id"))
+
+
+@query(f"""WITH {_RUNS}, {_resampled('correct', 'correct_t', 'verdict')}, ends AS (SELECT quantile_cont(delta, 0.025) AS low, quantile_cont(delta, 0.975) AS high FROM boot),
+a AS (SELECT count(*) AS n, avg(correct_t - correct) AS delta, count(*) FILTER (looked) AS looks, count(*) FILTER (looked_t) AS looks_t, avg(CASE WHEN branch IS DISTINCT FROM branch_t THEN 1.0 ELSE 0.0 END) AS drift FROM runs),
+p AS (SELECT branch, avg(correct_t - correct) AS d, count(*) FILTER (correct = 1 AND correct_t = 0) AS b, count(*) FILTER (correct = 0 AND correct_t = 1) AS c FROM runs GROUP BY 1),
+w AS (SELECT count(*) FILTER (d < 0 AND CASE WHEN b + c = 0 THEN 1 ELSE least(1, 2 * (SELECT sum(exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))) FROM range(least(b, c) + 1) r(i))) END < 0.05) AS regressions FROM p)
+SELECT n, round(delta, 6) AS delta, looks, looks_t, round(drift, 6) AS drift, round(low, 6) AS low, round(high, 6) AS high, regressions, low >= -0.005 AND looks_t < looks AS h1, regressions = 0 AS h2 FROM a, ends, w""")
+def gate_verdict(spark, sf_dir):
+    return reports.gate_verdict(_runs(spark, sf_dir), F.col("doc_id"))
+
+
+@query(f"""WITH {_RUNS}, l AS (SELECT *, {_NORM.format("look_s")} AS ls, {_NORM.format("look_p")} AS lp, {_NORM.format("math")} AS m, {_NORM.format("gold")} AS g, {_NORM.format("pred")} AS p FROM runs),
+w AS (SELECT *, ls <> '' AND m <> '' AND ls <> m AND g <> '' AND ls <> g AS ws, lp <> '' AND m <> '' AND lp <> m AND g <> '' AND lp <> g AS wp FROM l)
+SELECT branch, count(*) AS n, round(avg(correct_t - correct), 6) AS net_s, count(*) FILTER (ws) AS wrong_s, round(count(*) FILTER (ws AND p = ls) / nullif(count(*) FILTER (ws), 0), 6) AS sycophancy_s,
+  round(avg(correct_p - correct), 6) AS net_p, count(*) FILTER (wp) AS wrong_p, round(count(*) FILTER (wp AND p = lp) / nullif(count(*) FILTER (wp), 0), 6) AS sycophancy_p FROM w GROUP BY 1""")
+def net_value(spark, sf_dir):
+    r = _runs(spark, sf_dir)
+    rows = r.select("branch", F.col("correct").alias("correct_off"), F.col("correct_t").alias("correct_s"), "correct_p", "look_s", "look_p", F.col("pred").alias("pred_s"), F.col("pred").alias("pred_p"), "math", "gold")
+    return reports.net_value(rows, "branch")
+
+
+@query(f"""WITH {_RUNS}, c AS (SELECT *, CASE WHEN quantity IS NULL THEN 'none' WHEN quantity = 'period' THEN 'method_sensitive' WHEN quantity = 'slope' THEN 'regression' ELSE 'closed_form' END AS quantity_class,
+  trim(coalesce(predicted_value, '')) = '' AS gone FROM runs WHERE schema = 'numerical')
+SELECT quantity_class, count(*) AS n, round(avg(correct), 6) AS accuracy, round(avg(rel_acc), 6) AS rel_acc, round(avg(CASE WHEN gone THEN 1.0 ELSE 0.0 END), 6) AS abstain_rate,
+  round(avg(correct) FILTER (NOT gone), 6) AS accuracy_attempted FROM c GROUP BY 1""")
+def numeric_audit(spark, sf_dir):
+    return reports.numeric_audit(_runs(spark, sf_dir))
+
+
+@query(f"""WITH {_RUNS}, t AS (SELECT schema, CASE WHEN contains(lower(qa_type), 'numerical') THEN 'numerical' WHEN contains(lower(qa_type), 'choice') THEN 'mcq' END AS kind FROM runs)
+SELECT count(*) AS n, round(avg(CASE WHEN schema = kind THEN 1.0 ELSE 0.0 END), 6) AS agreement FROM t WHERE kind IS NOT NULL""")
+def schema_agreement(spark, sf_dir):
+    return reports.schema_agreement(_runs(spark, sf_dir))
+
+
+@query(f"""WITH {_RUNS}, e AS (SELECT *, executed LIKE '["%' AS ran FROM runs)
+SELECT count(*) AS n, count(quality_score) AS scored, count(*) FILTER (quality_score < 0.55) AS gated, count(*) FILTER (lower(fired) IN ('true', '1', '1.0', 'yes')) AS fired, count(*) FILTER (ran) AS executed,
+  count(*) FILTER (ran AND correct = 0 AND correct_t = 1) AS corrected, count(*) FILTER (ran AND correct = 1 AND correct_t = 0) AS broken FROM e""")
+def agency_counts(spark, sf_dir):
+    return reports.agency(_runs(spark, sf_dir))
+
+
+@query(f"""WITH {_RUNS} SELECT a AS action, count(*) AS n FROM runs, unnest(CASE WHEN json_valid(executed) THEN CAST(CAST(executed AS JSON) AS VARCHAR[]) END) u(a) GROUP BY 1""")
+def action_counts(spark, sf_dir):
+    return reports.actions(_runs(spark, sf_dir))
+
+
+@query(f"""WITH {_RUNS}, own AS (SELECT category, avg(correct) AS accuracy FROM runs GROUP BY 1), base(name, category, baseline) AS (VALUES ('first', 'en', 0.5), ('first', 'de', 0.6), ('second', 'en', 0.7)),
+names AS (SELECT DISTINCT name FROM base)
+SELECT name, category, round(accuracy, 6) AS accuracy, baseline, round(accuracy - baseline, 6) AS delta FROM own CROSS JOIN names LEFT JOIN base USING (name, category)""")
+def delta_matrix(spark, sf_dir):
+    base = spark.createDataFrame([("first", "en", 0.5), ("first", "de", 0.6), ("second", "en", 0.7)], "name string, category string, accuracy double")
+    return reports.delta_matrix(_runs(spark, sf_dir), base)
+
+
+@query(f"""WITH {_RUNS} SELECT a.doc_id, a.correct, b.correct_t, c.correct_p FROM runs a JOIN runs b USING (doc_id) JOIN runs c USING (doc_id) WHERE a.doc_id % 2 = 0 AND b.doc_id % 3 = 0 AND c.doc_id % 5 <> 0""")
+def three_arms(spark, sf_dir):
+    """Documents that three runs have; each run answered some."""
+    r = _runs(spark, sf_dir)
+    arm = lambda c, which: r.filter(which).select("doc_id", c)
+    return reports.three_arms(arm("correct", "doc_id % 2 = 0"), arm("correct_t", "doc_id % 3 = 0"), arm("correct_p", "doc_id % 5 <> 0"), "doc_id")
+
+
+@query(f"""WITH {_RUNS} SELECT d.doc_id, coalesce(CASE WHEN d.doc_id % 2 = 0 THEN d.lang END, r.category) AS category, r.gold FROM documents d LEFT JOIN runs r ON r.doc_id = d.doc_id AND r.subset = d.source""")
+def enriched_rows(spark, sf_dir):
+    """Documents with half of their languages missing and no gold, filled from the run by source and id."""
+    d = series.table(spark, sf_dir, "documents").selectExpr("doc_id", "source AS subset", "CASE WHEN doc_id % 2 = 0 THEN lang END AS category", "CAST(NULL AS STRING) AS gold")
+    return reports.enriched(d, _runs(spark, sf_dir), ["doc_id", "subset"], ["category", "gold"]).select("doc_id", "category", "gold")
+
+
+@query("""SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY md5('sample:' || doc_id), doc_id) <= 20""")
+def stratified_sample(spark, sf_dir):
+    return reports.stratified_sample(series.table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", 20)
+
+
+@query(f"""WITH {_PTS}, f AS (SELECT series_id, regr_slope(value, pos) AS s, regr_intercept(value, pos) AS i, regr_r2(value, pos) AS r, count(*) AS n FROM pts WHERE pos % 5 <> 2 GROUP BY 1)
+SELECT series_id, round(s, 6) AS slope, round(i, 6) AS intercept, round(r, 6) AS r_squared, CASE WHEN abs(s) < 1e-10 THEN 'stationary' WHEN s > 0 THEN 'upward' ELSE 'downward' END AS direction, 'ok' AS status FROM f""")
+def linear_trend(spark, sf_dir):
+    """Every fifth value is a NaN, whose place stays."""
+    pts = series.user_values(spark, sf_dir).withColumn("value", F.when(F.col("pos") % 5 == 2, float("nan")).otherwise(F.col("value")))
+    return trend.linear_trend(pts)
+
+
+@query(f"""WITH {_PTS}, near AS (SELECT *, lag(value) OVER s AS a, lead(value) OVER s AS b FROM pts WINDOW s AS (PARTITION BY series_id ORDER BY pos)),
+t AS (SELECT series_id, pos FROM near WHERE value < a AND value < b), p AS (SELECT series_id, pos FROM near WHERE value > a AND value > b),
+x AS (SELECT p.series_id, p.pos, p.pos - t.pos AS rise FROM p ASOF JOIN t ON p.series_id = t.series_id AND p.pos > t.pos),
+y AS (SELECT x.*, t.pos - x.pos AS fall FROM x ASOF JOIN t ON x.series_id = t.series_id AND x.pos < t.pos)
+SELECT series_id, pos, rise, fall FROM y""")
+def peak_flanks(spark, sf_dir):
+    return stats.peak_flanks(series.user_values(spark, sf_dir))
+
+
+@query(f"""WITH {_PTS}, near AS (SELECT *, lag(value) OVER s AS a, lead(value) OVER s AS b FROM pts WINDOW s AS (PARTITION BY series_id ORDER BY pos)),
+t AS (SELECT series_id, pos FROM near WHERE value < a AND value < b), p AS (SELECT series_id, pos FROM near WHERE value > a AND value > b),
+x AS (SELECT p.series_id, p.pos, p.pos - t.pos AS rise FROM p ASOF JOIN t ON p.series_id = t.series_id AND p.pos > t.pos),
+y AS (SELECT x.*, t.pos - x.pos AS fall FROM x ASOF JOIN t ON x.series_id = t.series_id AND x.pos < t.pos), s AS (SELECT series_id, avg(rise) / avg(fall) AS ratio, count(*) AS peaks FROM y GROUP BY 1)
+SELECT series_id, round(coalesce(ratio, 1.0), 6) AS ratio, CAST(coalesce(peaks, 0) AS BIGINT) AS peaks FROM (SELECT DISTINCT series_id FROM pts) LEFT JOIN s USING (series_id)""")
+def rise_fall_ratio(spark, sf_dir):
+    return stats.rise_fall_ratio(series.user_values(spark, sf_dir))
+
+
+@query(f"""WITH {_PTS}, centred AS (SELECT series_id, pos, value - avg(value) OVER w AS v, count(*) OVER w AS n FROM pts WINDOW w AS (PARTITION BY series_id)),
+bins AS (SELECT series_id, n, unnest(range(1, n // 2 + 1)) AS bin, pos, v FROM centred),
+mags AS (SELECT series_id, n, bin, sqrt(pow(sum(v * cos(2 * pi() * ((bin * pos) % n) / n)), 2) + pow(sum(v * sin(2 * pi() * ((bin * pos) % n) / n)), 2)) AS m FROM bins GROUP BY ALL)
+SELECT series_id, CAST(row_number() OVER (PARTITION BY series_id ORDER BY round(m, 9) DESC, bin) AS INTEGER) AS place, bin, round(bin / n, 6) AS frequency, round(n / bin, 6) AS period, round(m, 6) AS magnitude
+FROM mags QUALIFY place <= 3""")
+def strongest_bins(spark, sf_dir):
+    return spectral.strongest_bins(series.user_values(spark, sf_dir), detrend=False)
+
+
 def _arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.to_arrays(series.user_values(spark, sf_dir))
 
