@@ -809,12 +809,49 @@ def array_parse(spark, sf_dir):
     return parsed.select("series_id", F.size("v").alias("n"), F.col("v")[0].alias("first"), total.alias("total"))
 
 
-@query("""SELECT conv_id, turn, CAST(len(string_split(text, ',')) AS INTEGER) AS n, trim(string_split(text, ',')[1], ' ') AS first FROM conversations
-WHERE NOT regexp_matches(text, '(^|\\s)[A-D][\\).:]') AND NOT starts_with(trim(text, ' '), '[')""")
+# Options in every form; other turns are read as they are.
+_OPTION_TEXTS = (
+    '["up", " down "]', '["x", "y", "z"]', "A) first B) second C) third", "(A) not a mark, so commas", "A. one. B. two", "pre A: x B: y", " , a,, b ", "[broken", "", "A) "
+)
+_OPTION_SQL = f"CASE WHEN turn % 2 = 0 THEN {_pick_sql(_OPTION_TEXTS, '(conv_id + turn) % 10')} ELSE text END"
+
+
+@query(f"""WITH r AS (SELECT conv_id, turn, regexp_replace({_OPTION_SQL}, '^\\s+|\\s+$', '', 'g') AS t FROM conversations),
+l AS (SELECT *, CASE WHEN starts_with(t, '[') AND json_valid(replace(t, chr(39), '"')) THEN list_transform(CAST(CAST(replace(t, chr(39), '"') AS JSON) AS VARCHAR[]), lambda x: trim(x)) END AS listed,
+  list_filter(list_transform(regexp_split_to_array(t, '(?:^|\\s)[A-D][).:]\\s+')[2:], lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS lettered,
+  list_filter(list_transform(string_split(t, ','), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS plain FROM r),
+o AS (SELECT conv_id, turn, t, coalesce(listed, CASE WHEN len(lettered) > 0 THEN lettered END, plain) AS o, coalesce(array_to_string(listed, ', '), t) AS joined FROM l)
+SELECT conv_id, turn, CAST(len(o) AS INTEGER) AS n, array_to_string(o, '|') AS options, joined FROM o""")
 def options_parse(spark, sf_dir):
-    rows = series.table(spark, sf_dir, "conversations").filter(~F.col("text").rlike(r"(^|\s)[A-D][\).:]") & ~F.startswith(F.trim("text"), F.lit("[")))
-    options = ingest.parse_options(F.col("text"))
-    return rows.select("conv_id", "turn", F.size(options).alias("n"), options[0].alias("first"))
+    rows = series.table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", f"{_OPTION_SQL} AS t")
+    options = ingest.parse_options(F.col("t"))
+    return rows.select("conv_id", "turn", F.size(options).alias("n"), F.array_join(options, "|").alias("options"), ingest.joined_list(F.col("t")).alias("joined"))
+
+
+@query("""WITH r AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
+SELECT vec_id AS id, CASE WHEN label % 2 = 0 THEN 'unknown' ELSE 'cat' END AS category, CASE WHEN label % 3 = 0 THEN 'down' WHEN label % 3 = 1 THEN 'Z' ELSE 'flat' END AS answer,
+  CASE WHEN label % 2 = 1 THEN round(list_sum(list_transform(e[1:3], lambda x: round(x, 4))), 4) END AS ts_sum, CASE WHEN label % 2 = 0 THEN round(round(e[1], 4) + round(e[2], 4), 4) END AS ts1_sum,
+  CASE WHEN label % 2 = 0 THEN round(e[3], 4) END AS ts2_sum FROM r""")
+def runner_rows(spark, sf_dir):
+    """Question rows with one series or two, gold letters or texts."""
+    e = series.table(spark, sf_dir, "embeddings")
+    n = lambda i: F.col("embedding")[i].cast("double").cast("string")
+    single, dual = F.concat(F.lit("["), n(0), F.lit(", "), n(1), F.lit(", "), n(2), F.lit("]")), F.concat(F.lit("[["), n(0), F.lit(","), n(1), F.lit("],["), n(2), F.lit("]]"))
+    rows = e.select(
+        F.col("vec_id").alias("id"), F.when(F.col("label") % 2 == 1, "cat").otherwise("").alias("category"), F.lit("q").alias("question"), F.lit("A) up B) down C) flat").alias("option"),
+        F.expr("CASE label % 3 WHEN 0 THEN ' b ' WHEN 1 THEN 'Z' ELSE 'flat' END").alias("answer"), F.when(F.col("label") % 2 == 0, dual).otherwise(single).alias("value"),
+    )
+    total = lambda c: F.round(F.aggregate(F.transform(c, lambda v: F.round(v, 4)), F.lit(0.0), lambda a, b: a + b), 4)
+    r = ingest.runner_rows(rows)
+    return r.select("id", "category", "answer", total("ts").alias("ts_sum"), total("ts1").alias("ts1_sum"), total("ts2").alias("ts2_sum"))
+
+
+@query("""WITH c AS (SELECT doc_id, CASE lang WHEN 'en' THEN 'EN' WHEN 'de' THEN 'DE' END AS category FROM documents)
+SELECT doc_id, category FROM c WHERE category IS NOT NULL QUALIFY row_number() OVER (PARTITION BY category ORDER BY md5('sample:' || doc_id), doc_id) <= 25""")
+def exam_rows(spark, sf_dir):
+    """Rows of known categories under their codes, some of each."""
+    d = series.table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("category"))
+    return ingest.exam_rows(d, {"en": "EN", "de": "DE"}, per_category=25, key="doc_id").select("doc_id", "category")
 
 
 @query(f"""WITH {_PTS}, k AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY md5('ctl:' || pos), value) - 1 AS place FROM pts)
