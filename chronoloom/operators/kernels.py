@@ -43,6 +43,15 @@ def _finite(values: list | None) -> np.ndarray:
     return x[np.isfinite(x)]
 
 
+def _finite_together(cells: tuple) -> list[np.ndarray]:
+    """The finite values of the inputs; two of the same length lose both ends of a point, so that they stay aligned."""
+    if len(cells) == 2 and None not in cells and len(cells[0]) == len(cells[1]):
+        a, b = (np.array([np.nan if v is None else v for v in c], float) for c in cells)
+        good = np.isfinite(a) & np.isfinite(b)
+        return [a[good], b[good]]
+    return [_finite(c) for c in cells]
+
+
 def _run(df: DataFrame, key: str, inputs: list[str], names: list[str], fields: dict[str, str]) -> DataFrame:
     columns = [tuple(f.split()) for name in names for f in fields[name].split(", ")]
     kind = df.schema[key].dataType.simpleString()
@@ -51,7 +60,7 @@ def _run(df: DataFrame, key: str, inputs: list[str], names: list[str], fields: d
         for batch in batches:
             rows = []
             for cells in zip(*[batch.column(i + 1).to_pylist() for i in range(len(inputs))], strict=True):
-                series, found, notes = [_finite(c) for c in cells], {}, []
+                series, found, notes = _finite_together(cells), {}, []
                 for name in names:
                     try:
                         found |= _kernel(name)(*series)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -40,6 +40,38 @@ def ljung_box(pts: DataFrame, max_lag: int = 20) -> DataFrame:
     return autocorrelation(pts, max_lag).select("series_id", "lag", (F.col("n") * (F.col("n") + 2) * F.sum(term).over(w)).alias("q"))
 
 
+def ljung_box_p(pts: DataFrame, max_lag: int = 20) -> DataFrame:
+    """Q and its p at even lags, where the chi-square tail is a finite sum: exp(-q / 2) sum of (q / 2)^k / k! below half the lag."""
+    half = F.col("q") / 2
+
+    def add(done: Column, k: Column) -> Column:
+        term = F.when(k == 0, F.exp(-half)).otherwise(done["term"] * half / k)
+        return F.struct(term.alias("term"), (done["sum"] + term).alias("sum"))
+
+    steps = F.sequence(F.lit(0), (F.col("lag") / 2 - 1).cast("int"))
+    start = F.struct(F.lit(0.0).alias("term"), F.lit(0.0).alias("sum"))
+    return ljung_box(pts, max_lag).filter("lag % 2 = 0").select("series_id", "lag", "q", F.aggregate(steps, start, add, lambda d: d["sum"]).alias("p"))
+
+
+def partial_autocorrelation(pts: DataFrame, max_lag: int = 20) -> DataFrame:
+    """Partial autocorrelations at lags 1 .. below n / 2 by the Durbin-Levinson recursion over the adjusted autocorrelations (n / (n - lag) times the biased ones)."""
+    adjusted = (F.col("acf") * F.col("n") / (F.col("n") - F.col("lag"))).alias("r")
+    rows = autocorrelation(pts, max_lag).filter("acf IS NOT NULL").groupBy("series_id").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("lag", adjusted))), lambda x: x["r"]).alias("r"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    none = F.array().cast("array<double>")
+
+    def step(done: Column, k: Column) -> Column:
+        phi = done["phi"]
+        near = F.slice("r", F.lit(1), k - 1)
+        last = (F.element_at("r", k) - dot(phi, F.reverse(near))) / (1 - dot(phi, near))
+        longer = F.concat(F.zip_with(phi, F.reverse(phi), lambda x, y: x - last * y), F.array(last))
+        return F.struct(longer.alias("phi"), F.concat(done["out"], F.array(last)).alias("out"))
+
+    folded = F.aggregate(F.sequence(F.lit(1), F.size("r")), F.struct(none.alias("phi"), none.alias("out")), step, lambda d: d["out"])
+    long = rows.select("series_id", "n", F.posexplode(folded).alias("at", "pacf"))
+    return long.select("series_id", (F.col("at") + 1).cast("long").alias("lag"), "pacf", (F.abs("pacf") > 2 / F.sqrt("n")).alias("significant"))
+
+
 def spectrum(pts: DataFrame, detrend: bool = True) -> DataFrame:
     """Magnitude of the real discrete Fourier transform at bins 1 .. n / 2, as a join with bins.
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronoloom.functions.guards import intercept, r_squared, slope
-from chronoloom.operators.stats import by_pos, whole, chunk_of
+from chronoloom.operators.stats import by_pos, chunk_of, cleaned, whole
 
 
 def trend_direction(line: Column, std: Column) -> Column:
@@ -80,6 +80,29 @@ def best_split(pts: DataFrame) -> DataFrame:
     return best.select("series_id", (-F.col("b.at")).alias("split"), F.col("b.gain").alias("gain"))
 
 
+def binary_segmentation(pts: DataFrame, n_breaks: int = 1) -> DataFrame:
+    """``series_id, breaks``: right ends of segments from ``n_breaks`` greedy splits, each where it takes most off the squared error.
+
+    Segments under 4 points aren't split; of equal gains the first segment and place are taken.  A series ends with its length.
+    """
+    placed = cleaned(pts).withColumns({"start": F.lit(0).cast("long"), "n": F.count("*").over(whole())})
+    for _ in range(n_breaks):
+        part = W.partitionBy("series_id", "start")
+        so_far = part.orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+        v = placed.withColumn("v", F.col("value") - F.avg("value").over(part))
+        sums = v.select("series_id", "start", "pos", F.sum("v").over(so_far).alias("s"), F.sum("v").over(part).alias("t"), F.count("*").over(part).alias("m"))
+        at = F.col("pos") + 1 - F.col("start")
+        rest = F.col("t") - F.col("s")
+        gain = F.col("s") * F.col("s") / at + rest * rest / (F.col("m") - at) - F.col("t") * F.col("t") / F.col("m")
+        scored = sums.filter((F.col("m") >= 4) & (at < F.col("m"))).select("series_id", F.round(gain, 9).alias("gain"), (-F.col("start")).alias("s"), (-(F.col("pos") + 1)).alias("p"))
+        best = scored.groupBy("series_id").agg(F.max(F.struct("gain", "s", "p")).alias("b")).select("series_id", (-F.col("b.s")).alias("of"), (-F.col("b.p")).alias("split"))
+        placed = placed.join(best, "series_id", "left")
+        moves = (F.col("start") == F.col("of")) & (F.col("pos") >= F.col("split"))
+        placed = placed.withColumn("start", F.when(moves, F.col("split")).otherwise(F.col("start"))).drop("of", "split")
+    ends = placed.select("series_id", "n", "start").distinct().groupBy("series_id").agg(F.max("n").alias("n"), F.collect_set(F.when(F.col("start") > 0, F.col("start"))).alias("inner"))
+    return ends.select("series_id", F.array_sort(F.concat("inner", F.array("n"))).alias("breaks"))
+
+
 def hurst(pts: DataFrame) -> DataFrame:
     """Rescaled-range exponent over windows of 2 .. min(n / 2, 100) - 1 points; series under 20 points are left out."""
     n = pts.groupBy("series_id").agg(F.count("*").alias("n")).filter("n >= 20")

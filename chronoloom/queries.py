@@ -1139,6 +1139,33 @@ def strongest_bins(spark, sf_dir):
     return spectral.strongest_bins(series.user_values(spark, sf_dir), detrend=False)
 
 
+@query(f"""WITH {_PTS}, c AS (SELECT series_id, pos, value - avg(value) OVER w AS v, count(*) OVER w AS n FROM pts WINDOW w AS (PARTITION BY series_id)),
+s AS (SELECT series_id, pos + 1 AS spot, n, sum(v) OVER (PARTITION BY series_id ORDER BY pos) AS s, sum(v) OVER (PARTITION BY series_id) AS t FROM c),
+one AS (SELECT series_id, spot, n FROM s WHERE spot < n AND n >= 4 QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY round(s * s / spot + (t - s) * (t - s) / (n - spot) - t * t / n, 9) DESC, spot) = 1),
+seg AS (SELECT p.series_id, p.pos, p.value, CASE WHEN p.pos >= o.spot THEN o.spot ELSE 0 END AS start, o.spot AS first, o.n AS total FROM pts p JOIN one o USING (series_id)),
+c2 AS (SELECT series_id, start, first, total, pos, value - avg(value) OVER w AS v, count(*) OVER w AS m FROM seg WINDOW w AS (PARTITION BY series_id, start)),
+s2 AS (SELECT series_id, start, first, total, m, pos + 1 - start AS spot, sum(v) OVER (PARTITION BY series_id, start ORDER BY pos) AS s, sum(v) OVER (PARTITION BY series_id, start) AS t FROM c2),
+two AS (SELECT series_id, first, total, start + spot AS second FROM s2 WHERE m >= 4 AND spot < m
+  QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY round(s * s / spot + (t - s) * (t - s) / (m - spot) - t * t / m, 9) DESC, start, spot) = 1)
+SELECT series_id, least(first, second) || ',' || greatest(first, second) || ',' || total AS breaks FROM two""")
+def binary_segmentation(spark, sf_dir):
+    return trend.binary_segmentation(series.user_values(spark, sf_dir), 2).withColumn("breaks", F.array_join("breaks", ","))
+
+
+@query(f"""WITH {_PTS}, c AS (SELECT series_id, pos, value - avg(value) OVER w AS v, count(*) OVER w AS n FROM pts WINDOW w AS (PARTITION BY series_id)), total AS (SELECT series_id, sum(v * v) AS t FROM c GROUP BY 1),
+acf AS (SELECT a.series_id, b.pos - a.pos AS lag, any_value(a.n) AS n, sum(a.v * b.v) / any_value(t) AS r FROM c a JOIN c b ON a.series_id = b.series_id AND b.pos - a.pos BETWEEN 1 AND 20 JOIN total t ON t.series_id = a.series_id GROUP BY 1, 2),
+q AS (SELECT series_id, lag, n * (n + 2) * sum(r * r / (n - lag)) OVER (PARTITION BY series_id ORDER BY lag) AS q FROM acf WHERE lag <= n // 2 - 1)
+SELECT series_id, lag, round(q, 6) AS q, round(exp(-q / 2) * list_sum(list_transform(range(lag // 2), lambda k: pow(q / 2, k) / gamma(k + 1))), 6) AS p FROM q WHERE lag % 2 = 0""")
+def ljung_box_p(spark, sf_dir):
+    return spectral.ljung_box_p(series.user_values(spark, sf_dir))
+
+
+@query()
+def pacf_lags(spark, sf_dir):
+    """Partial autocorrelations (tested against the Yule-Walker equations)."""
+    return spectral.partial_autocorrelation(series.user_values(spark, sf_dir))
+
+
 def _arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.to_arrays(series.user_values(spark, sf_dir))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chronoloom import queries
 from chronoloom.kernels import shape
-from chronoloom.operators import anomaly, branches, experiment, kernels, pairwise, stats, trend, verify
+from chronoloom.operators import anomaly, branches, experiment, kernels, pairwise, spectral, stats, trend, verify
 from chronoloom.plans import numeric
 from chronoloom.sources.series import to_arrays, to_points
 
@@ -201,3 +201,13 @@ def test_query_equals_sql(spark, sf_dir, name):
     assert columns == sorted(want.columns) and len(got) == len(want)
     key = lambda df: sorted(tuple("" if x is None or x != x else f"{x:.4f}" if isinstance(x, float) else str(x) for x in r) for r in df[columns].itertuples(index=False))
     assert key(got) == key(want)
+
+
+def test_partial_autocorrelation_solves_yule_walker(pts):
+    rng = np.random.default_rng(11).normal(5, 2, 128)
+    rows = {r["lag"]: r for r in spectral.partial_autocorrelation(pts.filter("series_id = 3"), 12).collect()}
+    v = rng - rng.mean()
+    acf = np.array([1.0] + [(v[:-k] * v[k:]).sum() / (v * v).sum() * 128 / (128 - k) for k in range(1, 13)])
+    for k in range(1, 13):
+        want = np.linalg.solve(np.array([[acf[abs(i - j)] for j in range(k)] for i in range(k)]), acf[1 : k + 1])[-1]
+        assert rows[k]["pacf"] == pytest.approx(want) and rows[k]["significant"] == (abs(want) > 2 / np.sqrt(128))
