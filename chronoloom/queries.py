@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.operators import anomaly, branches, experiment, kernels, pairwise, reports, spectral, stats, trend, verify
+from chronoloom.operators import anomaly, branches, experiment, kernels, pairwise, replies, reports, spectral, stats, trend, verify
 from chronoloom.plans import numeric
 from chronoloom.sources import ingest, series
 
@@ -1166,6 +1166,81 @@ def pacf_lags(spark, sf_dir):
     return spectral.partial_autocorrelation(series.user_values(spark, sf_dir))
 
 
+# Replies in every state; B stands for a branch. Picked by a row's number.
+_REPLIES = (
+    '{"action": "B", "reason": " because ", "branch": "B"}', 'Here: ```json\n{"action": " Vision", "reason": "look", "branch": "noise"}\n``` done', 'so {"action": "B", "reason": "  "} it is',
+    '{"action": "guess", "reason": "x", "branch": "zzz"}', "Take the B branch, not noise", '{"branch": "B"', '{"pattern_type": "wave", "confidence": 0.7, "summary": " rising ", "anomaly_regions": ["a", "b"]}', "", '{"action": "numeric_head"}',
+)
+
+
+def _reply_sql() -> str:
+    return f"replace({_pick_sql(_REPLIES, '(conv_id * 3 + turn) % 9')}, 'B', {_pick_sql(_BRANCH_OF, 'conv_id % 8')})"
+
+
+_INSIDE = """CASE WHEN regexp_extract(trim(raw), '(?is)```(?:json)?\\s*(.*?)\\s*```', 1) <> '' THEN regexp_extract(trim(raw), '(?is)```(?:json)?\\s*(.*?)\\s*```', 1)
+  WHEN regexp_extract(trim(raw), '(?s)\\{.*\\}') <> '' THEN regexp_extract(trim(raw), '(?s)\\{.*\\}') ELSE trim(raw) END"""
+
+
+@query(f"""WITH r AS (SELECT conv_id, turn, {_reply_sql()} AS raw FROM conversations), i AS (SELECT *, {_INSIDE} AS inside FROM r), j AS (SELECT *, CASE WHEN json_valid(inside) THEN inside END AS j FROM i),
+a AS (SELECT *, trim(lower(json_extract_string(j, '$.action'))) AS action, trim(json_extract_string(j, '$.reason')) AS reason, trim(lower(json_extract_string(j, '$.branch'))) AS branch FROM j)
+SELECT conv_id, turn, CASE WHEN action IN ({", ".join(repr(x) for x in replies.ACTIONS)}) AND reason <> '' THEN action END AS action,
+  CASE WHEN action IN ({", ".join(repr(x) for x in replies.ACTIONS)}) AND reason <> '' THEN reason END AS reason,
+  CASE WHEN branch IN ('trend', 'noise') THEN branch WHEN contains(lower(raw), 'trend') THEN 'trend' WHEN contains(lower(raw), 'noise') THEN 'noise' END AS chosen FROM a""")
+def reply_choices(spark, sf_dir):
+    """Proposed actions, and the critic's choice between two branches."""
+    rows = series.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(_reply_sql().replace("\n", "\\n")).alias("raw"))
+    said = rows.withColumns({"p": replies.proposal(F.col("raw")), "chosen": replies.critic_choice(F.col("raw"), F.array(F.lit("trend"), F.lit("noise")))})
+    return said.select("conv_id", "turn", "p.action", "p.reason", "chosen")
+
+
+@query(f"""WITH r AS (SELECT conv_id, turn, {_reply_sql()} AS raw FROM conversations), i AS (SELECT *, regexp_extract(regexp_replace(raw, '```[A-Za-z]*|```', '', 'g'), '(?s)\\{{.*\\}}') AS inside FROM r),
+j AS (SELECT *, CASE WHEN inside <> '' AND json_valid(inside) THEN inside END AS j FROM i)
+SELECT conv_id, turn, json_extract_string(j, '$.pattern_type') AS pattern_type, coalesce(CAST(json_extract_string(j, '$.confidence') AS DOUBLE), 0) AS confidence,
+  CASE WHEN j IS NULL THEN trim(raw) ELSE trim(json_extract_string(j, '$.summary')) END AS summary, CAST(coalesce(json_array_length(j, '$.anomaly_regions'), 0) AS INTEGER) AS regions, j IS NOT NULL AS parsed FROM j""")
+def look_replies(spark, sf_dir):
+    rows = series.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(_reply_sql().replace("\n", "\\n")).alias("raw"))
+    said = rows.withColumn("l", replies.look(F.col("raw")))
+    return said.select("conv_id", "turn", "l.pattern_type", "l.confidence", "l.summary", F.size("l.anomaly_regions").alias("regions"), "l.parsed")
+
+
+@query(f"""WITH {_RUNS}, o AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN NULL WHEN 1 THEN true ELSE false END AS s, branch, looked, fired, doc_id % 2 AS k FROM runs)
+SELECT doc_id, CASE WHEN s IS NULL THEN NULL WHEN k = 0 THEN CASE WHEN s THEN 'Stationary ' ELSE 'Non Stationary' END WHEN s THEN 'stationary' ELSE 'non-stationary' END AS label0,
+  CASE WHEN s IS NULL THEN 'categorical:no_signal' WHEN k = 0 THEN 'categorical:stationarity:mapped' ELSE 'categorical:stationarity' END AS note,
+  CASE WHEN branch = 'noise' THEN false ELSE looked OR coalesce(branch = 'trend', false) OR lower(fired) IN ('true', '1', '1.0', 'yes') END AS triggered,
+  CASE WHEN branch = 'noise' OR NOT (looked OR coalesce(branch = 'trend', false) OR lower(fired) IN ('true', '1', '1.0', 'yes')) THEN NULL WHEN branch = 'trend' THEN 'line_plot' WHEN looked THEN 'given'
+    WHEN branch IN ('periodicity', 'causality') THEN 'spectrogram' ELSE 'line_plot' END AS viz_type,
+  CASE WHEN branch = 'noise' THEN 'suppressed' WHEN lower(fired) IN ('true', '1', '1.0', 'yes') THEN 'proposed' WHEN branch = 'trend' THEN 'forced' ELSE 'gate' END AS why FROM o""")
+def labels_and_overrides(spark, sf_dir):
+    """Stationarity labels mapped to options, and looks after forced, shut and proposed ones."""
+    r = _runs(spark, sf_dir)
+    options = F.when(F.col("doc_id") % 2 == 0, F.array(F.when(F.col("doc_id") % 3 == 1, F.lit("up")).otherwise("Non Stationary"), F.lit("Stationary "))).otherwise(F.array().cast("array<string>"))
+    s = F.expr("CASE doc_id % 3 WHEN 0 THEN CAST(NULL AS BOOLEAN) WHEN 1 THEN true ELSE false END")
+    o = replies.look_override(F.col("looked"), F.lit("given"), F.col("branch"), reports.truthy(F.col("fired")), forced=["trend"], shut=["noise"])
+    rows = r.select("doc_id", replies.stationarity_label(s, options).alias("l"), o.alias("o"))
+    label = F.when(F.col("l.label") == "Stationary", F.lit("Stationary ")).otherwise(F.col("l.label"))
+    return rows.select("doc_id", label.alias("label0"), "l.note", "o.triggered", "o.viz_type", "o.why")
+
+
+@query(f"""WITH {_RUNS}, s AS (SELECT doc_id, branch, quality_score AS score FROM runs WHERE branch IS NOT NULL AND quality_score IS NOT NULL UNION ALL
+  SELECT doc_id, 'noise', (doc_id % 7) / 6.0 FROM runs WHERE doc_id % 4 <> 0 UNION ALL SELECT doc_id, 'anomaly', (doc_id % 5) / 5.0 FROM runs),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, branch) AS place FROM s)
+SELECT doc_id, max(branch) FILTER (place = 1) AS branch, round(max(score) FILTER (place = 1), 6) AS score, max(branch) FILTER (place = 2) AS second,
+  coalesce(round(max(score) FILTER (place = 1) - max(score) FILTER (place = 2), 9) < 0.1 OR max(score) FILTER (place = 1) < 0.55, false) AS asks_critic FROM k GROUP BY 1""")
+def arbitration(spark, sf_dir):
+    r = _runs(spark, sf_dir)
+    own = r.filter("branch IS NOT NULL AND quality_score IS NOT NULL").select("doc_id", "branch", F.col("quality_score").alias("score"))
+    noise = r.filter("doc_id % 4 <> 0").select("doc_id", F.lit("noise").alias("branch"), F.expr("CAST(doc_id % 7 AS DOUBLE) / 6").alias("score"))
+    anomaly_ = r.select("doc_id", F.lit("anomaly").alias("branch"), F.expr("CAST(doc_id % 5 AS DOUBLE) / 5").alias("score"))
+    return replies.arbitrated(own.union(noise).union(anomaly_), "doc_id")
+
+
+@query(f"""WITH {_RUNS} SELECT doc_id, sha256('answer=' || coalesce(pred, 'null') || chr(10) || 'branch=' || coalesce(branch, 'null') || chr(10) || 'score=' || coalesce(CAST(CAST(round(quality_score, 6) AS DECIMAL(38, 6)) AS VARCHAR), 'null')) AS trace FROM runs""")
+def trace_hashes(spark, sf_dir):
+    r = _runs(spark, sf_dir)
+    fields = {"branch": F.col("branch"), "answer": F.col("pred"), "score": F.col("quality_score"), "timestamp": F.current_timestamp()}
+    return r.select("doc_id", replies.trace_hash(fields, ["score"]).alias("trace"))
+
+
 def _arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.to_arrays(series.user_values(spark, sf_dir))
 
