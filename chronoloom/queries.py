@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.operators import anomaly, branches, experiment, kernels, pairwise, replies, reports, spectral, stats, trend, verify
+from chronoloom.operators import anomaly, branches, experiment, kernels, local, pairwise, replies, reports, spectral, stats, trend, verify
 from chronoloom.plans import numeric
 from chronoloom.sources import ingest, series
 
@@ -1241,6 +1241,46 @@ def trace_hashes(spark, sf_dir):
     return r.select("doc_id", replies.trace_hash(fields, ["score"]).alias("trace"))
 
 
+def _chunk_sql(k: int, source: str = "pts") -> str:
+    return f"""sized AS (SELECT *, count(*) OVER (PARTITION BY series_id) // {k} AS size FROM {source}),
+chunks AS (SELECT series_id, CAST(least(pos // size, {k - 1}) AS INTEGER) AS chunk, pos - least(pos // size, {k - 1}) * size AS pos, value FROM sized)"""
+
+
+@query(f"""WITH {_PTS}, {_chunk_sql(4)}, f AS (SELECT series_id, chunk, regr_slope(value, pos) AS slope, regr_r2(value, pos) AS r2, stddev_pop(value) AS std,
+  CASE WHEN min(value) > 0 THEN regr_r2(ln(greatest(value, 1e-300)), pos) END AS exp_r2, regr_r2(value, ln(pos + 1)) AS log_r2 FROM chunks GROUP BY 1, 2)
+SELECT series_id, chunk, round(slope, 6) AS slope, CASE WHEN abs(slope) < 1e-4 * std THEN 'flat' WHEN slope > 0 THEN 'increasing' ELSE 'decreasing' END AS direction, round(r2, 6) AS r2,
+  CASE WHEN r2 >= coalesce(exp_r2, -1) AND r2 >= log_r2 THEN 'linear' WHEN coalesce(exp_r2, -1) >= log_r2 THEN 'exponential' ELSE 'log' END AS best_fit FROM f""")
+def local_trends(spark, sf_dir):
+    return local.trends(series.user_values(spark, sf_dir))
+
+
+@query(f"""WITH {_PTS}, {_chunk_sql(4)}, q AS (SELECT series_id, chunk, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b, avg(value) AS m, stddev_pop(value) AS sd, max(value) AS hi, min(value) AS lo FROM chunks GROUP BY 1, 2)
+SELECT series_id, chunk, count(*) FILTER (value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a)) AS outliers,
+  coalesce(string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) FILTER (value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a)), '') AS positions,
+  round(any_value(CASE WHEN sd > 0 THEN greatest(hi - m, m - lo) / sd ELSE 0 END), 6) AS max_deviation FROM chunks JOIN q USING (series_id, chunk) GROUP BY 1, 2""")
+def local_outliers(spark, sf_dir):
+    return local.outliers(series.user_values(spark, sf_dir)).withColumn("positions", F.array_join("positions", ","))
+
+
+@query(f"WITH {_PTS}, {_chunk_sql(3)} SELECT series_id, chunk, round(var_pop(value), 6) AS variance FROM chunks GROUP BY 1, 2")
+def local_variances(spark, sf_dir):
+    return local.variances(series.user_values(spark, sf_dir))
+
+
+@query(f"""WITH {_PTS}, {_chunk_sql(2)} SELECT series_id, chunk, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max,
+  round(max(value) - min(value), 6) AS range, round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.75), 6) AS q75 FROM chunks GROUP BY 1, 2""")
+def local_amplitudes(spark, sf_dir):
+    return local.amplitudes(series.user_values(spark, sf_dir))
+
+
+@query(f"""WITH {_PTS}, {_chunk_sql(2)}, lines AS (SELECT series_id, chunk, regr_slope(value, pos) AS s, regr_intercept(value, pos) AS i, count(*) AS n FROM chunks GROUP BY 1, 2),
+bins AS (SELECT c.series_id, c.chunk, n, unnest(range(1, greatest(n // 2, 1) + 1)) AS bin, pos, value - s * pos - i AS v FROM chunks c JOIN lines l ON l.series_id = c.series_id AND l.chunk = c.chunk),
+mags AS (SELECT series_id, chunk, n, bin, sqrt(pow(sum(v * cos(2 * pi() * ((bin * pos) % n) / n)), 2) + pow(sum(v * sin(2 * pi() * ((bin * pos) % n) / n)), 2)) AS m FROM bins GROUP BY ALL)
+SELECT series_id, chunk, round(any_value(n) / arg_max(bin, m), 6) AS period, round(arg_max(bin, m) / any_value(n), 6) AS frequency FROM mags GROUP BY 1, 2""")
+def local_periods(spark, sf_dir):
+    return local.periods(series.user_values(spark, sf_dir))
+
+
 def _arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.to_arrays(series.user_values(spark, sf_dir))
 
