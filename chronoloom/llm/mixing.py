@@ -8,8 +8,9 @@ A source's repetition rate is target / size: each of its documents is emitted fl
 plus once if a hash of seed and id, as a number in [0, 1), is below the rate's fraction.
 
 Defined results: rows with null or repeated ids are documents like any other (equal ids draw
-alike); documents without words are never emitted as their rate is 0 where a source has no words;
-an empty table gives an empty result; other columns stay as they are.
+alike); documents without words are never emitted where a source has no words, as its rate is 0; sources of equal caps
+are settled in order of name; a very long text is counted by one pass of a regular expression and is one document, so a source of few
+such documents can miss its target by one of them; an empty table gives an empty result; other columns stay as they are.
 """
 
 from __future__ import annotations
