@@ -312,9 +312,9 @@ def test_lm_beats_unigrams_of_ids_on_held_out(spark, sf_dir):
     import numpy as np
 
     data = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("held_out", langid.remainder("doc_id", 7) == 2)
-    encoding, begins, end = lm._tokenizer(lm.read_vocabulary())
-    texts = [(lm.subwords(encoding, begins, lm.lowered((r["text"] or "").encode()).split()) + [end], r["held_out"]) for r in data.collect()]
-    counts = np.bincount([i for ids, held in texts if not held for i in ids], minlength=end + 1)
+    cut = lm.Subwords(lm.read_vocabulary())
+    texts = [(cut.text(lm.lowered((r["text"] or "").encode()).split()), r["held_out"]) for r in data.collect()]
+    counts = np.bincount([i for ids, held in texts if not held for i in ids], minlength=cut.end + 1)
     plain = sum(np.log10((counts[ids] + 1) / (counts.sum() + len(counts))).sum() for ids, held in texts if held)
     assert lm.scores(data, lm.read_vocabulary()).filter("held_out").agg(F.sum("score")).first()[0] > plain
 
