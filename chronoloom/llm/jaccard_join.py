@@ -50,7 +50,7 @@ from .words import mix, shingle_hashes, word_hashes
 
 #: Tokens that a map task gathers before it writes them out by partition, and tokens of a partition (some 100 MB at its peak).
 BLOCK_TOKENS = 300_000
-PART_TOKENS = 1_500_000
+PART_TOKENS = 1_000_000
 #: 64-bit words of a node's sketch (the parities of its shared tokens in so many buckets), and of an order's bit map.
 SKETCH_WORDS, MAP_WORDS = 8, 4
 #: Nodes of a block of a list, and rounds before all blocks meet.

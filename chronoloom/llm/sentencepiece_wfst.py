@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import fresh, release
+from .runtime import fresh, release, small_batches
 
 #: Where the public tokenizers' files lie; any other model with byte fallback can be given.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -353,6 +353,7 @@ class Encoder:
 
 def _run(docs: DataFrame, model: bytes, keep: list[str], row, schema: str) -> DataFrame:
     """``row(machine, text, ids)`` for every text (the last column), after the columns ``keep``."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [s.split()[0] for s in schema.split(", ")]
 
