@@ -400,11 +400,12 @@ t AS (SELECT r.*, hi, lo, string_split(texts, '|') AS o, CASE WHEN contains(text
   '(?i)(?:greater than|more than|above|exceeds?|>=|at least|less than|below|under|<=|at most)\\s*([-+]?\\d*\\.?\\d+(?:[eE][-+]?\\d+)?)', 1), '') AS DOUBLE) END AS threshold FROM rows r LEFT JOIN ends USING (series_id)),
 e AS (SELECT *, CASE WHEN {_any_sql("lower(question)", verify.LOW)} THEN lo <= threshold ELSE hi >= threshold END AS event FROM t),
 f AS (SELECT *, list_position(list_transform(o, lambda x: CASE WHEN event THEN {_any_sql("lower(x)", verify.POSITIVE)} ELSE {_any_sql("lower(x)", verify.NEGATIVE)} END), true) AS spot FROM e)
-SELECT question_id, CASE WHEN event IS NOT NULL AND spot > 0 THEN chr(CAST(64 + spot AS INTEGER)) END AS letter, event, threshold FROM f""")
+SELECT question_id, CASE WHEN event IS NOT NULL AND spot > 0 THEN chr(CAST(64 + spot AS INTEGER)) END AS letter, CASE WHEN event THEN 'yes' WHEN NOT event THEN 'no' END AS event, threshold FROM f""")
 def event_threshold(spark, sf_dir):
     users = series.table(spark, sf_dir, "events").select(F.col("user_id").alias("question_id")).distinct()
     rows = users.selectExpr("question_id", "question_id AS series_id", f"{_pick_sql(_EVENT_ASKS, 'question_id % 6')} AS question", f"split({_pick_sql(_EVENT_OPTIONS, 'CAST(floor(question_id / 6) AS BIGINT) % 6')}, '[|]') AS options")
-    return verify.event_head(rows, series.user_values(spark, sf_dir))
+    found = verify.event_head(rows, series.user_values(spark, sf_dir))
+    return found.withColumn("event", F.when(F.col("event"), "yes").when(~F.col("event"), "no"))
 
 
 # Questions are made of operands, forms and preambles, picked by a row's number: every rung, synonym, bare noun and form occurs, and phrases that no parser knows.

@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,7 +200,7 @@ def test_query_equals_sql(spark, sf_dir, name):
     got, want = queries.queries()[name](spark, sf_dir).toPandas(), con.execute(queries.oracle_sql()[name]).df()
     columns = sorted(got.columns)
     assert columns == sorted(want.columns) and len(got) == len(want)
-    key = lambda df: sorted(tuple("" if x is None or x != x else f"{x:.4f}" if isinstance(x, float) else str(x) for x in r) for r in df[columns].itertuples(index=False))
+    key = lambda df: sorted(tuple("" if pd.isna(x) else f"{x:.4f}" if isinstance(x, float) else str(x) for x in r) for r in df[columns].itertuples(index=False))
     assert key(got) == key(want)
 
 
