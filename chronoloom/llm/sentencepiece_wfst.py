@@ -32,7 +32,6 @@ import struct
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +48,6 @@ _TOKEN = re.compile(f"[ {META}]*[^ {META}]+|[ {META}]+")
 #: States of the normaliser: nothing but spaces so far, in a text, after a space that may have to go.
 BEGIN, TEXT, GAP = 0, 1, 2
 CACHE = 250_000
-KEPT = 50_000
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
 
 
@@ -352,12 +350,6 @@ class Encoder:
                 self.parts = {}
         return np.frombuffer(b"".join(paths), np.int32)
 
-    def rest(self) -> None:
-        """Between tasks only the words met first (so mostly common ones) are kept: workers live on through other stages."""
-        self.known, self.older, self.parts = dict(islice(self.known.items(), KEPT)), {}, {}
-        if len(self.machine.follows) > 8 * KEPT:
-            self.machine.follows.clear()
-
 
 def _run(docs: DataFrame, model: bytes, keep: list[str], row, schema: str) -> DataFrame:
     """``row(machine, text, ids)`` for every text (the last column), after the columns ``keep``."""
@@ -387,7 +379,6 @@ def _run(docs: DataFrame, model: bytes, keep: list[str], row, schema: str) -> Da
                     rows, size, a = [], 0, i + 1
             if rows:
                 yield out(rows, batch, a)
-        encoder.rest()
         release()
 
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
