@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, langid, lm, mixing, mpeg_audio, preference, sentencepiece_wfst, toxicity, url_reputation
+from . import exact_dedup, jaccard_join, langid, lm, mixing, mpeg_audio, preference, sentencepiece_wfst, spelling, toxicity, url_reputation
 from .url_reputation import SECOND_LEVEL, WILDCARD, Rule
 
 RULES = [
@@ -74,8 +74,12 @@ def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg_audio.media_features(mpeg_audio.media_column(_table(spark, sf_dir, "documents")))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op2_sentencepiece, op3_ngram_jaccard_join, op4_lm_scoring, op5_source_mixing, op6_toxicity, op7_url_reputation, op8_preference_chat, op9_exact_dedup, op10_mpeg_audio]
+    found = [op1_language_id, op2_sentencepiece, op3_ngram_jaccard_join, op4_lm_scoring, op5_source_mixing, op6_toxicity, op7_url_reputation, op8_preference_chat, op9_exact_dedup, op10_mpeg_audio, op11_spelling_variants]
     return {f.__name__: f for f in found}
 
 

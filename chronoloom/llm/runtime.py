@@ -56,10 +56,21 @@ def cut(df: DataFrame) -> DataFrame:
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a large intermediate table once, as Parquet in the shared folder, and read it back."""
+    return written(df, name)[0]
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As ``materialise``, with the table's path, so that it can be discarded when its successor is written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def parallelism(spark: SparkSession) -> int:
