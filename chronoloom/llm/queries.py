@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, langid, lm, mixing, mpeg_audio, preference, sentencepiece_wfst, spelling, toxicity, url_reputation
+from . import collocation, exact_dedup, jaccard_join, langid, lm, mixing, mpeg_audio, packing, preference, sentencepiece_wfst, spelling, toxicity, url_reputation
 from .url_reputation import SECOND_LEVEL, WILDCARD, Rule
 
 RULES = [
@@ -78,8 +78,18 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.packed_pieces(_table(spark, sf_dir, "documents"), packing.read_tokenizer())
+    length = F.expr("CAST(length(ids) DIV 4 AS BIGINT)")
+    return pieces.select("doc_id", "start", length.alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_id")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op2_sentencepiece, op3_ngram_jaccard_join, op4_lm_scoring, op5_source_mixing, op6_toxicity, op7_url_reputation, op8_preference_chat, op9_exact_dedup, op10_mpeg_audio, op11_spelling_variants]
+    found = [op1_language_id, op2_sentencepiece, op3_ngram_jaccard_join, op4_lm_scoring, op5_source_mixing, op6_toxicity, op7_url_reputation, op8_preference_chat, op9_exact_dedup, op10_mpeg_audio, op11_spelling_variants, op12_packing, op13_collocations]
     return {f.__name__: f for f in found}
 
 
@@ -206,4 +216,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_url_reputation": _URL_SQL,
         "op8_preference_chat": _CHAT_SQL,
         "op9_exact_dedup": _DEDUP_SQL,
+        "op13_collocations": collocation.COLLOCATION_SQL.replace("{docs}", "documents"),
     }
