@@ -514,6 +514,91 @@ def plan_eval(spark, sf_dir):
     return numeric.evaluate(numeric.parse(asked), series.user_values(spark, sf_dir))
 
 
+# Planner replies dealt by a number: plans of depth 0 to 3, with missing operands, divisions by zero, and plans outside the registry.
+_NESTED = (
+    '{"quantity": "std"}',
+    '{"op": "ratio", "args": [{"op": "subtract", "args": [{"quantity": "max"}, {"quantity": "min"}]}, {"quantity": "std"}]}',
+    '{"op": "abs_diff", "args": [{"op": "add", "args": [{"quantity": "mean"}, {"op": "product", "args": [{"quantity": "std"}, {"quantity": "slope"}]}]}, {"quantity": "percentile", "param": 12.5}]}',
+    '{"op": "ratio", "args": [{"quantity": "mean"}, {"op": "subtract", "args": [{"quantity": "var"}, {"quantity": "var"}]}]}',
+    '{"op": "add", "args": [{"quantity": "median", "series": "ts2"}, {"op": "ratio", "args": [{"quantity": "range"}, {"quantity": "argmax", "series": "ts2"}]}]}',
+    '{"op": "power", "args": [{"quantity": "mean"}, {"quantity": "std"}]}',
+    '{"op": "add", "args": [{"quantity": "mean"}]}',
+    '{"op": "product", "args": [{"op": "add", "args": [{"quantity": "bogus"}, {"quantity": "mean"}]}, {"quantity": "max"}]}',
+    '{"quantity": null}',
+    '{"op": "subtract", "args": [{"quantity": "percentile", "param": 90}, {"op": "add", "args": [{"quantity": "count_local_max"}, {"op": "abs_diff", "args": [{"quantity": "min"}, {"quantity": "median"}]}]}]}',
+    '{"op": "add", "args": [{"quantity": "percentile", "param": 101}, 3]}',
+    '{"op": "product", "args": [{"op": "power", "args": []}, {"quantity": "mean"}]}',
+)
+_REGISTERED = ", ".join(f"'{q}'" for q in numeric.REGISTRY)
+_OPS = ", ".join(f"'{op}'" for op in numeric.OPS)
+
+
+def _levels_sql(deepest: int) -> str:
+    """Values of plan nodes from the deepest level up: nodes of level d take those of d + 1."""
+    op = "json_extract_string(t.j, '$.op')"
+    out = []
+    for d in range(deepest, -1, -1):
+        child = lambda i, c: f"(SELECT {c} FROM level{d + 1} c WHERE c.id = t.id AND c.path = t.path || '{i}')" if d < deepest else "NULL"  # noqa: B023, E731
+        out.append(f"""level{d} AS (SELECT id, path, CASE WHEN bad IS NOT NULL THEN NULL WHEN NOT is_op THEN v ELSE CASE {op}
+    WHEN 'subtract' THEN a - b WHEN 'add' THEN a + b WHEN 'product' THEN a * b WHEN 'ratio' THEN CASE WHEN b <> 0 THEN a / b END ELSE abs(a - b) END END AS v,
+  CASE WHEN bad IS NOT NULL THEN bad WHEN NOT is_op THEN leaf_note WHEN a IS NULL OR b IS NULL THEN 'composition:operand_unavailable'
+    WHEN {op} = 'ratio' AND b = 0 THEN 'composition:divzero' ELSE 'composition:' || {op} END AS note,
+  coalesce(ar, br, CASE WHEN bad IS NOT NULL THEN bad WHEN NOT is_op AND v IS NULL THEN leaf_note WHEN is_op AND {op} = 'ratio' AND b = 0 THEN 'composition:divzero' END) AS reason
+  FROM (SELECT t.*, {child(0, "v")} AS a, {child(1, "v")} AS b, {child(0, "reason")} AS ar, {child(1, "reason")} AS br FROM leaves t WHERE length(path) = {d}) t)""")
+    return ", ".join(out)
+
+
+_NESTED_SQL = f"""WITH RECURSIVE {_PTS}, near AS (SELECT *, lag(value) OVER s AS p, lead(value) OVER s AS f FROM pts WINDOW s AS (PARTITION BY series_id ORDER BY pos)),
+st AS (SELECT series_id, avg(value) AS mean, median(value) AS median, stddev_pop(value) AS std, var_pop(value) AS var, min(value) AS min, max(value) AS max, max(value) - min(value) AS range,
+  regr_slope(value, pos) AS slope, CAST(arg_max(pos, value) AS DOUBLE) AS argmax, CAST(count(*) FILTER (value > p AND value > f) AS DOUBLE) AS count_local_max,
+  quantile_cont(value, 0.9) AS "p90.0", quantile_cont(value, 0.125) AS "p12.5" FROM near GROUP BY series_id),
+every AS (UNPIVOT st ON COLUMNS(* EXCLUDE series_id) INTO NAME quantity VALUE value),
+q AS (SELECT user_id AS id, CAST({_pick_sql(_NESTED, f"user_id % {len(_NESTED)}")} AS JSON) AS j FROM (SELECT DISTINCT user_id FROM events)),
+t AS (SELECT id, '' AS path, j FROM q UNION ALL
+  SELECT id, path || CAST(i AS VARCHAR), json_extract(j, '$.args[' || i || ']') FROM t, range(2) r(i)
+  WHERE json_type(j) = 'OBJECT' AND json_extract_string(j, '$.op') IN ({_OPS}) AND json_array_length(j, '$.args') = 2),
+said AS (SELECT *, json_type(j) = 'OBJECT' AND json_extract(j, '$.op') IS NOT NULL AS is_op, json_extract_string(j, '$.quantity') AS quantity, json_extract_string(j, '$.param') AS param,
+  CASE WHEN json_type(j) <> 'OBJECT' THEN 'invalid_plan' WHEN json_extract(j, '$.op') IS NOT NULL AND json_extract_string(j, '$.op') NOT IN ({_OPS}) THEN 'invalid_op:' || json_extract_string(j, '$.op')
+    WHEN json_extract(j, '$.op') IS NOT NULL AND json_array_length(j, '$.args') <> 2 THEN 'composition:arity'
+    WHEN json_extract(j, '$.op') IS NULL AND (json_extract(j, '$.quantity') IS NULL OR json_type(j, '$.quantity') = 'NULL') THEN 'invalid_leaf' END AS bad FROM t),
+chosen AS (SELECT said.*, CASE WHEN json_extract_string(j, '$.series') = 'ts2' AND st.series_id IS NOT NULL THEN id + 1 ELSE id END AS of FROM said LEFT JOIN st ON st.series_id = id + 1),
+leaves AS (SELECT c.*, e.value AS v, CASE WHEN c.quantity = 'slope' THEN 'regression:ols' WHEN c.quantity LIKE 'count_local%' THEN 'method_sensitive:strict_interior'
+    WHEN c.quantity = 'percentile' AND CAST(param AS DOUBLE) > 100 THEN 'error:percentile' WHEN c.quantity IN ({_REGISTERED}) THEN 'closed_form' ELSE 'unknown_quantity' END AS leaf_note
+  FROM chosen c LEFT JOIN every e ON e.series_id = of AND e.quantity = CASE WHEN c.quantity = 'percentile' THEN 'p' || CAST(CAST(param AS DOUBLE) AS VARCHAR) ELSE c.quantity END),
+{_levels_sql(3)},
+formed AS (SELECT id, count(*) FILTER (bad IS NOT NULL OR (NOT is_op AND quantity NOT IN ({_REGISTERED}))) = 0 AS well_formed, count(*) AS n_nodes FROM said GROUP BY id)
+SELECT id AS question_id, well_formed, n_nodes, round(v, 6) AS value, note, reason FROM level0 JOIN formed USING (id)"""
+
+
+@query(_NESTED_SQL)
+def nested_plan_eval(spark, sf_dir):
+    """Planner replies with plans inside plans, found in prose and run over each user's series and the next user's."""
+    users = series.table(spark, sf_dir, "events").select(F.col("user_id").alias("question_id")).distinct()
+    plan = _pick_sql(_NESTED, f"question_id % {len(_NESTED)}")
+    said = users.selectExpr("question_id", "question_id AS series_id", "question_id + 1 AS series_2_id", f"concat('Plan: ', {plan}, ' or else {{\"quantity\": \"min\"}}.') AS reply")
+    read = said.withColumn("nodes", numeric.plan_nodes(numeric.first_object(F.col("reply"))))
+    done = numeric.evaluate_nodes(read, series.user_values(spark, sf_dir))
+    return done.select("question_id", numeric.well_formed(F.col("nodes")).alias("well_formed"), F.size("nodes").cast("long").alias("n_nodes"), "value", "note", "reason")
+
+
+_FALLBACK = (
+    "conv_id", "turn", f"CASE WHEN turn % 3 = 0 THEN 'How concentrated is it?' ELSE {_question_sql('conv_id * 8 + turn', _OPERANDS)} END AS question",
+    f"{_pick_sql((*_NESTED, 'no plan'), f'(conv_id + turn) % {len(_NESTED) + 1}')} AS reply",
+)
+#: Nodes of the plans above that are of the registry, by their number.
+_WELL_FORMED = {0: 1, 1: 5, 2: 7, 3: 5, 4: 5, 9: 7}
+
+
+@query(f"""WITH {_parsed_sql(f"SELECT {', '.join(_FALLBACK)} FROM conversations")}, a AS (SELECT *, (conv_id + turn) % {len(_NESTED) + 1} AS k, CASE WHEN op IS NOT NULL THEN 3 WHEN left_q IS NOT NULL THEN 1 END AS own FROM plans)
+SELECT conv_id, turn, CASE WHEN own IS NULL THEN 'llm_planner' ELSE 'deterministic' END AS parser, own IS NULL AS planner_asked,
+  CAST(coalesce(own, CASE k {' '.join(f"WHEN {k} THEN {n}" for k, n in _WELL_FORMED.items())} END) AS BIGINT) AS n_nodes FROM a""")
+def planner_fallback(spark, sf_dir):
+    """The third arm: planner replies are read only where the parser abstains."""
+    asked = series.table(spark, sf_dir, "conversations").selectExpr(*_FALLBACK)
+    done = numeric.with_planner(numeric.parse(asked))
+    return done.select("conv_id", "turn", "parser", "planner_asked", F.when(F.col("nodes").isNotNull(), F.size("nodes")).cast("long").alias("n_nodes"))
+
+
 @query("""WITH s AS (SELECT user_id AS u, avg(value) AS gold, median(value) AS predicted FROM events GROUP BY 1)
 SELECT u AS series_id, round(gold, 6) AS gold, round(predicted, 6) AS predicted, CASE WHEN abs(predicted - gold) / abs(gold) <= 0.1 THEN 1 ELSE 0 END AS correct,
   round(greatest(1 - abs(predicted - gold) / abs(gold), 0), 6) AS rel_acc FROM s""")

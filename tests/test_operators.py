@@ -135,11 +135,45 @@ def test_typo_query_against_plain_loop(spark, sf_dir):
 
 
 def test_plans_from_outside(spark):
-    assert numeric.validate_plan({"op": "ratio", "args": [{"quantity": "std"}, {"op": "add", "args": [{"quantity": "min"}, {"quantity": "slope"}]}]})
-    assert not numeric.validate_plan({"op": "power", "args": [{"quantity": "std"}, {"quantity": "mean"}]}) and not numeric.validate_plan({"quantity": "skewness"}) and not numeric.validate_plan([])
-    said = ['{"quantity": "std", "series": "ts2"}', '{"op": "ratio", "args": [{"quantity": "max"}, {"quantity": "percentile", "param": 90}]}', '{"op": "ratio", "args": [{"quantity": "max"}]}', "none", None]
-    got = [r["p"] for r in spark.createDataFrame([(s,) for s in said], "s string").select(numeric.planned(F.col("s")).alias("p")).collect()]
-    assert got[0]["left_q"] == "std" and got[0]["series"] == "ts2" and tuple(got[1])[:5] == ("ratio", "max", None, "percentile", 90.0) and got[2:] == [None] * 3
+    deep = '{"quantity": "mean"}'
+    for _ in range(12):
+        deep = f'{{"op": "add", "args": [{deep}, {{"quantity": "min"}}]}}'
+    said = [
+        'Sure: {"op":"ratio","args":[{"quantity":"max"},{"op":"subtract","args":[{"quantity":"mean"},{"quantity":"mean"}]}]} {', '{"quantity": "std", "series": "ts2"}',
+        '{"op": "ratio", "args": [{"quantity": "max"}]}', '{"quantity": "skewness"}', '{"op": "power", "args": [{"quantity": "std"}, {"quantity": "mean"}]}', "none", None, "", "{", "{bad}",
+        '{"op": null, "args": []}', '{"quantity": "percentile", "param": "90"}', '{"op": "add", "args": [1, {"quantity": "max"}]}', deep, '{"a": "}', '{"quantity": ["std"]}',
+    ]
+    schema = "question_id long, series_id long, series_2_id long, reply string"
+    rows = spark.createDataFrame([(i, 1, 2, s) for i, s in enumerate(said)] + [(1, 7, 7, said[1])], schema).withColumn("nodes", numeric.plan_nodes(numeric.first_object(F.col("reply"))))
+    pts = spark.createDataFrame([(1, i, v) for i, v in enumerate([3.0, 5.0, 5.0, 1.0, float("nan")])] + [(2, 0, 4.0)], "series_id long, pos long, value double")
+    got = {(r["question_id"], r["series_id"]): r for r in numeric.evaluate_nodes(rows, pts).collect()}
+    told = {k[0]: (r["value"], r["note"], r["reason"]) for k, r in got.items() if k[1] == 1}
+    assert told[0] == (None, "composition:divzero", "composition:divzero")
+    assert told[1] == (0.0, "closed_form", None) and tuple(got[1, 7])[-3:] == (None, "no_series", "no_series")
+    assert told[2][1:] == ("composition:arity",) * 2 and told[3][1] == "closed_form" and told[4][1:] == ("invalid_op:power",) * 2
+    assert {told[i] for i in (5, 6, 7, 8, 9, 14)} == {(None, "abstain", "abstain")}
+    assert told[10][1] == "invalid_op:null" and told[11] == (None, "error:percentile", "error:percentile")
+    assert told[12] == (None, "composition:operand_unavailable", "invalid_plan") and told[15][1] == "unknown_quantity"
+    assert told[13] == (3.5 + 12 * 1.0, "composition:add", None)
+    fit = [r[0] for r in rows.filter("series_id = 1").orderBy("question_id").select(numeric.well_formed(F.col("nodes"))).collect()]
+    assert [i for i, ok in enumerate(fit) if ok] == [0, 1, 11, 13]
+    assert numeric.evaluate_nodes(rows.limit(0), pts).count() == 0
+    assert [r["value"] for r in numeric.evaluate_nodes(rows, pts.limit(0)).filter("value IS NOT NULL").collect()] == []
+
+
+def test_evidence_goes_before_slope_and_period(spark):
+    rows = spark.createDataFrame([(1, 1, 1, "slope", {"slope": 2.5}), (2, 1, 1, "period", {"dominant_period_fft": 8.0}), (3, 1, 1, "period", None), (4, 1, 1, "slope", {})], "question_id long, series_id long, series_2_id long, q string, evidence map<string,double>")
+    rows = rows.withColumn("nodes", numeric.plan_nodes(F.format_string('{"quantity": "%s"}', "q")))
+    wave = [0.0, 1.0, 0.0, -1.0] * 4
+    pts = spark.createDataFrame([(1, i, v) for i, v in enumerate(wave)], "series_id long, pos long, value double")
+    got = {r["question_id"]: (r["value"], r["note"]) for r in numeric.evaluate_nodes(rows, pts).collect()}
+    assert got[1] == (2.5, "regression:branch") and got[2] == (8.0, "method_sensitive:branch:dominant_period_fft") and got[3] == (4.0, "method_sensitive:fft")
+    assert got[4][0] == pytest.approx(np.polyfit(range(16), wave, 1)[0]) and got[4][1] == "regression:ols"
+
+
+def test_words_are_repaired_by_nearness():
+    assert numeric.corrected("the varaince, medain and avrage of it") == "the variance, median and average of it"
+    assert numeric.corrected("mean men 12 skewness_x concentrated") == "mean men 12 skewness_x concentrated"
 
 
 def test_answers(spark):
