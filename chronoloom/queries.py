@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.operators import anomaly, branches, experiment, kernels, local, pairwise, replies, reports, spectral, stats, trend, verify
+from chronoloom.functions import guards
+from chronoloom.operators import anomaly, branches, experiment, kernels, local, loops, pairwise, replies, reports, spectral, stats, trend, verify
 from chronoloom.plans import numeric
 from chronoloom.sources import ingest, series
 
@@ -1472,3 +1473,133 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_sql)
+
+
+# ---- loops over evidence: the branches are run on users' series, routes and proposals are dealt by a number.
+_LOOP_REPLIES = (
+    '{"branch": "trend", "scope": "global"}', 'no JSON', '{"branch": "anomaly", "scope": "local"}', '{"branch": "similarity"}', '{"branch": "periodicity"}', '{"branch": "noise"}', '{"branch": "causality"}',
+)
+_LOOP_ACTIONS = (
+    '{"action": "trend", "reason": "r"}', '{"action": "vision", "reason": "look"}', 'no JSON', '{"action": "numeric_head", "reason": "exact"}', '{"action": "noise", "reason": "test"}',
+    '{"action": "periodicity", "reason": "r"}', '{"action": "anomaly", "reason": ""}', '{"action": "causality", "reason": "lag"}', '{"action": "similarity", "reason": "r"}',
+)
+_LOOP_BRANCHES = ("trend", "periodicity", "anomaly", "noise", "similarity", "causality")
+_ENABLED, _LOOPING, _TRIGGERS = ("trend", "anomaly", "noise", "similarity", "causality"), ("trend", "noise", "causality", "anomaly"), ("low_r2", "evidence_incomplete", "weak_correlation")
+
+
+def _loop_runner(spark, sf_dir):
+    """A runner of branches over users' series: a fit for trend and causality, deviations for anomaly, nothing for noise, no answer for similarity."""
+    points = series.user_values(spark, sf_dir)
+    fit = points.groupBy("series_id").agg(
+        guards.r_squared(F.col("value"), F.col("pos")).alias("r2"), guards.slope(F.col("value"), F.col("pos")).alias("slope"), guards.correlation(F.col("pos"), F.col("value")).alias("corr"), F.count("*").alias("n")
+    )
+    fit = fit.filter("n >= 3").select(F.col("series_id").alias("question_id"), "r2", "slope", "corr")
+
+    def run(asked):
+        on = asked.filter("branch != 'similarity'").join(fit, "question_id")
+        is_ = lambda b: F.col("branch") == b
+        flag = (
+            F.when(is_("trend") & (F.col("r2") < 0.65), "low_r2").when(is_("noise"), "evidence_incomplete").when(is_("causality") & (F.abs("corr") < 0.2), "weak_correlation")
+            .when(is_("periodicity") & (F.col("question_id") % 2 == 1), "fft_unreliable")
+        )
+        has = lambda *pairs: F.create_map(*[x for k, v in pairs for x in (F.lit(k), v.cast("string"))])
+        evidence = (
+            F.when(is_("trend"), has(("slope", F.col("slope")), ("direction", F.lit("up")), ("r2", F.col("r2")))).when(is_("anomaly"), has(("outlier_count", F.lit(0)), ("max_deviation", F.col("slope"))))
+            .when(is_("causality"), has(("best_corr", F.col("corr")))).otherwise(F.create_map().cast("map<string,string>"))
+        )
+        return on.select("question_id", F.array_compact(F.array(flag)).alias("flags"), evidence.alias("evidence"))
+
+    return fit.select("question_id"), run
+
+
+def _loop_rows(spark, sf_dir):
+    users, run = _loop_runner(spark, sf_dir)
+    rows = users.selectExpr("question_id", f"{_pick_sql(_ROUTE_ASKS, 'question_id % 12')} AS question", f"{_pick_sql(_LOOP_BRANCHES, 'CAST(floor(question_id / 3) AS BIGINT) % 6')} AS branch", "'global' AS scope")
+    first = rows.join(run(rows.select("question_id", "branch", "scope")), "question_id", "left")
+    flags = F.coalesce("flags", F.array(F.lit("branch_error")))
+    return first.withColumns({"flags": flags, "evidence": F.coalesce("evidence", F.create_map().cast("map<string,string>"))}), run
+
+
+_LOOP_SQL = f"""WITH {_PTS}, fit AS (SELECT series_id AS id, CASE WHEN var_pop(value) > 0 THEN regr_r2(value, pos) ELSE 0 END AS r2, corr(pos, value) AS c FROM pts GROUP BY series_id HAVING count(*) >= 3),
+ev AS (SELECT id, b AS branch, CASE WHEN b = 'trend' AND r2 < 0.65 THEN ['low_r2'] WHEN b = 'noise' THEN ['evidence_incomplete'] WHEN b = 'causality' AND abs(c) < 0.2 THEN ['weak_correlation']
+    WHEN b = 'periodicity' AND id % 2 = 1 THEN ['fft_unreliable'] WHEN b = 'similarity' THEN ['branch_error'] ELSE CAST([] AS VARCHAR[]) END AS flags,
+  round(CASE b WHEN 'trend' THEN 0.35 + 0.3 * (1 - CASE WHEN r2 < 0.65 THEN 0.12 ELSE 0 END) + 0.2 * CASE WHEN r2 >= 0.75 THEN 1 WHEN r2 >= 0.5 THEN 0.7 ELSE 0.4 END
+    WHEN 'anomaly' THEN 0.35 * 2 / 3 + 0.5 WHEN 'noise' THEN 0.3 * 0.7 + 0.2 WHEN 'periodicity' THEN 0.3 * (1 - CASE WHEN id % 2 = 1 THEN 0.12 ELSE 0 END) + 0.2 WHEN 'similarity' THEN 0.5
+    ELSE 0.35 / 5 + 0.3 * (1 - CASE WHEN abs(c) < 0.2 THEN 0.12 ELSE 0 END) + 0.2 * least(1, abs(c) * 2) END, 4) AS score
+  FROM fit, (SELECT unnest([{', '.join(f"'{b}'" for b in _LOOP_BRANCHES)}]) AS b)),
+rows AS (SELECT id, {_pick_sql(_ROUTE_ASKS, 'id % 12')} AS question, {_pick_sql(_LOOP_BRANCHES, 'CAST(floor(id / 3) AS BIGINT) % 6')} AS branch FROM fit),
+s0 AS (SELECT rows.*, flags, score FROM rows JOIN ev USING (id, branch))"""
+_in = lambda known: "(" + ", ".join(f"'{x}'" for x in known) + ")"
+_ROUTE_TO = f"CASE (id + {{turn}}) % 7 {' '.join(f"WHEN {i} THEN '{b}'" for i, b in ((0, 'trend'), (2, 'anomaly'), (3, 'similarity'), (4, 'periodicity'), (5, 'noise'), (6, 'causality')))} END"
+
+
+def _reroute_sql(most: int) -> str:
+    trigger = f"list_filter(flags, lambda x: x IN {_in(_TRIGGERS)})"
+    out = f"""r0 AS (SELECT id, branch, flags, used, used AS onn, 0 AS depth, CASE WHEN used THEN trig END AS trig, CASE WHEN used THEN branch END AS original, CAST(NULL AS VARCHAR) AS error, CAST(NULL AS VARCHAR) AS stopped
+  FROM (SELECT *, {trigger} AS trig, branch IN {_in(_LOOPING)} AND len({trigger}) > 0 AS used FROM s0))"""
+    for turn in range(most):
+        last = "true" if turn + 1 == most else "false"
+        out += f""", a{turn} AS (SELECT r.*, {_ROUTE_TO.format(turn=turn)} AS target, (id + {turn}) % 11 = 10 AS lost FROM r{turn} r),
+b{turn} AS (SELECT *, CASE WHEN NOT onn THEN NULL WHEN lost THEN 'reroute_exception' WHEN target IS NULL THEN 'reroute_parse_failed' WHEN target <> branch AND target NOT IN {_in(_ENABLED)} THEN 'branch_' || target || '_disabled'
+    WHEN target <> branch AND target = 'similarity' THEN 'branch_error' END AS err FROM a{turn}),
+c{turn} AS (SELECT b.*, onn AND err IS NULL AND target = b.branch AS same, onn AND err IS NULL AND target <> b.branch AS moved, ev.flags AS nf, list_filter(ev.flags, lambda x: x IN {_in(_TRIGGERS)}) AS nt
+  FROM b{turn} b LEFT JOIN ev ON ev.id = b.id AND ev.branch = target),
+r{turn + 1} AS (SELECT id, CASE WHEN moved THEN target ELSE branch END AS branch, CASE WHEN moved THEN nf ELSE flags END AS flags, used, moved AND len(nt) > 0 AND NOT {last} AND target IN {_in(_LOOPING)} AS onn,
+  CASE WHEN moved THEN {turn + 1} ELSE depth END AS depth, CASE WHEN moved AND len(nt) > 0 THEN nt ELSE trig END AS trig, original, coalesce(error, err) AS error,
+  CASE WHEN same THEN 'same_branch_noop' WHEN moved AND len(nt) > 0 AND {last} THEN 'max_depth' ELSE stopped END AS stopped FROM c{turn})"""
+    return f"""{_LOOP_SQL}, {out} SELECT id AS question_id, branch, array_to_string(flags, ',') AS flags, used AS loop_used, CAST(depth AS BIGINT) AS loop_depth, array_to_string(trig, ',') AS loop_trigger_flags,
+  original AS loop_original_branch, CASE WHEN used THEN branch END AS loop_final_branch, error AS loop_error, stopped AS loop_stopped FROM r{most}"""
+
+
+@query(_reroute_sql(2))
+def loop_reroute(spark, sf_dir):
+    """Rows with trigger flags ask for another route twice at most; one reply in eleven is lost."""
+    rows, run = _loop_rows(spark, sf_dir)
+    reply = f"CASE WHEN (question_id + turn) % 11 <> 10 THEN {_pick_sql(_LOOP_REPLIES, '(question_id + turn) % 7')} END AS reply"
+    done = loops.reroute(rows, lambda asked: asked.selectExpr("question_id", reply), run, _ENABLED, _LOOPING, _TRIGGERS, most=2)
+    joined = {c: F.array_join(c, ",") for c in ("flags", "loop_trigger_flags")}
+    return done.withColumns({**joined, "loop_depth": F.col("loop_depth").cast("long")}).drop("question", "scope", "evidence")
+
+
+def _refine_sql(most: int, threshold: float) -> str:
+    usable = _in([b for b in _LOOPING if b in _ENABLED])
+    out = f"""k0 AS (SELECT s.id, s.branch, s.flags, CASE WHEN branch IN {_in(_LOOPING)} THEN score END AS score, CAST([] AS VARCHAR[]) AS used, CASE WHEN branch IN {_in(_LOOPING)} THEN [score] END AS trace,
+  string_split({_routes_sql('question', 'branch').replace('[1:3]', f'[1:{most + 1}]')}, ',') AS words FROM s0 s)"""
+    for i in range(most + 1):
+        out += f""", k{i + 1} AS (SELECT k.id, k.branch, CASE WHEN ask THEN list_concat(k.flags, list_filter(ev.flags, lambda x: NOT list_contains(k.flags, x))) ELSE k.flags END AS flags,
+  CASE WHEN ask THEN greatest(k.score, ev.score) ELSE k.score END AS score, CASE WHEN ask THEN list_append(used, words[{i + 1}]) ELSE used END AS used, CASE WHEN ask THEN list_append(trace, greatest(k.score, ev.score)) ELSE trace END AS trace, words
+  FROM (SELECT *, coalesce(score < {threshold} AND len(used) < {most - 1} AND words[{i + 1}] IN {usable} AND words[{i + 1}] <> branch, false) AS ask FROM k{i}) k LEFT JOIN ev ON ev.id = k.id AND ev.branch = words[{i + 1}])"""
+    return f"""{_LOOP_SQL}, {out} SELECT id AS question_id, branch, array_to_string(flags, ',') AS flags, score AS quality_score, len(used) > 0 AS refine_fired, array_to_string(used, ',') AS refine_branches,
+  array_to_string(list_transform(trace, lambda x: CAST(CAST(round(x * 10000) AS BIGINT) AS VARCHAR)), ',') AS trace FROM k{most + 1}"""
+
+
+@query(_refine_sql(3, 0.75))
+def loop_refine(spark, sf_dir):
+    """Rows of weak evidence add that of branches which their question's words name, at most two."""
+    rows, run = _loop_rows(spark, sf_dir)
+    done = loops.refine(rows, run, _ENABLED, _LOOPING, most=3, threshold=0.75)
+    trace = F.array_join(F.transform("refine_quality_trace", lambda x: F.round(x * 10000).cast("long").cast("string")), ",")
+    return done.select("question_id", "branch", F.array_join("flags", ",").alias("flags"), "quality_score", "refine_fired", F.array_join("refine_branches", ",").alias("refine_branches"), trace.alias("trace"))
+
+
+def _propose_sql(most: int, threshold: float) -> str:
+    out = f"p0 AS (SELECT id, branch, flags, CASE WHEN branch IN {_in(_LOOPING)} THEN score END AS score, CAST([] AS VARCHAR[]) AS done, CAST([] AS VARCHAR[]) AS fell, branch IN {_in(_LOOPING)} AND score < {threshold} AS onn FROM s0)"
+    actions = ((0, "trend"), (1, "vision"), (3, "numeric_head"), (4, "noise"), (5, "periodicity"), (7, "causality"), (8, "similarity"))
+    for turn in range(most):
+        action = f"CASE (id + {turn} * 5) % 9 {' '.join(f"WHEN {i} THEN '{a}'" for i, a in actions)} END"
+        out += f""", q{turn} AS (SELECT *, CASE WHEN NOT onn THEN NULL WHEN (id + {turn}) % 13 = 12 THEN 'proposer_exception' WHEN act IS NULL THEN 'invalid_proposal' WHEN act = branch OR list_contains(done, act) THEN 'already_run:' || act
+    WHEN act = 'numeric_head' THEN 'numeric_head_unavailable_on_mcq' WHEN act <> 'vision' AND act NOT IN {_in(_ENABLED)} THEN 'action_disabled:' || act END AS fb FROM (SELECT *, {action} AS act FROM p{turn})),
+p{turn + 1} AS (SELECT q.id, q.branch, CASE WHEN onn AND fb IS NULL AND act <> 'vision' THEN list_concat(q.flags, list_filter(ev.flags, lambda x: NOT list_contains(q.flags, x))) ELSE q.flags END AS flags, q.score,
+  CASE WHEN onn AND fb IS NULL THEN list_append(done, act) ELSE done END AS done, CASE WHEN fb IS NOT NULL THEN list_append(fell, fb) ELSE fell END AS fell, onn AND fb IS NULL AS onn
+  FROM q{turn} q LEFT JOIN ev ON ev.id = q.id AND ev.branch = act)"""
+    return f"""{_LOOP_SQL}, {out} SELECT id AS question_id, branch, array_to_string(flags, ',') AS flags, score AS propose_quality_score, len(done) > 0 AS propose_fired, array_to_string(done, ',') AS propose_executed,
+  list_contains(done, 'vision') AS propose_force_vision, array_to_string(fell, ',') AS propose_fallbacks FROM p{most}"""
+
+
+@query(_propose_sql(2, 0.75))
+def loop_propose(spark, sf_dir):
+    """Rows of weak evidence ask a proposer twice at most; one reply in thirteen is lost."""
+    rows, run = _loop_rows(spark, sf_dir)
+    reply = f"CASE WHEN (question_id + turn) % 13 <> 12 THEN {_pick_sql(_LOOP_ACTIONS, '(question_id + turn * 5) % 9')} END AS reply"
+    done = loops.propose_actions(rows, lambda asked: asked.selectExpr("question_id", reply), run, _ENABLED, _LOOPING, most=2, threshold=0.75)
+    return done.withColumns({c: F.array_join(c, ",") for c in ("flags", "propose_executed", "propose_fallbacks")}).drop("question", "scope", "evidence")
