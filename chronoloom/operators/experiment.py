@@ -140,26 +140,40 @@ def resume(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return todo.join(done.select(key), key, "left_anti")
 
 
-def leave_one_subset_out(rows: DataFrame, thresholds: int = 61) -> DataFrame:
-    """For each subset the threshold that is best on the others, and its gain on the subset.
+def _held_out(rows: DataFrame) -> DataFrame:
+    """``fold, branch, g, n, mean``: gains of a branch in a subset, and its mean gain in all others (null: not met there).
 
-    ``rows`` has ``subset, branch, gain`` (+1, 0, -1 for following a branch); a branch is followed
-    where its mean gain on the other subsets is at least the threshold.
+    ``rows`` has ``subset, branch, gain`` (+1, 0, -1 for following a branch).  A fold without other rows is left out.
     """
     per = rows.groupBy("subset", "branch").agg(F.sum("gain").alias("g"), F.count("*").alias("n"))
     # What the other subsets have is the total less the own; branches are few, so their totals are one row.
-    totals = per.groupBy("branch").agg(F.sum("g").alias("g"), F.sum("n").alias("n")).agg(F.collect_list(F.struct("branch", "g", "n")).alias("all"))
-    own = per.groupBy(F.col("subset").alias("fold")).agg(F.map_from_entries(F.collect_list(F.struct("branch", F.struct("g", "n")))).alias("own"))
-    others = own.join(F.broadcast(totals)).select("fold", "own", F.explode("all").alias("t"))
-    mine = lambda c: F.coalesce(F.try_element_at("own", F.col("t.branch"))[c], F.lit(0))
-    others = others.select("fold", "t.branch", (F.col("t.g") - mine("g")).alias("g"), (F.col("t.n") - mine("n")).alias("n")).filter("n > 0")
-    grid = others.select("fold", "branch", "g", (F.col("g") / F.col("n")).alias("mean"), F.explode(F.sequence(F.lit(0), F.lit(thresholds - 1))).alias("i"))
-    grid = grid.withColumn("tau", (F.col("i") - (thresholds - 1) // 2) / F.lit(100.0))
-    scored = grid.groupBy("fold", "i", "tau").agg(F.sum(F.when(F.col("mean") >= F.col("tau"), F.col("g")).otherwise(0)).alias("total"))
-    best = scored.groupBy("fold").agg(F.max(F.struct("total", (-F.col("i")).alias("j"), "tau")).alias("b")).select("fold", F.col("b.tau").alias("tau"))
-    held = per.withColumnRenamed("subset", "fold").join(best, "fold").join(others.select("fold", "branch", (F.col("g") / F.col("n")).alias("mean")), ["fold", "branch"], "left")
-    follow = F.col("mean").isNull() | (F.col("mean") >= F.col("tau"))
-    return held.groupBy("fold", "tau").agg(F.sum(F.when(follow, F.col("g")).otherwise(0)).alias("gain"), F.sum("n").alias("n"))
+    totals = per.groupBy("branch").agg(F.sum("g").alias("g"), F.sum("n").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("branch", F.struct("g", "n")))).alias("all"), F.sum("n").alias("rows"))
+    folds = per.groupBy(F.col("subset").alias("fold")).agg(F.collect_list(F.struct("branch", "g", "n")).alias("own"), F.sum("n").alias("held"))
+    told = folds.join(F.broadcast(totals)).filter("held < rows").select("fold", "all", F.explode("own").alias("o"))  # one row of totals
+    of = F.try_element_at("all", F.col("o.branch"))
+    rest = of["n"] - F.col("o.n")
+    return told.select("fold", "o.branch", "o.g", "o.n", F.when(rest > 0, (of["g"] - F.col("o.g")) / rest).alias("mean"))
+
+
+def tau_curve(rows: DataFrame, thresholds: int = 61) -> DataFrame:
+    """``tau, gain, look_rate``: for each threshold, following the branches whose mean gain on the other subsets is above it, or that
+    are not met there: gain and share of followed rows a held-out row, as means over the subsets."""
+    grid = _held_out(rows).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(thresholds - 1)))).withColumn("tau", (F.col("i") - (thresholds - 1) // 2) / F.lit(100.0))
+    fires = F.col("mean").isNull() | (F.col("mean") > F.col("tau"))
+    share = lambda c: F.sum(F.when(fires, F.col(c)).otherwise(0)) / F.sum("n")
+    folds = grid.groupBy("fold", "tau").agg(share("g").alias("gain"), share("n").alias("look_rate"))
+    return folds.groupBy("tau").agg(F.avg("gain").alias("gain"), F.avg("look_rate").alias("look_rate"))
+
+
+def tau_rule(rows: DataFrame, thresholds: int = 61) -> DataFrame:
+    """``branch, n, mean, tau, fires``: the threshold is 0 if it lies between the lowest and the highest of best gain, else the lowest of
+    these; a branch fires if its mean gain over all rows is above it.  Without a second subset there is no curve and tau is null."""
+    curve = tau_curve(rows, thresholds)
+    best = curve.agg(F.max("gain").alias("best"))
+    basin = curve.join(F.broadcast(best)).filter(F.abs(F.col("gain") - F.col("best")) < 1e-9).agg(F.min("tau").alias("low"), F.max("tau").alias("high"))  # one row
+    tau = basin.select(F.when((F.col("low") <= 0) & (F.col("high") >= 0), 0.0).otherwise(F.col("low")).alias("tau"))
+    pooled = rows.groupBy("branch").agg(F.count("*").alias("n"), F.avg(F.col("gain").cast("double")).alias("mean"))
+    return pooled.join(F.broadcast(tau)).select("branch", "n", "mean", "tau", (F.col("mean") > F.col("tau")).alias("fires"))
 
 
 def normal_label(text: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Reports over result tables: metrics, rollups, audits, verdicts and resampling, as aggregates."""
+"""Reports over result tables: metrics, rollups, audits, verdicts, as aggregates."""
 
 from __future__ import annotations
 
@@ -9,10 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronoloom.functions.guards import ratio
-from chronoloom.operators.experiment import cluster_bootstrap, mcnemar_p
-
-#: Hash groups that rows are resampled by: what is drawn is groups times repetitions, never rows.
-GROUPS = 1000
+from chronoloom.operators.experiment import mcnemar_p
+from chronoloom.operators.resampling import paired_bootstrap
 
 
 def truthy(value: Column, wide: bool = True) -> Column:
@@ -81,39 +79,12 @@ def routing_audit(rows: DataFrame) -> DataFrame:
     return sets.select(level.alias("level"), *keys, "n")
 
 
-def grouped(rows: DataFrame, key: Column, base: str = "correct", treatment: str = "correct_t") -> DataFrame:
-    """Rows in at most ``GROUPS`` groups by md5 of their key, for resampling."""
-    group = F.pmod(F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(GROUPS))
-    return rows.select(group.alias("g"), F.col(base).alias("correct"), F.col(treatment).alias("correct_t"))
-
-
-def paired_bootstrap(rows: DataFrame, key: Column, reps: int = 200, seed: str = "pair") -> DataFrame:
-    """Percentile interval of the arms' difference; rows are resampled by hash groups."""
-    return cluster_bootstrap(grouped(rows, key), "g", reps, seed)
-
-
-def single_bootstrap(rows: DataFrame, key: Column, value: str, reps: int = 200, seed: str = "one") -> DataFrame:
-    """The same for the mean of one column."""
-    return cluster_bootstrap(grouped(rows.withColumn("__zero", F.lit(0)), key, "__zero", value), "g", reps, seed)
-
-
-def paired_permutation(rows: DataFrame, key: Column, reps: int = 200, seed: str = "flip") -> DataFrame:
-    """``observed, p``: share of sign flips (by hash groups) whose mean difference is at least as large, (count + 1) / (reps + 1)."""
-    per = grouped(rows, key).groupBy("g").agg(F.sum(F.col("correct_t") - F.col("correct")).alias("d"), F.count("*").alias("n"))
-    flips = per.select("g", "d", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    bit = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "rep", "g").cast("binary")), 1, 8), 16, 10).cast("long") % 2
-    sums = flips.groupBy("rep").agg(F.abs(F.sum(F.when(bit == 0, F.col("d")).otherwise(-F.col("d")))).alias("s"))
-    total = per.agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
-    both = sums.join(F.broadcast(total)).agg(F.max("d").alias("d"), F.max("n").alias("n"), F.count_if(F.col("s") >= F.abs("d")).alias("k"))  # one row
-    return both.select((F.col("d") / F.col("n")).alias("observed"), ((F.col("k") + 1) / (reps + 1)).alias("p"))
-
-
-def gate_verdict(rows: DataFrame, key: Column, floor: float = -0.005, reps: int = 200) -> DataFrame:
+def gate_verdict(rows: DataFrame, floor: float = -0.005, reps: int = 10_000) -> DataFrame:
     """One row on ``correct, correct_t, looked, looked_t, branch, branch_t``.
 
     H1: the lower end of the difference's interval is at least the floor, at fewer looks.  H2: no branch gets significantly worse.
     """
-    ends = paired_bootstrap(rows, key, reps, "verdict").select("low", "high")
+    ends = paired_bootstrap(rows, reps, "verdict").select("low", "high")
     flag = lambda c: F.sum(F.col(c).cast("long"))
     all_rows = rows.agg(
         F.count("*").alias("n"), F.avg(F.col("correct_t") - F.col("correct")).alias("delta"), flag("looked").alias("looks"), flag("looked_t").alias("looks_t"),

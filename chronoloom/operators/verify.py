@@ -352,19 +352,3 @@ def range_head(rows: DataFrame, pts: DataFrame) -> DataFrame:
     ]))
     best = F.array_max(F.transform("ranges", each))
     return asked.withColumn("best", best).filter("best.option > -26").select("question_id", F.char(F.lit(65) - F.col("best.option")).alias("letter"), F.col("best.method").alias("method"))
-
-
-def answer_letter(text: Column) -> Column:
-    """The option letter of a free answer: alone, bracketed, after 'answer', or at the front with a mark."""
-    t = F.trim(text)
-    tries = [r"^\(?([A-Da-d])[\).:]?$", r"(?i)answer(?: is)?:?\s*\(?([A-D])\b", r"\(([A-D])\)", r"^([A-D])[\).:]\s"]
-    return F.upper(F.coalesce(*[F.when(t.rlike(p), F.regexp_extract(t, p, 1)) for p in tries]))
-
-
-def answer_number(text: Column) -> Column:
-    """The first number of a free answer: thousands commas, unicode or spelled minus, percent."""
-    t = F.replace(F.replace(F.lower(text), F.lit("−"), F.lit("-")), F.lit("minus "), F.lit("-"))
-    t = F.regexp_replace(F.regexp_replace(t, r"-\s+(?=\d)", "-"), r"(?<=\d),(?=\d{3})", "")
-    number = F.regexp_extract(t, r"(-?\d+(?:\.\d+)?(?:e[-+]?\d+)?)", 1)
-    value = F.when(number != "", number.cast("double"))
-    return F.when(t.rlike(r"\d\s*%"), value / 100).otherwise(value)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.functions import guards
-from chronoloom.operators import anomaly, branches, experiment, kernels, local, loops, pairwise, replies, reports, spectral, stats, trend, verify
+from chronoloom.operators import anomaly, answers, branches, channels, evidence, experiment, heads, kernels, local, loops, pairwise, replies, reports, resampling, spectral, stats, trend, verify
 from chronoloom.plans import numeric
 from chronoloom.sources import ingest, series
 
@@ -692,15 +692,30 @@ def resume_anti_join(spark, sf_dir):
     return experiment.resume(series.table(spark, sf_dir, "documents").select("doc_id", "source"), series.table(spark, sf_dir, "labels"), "doc_id")
 
 
-@query(f"""WITH {_ARMS}, per AS (SELECT lang AS subset, source AS branch, sum(correct_t - correct) AS g, count(*) AS n FROM arms GROUP BY 1, 2),
-o AS (SELECT s.subset AS fold, p.branch, sum(p.g) AS g, sum(p.n) AS n FROM (SELECT DISTINCT subset FROM per) s JOIN per p ON s.subset <> p.subset GROUP BY 1, 2),
-x AS (SELECT fold, i, (i - 30) / 100.0 AS tau, sum(CASE WHEN g / n >= CAST((i - 30) / 100.0 AS DOUBLE) THEN g ELSE 0 END) AS total FROM o, range(61) r(i) GROUP BY 1, 2),
-b AS (SELECT fold, i, tau, row_number() OVER (PARTITION BY fold ORDER BY total DESC, i) AS rn FROM x)
-SELECT b.fold, round(CAST(tau AS DOUBLE), 6) AS tau, CAST(sum(CASE WHEN o.n IS NULL OR o.g / o.n >= CAST(tau AS DOUBLE) THEN p.g ELSE 0 END) AS BIGINT) AS gain, CAST(sum(p.n) AS BIGINT) AS n
-FROM b JOIN per p ON p.subset = b.fold LEFT JOIN o ON o.fold = b.fold AND o.branch = p.branch WHERE rn = 1 GROUP BY 1, 2""")
+_GAINS = f"""WITH {_ARMS}, per AS (SELECT lang AS subset, source AS branch, sum(correct_t - correct) AS g, count(*) AS n FROM arms GROUP BY 1, 2),
+means AS (SELECT p.subset AS fold, p.branch, p.g, p.n, (SELECT sum(q.g) / sum(q.n) FROM per q WHERE q.subset <> p.subset AND q.branch IS NOT DISTINCT FROM p.branch) AS mean FROM per p
+  WHERE EXISTS (SELECT 1 FROM per q WHERE q.subset <> p.subset)),
+grid AS (SELECT *, CAST((i - 30) / 100.0 AS DOUBLE) AS tau FROM means, range(61) r(i)),
+folds AS (SELECT fold, tau, sum(CASE WHEN mean IS NULL OR mean > tau THEN g ELSE 0 END) / sum(n) AS gain, sum(CASE WHEN mean IS NULL OR mean > tau THEN n ELSE 0 END) / sum(n) AS look FROM grid GROUP BY 1, 2),
+curve AS (SELECT tau, avg(gain) AS gain, avg(look) AS look_rate FROM folds GROUP BY 1)"""
+
+
+def _gains(spark, sf_dir):
+    return _arms(spark, sf_dir).select(F.col("lang").alias("subset"), F.col("source").alias("branch"), (F.col("correct_t") - F.col("correct")).alias("gain"))
+
+
+@query(f"{_GAINS} SELECT round(tau, 6) AS tau, round(gain, 6) AS gain, round(look_rate, 6) AS look_rate FROM curve")
 def loso_cv(spark, sf_dir):
-    rows = _arms(spark, sf_dir).select(F.col("lang").alias("subset"), F.col("source").alias("branch"), (F.col("correct_t") - F.col("correct")).alias("gain"))
-    return experiment.leave_one_subset_out(rows)
+    """Gain of each threshold, mean over the held-out subsets."""
+    return experiment.tau_curve(_gains(spark, sf_dir))
+
+
+@query(f"""{_GAINS}, basin AS (SELECT min(tau) AS low, max(tau) AS high FROM curve WHERE abs(gain - (SELECT max(gain) FROM curve)) < 1e-9),
+star AS (SELECT CASE WHEN low <= 0 AND high >= 0 THEN 0.0 ELSE low END AS tau FROM basin), pooled AS (SELECT branch, sum(n) AS n, sum(g) / sum(n) AS mean FROM per GROUP BY 1)
+SELECT branch, CAST(n AS BIGINT) AS n, round(mean, 6) AS mean, round(CAST(tau AS DOUBLE), 6) AS tau, mean > tau AS fires FROM pooled, star""")
+def tau_rule(spark, sf_dir):
+    """Which branches fire at the threshold that held-out subsets choose."""
+    return experiment.tau_rule(_gains(spark, sf_dir))
 
 
 # Questions for routing and gates, with words of every branch; picked by a row's number.
@@ -1090,41 +1105,62 @@ def routing_audit(spark, sf_dir):
     return reports.routing_audit(_runs(spark, sf_dir))
 
 
-def _resampled(base: str, treat: str, seed: str, reps: int = 200) -> str:
-    return f"""grp AS (SELECT CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) % 1000 AS g, {base} AS b, {treat} AS t FROM runs),
-per AS (SELECT g, sum(b) AS b, sum(t) AS t, count(*) AS n, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS k FROM grp GROUP BY g),
-drawn AS (SELECT rep, CAST(('0x' || substr(md5('{seed}:' || rep || ':' || i), 1, 8)) AS BIGINT) % k AS i FROM per, range({reps}) r(rep)),
-boot AS (SELECT rep, (sum(t) - sum(b)) / sum(n) AS delta FROM drawn JOIN per USING (i) GROUP BY 1)"""
+def _uniform_sql(seed: str, *names: str) -> str:
+    return f"((CAST(('0x' || substr(md5('{seed}:' || {" || ':' || ".join(names)}), 1, 8)) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
+
+
+def _binomial_sql(source: str, name: str, n: str, p: str, seed: str) -> str:
+    """CTEs that end in ``{name}``: the rows of ``source`` (with ``rep``) and ``k``, a binomial draw by the rules of the operator."""
+    tail = lambda x: f"CASE WHEN {x} <= 9 THEN ([{', '.join(map(repr, resampling.STIRLING))}])[CAST(least({x}, 9) AS INTEGER) + 1] ELSE (1 / 12.0 - (1 / 360.0 - 1 / 1260.0 / (({x} + 1) * ({x} + 1))) / (({x} + 1) * ({x} + 1))) / ({x} + 1) END"
+    u, v, w = (_uniform_sql(seed, "rep", f"'{name}'", *more) for more in (("t", "'u'"), ("t", "'v'"), ()))
+    return f"""{name}_q AS (SELECT *, CAST({n} AS DOUBLE) AS nn, CAST({p} AS DOUBLE) AS pp, least(CAST({p} AS DOUBLE), 1 - CAST({p} AS DOUBLE)) AS q FROM {source}),
+{name}_s AS (SELECT *, 1.15 + 2.53 * sqrt(nn * q * (1 - q)) AS bb, floor((nn + 1) * q) AS mode, q / (1 - q) AS odds FROM {name}_q WHERE nn > 0 AND pp > 0 AND pp < 1),
+{name}_t AS (SELECT *, -0.0873 + 0.0248 * bb + 0.01 * q AS aa, (2.83 + 5.1 / bb) * sqrt(nn * q * (1 - q)) AS alpha, {u} - 0.5 AS u, {v} AS v FROM {name}_s, range({resampling.TRIES}) r(t) WHERE nn * q >= 10),
+{name}_c AS (SELECT *, floor((2 * aa / (0.5 - abs(u)) + bb) * u + nn * q + 0.5) AS k FROM {name}_t),
+{name}_a AS (SELECT rep, arg_min(k, t) AS k FROM {name}_c WHERE k BETWEEN 0 AND nn AND ((0.5 - abs(u) >= 0.07 AND v <= 0.92 - 4.2 / bb)
+  OR ln(v * alpha / (aa / ((0.5 - abs(u)) * (0.5 - abs(u))) + bb)) <= (mode + 0.5) * ln((mode + 1) / (odds * (nn - mode + 1))) + (nn + 1) * ln((nn - mode + 1) / (nn - k + 1)) + (k + 0.5) * ln(odds * (nn - k + 1) / (k + 1))
+    + {tail("mode")} + {tail("(nn - mode)")} - {tail("k")} - {tail("(nn - k)")}) GROUP BY rep),
+{name}_d AS (SELECT DISTINCT nn, q FROM {name}_s WHERE nn * q < 10),
+{name}_i AS (SELECT nn, q, x.k, sum(exp(lgamma(nn + 1) - lgamma(x.k + 1) - lgamma(nn - x.k + 1) + x.k * ln(q) + (nn - x.k) * ln(1 - q))) OVER (PARTITION BY nn, q ORDER BY x.k) AS reached FROM {name}_d, range(111) x(k) WHERE x.k <= nn),
+{name}_l AS (SELECT rep, min(i.k) AS k FROM {name}_s s JOIN {name}_i i ON s.nn = i.nn AND s.q = i.q WHERE reached >= {w} GROUP BY rep),
+{name} AS (SELECT s.* EXCLUDE (nn, pp, q), CASE WHEN nn <= 0 OR pp <= 0 THEN 0 WHEN pp >= 1 THEN nn WHEN pp > 0.5 THEN nn - coalesce(a.k, l.k) ELSE coalesce(a.k, l.k) END AS {name}_k FROM {name}_q s LEFT JOIN {name}_a a USING (rep) LEFT JOIN {name}_l l USING (rep))"""
+
+
+def _paired_sql(seed: str, reps: int = 10_000) -> str:
+    return f"""counts AS (SELECT count(*) FILTER (correct IS NOT NULL AND correct_t IS NOT NULL) AS n, count(*) FILTER (correct = 1 AND correct_t = 0) AS b, count(*) FILTER (correct = 0 AND correct_t = 1) AS c FROM runs),
+reps AS (SELECT counts.*, rep FROM counts, range({reps}) r(rep) WHERE n > 0), {_binomial_sql("reps", "b", "n", "b / n", seed)},
+{_binomial_sql("b", "c", "n - b_k", "CASE WHEN n - b > 0 THEN c / (n - b) ELSE 0 END", seed)}, boot AS (SELECT (c_k - b_k) / n AS delta FROM c)"""
 
 
 _ENDS = "round(quantile_cont(delta, 0.025), 6) AS low, round(quantile_cont(delta, 0.975), 6) AS high, round(avg(delta), 6) AS mean"
 
 
-@query(f"WITH {_RUNS}, {_resampled('correct', 'correct_t', 'pair')} SELECT {_ENDS} FROM boot")
+@query(f"WITH {_RUNS}, {_paired_sql('pair')} SELECT {_ENDS} FROM boot")
 def paired_bootstrap(spark, sf_dir):
-    return reports.paired_bootstrap(_runs(spark, sf_dir), F.col("doc_id"))
+    return resampling.paired_bootstrap(_runs(spark, sf_dir))
 
 
-@query(f"WITH {_RUNS}, {_resampled('0', 'correct_t', 'one')} SELECT {_ENDS} FROM boot")
+@query(f"""WITH {_RUNS}, counts AS (SELECT count(correct_t) AS n, count(*) FILTER (correct_t = 1) AS hits FROM runs), reps AS (SELECT counts.*, rep FROM counts, range(10000) r(rep) WHERE n > 0),
+{_binomial_sql("reps", "k", "n", "hits / n", "one")}, boot AS (SELECT k_k / n AS delta FROM k) SELECT {_ENDS} FROM boot""")
 def single_bootstrap(spark, sf_dir):
-    return reports.single_bootstrap(_runs(spark, sf_dir), F.col("doc_id"), "correct_t")
+    return resampling.single_bootstrap(_runs(spark, sf_dir), "correct_t")
 
 
-@query(f"""WITH {_RUNS}, grp AS (SELECT CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) % 1000 AS g, correct_t - correct AS d FROM runs),
-per AS (SELECT g, sum(d) AS d, count(*) AS n FROM grp GROUP BY g), total AS (SELECT sum(d) AS d, sum(n) AS n FROM per),
-sums AS (SELECT rep, abs(sum(CASE WHEN CAST(('0x' || substr(md5('flip:' || rep || ':' || g), 1, 8)) AS BIGINT) % 2 = 0 THEN d ELSE -d END)) AS s FROM per, range(200) r(rep) GROUP BY 1)
-SELECT round(any_value(t.d / t.n), 6) AS observed, round((count(*) FILTER (s >= abs(t.d)) + 1) / 201, 6) AS p FROM sums, total t""")
+@query(f"""WITH {_RUNS}, counts AS (SELECT count(*) FILTER (correct IS NOT NULL AND correct_t IS NOT NULL) AS n, count(*) FILTER (correct = 1 AND correct_t = 0) AS b, count(*) FILTER (correct = 0 AND correct_t = 1) AS c FROM runs),
+reps AS (SELECT counts.*, rep FROM counts, range(5000) r(rep) WHERE n > 0), {_binomial_sql("reps", "s", "b + c", "0.5", "flip")}
+SELECT round(any_value((c - b) / n), 6) AS observed, round((count(*) FILTER (abs(2 * s_k - b - c) >= abs(c - b)) + 1) / 5001, 6) AS p FROM s""")
 def paired_permutation(spark, sf_dir):
-    return reports.paired_permutation(_runs(spark, sf_dir), F.col("doc_id"))
+    return resampling.paired_permutation(_runs(spark, sf_dir))
 
 
-@query(f"""WITH {_RUNS}, {_resampled('correct', 'correct_t', 'verdict')}, ends AS (SELECT quantile_cont(delta, 0.025) AS low, quantile_cont(delta, 0.975) AS high FROM boot),
+@query(f"""WITH {_RUNS}, {_paired_sql('verdict')}, ends AS (SELECT quantile_cont(delta, 0.025) AS low FROM boot),
 a AS (SELECT count(*) AS n, avg(correct_t - correct) AS delta, count(*) FILTER (looked) AS looks, count(*) FILTER (looked_t) AS looks_t, avg(CASE WHEN branch IS DISTINCT FROM branch_t THEN 1.0 ELSE 0.0 END) AS drift FROM runs),
+h AS (SELECT quantile_cont(delta, 0.975) AS high FROM boot),
 p AS (SELECT branch, avg(correct_t - correct) AS d, count(*) FILTER (correct = 1 AND correct_t = 0) AS b, count(*) FILTER (correct = 0 AND correct_t = 1) AS c FROM runs GROUP BY 1),
 w AS (SELECT count(*) FILTER (d < 0 AND CASE WHEN b + c = 0 THEN 1 ELSE least(1, 2 * (SELECT sum(exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))) FROM range(least(b, c) + 1) r(i))) END < 0.05) AS regressions FROM p)
-SELECT n, round(delta, 6) AS delta, looks, looks_t, round(drift, 6) AS drift, round(low, 6) AS low, round(high, 6) AS high, regressions, low >= -0.005 AND looks_t < looks AS h1, regressions = 0 AS h2 FROM a, ends, w""")
+SELECT n, round(delta, 6) AS delta, looks, looks_t, round(drift, 6) AS drift, round(low, 6) AS low, round(high, 6) AS high, regressions, low >= -0.005 AND looks_t < looks AS h1, regressions = 0 AS h2 FROM a, ends, h, w""")
 def gate_verdict(spark, sf_dir):
-    return reports.gate_verdict(_runs(spark, sf_dir), F.col("doc_id"))
+    return reports.gate_verdict(_runs(spark, sf_dir))
 
 
 @query(f"""WITH {_RUNS}, l AS (SELECT *, {_NORM.format("look_s")} AS ls, {_NORM.format("look_p")} AS lp, {_NORM.format("math")} AS m, {_NORM.format("gold")} AS g, {_NORM.format("pred")} AS p FROM runs),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from chronoloom import queries
 from chronoloom.kernels import shape
-from chronoloom.operators import anomaly, branches, experiment, kernels, pairwise, spectral, stats, trend, verify
+from chronoloom.operators import anomaly, answers, branches, channels, evidence, experiment, heads, kernels, loops, pairwise, resampling, spectral, stats, trend, verify
 from chronoloom.plans import numeric
 from chronoloom.sources.series import to_arrays, to_points
 
@@ -177,11 +177,30 @@ def test_words_are_repaired_by_nearness():
 
 
 def test_answers(spark):
-    t = spark.createDataFrame([("- 3.14",), ("−3.14",), ("minus 3.14",), ("about 1,234.5 units",), ("12 %",), ("none",)], "t string")
-    got = [r[0] for r in t.select(verify.answer_number(F.col("t"))).collect()]
-    assert got == [-3.14, -3.14, -3.14, 1234.5, 0.12, None]
-    t = spark.createDataFrame([("B",), ("The answer is C.",), ("(d)",), ("A bad day",)], "t string")
-    assert [r[0] for r in t.select(verify.answer_letter(F.col("t"))).collect()] == ["B", "C", "D", None]
+    said = {
+        "E": "E", "I choose E": "E", "So\n**C**": "C", "b) as it rises": "B", "The answer is D because": "D", "the variance is A": None, "Option: c": "C", "A bad day": "A", "": None, None: None,
+        "  \n": None, "it rises\r\n(d)": "D", "x" * 80 + " answer B": None, "selected=z": "Z",
+    }
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i long, t string")
+    assert [r[0] for r in rows.orderBy("i").select(answers.answer_letter(F.col("t"))).collect()] == list(said.values())
+    why = rows.filter("i IN (3, 4, 11)").orderBy("i").select(answers.letter_reply(F.col("t"))["justification"]).collect()
+    assert [r[0] for r in why] == ["", "because", "it rises\r\n(d)"]
+    numbers = {
+        ".5": 0.5, "3 of 50%": 3.0, "- 3.14": -3.14, "−3.14": -3.14, "Minus 3.14": -3.14, "about 1,234.5 units": 1234.5, "12 %": 0.12, "none": None, "Answer: = 7": 7.0, "1e3": 1000.0, "size5": None,
+        "no\nthen 4": 4.0, "": None, None: None, "1,2345": 1234.0, "+ 2e-2%": 0.0002,
+    }
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(numbers)], "i long, t string")
+    got = [r[0] for r in rows.orderBy("i").select(answers.answer_number(F.col("t"))).collect()]
+    assert got == pytest.approx(list(numbers.values()))
+    labels = [
+        ("Answer: Stationary", ["stationary", "non-stationary"], "stationary"), ("It is non-stationary.", ["stationary", "non-stationary"], "non-stationary"), ("x\n YES ", ["no", "yes"], "yes"),
+        ("rising", ["slowly  rising", ""], "slowly  rising"), ("so\nfalling fast", ["falling", None], "falling"), ("nothing", ["a b"], None), ("", ["a"], None), (None, ["a"], None), ("a", [], None),
+    ]
+    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(labels)], "i long, t string, allowed array<string>, want string")
+    for r in rows.withColumn("got", answers.answer_label(F.col("t"), F.col("allowed"))).collect():
+        assert r["got"] == r["want"], r
+    assert [r[0] for r in rows.filter("i < 2").orderBy("i").select(answers.answer_label(F.col("t"))).collect()] == ["Stationary", "It is non-stationary."]
+    assert rows.limit(0).select(answers.answer_label(F.col("t"), F.col("allowed"))).count() == 0
 
 
 def test_experiment(spark):
