@@ -42,15 +42,15 @@ def trajectory_head(rows: DataFrame, arrays: DataFrame) -> DataFrame:
     with a series of less than two points, or whose best option is past Z has no answer and no row.
     """
     staged = rows.join(arrays, "series_id").withColumn("lists", F.transform("options", number_list))
-    staged = staged.filter("size(values) >= 2 AND size(lists) > 0 AND forall(lists, x -> x IS NOT NULL)").withColumn("season", season(F.col("values")))
-    values, period = F.col("values"), F.col("season")
+    staged = staged.filter("size(values) >= 2 AND size(lists) > 0 AND forall(lists, x -> x IS NOT NULL)")
     steps = F.sequence(F.lit(1), F.array_max(F.transform("lists", F.size)))
-    # One table of forecasts a row, up to its longest option.
-    staged = staged.withColumn("told", F.array(*[F.transform(steps, lambda i, m=m: forecast_at(values, period, i)[m]) for m in range(len(METHODS))]))
+    # One table of forecasts a row, up to its longest option; the season is bound once, outside of the steps.
+    table = F.transform(F.array(season(F.col("values"))), lambda period: F.transform(steps, lambda i: F.array(*forecast_at(F.col("values"), period, i))))[0]
+    best_of = lambda numbers, told: F.array_min(F.array(*[F.struct(F.round(mse(numbers, F.transform(told, lambda s: s[m])), 9).alias("mse"), F.lit(m).alias("method")) for m in range(len(METHODS))]))
     mse = lambda numbers, told: F.aggregate(F.zip_with(numbers, F.slice(told, F.lit(1), F.size(numbers)), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x) / F.size(numbers)
     # Rounded, so that equals stay equal whatever the order of additions.
-    best = lambda numbers: F.array_min(F.transform("told", lambda told, m: F.struct(F.round(mse(numbers, told), 9).alias("mse"), m.alias("method"))))
-    least = F.array_min(F.transform("lists", lambda x, i: F.struct(best(x)["mse"].alias("mse"), i.alias("option"), best(x)["method"].alias("method"))))
+    judged = lambda told: F.array_min(F.transform("lists", lambda x, i: F.transform(F.array(best_of(x, told)), lambda b: F.struct(b["mse"].alias("mse"), i.alias("option"), b["method"].alias("method")))[0]))
+    least = F.transform(F.array(table), judged)[0]
     done = staged.withColumn("__best", least).filter("__best.option < 26")
     method = F.element_at(F.array(*map(F.lit, METHODS)), F.col("__best.method") + 1)
     return done.select("question_id", F.char(F.col("__best.option") + 65).alias("letter"), method.alias("method"), F.col("__best.mse").alias("mse"))

@@ -1503,14 +1503,6 @@ def branch_causality(spark, sf_dir):
     return branches.causality_branch(_pairs(spark, sf_dir), _array_pairs(spark, sf_dir))
 
 
-def queries() -> dict[str, Query]:
-    return dict(_queries)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
-
-
 # ---- loops over evidence: the branches are run on users' series, routes and proposals are dealt by a number.
 _LOOP_REPLIES = (
     '{"branch": "trend", "scope": "global"}', 'no JSON', '{"branch": "anomaly", "scope": "local"}', '{"branch": "similarity"}', '{"branch": "periodicity"}', '{"branch": "noise"}', '{"branch": "causality"}',
@@ -1639,3 +1631,198 @@ def loop_propose(spark, sf_dir):
     reply = f"CASE WHEN (question_id + turn) % 13 <> 12 THEN {_pick_sql(_LOOP_ACTIONS, '(question_id + turn * 5) % 9')} END AS reply"
     done = loops.propose_actions(rows, lambda asked: asked.selectExpr("question_id", reply), run, _ENABLED, _LOOPING, most=2, threshold=0.75)
     return done.withColumns({c: F.array_join(c, ",") for c in ("flags", "propose_executed", "propose_fallbacks")}).drop("question", "scope", "evidence")
+
+
+# ---- free answers: replies dealt by a row's number, and the table's own texts.
+_FREE = (
+    "E", "I choose E", "So\n**C**", "b) as it rises", "The answer is D because it falls", "the variance is A", "Option: c", "A bad day", "", "it rises\n(d)", "selected=z", ".5", "3 of 50%", "- 3.14", "−3.14",
+    "Minus 3.14 units", "about 1,234.5", "12 %", "none", "Answer: = 7", "1e3", "size5", "no\nthen 4", "1,2345", "Answer: Stationary", "It is non-stationary.", "x\n YES ", "slowly rising", "so\nfalling fast", "Result = no",
+)
+_FREE_LABELS = ("stationary|non-stationary", "yes|no", "slowly  rising|falling", "a b||the")
+
+
+def _free_rows(spark, sf_dir):
+    said = series.table(spark, sf_dir, "conversations")
+    dealt = said.selectExpr("conv_id", "turn", "'dealt' AS kind", f"{_pick_sql(_FREE, f'(conv_id * 7 + turn) % {len(_FREE)}')} AS reply")
+    rows = dealt.union(said.selectExpr("conv_id", "turn", "'own'", "text"))
+    return rows.withColumn("allowed", F.expr(f"split({_pick_sql(_FREE_LABELS, '(conv_id + turn) % 4')}, '[|]')"))
+
+
+_FREE_SQL = rf"""free AS (SELECT conv_id, turn, 'dealt' AS kind, {_pick_sql(_FREE, f'(conv_id * 7 + turn) % {len(_FREE)}')} AS reply FROM conversations UNION ALL SELECT conv_id, turn, 'own', text FROM conversations),
+cut AS (SELECT *, regexp_split_to_array(reply, '\r\n|[\n\r\x0B\x0C]') AS parts, regexp_replace(reply, '^\s+|\s+$', '', 'g') AS whole, string_split({_pick_sql(_FREE_LABELS, '(conv_id + turn) % 4')}, '|') AS allowed FROM free),
+said AS (SELECT *, list_filter(list_transform(parts, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS lines FROM cut)"""
+
+
+@query(rf"""WITH {_FREE_SQL}, tried AS (SELECT *, regexp_extract(lines[1] || ' ', '(?i)^\s*([A-Z])[.):\s]', 1) AS a,
+  regexp_extract(substr(reply, 1, 80), '(?i)\b(?:answer|option|letter|choose|select|selected)\b(?:\s+(?:is|was))?\s*[:=\-]?\s*([A-Z])\b', 1) AS b, regexp_extract(lines[-1], '(?i)^[^\pL\pN_]*([A-Z])[^\pL\pN_]*$', 1) AS c FROM said)
+SELECT conv_id, turn, kind, CASE WHEN coalesce(whole, '') = '' THEN NULL ELSE upper(coalesce(nullif(a, ''), nullif(b, ''), nullif(c, ''))) END AS letter FROM tried""")
+def answer_letters(spark, sf_dir):
+    """Option letters of free answers, by four tries."""
+    return _free_rows(spark, sf_dir).select("conv_id", "turn", "kind", answers.answer_letter(F.col("reply")).alias("letter"))
+
+
+def _number_sql(text: str) -> str:
+    bare = rf"regexp_replace(regexp_replace({text}, '^\s*(?:answer|result|value)\s*[:=]?\s*', '', 'i'), '^\s*=?\s*', '')"
+    bare = rf"regexp_replace(regexp_replace(replace({bare}, '−', '-'), '\bminus\s+([0-9.])', '-\1', 'gi'), '([+-])\s+([0-9.])', '\1\2', 'g')"
+    token = r"[-+]?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)?(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?(?:\s*%)?"
+    return f"list_filter(regexp_extract_all({bare}, '{token}'), lambda t: regexp_matches(t, '[0-9]') AND NOT regexp_matches(t, '^[-+]?[eE]'))[1]"
+
+
+@query(rf"""WITH {_FREE_SQL}, t AS (SELECT *, {_number_sql('lines[1]')} AS one, {_number_sql('reply')} AS two FROM said), n AS (SELECT *, coalesce(one, two) AS token FROM t)
+SELECT conv_id, turn, kind, round(CAST(regexp_replace(token, '[,%\s]', '', 'g') AS DOUBLE) / CASE WHEN token LIKE '%\%' ESCAPE '\' THEN 100 ELSE 1 END, 6) AS value FROM n""")
+def answer_numbers(spark, sf_dir):
+    """Numbers of free answers."""
+    return _free_rows(spark, sf_dir).select("conv_id", "turn", "kind", answers.answer_number(F.col("reply")).alias("value"))
+
+
+_PLAIN = r"regexp_replace(lower(regexp_replace({x}, '^\s+|\s+$', '', 'g')), '\s+', ' ', 'g')"
+
+
+def _label_sql() -> str:
+    plain = lambda x: _PLAIN.format(x=x)
+    return rf"""WITH {_FREE_SQL}, heads AS (SELECT *, {plain(r"regexp_replace(lines[1], '^\s*(?:answer|result|value)\s*[:=]?\s*', '', 'i')")} AS head, {plain('reply')} AS body, list_transform(lines, lambda x: {plain('x')}) AS each FROM said),
+labels AS (SELECT conv_id, turn, kind, head, body, each, unnest(allowed) AS label, generate_subscripts(allowed, 1) AS place FROM heads WHERE len(lines) > 0),
+tried AS (SELECT *, {plain('label')} AS p FROM labels WHERE trim(label) <> ''),
+ranked AS (SELECT *, CASE WHEN p = head THEN 1 WHEN list_contains(each, p) THEN 2 WHEN contains(head, p) OR (head <> '' AND contains(p, head)) THEN 3 WHEN contains(body, p) THEN 4 END AS try FROM tried),
+best AS (SELECT * FROM ranked WHERE try IS NOT NULL QUALIFY row_number() OVER (PARTITION BY conv_id, turn, kind ORDER BY try, CASE WHEN try > 2 THEN -length(p) ELSE 0 END, place) = 1)
+SELECT s.conv_id, s.turn, s.kind, b.label AS label FROM said s LEFT JOIN best b USING (conv_id, turn, kind)"""
+
+
+@query(_label_sql())
+def answer_labels(spark, sf_dir):
+    """Which of a row's labels its free answer names."""
+    return _free_rows(spark, sf_dir).select("conv_id", "turn", "kind", answers.answer_label(F.col("reply"), F.col("allowed")).alias("label"))
+
+
+# ---- several series of a row: each embedding and its own alterations.
+_VECTORS = "vectors AS (SELECT vec_id AS question_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
+
+
+@query(f"""WITH {_VECTORS}, c AS (SELECT question_id, CASE WHEN question_id % 3 = 0 THEN NULL ELSE e[1:question_id % 7 + 5] END AS ts1, CASE WHEN question_id % 2 = 0 THEN list_reverse(e) ELSE CAST([] AS DOUBLE[]) END AS ts2, e AS ts FROM vectors),
+a AS (SELECT question_id, coalesce(len(ts1), 0) > 0 AS h1, len(ts2) > 0 AS h2, ts1, ts2, ts FROM c),
+x AS (SELECT question_id, 'ts1' AS channel, unnest(ts1) AS v, generate_subscripts(ts1, 1) - 1 AS pos FROM a WHERE h1 UNION ALL SELECT question_id, 'ts2', unnest(ts2), generate_subscripts(ts2, 1) - 1 FROM a WHERE h2
+  UNION ALL SELECT question_id, 'ts', unnest(ts), generate_subscripts(ts, 1) - 1 FROM a WHERE NOT h1 AND NOT h2),
+s AS (SELECT question_id, channel, count(*) AS n, avg(v) AS mean, stddev_pop(v) AS std, regr_slope(v, pos) AS slope FROM x GROUP BY 1, 2),
+w AS (SELECT question_id, string_agg(channel, ',' ORDER BY channel) AS keys, string_agg(CAST(n AS VARCHAR), ',' ORDER BY channel) AS lengths, count(*) AS k, arg_min(struct_pack(n := n, mean := mean, std := std, slope := slope), channel) AS f,
+  max(CASE WHEN channel = 'ts1' THEN mean END) AS m1, max(CASE WHEN channel = 'ts2' THEN mean END) AS m2, max(CASE WHEN channel = 'ts2' THEN slope END) AS s2 FROM s GROUP BY 1)
+SELECT question_id, f.n AS n, round(f.mean, 6) AS mean, round(f.std, 6) AS std, round(f.slope, 6) AS slope, CASE WHEN k > 1 THEN 'multi' ELSE 'single' END AS series_mode, keys AS series_keys, lengths AS series_lengths,
+  round(CASE WHEN k > 1 THEN m1 END, 6) AS ts1_mean, round(CASE WHEN k > 1 THEN m2 END, 6) AS ts2_mean, round(CASE WHEN k > 1 THEN s2 END, 6) AS ts2_slope FROM w""")
+def multi_series(spark, sf_dir):
+    """One operator over one, two or three series of each embedding: its beginning, its reverse, or itself where it has neither."""
+    e = series.embedding_series(spark, sf_dir)
+    rows = e.select(
+        F.col("series_id").alias("question_id"), F.when(F.col("series_id") % 3 != 0, F.slice("values", F.lit(1), (F.col("series_id") % 7 + 5).cast("int"))).alias("ts1"),
+        F.when(F.col("series_id") % 2 == 0, F.reverse("values")).otherwise(F.array().cast("array<double>")).alias("ts2"), F.col("values").alias("ts"),
+    )
+
+    def noise(points):
+        v, x = F.col("value"), F.col("pos").cast("double")
+        return points.groupBy("series_id").agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), guards.slope(v, x).alias("slope"))
+
+    wide = channels.over_channels(rows, noise, "noise")
+    keys, lengths = F.array_join("series_keys", ","), F.array_join(F.transform(F.map_values("series_lengths"), lambda n: n.cast("string")), ",")
+    picked = {"ts1_mean": F.col("ts1_noise.mean"), "ts2_mean": F.col("ts2_noise.mean"), "ts2_slope": F.col("ts2_noise.slope")}
+    return wide.select("question_id", "n", "mean", "std", "slope", "series_mode", keys.alias("series_keys"), lengths.alias("series_lengths"), *[c.alias(name) for name, c in picked.items()])
+
+
+@query(f"""WITH {_VECTORS}, c AS (SELECT question_id, e, [list_reverse(e), list_transform(e, lambda x: 2 * x + 1), e[1:5], CAST([] AS DOUBLE[]), CAST(NULL AS DOUBLE[]), list_concat(e[2:], [0.0])] AS cs FROM vectors),
+each AS (SELECT question_id, e, unnest(cs) AS k, generate_subscripts(cs, 1) - 1 AS candidate FROM c), sized AS (SELECT *, CASE WHEN k IS NULL THEN 0 ELSE least(len(e), len(k)) END AS n FROM each),
+p AS (SELECT question_id, candidate, unnest(e[1:n]) AS a, unnest(k[1:n]) AS b FROM sized WHERE n > 0),
+m AS (SELECT question_id, candidate, avg(a) AS ma, avg(b) AS mb, stddev_pop(a) AS sa, stddev_pop(b) AS sb, count(*) AS n, CASE WHEN count(*) > 1 AND var_pop(a) > 0 AND var_pop(b) > 0 THEN corr(a, b) END AS r FROM p GROUP BY 1, 2),
+d AS (SELECT p.question_id, p.candidate, any_value(r) AS correlation, sqrt(sum(pow(CASE WHEN sa > 0 THEN (a - ma) / sa ELSE 0 END - CASE WHEN sb > 0 THEN (b - mb) / sb ELSE 0 END, 2))) / any_value(n) AS distance
+  FROM p JOIN m USING (question_id, candidate) GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(distance, 9), round(coalesce(correlation, -2), 9) DESC, candidate) AS place FROM d)
+SELECT s.question_id, CAST(s.candidate AS BIGINT) AS candidate, chr(CAST(65 + s.candidate AS INTEGER)) AS letter, CAST(s.n AS BIGINT) AS n, round(correlation, 6) AS correlation, round(distance, 6) AS distance, place, CASE WHEN place IS NULL THEN 'similarity_error' END AS error
+FROM sized s LEFT JOIN o USING (question_id, candidate)""")
+def reference_candidates(spark, sf_dir):
+    """Each embedding against six candidates made of it, two of them without points."""
+    e = series.embedding_series(spark, sf_dir)
+    made = F.expr("array(reverse(values), transform(values, x -> 2 * x + 1), slice(values, 1, 5), CAST(array() AS array<double>), CAST(NULL AS array<double>), concat(slice(values, 2, size(values) - 1), array(0D)))")
+    done = channels.against_candidates(e.select(F.col("series_id").alias("question_id"), F.col("values").alias("reference"), made.alias("candidates")))
+    return done.select("question_id", F.col("candidate").cast("long"), "letter", F.col("n").cast("long"), "correlation", "distance", F.col("place").cast("long"), "error")
+
+
+# ---- evidence in JSON, made of each user's series, with a branch and subtype dealt by its number.
+_TOPICS = (*evidence.FIELDS, ("trend", "unknown"))
+
+
+def _topic_sql(at: str, part: int) -> str:
+    return _pick_sql(tuple(t[part] for t in _TOPICS), at)
+
+
+_EVIDENCE_SQL = f"""WITH {_PTS}, e AS (SELECT series_id AS question_id, {_topic_sql(f"series_id % {len(_TOPICS)}", 0)} AS branch, {_topic_sql(f"series_id % {len(_TOPICS)}", 1)} AS subtype, regr_slope(value, pos) AS slope, var_pop(value) AS variance,
+  min(value) AS low, max(value) AS high, count(*) AS n FROM pts GROUP BY 1), f AS (SELECT unnest([{', '.join(f"struct_pack(b := '{b}', s := '{s}', keys := [{', '.join(repr(k) for k in keys)}])" for (b, s), keys in evidence.FIELDS.items())}], recursive := true)),
+have AS (SELECT question_id, branch, subtype, slope, variance, low, high, n, unnest(['branch', 'flags', 'slope', 'variance', 'segment_slopes', 'acf_values', 'outlier_count', 'vision_text', 'direction', 'is_stationary', 'envelope_slope', 'best_lag', 'zscore', 'shape_similarity']) AS k FROM e)"""
+
+
+def _evidence_rows(spark, sf_dir):
+    v, x = F.col("value"), F.col("pos").cast("double")
+    e = series.user_values(spark, sf_dir).groupBy(F.col("series_id").alias("question_id")).agg(
+        guards.slope(v, x).alias("slope"), F.var_pop(v).alias("variance"), F.min(v).alias("low"), F.max(v).alias("high"), F.count("*").alias("n")
+    )
+    topic = lambda part: F.expr(_topic_sql(f"question_id % {len(_TOPICS)}", part))
+    e = e.withColumns({"branch": topic(0), "subtype": topic(1)})
+    both = F.array("low", "high")
+    made = F.struct(
+        "branch", F.array(F.lit("low_r2")).alias("flags"), "slope", "variance", both.alias("segment_slopes"), both.alias("acf_values"), F.col("n").alias("outlier_count"), F.lit("looks flat").alias("vision_text"),
+        F.lit("up").alias("direction"), (F.col("n") > 50).alias("is_stationary"), F.struct("low").alias("envelope_slope"), F.lit(0).alias("best_lag"), F.lit(1.5).alias("zscore"), F.lit("high").alias("shape_similarity"),
+    )
+    return e.withColumn("math", evidence.fields(F.to_json(made)))
+
+
+@query(f"""{_EVIDENCE_SQL}, kept AS (SELECT h.*, (f.b IS NULL OR list_contains(f.keys, k) OR k IN {tuple(evidence.CORE)}) AND k NOT IN {tuple(evidence.LONG)} AS stays FROM have h LEFT JOIN f ON f.b = h.branch AND f.s = h.subtype)
+SELECT question_id, any_value(branch) AS branch, any_value(subtype) AS subtype, string_agg(k, ',' ORDER BY k) FILTER (stays) AS fields, count(*) FILTER (stays) AS n FROM kept GROUP BY 1""")
+def evidence_prune(spark, sf_dir):
+    """The fields of each user's evidence that an answer to its subtype sees."""
+    kept = evidence.pruned(_evidence_rows(spark, sf_dir))
+    return kept.select("question_id", "branch", "subtype", F.array_join(F.array_sort(F.map_keys("math")), ",").alias("fields"), F.size("math").cast("long").alias("n"))
+
+
+@query(f"""{_EVIDENCE_SQL}, s AS (SELECT question_id, k, CASE k WHEN 'slope' THEN round(slope, 6) WHEN 'outlier_count' THEN n WHEN 'best_lag' THEN 0 END AS v, branch, n FROM have WHERE k IN {tuple(evidence.SUMMARY)})
+SELECT question_id, string_agg(k, ',' ORDER BY k) AS fields, max(v) FILTER (k = 'slope') AS slope, CAST(max(v) FILTER (k = 'outlier_count') AS BIGINT) AS outlier_count, '"' || any_value(branch) || '"' AS branch,
+  CASE WHEN any_value(n) > 50 THEN 'true' ELSE 'false' END AS is_stationary, CAST(13 AS BIGINT) AS math_fields, 'looks flat' AS vision_text, false AS parse_success, 'low_r2' AS flags FROM s GROUP BY 1""")
+def evidence_summary(spark, sf_dir):
+    """Summary and bundle of each user's evidence."""
+    rows = _evidence_rows(spark, sf_dir).select("question_id", evidence.summary(F.col("math")).alias("s"), evidence.bundle(F.col("math")).alias("b"))
+    at = lambda k: F.element_at("s", F.lit(k))
+    return rows.select(
+        "question_id", F.array_join(F.array_sort(F.map_keys("s")), ",").alias("fields"), at("slope").cast("double").alias("slope"), at("outlier_count").cast("long").alias("outlier_count"), at("branch").alias("branch"),
+        at("is_stationary").alias("is_stationary"), F.size("b.math_evidence").cast("long").alias("math_fields"), "b.vision_text", "b.vision_suggestion.parse_success", F.array_join("b.flags", ",").alias("flags"),
+    )
+
+
+# ---- trajectories: options of different lengths, made of a user's number.
+_TRACKS = ("[40, 44, 48]", "30 then 35, 40, 45, 50", "[55]", "(60, 52.5, 61e0, 50, 49, 48, 47)", "20 and 25", "[45, 45.5]", "no numbers", "[10, 90, 10, 90]")
+
+
+def _tracks_sql(i: int) -> str:
+    return _pick_sql(_TRACKS, f"CAST(floor(question_id / {i + 1}) AS BIGINT) % 8 + 0 * {i}")
+
+
+@query(rf"""WITH {_PTS}, users AS (SELECT DISTINCT user_id AS question_id FROM events), ends AS (SELECT series_id, count(*) AS n, arg_min(value, pos) AS f, arg_max(value, pos) AS l FROM pts GROUP BY 1),
+centred AS (SELECT series_id, pos, value - avg(value) OVER (PARTITION BY series_id) AS v, count(*) OVER (PARTITION BY series_id) AS n FROM pts),
+bins AS (SELECT series_id, n, unnest(range(1, n // 2 + 1)) AS bin, pos, v FROM centred),
+mags AS (SELECT series_id, n, bin, round(sqrt(pow(sum(v * cos(2 * pi() * ((bin * pos) % n) / n)), 2) + pow(sum(v * sin(2 * pi() * ((bin * pos) % n) / n)), 2)), 9) AS m FROM bins GROUP BY ALL),
+per AS (SELECT series_id, n, CAST(round_even(n / bin, 0) AS BIGINT) AS p FROM mags QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY m DESC, bin) = 1),
+seas AS (SELECT e.*, CASE WHEN e.n >= 8 AND p BETWEEN 2 AND e.n // 2 THEN p END AS p FROM ends e LEFT JOIN per USING (series_id)),
+o AS (SELECT question_id, unnest([0, 1, 2]) AS i, unnest([{_tracks_sql(0)}, {_tracks_sql(1)}, {_tracks_sql(2)}]) AS t FROM users),
+l AS (SELECT *, list_transform(regexp_extract_all(t, '[-+]?\d*\.?\d+(?:[eE][-+]?\d+)?'), lambda x: CAST(x AS DOUBLE)) AS xs FROM o),
+good AS (SELECT question_id FROM l GROUP BY 1 HAVING bool_and(len(xs) >= 2 OR (len(xs) = 1 AND t LIKE '[%'))),
+steps AS (SELECT question_id, i, unnest(xs) AS x, generate_subscripts(xs, 1) AS step FROM l SEMI JOIN good USING (question_id)),
+fc AS (SELECT s.*, unnest([0, 1, 2]) AS m, unnest([l, l + (l - f) / greatest(n - 1, 1) * step, coalesce((SELECT value FROM pts y WHERE y.series_id = s.question_id AND y.pos = n - p + (step - 1) % p), l)]) AS y
+  FROM steps s JOIN seas ON series_id = question_id WHERE n >= 2),
+err AS (SELECT question_id, i, m, round(avg((x - y) * (x - y)), 9) AS mse FROM fc GROUP BY 1, 2, 3), best AS (SELECT * FROM err QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY mse, i, m) = 1)
+SELECT question_id, chr(CAST(65 + i AS INTEGER)) AS letter, ['persistence', 'drift', 'seasonal_naive'][m + 1] AS method, round(mse, 6) AS mse FROM best""")
+def trajectory_rank(spark, sf_dir):
+    """Options of several lengths ranked against forecasts of each user's series."""
+    users = series.table(spark, sf_dir, "events").select(F.col("user_id").alias("question_id")).distinct()
+    rows = users.select("question_id", F.col("question_id").alias("series_id"), F.array(*[F.expr(_tracks_sql(i)) for i in range(3)]).alias("options"))
+    return heads.trajectory_head(rows, series.to_arrays(series.user_values(spark, sf_dir)))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)
