@@ -18,7 +18,9 @@ table gives an empty result; other columns are not read, so their names cannot c
 from __future__ import annotations
 
 import bisect
+import json
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -36,7 +38,11 @@ END = 1
 _TOKENIZE_BYTES = 1 << 20
 _PIECE = "doc_id long, start long, doc_tokens long, ids binary, sequence_id long, offset long, tier int, step_id long"
 _FIELDS = [f.split()[0] for f in _PIECE.split(", ")]
-_tokenizers: dict[int, object] = {}
+#: Texts of these characters alone are cut by ``WORDS`` as the vocabulary's own tokenizer cuts them (after lower-casing); all others it gets whole.
+PLAIN = re.compile("[\\t-\\r -~\u00c0-\u00ff]*")
+WORDS = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\\s0-9a-z\u00df-\u00f6\u00f8-\u00ff]+")
+KNOWN_WORDS = 600_000
+_encoders: dict[int, Encoder] = {}
 
 
 def read_tokenizer(path: str = VOCABULARY) -> str:
@@ -44,15 +50,62 @@ def read_tokenizer(path: str = VOCABULARY) -> str:
         return f.read()
 
 
-def _tokenizer(text: str):
-    """The tokenizer of a description, made once in a process; it runs on the task's own core."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class Encoder:
+    """Ids of texts by the library ``tokenizers``, which is asked once for each word of plain texts and keeps at most ``KNOWN_WORDS`` of them.
 
-    key = hash(text)
-    if key not in _tokenizers:
-        _tokenizers[key] = Tokenizer.from_str(text)
-    return _tokenizers[key]
+    That holds for vocabularies whose tokenizer cuts as ``WORDS`` does; ``cuts`` compares the two by the description.
+    """
+
+    def __init__(self, description: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(description)
+        self.known: dict[str, bytes] = {}
+        told = json.loads(description)
+        self.cuts = self._cuts(told)
+        self.last = np.zeros(1 + max(told["model"]["vocab"].values()), bool)  # ids that end a word
+        self.last[[i for piece, i in told["model"]["vocab"].items() if piece.endswith("</w>")]] = True
+
+    @staticmethod
+    def _cuts(told: dict) -> bool:
+        steps = (told.get("normalizer") or {}).get("normalizers") or []
+        parts = (told.get("pre_tokenizer") or {}).get("pretokenizers") or []
+        pattern = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"  # fixed value
+        return [s.get("type") for s in steps] == ["NFC", "Replace", "Lowercase"] and bool(parts) and (parts[0].get("pattern") or {}).get("Regex") == pattern and bool(parts[0].get("invert"))
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(found.ids, "<u4").tobytes() for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Ask for words in one text, which is parted where ids end a word; one by one, if that is not a word each."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1 if len(ids) and ids.max() < len(self.last) else np.empty(0, np.int64)
+        if len(ends) == len(words) and ends[-1] == len(ids):
+            raw, begins = ids.tobytes(), np.append(0, ends[:-1])
+            self.known.update(zip(words, (raw[4 * a : 4 * b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)), strict=True))
+        else:
+            self.known.update(zip(words, self._whole(words), strict=True))
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        plain = [self.cuts and PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
+        cut = [WORDS.findall(t.lower()) if p else [] for t, p in zip(texts, plain, strict=True)]
+        if len(self.known) > KNOWN_WORDS:
+            self.known.clear()
+        new = list({w for words in cut for w in words} - self.known.keys())
+        if new:
+            self._learn(new)
+        rest = iter(self._whole([t for t, p in zip(texts, plain, strict=True) if not p]))
+        found = [b"".join(map(self.known.__getitem__, words)) if p else next(rest) for words, p in zip(cut, plain, strict=True)]
+        return [np.frombuffer(ids, "<u4") for ids in found]
+
+
+def _encoder(description: str) -> Encoder:
+    """The encoder of a description, made once in a process."""
+    key = hash(description)
+    if key not in _encoders:
+        _encoders[key] = Encoder(description)
+    return _encoders[key]
 
 
 @dataclass(order=True)
@@ -178,7 +231,7 @@ def _packed(shared, tiers: tuple[int, ...], step_tokens: int, end: int, pool_tok
     """Tokenise and pack a task's documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(shared.value)
+        encoder = _encoder(shared.value)
         packer = Packer(tiers, step_tokens, TaskContext.get().partitionId() << 33)
         for batch in batches:
             docs, begin, texts, size = batch.column(0).to_pylist(), 0, [], 0
@@ -186,9 +239,8 @@ def _packed(shared, tiers: tuple[int, ...], step_tokens: int, end: int, pool_tok
                 texts.append(text.as_py() or "")
                 size += len(texts[-1])
                 if size >= _TOKENIZE_BYTES or i == len(batch) - 1:
-                    for doc, found in zip(docs[begin : i + 1], tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                        ids = np.array([*found.ids, end], np.dtype("<u4"))
-                        packer.add(doc, 0, len(ids), ids)
+                    for doc, ids in zip(docs[begin : i + 1], encoder.ids(texts), strict=True):
+                        packer.add(doc, 0, len(ids) + 1, np.append(ids, np.dtype("<u4").type(end)))
                     begin, texts, size = i + 1, [], 0
                     if packer.held >= pool_tokens:
                         packer.pack(False)
