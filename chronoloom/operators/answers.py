@@ -32,7 +32,10 @@ def _group(text: Column, pattern: str, group: int = 1) -> Column:
 
 def letter_reply(text: Column) -> Column:
     """``struct<letter, justification>`` of a reply: a letter that begins its first line, one that a word like "answer" names in the
-    first 80 characters, or one that is alone on the last line; the justification is what follows (of the last try all of it)."""
+    first 80 characters, or one that is alone on the last line; the justification is what follows (of the last try all of it).
+
+    A pronoun or an article at the front is such a letter, too: "I choose E" reads as I, "A bad day" as A.
+    """
     whole = stripped(text)
     own = F.split(whole, _BREAK)
     first, last = stripped(own[0]), F.try_element_at(lines(whole), F.lit(-1))

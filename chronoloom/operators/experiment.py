@@ -147,10 +147,10 @@ def _held_out(rows: DataFrame) -> DataFrame:
     """
     per = rows.groupBy("subset", "branch").agg(F.sum("gain").alias("g"), F.count("*").alias("n"))
     # What the other subsets have is the total less the own; branches are few, so their totals are one row.
-    totals = per.groupBy("branch").agg(F.sum("g").alias("g"), F.sum("n").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("branch", F.struct("g", "n")))).alias("all"), F.sum("n").alias("rows"))
+    totals = per.groupBy("branch").agg(F.sum("g").alias("g"), F.sum("n").alias("n")).agg(F.collect_list(F.struct("branch", "g", "n")).alias("all"), F.sum("n").alias("rows"))
     folds = per.groupBy(F.col("subset").alias("fold")).agg(F.collect_list(F.struct("branch", "g", "n")).alias("own"), F.sum("n").alias("held"))
     told = folds.join(F.broadcast(totals)).filter("held < rows").select("fold", "all", F.explode("own").alias("o"))  # one row of totals
-    of = F.try_element_at("all", F.col("o.branch"))
+    of = F.filter("all", lambda t: t["branch"].eqNullSafe(F.col("o.branch")))[0]
     rest = of["n"] - F.col("o.n")
     return told.select("fold", "o.branch", "o.g", "o.n", F.when(rest > 0, (of["g"] - F.col("o.g")) / rest).alias("mean"))
 

@@ -52,20 +52,21 @@ def _rejected(n: Column, p: Column, seed: str, rep: Column, name: str) -> Column
     spread = F.sqrt(n * p * (1 - p))
     b = 1.15 + 2.53 * spread
     a = -0.0873 + 0.0248 * b + 0.01 * p
-    alpha, mode, odds = (2.83 + 5.1 / b) * spread, F.floor((n + 1) * p), p / (1 - p)
+    alpha, mode, odds = (2.83 + 5.1 / b) * spread, F.floor((n + 1) * p).cast("double"), p / (1 - p)
 
     def one(t: Column) -> Column:
         u, v = uniform(seed, rep, name, t, "u") - 0.5, uniform(seed, rep, name, t, "v")
         return _let(F.struct(u.alias("u"), v.alias("v"), (0.5 - F.abs(u)).alias("us")), lambda d: _let(F.floor((2 * a / d["us"] + b) * d["u"] + n * p + 0.5).cast("double"), lambda k: judged(d, k)))
 
-    def judged(d: Column, k: Column) -> Column:
+    def judged(d: Column, drawn: Column) -> Column:
+        k = F.greatest(F.lit(0.0), F.least(drawn, n))  # others are refused, whatever the bound
         bound = (
             (mode + 0.5) * F.log((mode + 1) / (odds * (n - mode + 1))) + (n + 1) * F.log((n - mode + 1) / (n - k + 1)) + (k + 0.5) * F.log(odds * (n - k + 1) / (k + 1))
             + _tail(mode) + _tail(n - mode) - _tail(k) - _tail(n - k)
         )
         quick = (d["us"] >= 0.07) & (d["v"] <= 0.92 - 4.2 / b)
         slow = F.log(d["v"] * alpha / (a / (d["us"] * d["us"]) + b)) <= bound
-        return F.when((k >= 0) & (k <= n) & (quick | slow), k)
+        return F.when((k == drawn) & (quick | slow), k)
 
     tried = F.aggregate(F.sequence(F.lit(0), F.lit(TRIES - 1)), F.lit(None).cast("double"), lambda s, t: F.when(s.isNotNull(), s).otherwise(one(t)))
     return F.coalesce(tried, F.floor(n * p + 0.5).cast("double"))

@@ -178,12 +178,12 @@ def test_words_are_repaired_by_nearness():
 
 def test_answers(spark):
     said = {
-        "E": "E", "I choose E": "E", "So\n**C**": "C", "b) as it rises": "B", "The answer is D because": "D", "the variance is A": None, "Option: c": "C", "A bad day": "A", "": None, None: None,
+        "E": "E", "I choose E": "I", "So I choose E": "E", "So\n**C**": "C", "b) as it rises": "B", "The answer is D because": "D", "the variance is A": None, "Option: c": "C", "A bad day": "A", "": None, None: None,
         "  \n": None, "it rises\r\n(d)": "D", "x" * 80 + " answer B": None, "selected=z": "Z",
     }
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i long, t string")
     assert [r[0] for r in rows.orderBy("i").select(answers.answer_letter(F.col("t"))).collect()] == list(said.values())
-    why = rows.filter("i IN (3, 4, 11)").orderBy("i").select(answers.letter_reply(F.col("t"))["justification"]).collect()
+    why = rows.filter("i IN (4, 5, 12)").orderBy("i").select(answers.letter_reply(F.col("t"))["justification"]).collect()
     assert [r[0] for r in why] == ["", "because", "it rises\r\n(d)"]
     numbers = {
         ".5": 0.5, "3 of 50%": 3.0, "- 3.14": -3.14, "−3.14": -3.14, "Minus 3.14": -3.14, "about 1,234.5 units": 1234.5, "12 %": 0.12, "none": None, "Answer: = 7": 7.0, "1e3": 1000.0, "size5": None,
@@ -203,6 +203,122 @@ def test_answers(spark):
     assert rows.limit(0).select(answers.answer_label(F.col("t"), F.col("allowed"))).count() == 0
 
 
+def _loop_tables(spark):
+    schema = "question_id long, question string, branch string, scope string, flags array<string>, evidence map<string,string>"
+    rows = [
+        (1, "trend?", "trend", "global", ["low_r2"], {}), (2, "x", "trend", "global", ["low_r2"], {}), (3, "x", "trend", "global", [], {}), (4, "x", None, None, None, None), (5, "x", "noise", "global", ["low_r2"], {}),
+        (6, "an outlier, is it stationary?", "trend", "global", ["low_r2", "low_r2"], {}), (7, "x", "trend", "local", ["low_r2"], {}), (8, "x", "trend", "global", ["low_r2"], {}),
+    ]
+    return spark.createDataFrame(rows, schema)
+
+
+def test_reroute_stops_for_each_reason(spark):
+    rows, asked = _loop_tables(spark), []
+    replies = {1: '{"branch": "anomaly"}', 2: '{"branch": "trend"}', 5: None, 6: "nothing", 7: '{"branch": "causality"}', 8: '{"branch": "noise", "scope": "local"}'}
+
+    def route(ask):
+        asked.append({r["question_id"] for r in ask.collect()})
+        return ask.select("question_id", F.element_at(F.create_map(*[F.lit(x) for k, v in replies.items() for x in (k, v)]), F.col("question_id").cast("int")).alias("reply"))
+
+    run = lambda ask: ask.select("question_id", F.when(F.col("branch") == "noise", F.array(F.lit("low_r2"))).otherwise(F.array().cast("array<string>")).alias("flags"), F.create_map(F.lit("r2"), F.lit("1")).alias("evidence"))
+    got = {r["question_id"]: r for r in loops.reroute(rows, route, run, ["trend", "anomaly", "noise"], ["trend", "noise"], ["low_r2"], most=2).collect()}
+    assert asked == [{1, 2, 5, 6, 7, 8}, {8}]  # only the rows that ask
+    told = {k: (r["loop_used"], r["loop_depth"], r["loop_final_branch"], r["loop_error"], r["loop_stopped"]) for k, r in got.items()}
+    assert told[1] == (True, 1, "anomaly", None, None) and got[1]["evidence"] == {"r2": "1"} and got[1]["flags"] == []
+    assert told[2] == (True, 0, "trend", None, "same_branch_noop") and told[3] == (False, 0, None, None, None) and told[4] == (False, 0, None, None, None)
+    assert told[5][3] == "reroute_exception" and told[6][3] == "reroute_parse_failed" and told[7][3] == "branch_causality_disabled"
+    assert told[8] == (True, 1, "noise", None, "same_branch_noop") and got[8]["scope"] == "local"
+    assert loops.reroute(rows.limit(0), lambda a: a.select("question_id", F.lit("x").alias("reply")), run, [], [], []).count() == 0
+
+
+def test_refine_and_propose_add_evidence(spark):
+    rows = _loop_tables(spark)
+    run = lambda ask: ask.filter("branch != 'anomaly'").select("question_id", F.array(F.lit("evidence_incomplete")).alias("flags"), F.create_map(F.lit("k"), F.col("branch")).alias("evidence"))
+    got = {r["question_id"]: r for r in loops.refine(rows, run, ["trend", "anomaly", "noise"], ["trend", "anomaly", "noise"], most=3, threshold=0.9).collect()}
+    assert got[6]["refine_branches"] == ["anomaly", "noise"] and got[6]["flags"] == ["low_r2", "branch_error", "evidence_incomplete"] and got[6]["evidence"] == {"refine_noise.k": "noise"}
+    assert got[6]["refine_quality_trace"] == pytest.approx([0.464, 0.5, 0.5]) and got[6]["quality_score"] == pytest.approx(0.5)
+    assert not got[4]["refine_fired"] and got[4]["quality_score"] is None and got[3]["quality_score"] == pytest.approx(0.5)
+    said = ['{"action": "vision", "reason": "r"}', '{"action": "noise", "reason": "r"}']
+    propose = lambda ask: ask.select("question_id", F.when(F.col("question_id") == 1, F.element_at(F.array(*map(F.lit, said)), F.col("turn") + 1)).when(F.col("question_id") == 2, '{"action": "trend", "reason": "r"}').when(F.col("question_id") == 3, '{"action": "numeric_head", "reason": "r"}').when(F.col("question_id") == 5, '{"action": "similarity", "reason": "r"}').when(F.col("question_id") == 6, "no").alias("reply"))
+    got = {r["question_id"]: r for r in loops.propose_actions(rows, propose, run, ["trend", "noise"], ["trend", "noise"], most=2, threshold=0.9).collect()}
+    assert got[1]["propose_executed"] == ["vision", "noise"] and got[1]["propose_force_vision"] and got[1]["evidence"] == {"propose_noise.k": "noise"}
+    fell = {k: r["propose_fallbacks"] for k, r in got.items()}
+    assert fell == {1: [], 2: ["already_run:trend"], 3: ["numeric_head_unavailable_on_mcq"], 4: [], 5: ["action_disabled:similarity"], 6: ["invalid_proposal"], 7: ["proposer_exception"], 8: ["proposer_exception"]}
+    assert loops.refine(rows.limit(0), run, [], []).count() == 0 and loops.propose_actions(rows.limit(0), propose, run, [], []).count() == 0
+
+
+def test_over_channels(spark):
+    schema = "question_id long, ts1 array<double>, ts2 array<double>, ts array<double>, mean string"
+    rows = spark.createDataFrame([(1, [1.0, 2.0, 4.0], [3.0, 1.0], [9.0], "x"), (2, None, None, [5.0, None, 8.0], "x"), (3, None, [], [], "x"), (4, None, [1.0], [2.0], "x"), (None, [7.0], None, None, "x")], schema)
+    op = lambda p: stats.basic_stats(p).select("series_id", "n", F.col("mean").alias("average"))
+    got = {r["question_id"]: r for r in channels.over_channels(rows, op, "noise").collect()}
+    assert got[1]["average"] == pytest.approx(7 / 3) and got[1]["series_mode"] == "multi" and got[1]["series_lengths"] == {"ts1": 3, "ts2": 2} and got[1]["ts2_noise"]["average"] == 2.0
+    assert got[2]["average"] == 6.5 and got[2]["n"] == 2 and got[2]["series_keys"] == ["ts"] and got[2]["ts1_noise"] is None
+    assert got[3]["series_mode"] is None and got[3]["average"] is None and got[4]["series_keys"] == ["ts2"] and got[None]["average"] == 7.0
+    assert channels.over_channels(rows.limit(0), op, "noise").count() == 0
+
+
+def test_against_candidates(spark):
+    schema = "question_id long, reference array<double>, candidates array<array<double>>"
+    rows = spark.createDataFrame([(1, [1.0, 2.0, 4.0, 3.0], [[2.0, 4.0, 8.0, 6.0], [4.0, 3.0], [], None, [1.0] * 5, [1.0, 2.0, 4.0, 3.0]]), (2, None, [[1.0]]), (3, [1.0], []), (4, [1.0], None)], schema)
+    got = {(r["question_id"], r["candidate"]): r for r in channels.against_candidates(rows).collect()}
+    assert {k: r["place"] for k, r in got.items()} == {(1, 0): 1, (1, 1): 4, (1, 2): None, (1, 3): None, (1, 4): 3, (1, 5): 2, (2, 0): None}
+    assert got[1, 1]["n"] == 2 and got[1, 1]["correlation"] == pytest.approx(-1) and got[1, 3]["n"] == 0 and got[1, 3]["error"] == "similarity_error" and got[1, 5]["letter"] == "F"
+    assert channels.against_candidates(rows.limit(0)).count() == 0
+
+
+def test_evidence_fields(spark):
+    said = '{"branch": "trend", "slope": 0.123456789, "r2": 1, "segment_slopes": [1.23456789, 2, "x"], "flags": ["low_r2"], "acf_values": [1], "vision_letter": "B", "vision_answer_parse_success": true, "artifacts": {"p": 1}, "x": {"a": 0.00000049}, "direction": null}'
+    rows = spark.createDataFrame([(1, "trend", "change_point", said), (2, "trend", "nope", said), (3, None, None, None), (4, "trend", "direction", "[1]"), (5, "trend", "direction", "{bad"), (6, "trend", "direction", "{}")], "i long, branch string, subtype string, e string")
+    rows = rows.withColumn("math", evidence.fields(F.col("e")))
+    kept = {r["i"]: r["k"] for r in evidence.pruned(rows).select("i", F.array_sort(F.map_keys("math")).alias("k")).collect()}
+    assert kept[1] == ["branch", "direction", "flags", "r2", "segment_slopes"] and "acf_values" not in kept[2] and len(kept[2]) == 10 and kept[3] == kept[4] == kept[5] == kept[6] == []
+    first = rows.filter("i = 1").select(evidence.summary(F.col("math")).alias("s"), evidence.rounded(F.element_at("math", "segment_slopes")).alias("l"), evidence.rounded(F.element_at("math", "x")).alias("m"), evidence.bundle(F.col("math")).alias("b")).first()
+    assert first["s"] == {"r2": "1", "slope": "0.123457", "branch": '"trend"', "direction": "null"} and first["l"] == '[1.234568,2,"x"]' and first["m"] == '{"a":0.0}'
+    assert first["b"]["vision_suggestion"]["letter"] == "B" and first["b"]["vision_suggestion"]["parse_success"] and first["b"]["flags"] == ["low_r2"] and "artifacts" not in first["b"]["math_evidence"]
+    assert evidence.pruned(rows.limit(0)).count() == 0
+
+
+def test_trajectories(spark):
+    wave = [0.0, 1.0, 0.0, -1.0] * 4
+    arrays = spark.createDataFrame([(1, wave), (2, [1.0, 2.0, 3.0]), (3, [5.0]), (4, [2.0, 2.0])], "series_id long, values array<double>")
+    rows = [
+        (1, 1, ["[0, 1, 0, -1, 0, 1]", "9 and 9"]), (2, 2, ["[3]", "4, 5"]), (3, 3, ["[1]"]), (4, 2, ["[1, x]", "[1]"]), (5, 2, []), (6, 2, None), (7, 4, ["[2]", "(2,)", "2 2"]), (8, 9, ["[1]"]), (9, 2, [None, "[1]"]),
+    ]
+    got = {r["question_id"]: r for r in heads.trajectory_head(spark.createDataFrame(rows, "question_id long, series_id long, options array<string>"), arrays).collect()}
+    assert {k: (r["letter"], r["method"], r["mse"]) for k, r in got.items()} == {1: ("A", "seasonal_naive", 0.0), 2: ("A", "persistence", 0.0), 7: ("A", "persistence", 0.0)}
+
+
+def test_resampling_has_the_distribution_of_rows(spark):
+    for n, p in ((0, 0.5), (7, 0.4), (30, 0.02), (200, 0.3), (5000, 0.97), (10**12, 0.25), (9, 0.0), (9, 1.0)):
+        k = np.array([r[0] for r in spark.range(3000).select(resampling.binomial(F.lit(n), F.lit(p), "t", F.col("id"), "x")).collect()])
+        assert k.min() >= 0 and k.max() <= n and (k == np.floor(k)).all()
+        spread = np.sqrt(n * p * (1 - p))
+        assert k.mean() == pytest.approx(n * p, abs=5 * spread / np.sqrt(3000) + 1e-9) and k.std() == pytest.approx(spread, rel=0.1, abs=0.02)
+    pairs = [(1, 0)] * 30 + [(0, 1)] * 60 + [(1, 1)] * 110 + [(None, 1)]
+    rows = spark.createDataFrame(pairs, "correct int, correct_t int")
+    rng = np.random.default_rng(0)
+    d = np.array([b - a for a, b in pairs[:-1]])
+    want = np.percentile(d[rng.integers(0, 200, (10_000, 200))].mean(axis=1), [2.5, 97.5])
+    got = resampling.paired_bootstrap(rows).first()
+    assert (got["low"], got["high"]) == pytest.approx(tuple(want), abs=0.011) and got["mean"] == pytest.approx(0.15, abs=0.005)
+    flip = resampling.paired_permutation(rows).first()
+    assert flip["observed"] == pytest.approx(0.15) and 1 / 5001 <= flip["p"] < 0.01
+    assert resampling.single_bootstrap(rows, "correct").first()["mean"] == pytest.approx(0.7, abs=0.005)
+    nothing = rows.limit(0)
+    assert resampling.paired_bootstrap(nothing).first()["low"] is None and resampling.paired_permutation(nothing).first()["p"] is None
+
+
+def test_tau_rule(spark):
+    rows = [("a", "x", 1)] * 3 + [("a", "x", -1)] + [("b", "x", 1), ("b", "x", 0)] + [("a", "y", -1), ("b", "y", -1), ("b", None, 1)]
+    frame = spark.createDataFrame(rows, "subset string, branch string, gain int")
+    curve = {round(r["tau"], 2): (r["gain"], r["look_rate"]) for r in experiment.tau_curve(frame).collect()}
+    assert len(curve) == 61 and curve[0.0] == pytest.approx(((2 / 5 + 2 / 4) / 2, (4 / 5 + 3 / 4) / 2))  # x and the unmet branch fire, y does not
+    got = {r["branch"]: r for r in experiment.tau_rule(frame).collect()}
+    assert got["x"]["fires"] and not got["y"]["fires"] and got["x"]["tau"] == 0.0 and got[None]["fires"]
+    assert experiment.tau_curve(frame.filter("subset = 'a'")).count() == 0 and experiment.tau_curve(frame.limit(0)).count() == 0
+
+
 def test_experiment(spark):
     rows = spark.createDataFrame([(0, ["low_r2"]), (0, ["low_r2"]), (1, ["low_r2"]), (0, []), (1, []), (None, ["low_r2"])], "correct int, flags array<string>")
     row = experiment.flag_diagnostics(rows).first()
