@@ -12,14 +12,14 @@ from chronoloom.operators import anomaly, kernels, pairwise, spectral, stats, tr
 from chronoloom.sources.series import to_arrays
 
 
-def _flagged(rows: DataFrame, keys: list[str], required: list[str]) -> DataFrame:
-    return rows.withColumn("flags", verify.verifier_flags({c: F.col(c) for c in keys}, [F.col(c) for c in required]))
+def _flagged(rows: DataFrame, branch: str, keys: list[str]) -> DataFrame:
+    return rows.withColumn("flags", verify.row_flags({c: F.col(c) for c in keys}, F.lit(branch)))
 
 
 def trend_branch(pts: DataFrame) -> DataFrame:
     fit = trend.trend_fit(pts).join(trend.slope_acceleration(pts), "series_id", "left").join(trend.ols_summary(pts), "series_id", "left")
     local = trend.chunk_trend(pts).groupBy("series_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "slope"))), lambda c: c["slope"]).alias("slopes"))
-    fit = _flagged(fit, ["r2"], ["slope", "direction", "r2"])
+    fit = _flagged(fit, "trend", ["slope", "direction", "r2"])
     return fit.join(local, "series_id").join(kernels.series_kernels(to_arrays(pts), ["trend_segments", "shape_features"]), "series_id")
 
 
@@ -46,7 +46,7 @@ def noise_branch(pts: DataFrame) -> DataFrame:
     again = lambda p, name: kernels.series_kernels(to_arrays(p), ["stationarity"]).select("series_id", F.col("is_stationary").alias(name))
     raw = raw.join(again(stats.difference(pts, 1), "is_stationary_after_diff"), "series_id", "left")
     raw = raw.join(again(stats.detrended(pts), "is_stationary_after_detrend"), "series_id", "left")
-    return _flagged(raw, ["adf_pval", "kpss_pval", "arch_effect_detected"], ["adf_pval", "kpss_pval", "is_stationary", "is_white_noise"])
+    return _flagged(raw, "noise", ["adf_pval", "kpss_pval", "arch_effect_detected", "is_stationary", "is_white_noise"])
 
 
 def similarity_branch(pair: DataFrame, arrays: DataFrame) -> DataFrame:
@@ -59,5 +59,4 @@ def similarity_branch(pair: DataFrame, arrays: DataFrame) -> DataFrame:
 def causality_branch(pair: DataFrame, arrays: DataFrame, max_lag: int = 60) -> DataFrame:
     """Lags up to a fifth of the pair's points, ``max_lag`` at most."""
     rows = pairwise.lag_correlation(pair, max_lag, part=5).join(kernels.pair_kernels(arrays, ["causality"]), "pair_id")
-    rows = rows.withColumn("corr", F.col("best_corr"))
-    return _flagged(rows, ["corr", "direction"], ["best_lag", "pval_12", "pval_21", "direction", "best_corr"]).drop("corr")
+    return _flagged(rows, "causality", ["best_lag", "pval_12", "pval_21", "direction", "best_corr"])

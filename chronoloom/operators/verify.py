@@ -40,6 +40,11 @@ REQUIRED = {
     "similarity": ("amp_stats_1", "amp_stats_2", "trend_1", "trend_2"),
     "causality": ("best_lag", "pval_12", "pval_21", "direction", "best_corr"),
 }
+LOCAL_REQUIRED = {
+    "trend": ("chunk_edges", "slopes", "directions", "r2s"),
+    "periodicity": ("chunk_edges", "chunk_periods"),
+    "anomaly": ("chunk_edges", "chunk_outlier_counts"),
+}
 HARD_FLAGS = ("low_r2", "fft_unreliable", "adf_kpss_disagree", "granger_not_significant", "weak_correlation", "arch_effects", "high_volatility")
 VISUAL_WORDS = (
     "shape", "visual", "visualize", "plot", "spectrogram", "regime shift", "topology", "pattern", "waveform", "morphology", "spectrum", "frequency",
@@ -140,16 +145,36 @@ def gold_letter(options: Column, answer: Column) -> Column:
     return F.when(at > 0, F.char(at + 64))
 
 
-def row_flags(e: dict[str, Column], branch: Column) -> Column:
-    """The verifier's flags of a global evidence row; absent fields are null."""
+def _is_wild(mean: Column, std: Column) -> Column:
+    """A deviation over one and a half of the mean, or any about a mean of nothing."""
+    return F.when(F.abs(mean) < 1e-8, std > 0).otherwise(F.abs(std / mean) > 1.5)
+
+
+def row_flags(e: dict[str, Column], branch: Column, scope: Column | None = None) -> Column:
+    """The verifier's flags of an evidence row; absent fields are null, and a null scope is global.
+
+    Of the local scope a trend is judged by its chunks' ``r2s``, a period by ``chunk_periods`` against ``chunk_edges`` (structs of start and
+    end), and trend, periodicity and anomaly need other fields.  ``mean`` and ``std`` may also come as pairs for both series: ``mean_1``, ``std_1`` and so on.
+    """
     get = lambda k: e.get(k, F.lit(None))
     number = lambda k: get(k).cast("double")
-    tiny = F.abs(number("mean")) < 1e-8
-    wild = F.when(tiny, number("std") > 0).otherwise(number("std") / F.abs(number("mean")) > 1.5)
-    missing = reduce(Column.__or__, [(branch == b) & reduce(Column.__or__, [get(f).isNull() for f in fields]) for b, fields in REQUIRED.items()])
+    local = F.lit(False) if scope is None else F.coalesce(scope != "global", F.lit(False))
+    lacks = lambda fields: reduce(Column.__or__, [get(f).isNull() for f in fields])
+    missing = reduce(Column.__or__, [(branch == b) & (F.when(local, lacks(LOCAL_REQUIRED[b])).otherwise(lacks(fields)) if b in LOCAL_REQUIRED else lacks(fields)) for b, fields in REQUIRED.items()])
+    poor = number("r2") < 0.65
+    if "r2s" in e:
+        poor = F.when(local, F.exists(e["r2s"], lambda r: F.coalesce(r < 0.65, F.lit(False)))).otherwise(poor)
+    elif scope is not None:
+        poor = ~local & poor
+    too_long = number("dominant_period_fft") > number("n") / 2
+    if "chunk_periods" in e and "chunk_edges" in e:
+        chunks = F.zip_with(e["chunk_edges"], e["chunk_periods"], lambda c, p: F.coalesce(p > (c["end"] - c["start"]) / 2, F.lit(False)))
+        too_long = F.coalesce(too_long, F.lit(False)) | ((branch == "periodicity") & local & F.coalesce(F.array_contains(chunks, True), F.lit(False)))
+    pairs = [(f"mean{end}", f"std{end}") for end in ("", "_1", "_2") if f"mean{end}" in e]
+    wild = reduce(Column.__or__, [F.coalesce(_is_wild(number(m), number(d)), F.lit(False)) for m, d in pairs], F.lit(False))
     tests = [
-        ((branch == "trend") & (number("r2") < 0.65), "low_r2"),
-        (number("dominant_period_fft") > number("n") / 2, "fft_unreliable"),
+        ((branch == "trend") & poor, "low_r2"),
+        (too_long, "fft_unreliable"),
         ((number("adf_pval") < 0.10) != (number("kpss_pval") >= 0.05), "adf_kpss_disagree"),
         ((branch == "causality") & (get("direction") == "none"), "granger_not_significant"),
         (F.abs(number("best_corr")) < 0.2, "weak_correlation"),
@@ -237,31 +262,6 @@ def quality_gate(e: dict[str, Column], flags: Column, branch: Column, vision: Co
     return F.struct(F.round(score, 4).alias("score"), (score >= threshold).alias("passed"), complete.alias("completeness"), penalty.alias("penalty"), math.alias("math"))
 
 
-def verifier_flags(e: dict[str, Column], required: Sequence[Column] = ()) -> Column:
-    """Flags of an evidence row with keys r2, period, n, std, mean, corr, adf_pval, kpss_pval, direction (of
-    causality), arch_effect_detected; missing keys raise no flag, a null among ``required`` does."""
-    tests = []
-    if "r2" in e:
-        tests.append(F.when(e["r2"] < 0.65, "low_r2"))
-    if "period" in e:
-        tests.append(F.when(e["period"] > e["n"] / 2, "fft_unreliable"))
-    if "std" in e:
-        tiny = F.abs(e["mean"]) < 1e-8
-        wild = F.when(tiny, e["std"] > 0).otherwise(e["std"] > 1.5 * F.abs(e["mean"]))
-        tests.append(F.when(wild, "high_volatility"))
-    if "corr" in e:
-        tests.append(F.when(F.abs(e["corr"]) < 0.2, "weak_correlation"))
-    if "adf_pval" in e:
-        tests.append(F.when((e["adf_pval"] < 0.10) != (e["kpss_pval"] >= 0.05), "adf_kpss_disagree"))
-    if "direction" in e:
-        tests.append(F.when(e["direction"] == "none", "granger_not_significant"))
-    if "arch_effect_detected" in e:
-        tests.append(F.when(e["arch_effect_detected"], "arch_effects"))
-    if required:
-        tests.append(F.when(reduce(Column.__or__, [c.isNull() for c in required]), "evidence_incomplete"))
-    return F.array_compact(F.array(*tests))
-
-
 def scalar_head(value: Column, options: Column) -> Column:
     """0-based index of the option nearest to the value, the first of equals."""
     return F.array_min(F.transform(options, lambda o, i: F.struct(F.abs(o - value).alias("d"), i.alias("i"))))["i"]

@@ -1820,6 +1820,60 @@ def trajectory_rank(spark, sf_dir):
     return heads.trajectory_head(rows, series.to_arrays(series.user_values(spark, sf_dir)))
 
 
+# ---- the verifier and the gates over every field: evidence of both scopes, made of a user's number and fit, with nulls.
+_SCOPED = {
+    "scope": "CASE k % 3 WHEN 0 THEN 'local' WHEN 1 THEN 'global' END", "branch": _pick_sql(_LOOP_BRANCHES, "CAST(floor(k / 2) AS BIGINT) % 6"), "slope": "CASE WHEN k % 7 <> 0 THEN fit_slope END",
+    "direction": "CASE k % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'up' WHEN 2 THEN '1 -> 2' END", "r2": "fit_r2", "n": "fit_n", "dominant_period_fft": "CASE WHEN k % 5 <> 0 THEN fit_n * (k % 4) / 5.0 END",
+    "dominant_freq": "CASE WHEN k % 6 <> 0 THEN 0.1 END", "period_reconciled": "CAST(k % 9 AS DOUBLE)", "outlier_indices": "CASE WHEN k % 3 <> 1 THEN '[]' END", "outlier_count": "k % 4", "max_deviation": "CAST(k % 5 AS DOUBLE)",
+    "adf_pval": "CASE k % 4 WHEN 0 THEN 0.01 WHEN 1 THEN 0.2 WHEN 2 THEN 0.5 END", "kpss_pval": "CASE k % 3 WHEN 0 THEN 0.1 WHEN 1 THEN 0.01 END", "is_stationary": "k % 2 = 0", "is_white_noise": "CASE WHEN k % 11 <> 0 THEN k % 3 = 0 END",
+    "amp_stats_1": "'s'", "amp_stats_2": "CASE WHEN k % 4 <> 3 THEN 's' END", "trend_1": "'up'", "trend_2": "'up'", "best_lag": "k % 10", "best_corr": "CASE WHEN k % 6 <> 1 THEN (k % 11 - 5) / 10.0 END",
+    "pval_12": "CASE k % 5 WHEN 0 THEN 0.05 WHEN 1 THEN 0.001 WHEN 2 THEN 0.5 WHEN 3 THEN 0.2 END", "pval_21": "CASE k % 2 WHEN 0 THEN 0.3 END", "arch_effect_detected": "CASE k % 5 WHEN 0 THEN true WHEN 1 THEN false END",
+    "mean_1": "CASE WHEN k % 8 = 0 THEN 0.0 ELSE 2.0 END", "std_1": "CAST(k % 4 AS DOUBLE)", "seasonal_strength": "(k % 10) / 10.0", "trend_strength": "CASE WHEN k % 3 <> 0 THEN (k % 8) / 10.0 END", "exp_r2": "CASE WHEN k % 4 <> 1 THEN (k % 10) / 10.0 END",
+    "vision": "(k % 4) / 4.0", "question": _pick_sql(_ROUTE_ASKS, "k % 12"), "subtype": _pick_sql(("waveform_type", "variance_level", "direction"), "k % 3"),
+}
+_CHUNKS = {"r2s": "array(0.5D + 0.1D * (k % 5), NULL, 0.9D)", "chunk_periods": "array(10D + k % 7, NULL, 3D)", "slopes": "CASE WHEN k % 13 <> 0 THEN array(1D) END", "directions": "array('up')", "chunk_outlier_counts": "CASE WHEN k % 5 <> 2 THEN array(0) END"}
+
+
+def _scoped_sql() -> str:
+    ks = "'low_r2', 'fft_unreliable', 'adf_kpss_disagree', 'granger_not_significant', 'weak_correlation', 'arch_effects', 'high_volatility'"
+    need = {**{b: (f, verify.LOCAL_REQUIRED.get(b, f)) for b, f in verify.REQUIRED.items()}}
+    lacks = lambda fields: "(" + " OR ".join(f"{f} IS NULL" for f in fields) + ")"
+    missing = " ".join(f"WHEN '{b}' THEN CASE WHEN scope = 'local' THEN {lacks(loc)} ELSE {lacks(glo)} END" for b, (glo, loc) in need.items())
+    share = " ".join(f"WHEN '{b}' THEN ({' + '.join(f'CASE WHEN {f} IS NOT NULL THEN 1 ELSE 0 END' for f in glo)}) / {len(glo)}.0::DOUBLE" for b, (glo, _) in need.items())
+    return f"""WITH {_PTS}, fit AS (SELECT series_id AS k, regr_slope(value, pos) AS fit_slope, CASE WHEN var_pop(value) > 0 THEN regr_r2(value, pos) ELSE 0 END AS fit_r2, count(*) AS fit_n FROM pts GROUP BY 1 HAVING count(*) >= 3),
+e AS (SELECT k, {', '.join(f'{c} AS {name}' for name, c in _SCOPED.items())}, [0.5 + 0.1 * (k % 5), NULL, 0.9]::DOUBLE[] AS r2s, [10 + k % 7, NULL, 3]::DOUBLE[] AS chunk_periods, true AS chunk_edges, CASE WHEN k % 13 <> 0 THEN true END AS slopes,
+  true AS directions, CASE WHEN k % 5 <> 2 THEN true END AS chunk_outlier_counts FROM fit),
+f AS (SELECT *, list_filter([CASE WHEN branch = 'trend' AND CASE WHEN scope = 'local' THEN r2s[1] < 0.65 ELSE r2 < 0.65 END THEN 'low_r2' END,
+  CASE WHEN coalesce(dominant_period_fft > n / 2, false) OR (branch = 'periodicity' AND scope = 'local' AND chunk_periods[1] > 12.5) THEN 'fft_unreliable' END,
+  CASE WHEN (adf_pval < 0.1) <> (kpss_pval >= 0.05) THEN 'adf_kpss_disagree' END, CASE WHEN branch = 'causality' AND direction = 'none' THEN 'granger_not_significant' END, CASE WHEN abs(best_corr) < 0.2 THEN 'weak_correlation' END,
+  CASE WHEN arch_effect_detected THEN 'arch_effects' END, CASE WHEN CASE WHEN mean_1 = 0 THEN std_1 > 0 ELSE std_1 / 2 > 1.5 END THEN 'high_volatility' END, CASE WHEN CASE branch {missing} END THEN 'evidence_incomplete' END], lambda x: x IS NOT NULL) AS flags FROM e),
+qq AS (SELECT *, least(1, 0.12 * len(list_intersect(flags, [{ks}])) + CASE WHEN list_contains(flags, 'evidence_incomplete') THEN 0.3 ELSE 0 END) AS penalty, CASE branch {share} END AS complete,
+  CASE WHEN r2 IS NOT NULL THEN CASE WHEN r2 >= 0.75 THEN 1 WHEN r2 >= 0.5 THEN 0.7 ELSE 0.4 END WHEN adf_pval IS NOT NULL AND kpss_pval IS NOT NULL THEN CASE WHEN (adf_pval < 0.1) = (kpss_pval >= 0.05) THEN 1 ELSE 0.5 END
+    WHEN best_corr IS NOT NULL THEN least(1, abs(best_corr) * 2) ELSE 1 END AS math, list_sort(list_filter([r2, exp_r2], lambda x: x IS NOT NULL), 'DESC') AS fits, lower(question) AS q, coalesce(pval_12, 1) AS p12, coalesce(pval_21, 1) AS p21 FROM (SELECT * REPLACE (CASE WHEN k % 4 <> 2 THEN r2 END AS r2) FROM f)),
+s AS (SELECT *, list_filter([CASE WHEN fits[1] < 0.65 THEN 'low_fit' END, CASE WHEN fits[1] - fits[2] < 0.05 THEN 'fit_ambiguous' END, CASE WHEN p12 BETWEEN 0.04 AND 0.1 OR p21 BETWEEN 0.04 AND 0.1 THEN 'pval_marginal' END,
+  CASE WHEN arch_effect_detected THEN 'arch_effects' END, CASE WHEN adf_pval > 0.1 THEN 'adf_high_pval' END, CASE WHEN abs(best_corr) >= 0.3 AND greatest(p12, p21) >= 0.1 THEN 'corr_granger_conflict' END,
+  CASE WHEN {_any_sql("q", verify.SEASON_WORDS)} AND seasonal_strength < 0.2 THEN 'weak_seasonal_signal' END, CASE WHEN {_any_sql("q", verify.SEASON_WORDS)} AND trend_strength < 0.2 THEN 'weak_trend_signal' END,
+  CASE WHEN {_any_sql("q", verify.ANOMALY_WORDS)} AND max_deviation < 2 THEN 'weak_anomaly_signal' END], lambda x: x IS NOT NULL) AS terms FROM qq),
+c AS (SELECT *, greatest(0, 1 - 0.15 * len(flags) - CASE WHEN list_contains(flags, 'evidence_incomplete') THEN 0.25 ELSE 0 END - list_sum(list_concat([0.0], list_transform(terms, lambda x: CASE WHEN x IN ('low_fit', 'arch_effects') THEN 0.2
+  WHEN x IN ('weak_seasonal_signal', 'weak_anomaly_signal') THEN 0.1 WHEN x = 'weak_trend_signal' THEN 0.05 ELSE 0.15 END)))) AS confidence FROM s)
+SELECT k AS series_id, branch, array_to_string(flags, ',') AS flags, round(greatest(0, least(1, 0.35 * complete + 0.3 * (1 - penalty) + 0.2 * math + 0.15 * vision)), 4) AS quality, round(math, 6) AS math, round(confidence, 6) AS confidence,
+  array_to_string(list_concat(list_sort(flags), terms), ',') AS reasons FROM c"""
+
+
+@query(_scoped_sql())
+def verifier_scopes(spark, sf_dir):
+    """Flags, quality and the gate's terms over evidence with every field, of both scopes."""
+    v, x = F.col("value"), F.col("pos").cast("double")
+    fit = series.user_values(spark, sf_dir).groupBy(F.col("series_id").alias("k")).agg(guards.slope(v, x).alias("fit_slope"), guards.r_squared(v, x).alias("fit_r2"), F.count("*").alias("fit_n")).filter("fit_n >= 3")
+    edges = "array(named_struct('start', 0, 'end', 25), named_struct('start', 25, 'end', 50), named_struct('start', 50, 'end', 75)) AS chunk_edges"
+    e = fit.selectExpr("k", *[f"{c} AS {name}" for name, c in {**_SCOPED, **_CHUNKS}.items()], edges)
+    fields = {c: F.col(c) for c in (*_SCOPED, *_CHUNKS, "chunk_edges") if c not in ("scope", "branch", "question", "subtype", "vision")}
+    e = e.withColumn("flags", verify.row_flags(fields, F.col("branch"), F.col("scope")))
+    less = {**fields, "r2": F.when(F.col("k") % 4 != 2, F.col("r2"))}  # without a fit the tests or the correlation speak
+    e = e.withColumn("q", verify.quality_gate(less, F.col("flags"), F.col("branch"), F.col("vision"))).withColumn("g", verify.visual_gate(less, F.col("flags"), F.col("branch"), F.col("subtype"), F.col("question")))
+    return e.select(F.col("k").alias("series_id"), "branch", F.array_join("flags", ",").alias("flags"), F.col("q.score").alias("quality"), "q.math", "g.confidence", F.array_join("g.reasons", ",").alias("reasons"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
