@@ -19,8 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .runtime import written
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
+#: Sources whose targets are broadcast (some MB), and salts of a join with more of them.
+MOST_SOURCES, SALTS = 50_000, 64
 
 
 def n_words(text: str | Column) -> Column:
@@ -78,9 +82,23 @@ def mixture(
     return _taken(sized, weights, max_repeats, seed).select("doc_id", "size", "source_size", "target", "copies", "taken")
 
 
-def _taken(sized: DataFrame, weights: tuple[int, ...], max_repeats: int, seed: str) -> DataFrame:
-    targets = source_targets(sized.select("source", "size"), weights, max_repeats).withColumnRenamed("source", "__source")
-    joined = sized.join(targets, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+def with_targets(sized: DataFrame, targets: DataFrame, most_sources: int = MOST_SOURCES) -> DataFrame:
+    """Documents with the target of their source, without a shuffle on the source.
+
+    Targets are one row a source.  Up to ``most_sources`` of them are broadcast; more are joined on source and a salt of ``SALTS`` values, so
+    that a source of many documents is dealt over as many tasks.
+    """
+    targets, _ = written(targets.withColumnRenamed("source", "__source"), "mixing-targets")
+    same = F.col("source").eqNullSafe(F.col("__source"))
+    if targets.count() <= most_sources:
+        return sized.join(F.broadcast(targets), same).drop("__source")
+    salted = targets.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = sized.withColumn("__deal", F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, same & (F.col("__deal") == F.col("__salt"))).drop("__source", "__salt", "__deal")
+
+
+def _taken(sized: DataFrame, weights: tuple[int, ...], max_repeats: int, seed: str, most_sources: int = MOST_SOURCES) -> DataFrame:
+    joined = with_targets(sized, source_targets(sized.select("source", "size"), weights, max_repeats), most_sources)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate)
     copies = whole + F.when(draw("doc_id", seed) < rate - whole, 1).otherwise(0)

@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from chronoloom.llm import collocation, packing, spelling
+from chronoloom.llm import collocation, mixing, packing, spelling
 from tests.llm.test_operators import SCHEMA, odd_rows
 
 
@@ -210,3 +210,18 @@ def test_trie_counts_like_a_dictionary():
     spans = (tuple(text[i : i + k].tolist()) for k in range(2, 5) for i in range(len(text) - k + 1) if goes_on[i + 1 : i + k].all())
     want = collections.Counter(s for s in spans if s in known)
     assert got == want
+
+
+# ---- mixing: no shuffle of documents on their source
+
+
+def test_targets_meet_documents_without_a_shuffle_on_source(spark):
+    rows = [(i, "word " * (i % 5), "hot" if i % 2 else f"s{i % 7}" if i % 6 else None) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    sized = docs.select("doc_id", "source", mixing.n_words("text").alias("size"))
+    targets = mixing.source_targets(sized.select("source", "size"))
+    plain, salted = (mixing.with_targets(sized, targets, most) for most in (50_000, 0))
+    key = lambda df: sorted(map(str, df.select("doc_id", "source", "size", "source_size", "target").collect()))
+    assert key(plain) == key(salted) and plain.count() == 400
+    told = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in told(plain) and "hashpartitioning(coalesce(source" not in told(plain)
