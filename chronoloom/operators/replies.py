@@ -94,6 +94,10 @@ def arbitrated(scores: DataFrame, by: str) -> DataFrame:
 
 
 def trace_hash(row: dict[str, Column], numbers: Sequence[str] = ()) -> Column:
-    """sha256 of a trace's fields in order of name, without volatile ones, numbers rounded to 6 places, nulls as such."""
-    shown = lambda k: F.coalesce(row[k].cast("decimal(38,6)").cast("string") if k in numbers else row[k].cast("string"), F.lit("null"))
-    return F.sha2(F.concat_ws("\n", *[F.concat(F.lit(f"{k}="), shown(k)) for k in sorted(row) if k not in VOLATILE]).cast("binary"), 256)
+    """sha256 of a trace's fields as one JSON object in order of name, without volatile ones, numbers rounded to 6 places.
+
+    Nulls are JSON's, so they differ from the text "null"; nested fields stay nested, and a text can imitate no field.
+    """
+    shown = lambda k: row[k].cast("decimal(38,6)") if k in numbers else row[k]
+    fields = F.struct(*[shown(k).alias(k) for k in sorted(row) if k not in VOLATILE])
+    return F.sha2(F.to_json(fields, {"ignoreNullFields": "false"}).cast("binary"), 256)

@@ -127,3 +127,33 @@ def rolling_std(pts: DataFrame) -> DataFrame:
     ratio = F.when(F.col("first") > 0, F.col("second") / F.col("first"))
     label = F.when(ratio > 1.2, "increasing").when(ratio < 0.8, "decreasing").otherwise("stable")
     return halves.select("series_id", ratio.alias("ratio"), label.alias("trend"))
+
+
+def spectrogram(pts: DataFrame, frame: int = 256) -> DataFrame:
+    """``series_id, frame, bin, frequency, power, db``: power densities of overlapping frames of the standardised series.
+
+    Frames have ``frame`` points (all of a shorter series) and share an eighth with the next; each loses its mean and is tapered over a quarter
+    (a cosine at both ends); only whole frames count.  A point goes to its one or two frames, and a frame is one row of at most ``frame`` values that is
+    transformed there, bin by bin, so nothing grows with the series but the number of rows.  Null and NaN points are dropped first.
+    """
+    present = pts.filter("value IS NOT NULL AND NOT isnan(value)")
+    spread = F.stddev_pop("value").over(whole())
+    z = present.select(
+        "series_id", (F.row_number().over(W.partitionBy("series_id").orderBy("pos")) - 1).alias("pos"), ((F.col("value") - F.avg("value").over(whole())) / F.when(spread > 0, spread).otherwise(1.0)).alias("v"),
+        F.least(F.count("*").over(whole()), F.lit(frame)).alias("m"), F.count("*").over(whole()).alias("n"),
+    )
+    hop = F.expr("m - m DIV 8")
+    first = F.greatest(F.lit(0), F.floor((F.col("pos") - F.col("m")) / hop) + 1)
+    last = F.least(F.floor(F.col("pos") / hop), F.floor((F.col("n") - F.expr("m DIV 8")) / hop) - 1)
+    framed = z.filter(first <= last).select("series_id", "m", "pos", "v", F.explode(F.sequence(first, last)).alias("frame"))
+    held = framed.groupBy("series_id", "frame", "m").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda p: p["v"]).alias("v"))
+    mean = F.aggregate("v", F.lit(0.0), lambda s, x: s + x) / F.col("m")
+    edge = lambda turn: 0.5 * (1 + F.cos(F.pi() * turn))
+    taper = lambda i: F.when(i <= F.expr("m DIV 8"), edge(-1 + 8 * i / F.col("m"))).when(i < F.col("m") - F.expr("m DIV 8"), 1.0).otherwise(edge(-7 + 8 * i / F.col("m")))
+    held = held.withColumn("c", F.transform(F.array(mean), lambda a: F.transform("v", lambda x, i: F.struct(((x - a) * taper(i)).alias("x"), taper(i).alias("w"), i.alias("i"))))[0])
+    bins = held.select("series_id", "frame", "m", "c", F.aggregate("c", F.lit(0.0), lambda s, p: s + p["w"] * p["w"]).alias("norm"), F.explode(F.sequence(F.lit(0), F.expr("CAST(m DIV 2 AS INT)"))).alias("bin"))
+    angle = lambda p: F.lit(2.0) * F.pi() * ((F.col("bin") * p["i"]) % F.col("m")) / F.col("m")
+    wave = lambda f: F.aggregate("c", F.lit(0.0), lambda s, p: s + p["x"] * f(angle(p)))
+    both_sides = F.when((F.col("bin") > 0) & ~((F.col("m") % 2 == 0) & (F.col("bin") == F.expr("m DIV 2"))), 2.0).otherwise(1.0)
+    power = bins.select("series_id", F.col("frame").cast("long").alias("frame"), F.col("bin").cast("long").alias("bin"), (F.col("bin") / F.col("m")).alias("frequency"), (both_sides * (F.pow(wave(F.cos), F.lit(2)) + F.pow(wave(F.sin), F.lit(2))) / F.col("norm")).alias("power"))
+    return power.withColumn("db", 10 * F.log10(F.col("power") + 1e-10))

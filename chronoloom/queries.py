@@ -1163,7 +1163,7 @@ def gate_verdict(spark, sf_dir):
     return reports.gate_verdict(_runs(spark, sf_dir))
 
 
-@query(f"""WITH {_RUNS}, l AS (SELECT *, {_NORM.format("look_s")} AS ls, {_NORM.format("look_p")} AS lp, {_NORM.format("math")} AS m, {_NORM.format("gold")} AS g, {_NORM.format("pred")} AS p FROM runs),
+@query(f"""WITH {_RUNS}, l AS (SELECT * FROM (SELECT *, {_NORM.format("look_s")} AS ls, {_NORM.format("look_p")} AS lp, {_NORM.format("math")} AS m, {_NORM.format("gold")} AS g, {_NORM.format("pred")} AS p FROM runs) WHERE lower(trim(coalesce(fired, ''))) NOT IN ('false', '0', 'none', '') AND ls <> ''),
 w AS (SELECT *, ls <> '' AND m <> '' AND ls <> m AND g <> '' AND ls <> g AS ws, lp <> '' AND m <> '' AND lp <> m AND g <> '' AND lp <> g AS wp FROM l)
 SELECT branch, count(*) AS n, round(avg(correct_t - correct), 6) AS net_s, count(*) FILTER (ws) AS wrong_s, round(count(*) FILTER (ws AND p = ls) / nullif(count(*) FILTER (ws), 0), 6) AS sycophancy_s,
   round(avg(correct_p - correct), 6) AS net_p, count(*) FILTER (wp) AS wrong_p, round(count(*) FILTER (wp AND p = lp) / nullif(count(*) FILTER (wp), 0), 6) AS sycophancy_p FROM w GROUP BY 1""")
@@ -1357,7 +1357,7 @@ def arbitration(spark, sf_dir):
     return replies.arbitrated(own.union(noise).union(anomaly_), "doc_id")
 
 
-@query(f"""WITH {_RUNS} SELECT doc_id, sha256('answer=' || coalesce(pred, 'null') || chr(10) || 'branch=' || coalesce(branch, 'null') || chr(10) || 'score=' || coalesce(CAST(CAST(round(quality_score, 6) AS DECIMAL(38, 6)) AS VARCHAR), 'null')) AS trace FROM runs""")
+@query(f"""WITH {_RUNS} SELECT doc_id, sha256('{{"answer":' || coalesce('"' || pred || '"', 'null') || ',"branch":' || coalesce('"' || branch || '"', 'null') || ',"score":' || coalesce(CAST(CAST(round(quality_score, 6) AS DECIMAL(38, 6)) AS VARCHAR), 'null') || '}}') AS trace FROM runs""")
 def trace_hashes(spark, sf_dir):
     r = _runs(spark, sf_dir)
     fields = {"branch": F.col("branch"), "answer": F.col("pred"), "score": F.col("quality_score"), "timestamp": F.current_timestamp()}
@@ -1874,6 +1874,25 @@ def verifier_scopes(spark, sf_dir):
     return e.select(F.col("k").alias("series_id"), "branch", F.array_join("flags", ",").alias("flags"), F.col("q.score").alias("quality"), "q.math", "g.confidence", F.array_join("g.reasons", ",").alias("reasons"))
 
 
+# ---- spectrograms of the hourly series of event types.
+_FRAMES_SQL = """WITH spread AS (SELECT event_type AS series_id, date_trunc('hour', ts) AS hour, sum(value) AS value FROM events GROUP BY 1, 2), span AS (SELECT series_id, min(hour) AS a, max(hour) AS b FROM spread GROUP BY 1),
+grid AS (SELECT series_id, unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS hour FROM span),
+x AS (SELECT g.series_id, row_number() OVER (PARTITION BY g.series_id ORDER BY g.hour) - 1 AS pos, coalesce(s.value, 0) AS v FROM grid g LEFT JOIN spread s ON s.series_id = g.series_id AND s.hour = g.hour),
+z AS (SELECT series_id, pos, (v - avg(v) OVER w) / CASE WHEN stddev_pop(v) OVER w > 0 THEN stddev_pop(v) OVER w ELSE 1 END AS v, count(*) OVER w AS n FROM x WINDOW w AS (PARTITION BY series_id)),
+s AS (SELECT *, least(n, 256) AS m, least(n, 256) // 8 AS o FROM z),
+f AS (SELECT *, pos - frame * (m - o) AS i FROM (SELECT *, unnest(range((n - o) // (m - o))) AS frame FROM s) WHERE pos BETWEEN frame * (m - o) AND frame * (m - o) + m - 1),
+t AS (SELECT *, v - avg(v) OVER (PARTITION BY series_id, frame) AS c, CASE WHEN i <= m // 8 THEN 0.5 * (1 + cos(pi() * (-1 + 8.0 * i / m))) WHEN i < m - m // 8 THEN 1 ELSE 0.5 * (1 + cos(pi() * (-8 + 1 + 8.0 * i / m))) END AS w FROM f),
+p AS (SELECT series_id, frame, k, any_value(m) AS m, (pow(sum(c * w * cos(2 * pi() * ((k * i) % m) / m)), 2) + pow(sum(c * w * sin(2 * pi() * ((k * i) % m) / m)), 2)) / sum(w * w) AS e FROM t, range(129) r(k) WHERE k <= m // 2 GROUP BY 1, 2, 3)
+SELECT series_id, frame, k AS bin, round(10 * log10(e * CASE WHEN k > 0 AND NOT (m % 2 = 0 AND k = m // 2) THEN 2 ELSE 1 END + 1e-10), 4) AS db FROM p WHERE k > 0"""
+
+
+@query(_FRAMES_SQL, digits=4)
+def spectrogram_rows(spark, sf_dir):
+    """Power by frame and frequency of each event type's hours; the bin of the mean, which detrending empties, is left out."""
+    points = series.hourly_type(spark, sf_dir).withColumn("value", F.coalesce("value", F.lit(0.0)))
+    return spectral.spectrogram(points).filter("bin > 0").select("series_id", "frame", "bin", "db")
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

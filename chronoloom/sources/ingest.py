@@ -63,9 +63,16 @@ def exam_rows(rows: DataFrame, codes: dict[str, str] | None = None, per_category
 
 
 def parse_array(text: Column) -> Column:
-    """A list literal, JSON or with quotes and None of another language, as doubles; empty if it is none."""
-    clean = F.replace(F.replace(F.trim(text), F.lit("None"), F.lit("null")), F.lit("'"), F.lit('"'))
-    return F.coalesce(F.from_json(clean, "array<double>"), F.from_json(F.lit("[]"), "array<double>"))
+    """A list or tuple literal, of JSON or with the quotes and None of another language, as doubles; numbers in quotes count, None is null.
+
+    Null, blank and other texts, and lists with a text that is no number, are empty.
+    """
+    bare = F.regexp_replace(F.regexp_replace(F.trim(text), r"(?s)^\((.*?),?\s*\)$", "[$1]"), r"(?s),\s*\]$", "]")
+    clean = F.replace(F.regexp_replace(bare, r"\bNone\b", "null"), F.lit("'"), F.lit('"'))
+    cells = F.from_json(clean, "array<string>")
+    values = F.transform(cells, lambda c: c.try_cast("double"))
+    whole = F.forall(cells, lambda c: c.isNull() | c.try_cast("double").isNotNull())
+    return F.when(F.coalesce(whole, F.lit(False)), values).otherwise(F.array().cast("array<double>"))
 
 
 def parse_nested(text: Column) -> Column:

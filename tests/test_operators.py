@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from chronoloom import queries
 from chronoloom.kernels import shape
-from chronoloom.operators import anomaly, answers, branches, channels, evidence, experiment, heads, kernels, loops, pairwise, resampling, spectral, stats, trend, verify
+from chronoloom.operators import anomaly, answers, branches, channels, evidence, experiment, heads, kernels, loops, pairwise, replies, resampling, spectral, stats, trend, verify
 from chronoloom.plans import numeric
+from chronoloom.sources import ingest
 from chronoloom.sources.series import to_arrays, to_points
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -319,6 +320,53 @@ def test_tau_rule(spark):
     assert experiment.tau_curve(frame.filter("subset = 'a'")).count() == 0 and experiment.tau_curve(frame.limit(0)).count() == 0
 
 
+def test_verifier_judges_both_scopes(spark):
+    schema = "i long, branch string, scope string, r2 double, r2s array<double>, slope double, direction string, slopes array<double>, directions array<string>, chunk_edges array<struct<start: int, end: int>>, chunk_periods array<double>, mean double, std double"
+    edges = [(0, 10), (10, 20)]
+    rows = [
+        (1, "trend", "local", 0.1, [0.9, None], None, None, [1.0], ["up"], edges, None, None, None), (2, "trend", "local", 0.9, [0.6], None, None, None, ["up"], edges, None, 0.0, 1.0),
+        (3, "trend", None, 0.1, [0.9], 1.0, "up", None, None, None, None, 1.0, 1.5), (4, "periodicity", "local", None, None, None, None, None, None, edges, [None, 6.0, 99.0], None, None),
+        (5, "periodicity", "local", None, None, None, None, None, None, edges, [5.0], -1.0, 1.6), (6, None, None, None, None, None, None, None, None, None, None, None, None),
+    ]
+    t = spark.createDataFrame(rows, schema)
+    flags = verify.row_flags({c: F.col(c) for c in t.columns[3:]}, F.col("branch"), F.col("scope"))
+    got = {r["i"]: r["f"] for r in t.select("i", flags.alias("f")).collect()}
+    assert got == {1: [], 2: ["low_r2", "high_volatility", "evidence_incomplete"], 3: ["low_r2"], 4: ["fft_unreliable"], 5: ["high_volatility"], 6: []}
+    assert t.limit(0).select(flags).count() == 0
+
+
+def test_spectrogram(spark):
+    rng = np.random.default_rng(3)
+    x = {1: rng.normal(size=600), 2: np.sin(np.arange(100) / 3), 3: np.full(9, 2.0), 4: np.array([1.0, 5.0])}
+    pts = spark.createDataFrame([(k, i, float(v)) for k, values in x.items() for i, v in enumerate(values)] + [(1, 600, float("nan")), (1, 601, None)], "series_id long, pos long, value double")
+    rows = spectral.spectrogram(pts).collect()
+    assert {k: len({r["frame"] for r in rows if r["series_id"] == k}) for k in x} == {1: 2, 2: 1, 3: 1, 4: 1}
+    for k, values in x.items():
+        z = (values - values.mean()) / (values.std() or 1)
+        m = min(len(z), 256)
+        i, width = np.arange(m), m // 8
+        w = np.where(i <= width, 0.5 * (1 + np.cos(np.pi * (-1 + 8 * i / m))), np.where(i < m - width, 1, 0.5 * (1 + np.cos(np.pi * (-7 + 8 * i / m)))))
+        for f in range((len(z) - m // 8) // (m - m // 8)):
+            y = z[f * (m - m // 8) :][:m]
+            p = np.abs(np.fft.rfft((y - y.mean()) * w)) ** 2 / (w**2).sum()
+            p[1 : (m + 1) // 2] *= 2
+            got = sorted((r["bin"], r["power"]) for r in rows if r["series_id"] == k and r["frame"] == f)
+            assert [v for _, v in got] == pytest.approx(list(p), abs=1e-9)
+    assert spectral.spectrogram(pts.limit(0)).count() == 0
+
+
+def test_array_literals(spark):
+    said = {"[1, 2.5]": [1.0, 2.5], "['1','2']": [1.0, 2.0], "(1,2)": [1.0, 2.0], "(3,)": [3.0], "[1, None, 2]": [1.0, None, 2.0], "[]": [], "": [], None: [], "['a']": [], "x": [], "[1, 2,]": [1.0, 2.0]}
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i long, t string")
+    assert [r[0] for r in rows.orderBy("i").select(ingest.parse_array(F.col("t"))).collect()] == list(said.values())
+
+
+def test_traces_differ_where_fields_do(spark):
+    t = spark.createDataFrame([(None, 1.0), ("null", 1.0), ('x","b":2', 1.0), ("x", 1.0000001)], "a string, s double")
+    got = [r[0] for r in t.select(replies.trace_hash({"a": F.col("a"), "s": F.col("s"), "raw": F.rand()}, ["s"])).collect()]
+    assert len(set(got)) == 4 and got == [r[0] for r in t.select(replies.trace_hash({"s": F.col("s"), "a": F.col("a")}, ["s"])).collect()]
+
+
 def test_experiment(spark):
     rows = spark.createDataFrame([(0, ["low_r2"]), (0, ["low_r2"]), (1, ["low_r2"]), (0, []), (1, []), (None, ["low_r2"])], "correct int, flags array<string>")
     row = experiment.flag_diagnostics(rows).first()
