@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.functions import guards
-from chronoloom.operators import anomaly, answers, branches, channels, evidence, experiment, heads, kernels, local, loops, pairwise, replies, reports, resampling, spectral, stats, trend, verify
+from chronoloom.operators import anomaly, answers, branches, channels, evidence, experiment, heads, kernels, local, loops, pairwise, replies, reports, resampling, shape, spectral, stats, trend, verify
 from chronoloom.plans import numeric
 from chronoloom.sources import ingest, series
 
@@ -1893,6 +1893,28 @@ def spectrogram_rows(spark, sf_dir):
     return spectral.spectrogram(points).filter("bin > 0").select("series_id", "frame", "bin", "db")
 
 
+# ---- peaks with prominence: nearest higher points by comparison with all others of a series.
+@query(f"""WITH {_PTS}, c AS (SELECT *, CASE WHEN value <> lag(value) OVER w THEN 1 ELSE 0 END AS fresh FROM pts WINDOW w AS (PARTITION BY series_id ORDER BY pos)),
+n AS (SELECT *, sum(fresh) OVER (PARTITION BY series_id ORDER BY pos) AS run FROM c), runs AS (SELECT series_id, run, min(pos) AS p0, max(pos) AS p1, any_value(value) AS v FROM n GROUP BY 1, 2),
+k AS (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b, (p0 + p1) // 2 AS pos FROM runs WINDOW w AS (PARTITION BY series_id ORDER BY run)),
+x AS (SELECT series_id, pos, v, p0, p1, 1 AS sign FROM k WHERE v > a AND v > b UNION ALL SELECT series_id, pos, v, p0, p1, -1 FROM k WHERE v < a AND v < b),
+bound AS (SELECT x.*, coalesce((SELECT max(y.pos) FROM pts y WHERE y.series_id = x.series_id AND y.pos < x.p0 AND y.value * x.sign > x.v * x.sign), -1) AS lo,
+  coalesce((SELECT min(y.pos) FROM pts y WHERE y.series_id = x.series_id AND y.pos > x.p1 AND y.value * x.sign > x.v * x.sign), 1000000000) AS hi FROM x),
+prom AS (SELECT b.*, v * sign - greatest((SELECT min(y.value * b.sign) FROM pts y WHERE y.series_id = b.series_id AND y.pos > lo AND y.pos <= b.p0), (SELECT min(y.value * b.sign) FROM pts y WHERE y.series_id = b.series_id AND y.pos < hi AND y.pos >= b.p1)) AS p FROM bound b),
+ends AS (SELECT series_id, max(value) AS most, min(value) AS least FROM pts GROUP BY 1), good AS (SELECT prom.* FROM prom JOIN ends USING (series_id) WHERE round(p, 12) >= round(0.05 * (most - least), 12)),
+f AS (SELECT *, (SELECT max(t.pos) FROM good t WHERE t.series_id = g.series_id AND t.sign = -1 AND t.pos < g.pos) AS before, (SELECT min(t.pos) FROM good t WHERE t.series_id = g.series_id AND t.sign = -1 AND t.pos > g.pos) AS after,
+  pos - (SELECT max(t.pos) FROM good t WHERE t.series_id = g.series_id AND t.sign = 1 AND t.pos < g.pos) AS gap FROM good g),
+per AS (SELECT series_id, count(*) FILTER (sign = 1) AS peaks, count(*) FILTER (sign = -1) AS troughs, avg(v) FILTER (sign = 1) AS peak, avg(v) FILTER (sign = -1) AS trough, avg(gap) FILTER (sign = 1) AS gap, stddev_pop(gap) FILTER (sign = 1) AS spread,
+  avg(pos - before) FILTER (sign = 1 AND before IS NOT NULL AND after IS NOT NULL) AS rise, avg(after - pos) FILTER (sign = 1 AND before IS NOT NULL AND after IS NOT NULL) AS fall FROM f GROUP BY 1),
+o AS (SELECT series_id, coalesce(peaks, 0) AS peak_count, coalesce(troughs, 0) AS trough_count, coalesce(peak, most) AS top, coalesce(trough, least) AS bottom, CASE WHEN peaks >= 2 THEN spread / gap ELSE 0 END AS cv,
+  coalesce(peaks >= 2 AND rise IS NOT NULL, false) AS known, rise / fall AS r FROM ends LEFT JOIN per USING (series_id))
+SELECT series_id, peak_count, trough_count, round(top, 6) AS mean_peak_value, round(bottom, 6) AS mean_trough_value, round(top - bottom, 6) AS peak_to_trough_amp, round(cv, 6) AS inter_peak_cv, round(CASE WHEN peak_count >= 2 THEN 1 / (1 + cv) ELSE 0 END, 6) AS peak_regularity,
+  round(CASE WHEN known THEN r ELSE 1 END, 6) AS rise_fall_ratio, CASE WHEN NOT known THEN 'insufficient_peaks' WHEN cv > 0.4 THEN 'irregular' WHEN r > 2 THEN 'slow_rise_fast_fall' WHEN r < 0.5 THEN 'fast_rise_slow_fall' ELSE 'symmetric' END AS waveform_hint FROM o""")
+def shape_summary(spark, sf_dir):
+    """Peaks and troughs of each user's series by prominence."""
+    return shape.shape_summary(series.user_values(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from chronoloom import queries
 from chronoloom.kernels import shape
+from chronoloom.operators import shape as shapes
 from chronoloom.operators import anomaly, answers, branches, channels, evidence, experiment, heads, kernels, loops, pairwise, replies, resampling, spectral, stats, trend, verify
 from chronoloom.plans import numeric
 from chronoloom.sources import ingest
@@ -367,6 +368,38 @@ def test_traces_differ_where_fields_do(spark):
     assert len(set(got)) == 4 and got == [r[0] for r in t.select(replies.trace_hash({"s": F.col("s"), "a": F.col("a")}, ["s"])).collect()]
 
 
+def brute_prominence(x):
+    out, i = [], 1
+    while i < len(x) - 1:
+        j = i
+        while j < len(x) - 1 and x[j + 1] == x[i]:
+            j += 1
+        if j < len(x) - 1 and x[i - 1] < x[i] > x[j + 1]:
+            left = next((k for k in range(i - 1, -1, -1) if x[k] > x[i]), -1)
+            right = next((k for k in range(j + 1, len(x)) if x[k] > x[i]), len(x))
+            out.append(((i + j) // 2, float(x[i] - max(min(x[left + 1 : i + 1]), min(x[j:right])))))
+        i = j + 1
+    return out
+
+
+def test_peaks_have_the_prominence_of_a_plain_search(spark):
+    rng = np.random.default_rng(8)
+    x = {
+        1: rng.normal(size=200).cumsum(), 2: rng.integers(0, 4, 150).astype(float), 3: np.exp(-np.arange(80) / 30) * np.cos(np.arange(80)), 4: np.arange(9.0), 5: np.ones(5), 6: np.array([1.0]),
+        7: np.array([0, 2, 2, 1, 3, 3, 3, 0, 2, 0], float),
+    }
+    pts = spark.createDataFrame([(k, i, float(v)) for k, values in x.items() for i, v in enumerate(values)] + [(6, 1, None), (6, 2, float("nan"))], "series_id long, pos long, value double")
+    rows = shapes.extremes(pts).collect()
+    for k, values in x.items():
+        for kind, sign in (("peak", 1), ("trough", -1)):
+            got = sorted((r["pos"], r["prominence"]) for r in rows if r["series_id"] == k and r["kind"] == kind)
+            want = brute_prominence(sign * values)
+            assert [p for p, _ in got] == [p for p, _ in want] and [v for _, v in got] == pytest.approx([v for _, v in want])
+    told = {r["series_id"]: r for r in shapes.shape_summary(pts).collect()}
+    assert len(told) == 7 and told[4]["waveform_hint"] == "insufficient_peaks" and told[4]["mean_peak_value"] == 8.0 and told[5]["peak_count"] == 0 and told[7]["peak_count"] == 3
+    assert shapes.shape_summary(pts.limit(0)).count() == 0
+
+
 def test_experiment(spark):
     rows = spark.createDataFrame([(0, ["low_r2"]), (0, ["low_r2"]), (1, ["low_r2"]), (0, []), (1, []), (None, ["low_r2"])], "correct int, flags array<string>")
     row = experiment.flag_diagnostics(rows).first()
