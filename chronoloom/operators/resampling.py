@@ -8,6 +8,8 @@ Nulls in a column compared count as no row of it; without rows all results are n
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,8 +92,17 @@ def _repeated(counts: DataFrame, reps: int) -> DataFrame:
     return counts.select("*", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).repartition("rep")
 
 
-def _ends(deltas: DataFrame) -> DataFrame:
-    return deltas.agg(F.percentile("delta", 0.025).alias("low"), F.percentile("delta", 0.975).alias("high"), F.avg("delta").alias("mean"))
+def _ends(deltas: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    return deltas.groupBy(*keys).agg(F.percentile("delta", 0.025).alias("low"), F.percentile("delta", 0.975).alias("high"), F.avg("delta").alias("mean"))
+
+
+def interval_of_counts(counts: DataFrame, keys: Sequence[str] = (), reps: int = 10_000, seed: str = "pair") -> DataFrame:
+    """``low, high, mean`` of the difference (c - b) / n by ``keys``, one row of ``n, b, c`` each; equal counts draw alike."""
+    drawn = _repeated(counts.filter("n > 0"), reps).withColumn("db", binomial(F.col("n"), F.col("b") / F.col("n"), seed, F.col("rep"), "b"))
+    left = F.col("n") - F.col("b")
+    rest = F.when(left > 0, F.col("c") / left).otherwise(0.0)
+    drawn = drawn.withColumn("dc", binomial(F.col("n") - F.col("db"), rest, seed, F.col("rep"), "c"))
+    return _ends(drawn.select(*keys, ((F.col("dc") - F.col("db")) / F.col("n")).alias("delta")), keys)
 
 
 def paired_counts(rows: DataFrame, base: str = "correct", treatment: str = "correct_t") -> DataFrame:
@@ -103,11 +114,7 @@ def paired_counts(rows: DataFrame, base: str = "correct", treatment: str = "corr
 
 def paired_bootstrap(rows: DataFrame, reps: int = 10_000, seed: str = "pair") -> DataFrame:
     """``low, high, mean``: 95 % percentile interval of the arms' difference in accuracy, and the mean of the resampled differences."""
-    drawn = _repeated(paired_counts(rows).filter("n > 0"), reps).withColumn("db", binomial(F.col("n"), F.col("b") / F.col("n"), seed, F.col("rep"), "b"))
-    left = F.col("n") - F.col("b")
-    rest = F.when(left > 0, F.col("c") / left).otherwise(0.0)
-    drawn = drawn.withColumn("dc", binomial(F.col("n") - F.col("db"), rest, seed, F.col("rep"), "c"))
-    return _ends(drawn.select(((F.col("dc") - F.col("db")) / F.col("n")).alias("delta")))
+    return interval_of_counts(paired_counts(rows), (), reps, seed)
 
 
 def single_bootstrap(rows: DataFrame, value: str, reps: int = 10_000, seed: str = "one") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions import guards
 from chronoloom.operators import anomaly, answers, branches, channels, evidence, experiment, heads, kernels, local, loops, pairwise, replies, reports, resampling, shape, spectral, stats, trend, verify
-from chronoloom.plans import numeric
+from chronoloom.plans import numeric, stress
 from chronoloom.sources import ingest, series
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1915,6 +1915,46 @@ def shape_summary(spark, sf_dir):
     return shape.shape_summary(series.user_values(spark, sf_dir))
 
 
+# ---- the stress set of the parsers over users' series.
+_OTHER_WORDS = {"std": "How tightly do the numbers huddle together?", "mean": "What would each number be if all were level?", "max": "How far up does it ever get?", "min": "How deep does it ever go?"}
+
+
+def _stress_sql() -> str:
+    at = lambda layer, name, n: f"CAST(('0x' || substr(md5('stress:{layer}:{name}:' || id), 1, 7)) AS BIGINT) % {n}"
+    pick = lambda values, i: f"([{', '.join(repr(v) for v in values)}])[{i} + 1]"
+    names, phrases, typos = list(stress.PHRASES), list(stress.PHRASES.values()), list(stress.TYPOS)
+    of = {p: q for q, p in stress.PHRASES.items()}
+    mended = [t for t in stress.TYPOS.items() if t[1] != "maen value"]  # three of four letters in common are too few for a repair
+    said = lambda x: f"'Based on the Time Series 1 data, what is ' || {x} || ' of the sequence?'"
+    return f"""{_PTS}, ids AS (SELECT DISTINCT user_id AS id FROM events),
+k AS (SELECT id, {at("clean", "q", 7)} AS cq, {at("compositional", "a", 7)} AS ca, {at("compositional", "b", 6)} AS cb, {at("compositional", "form", 4)} AS cf, {at("typo", "q", 6)} AS tq, {at("paraphrase", "q", 4)} AS pq FROM ids),
+set0 AS (SELECT id, 'clean' AS layer, {said(f"'the ' || {pick(phrases, 'cq')}")} AS raw, NULL AS gop, {pick(names, 'cq')} AS gl, NULL AS gr FROM k
+  UNION ALL SELECT id, 'compositional', {said(f"replace(replace({pick([f for _, f in stress.FORMS], 'cf')}, '{{a}}', {pick(phrases, 'ca')}), '{{b}}', {pick(phrases, '((ca + 1 + cb) % 7)')})")}, {pick([op for op, _ in stress.FORMS], 'cf')}, {pick(names, 'ca')}, {pick(names, '((ca + 1 + cb) % 7)')} FROM k
+  UNION ALL SELECT id, 'typo', {said(f"'the ' || {pick(list(stress.TYPOS.values()), 'tq')}")}, NULL, {pick([of[t] for t in typos], 'tq')}, NULL FROM k
+  UNION ALL SELECT id, 'paraphrase', {pick(list(_OTHER_WORDS.values()), 'pq')}, NULL, {pick(list(_OTHER_WORDS), 'pq')}, NULL FROM k),
+{_parsed_sql("SELECT *, " + "replace(" * len(mended) + "raw" + "".join(f", '{bad}', '{good}')" for good, bad in mended) + " AS question FROM set0")},
+arms AS (SELECT id, layer, 'gold' AS arm, gop AS o, gl AS l0, gr AS r0, left_q IS NULL AS asked FROM plans UNION ALL SELECT id, layer, 'A0', NULL, {_ladder_sql("lower(raw)")}, NULL, left_q IS NULL FROM plans
+  UNION ALL SELECT id, layer, 'A1', op, left_q, right_q, left_q IS NULL FROM plans UNION ALL SELECT id, layer, 'A2', op, coalesce(left_q, CASE WHEN id % 2 = 0 THEN gl END), right_q, left_q IS NULL FROM plans),
+st AS (SELECT series_id, avg(value) AS mean, median(value) AS median, stddev_pop(value) AS std, var_pop(value) AS var, min(value) AS min, max(value) AS max, max(value) - min(value) AS range FROM pts GROUP BY 1),
+every AS (UNPIVOT st ON COLUMNS(* EXCLUDE series_id) INTO NAME quantity VALUE value),
+val AS (SELECT id, layer, arm, asked, CASE o WHEN 'subtract' THEN x.value - y.value WHEN 'add' THEN x.value + y.value WHEN 'ratio' THEN CASE WHEN y.value <> 0 THEN x.value / y.value END ELSE x.value END AS v
+  FROM arms LEFT JOIN every x ON x.series_id = id AND x.quantity = l0 LEFT JOIN every y ON y.series_id = id AND y.quantity = r0),
+w AS (SELECT id, layer, bool_or(asked) AS asked, max(CASE WHEN arm = 'gold' THEN v END) AS g, max(CASE WHEN arm = 'A0' THEN v END) AS a0, max(CASE WHEN arm = 'A1' THEN v END) AS a1, max(CASE WHEN arm = 'A2' THEN v END) AS a2 FROM val GROUP BY 1, 2),
+ok AS (SELECT layer, asked, coalesce(abs(a0 - g) <= 0.1 * abs(g), false)::INT AS a0, coalesce(abs(a1 - g) <= 0.1 * abs(g), false)::INT AS a1, coalesce(abs(a2 - g) <= 0.1 * abs(g), false)::INT AS a2 FROM w WHERE g IS NOT NULL),
+s AS (SELECT layer, count(*) AS n, avg(a0) AS A0, avg(a1) AS A1, avg(a2) AS A2, count(*) FILTER (a1 = 1 AND a2 = 0) AS b, count(*) FILTER (a1 = 0 AND a2 = 1) AS c, avg(asked::INT) AS fire FROM (SELECT * FROM ok UNION ALL SELECT 'OVERALL', asked, a0, a1, a2 FROM ok) GROUP BY 1)"""
+
+
+@query(f"""WITH {_stress_sql()} SELECT layer, n, round(A0, 6) AS a0, round(A1, 6) AS a1, round(A2, 6) AS a2, b, c, round(fire, 6) AS fire_rate, round(A1 - A0, 6) AS a1_a0, round(A2 - A1, 6) AS a2_a1,
+  round(CASE WHEN b + c = 0 THEN 1 ELSE least(1, 2 * (SELECT sum(exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))) FROM range(least(b, c) + 1) r(i))) END, 6) AS p FROM s""")
+def parser_stress(spark, sf_dir):
+    """Three arms of the parser over questions of four layers; the planner answers for every other series."""
+    points = series.user_values(spark, sf_dir)
+    users = series.table(spark, sf_dir, "events").select(F.col("user_id").alias("series_id")).distinct()
+    asked = stress.stress_set(users, paraphrases=_OTHER_WORDS).withColumn("reply", F.when(F.col("series_id") % 2 == 0, F.concat(F.lit("Plan: "), F.col("intent"))))
+    told = stress.three_arms(stress.arm_rows(asked, points))
+    return told.select("layer", "n", *[F.col(a).alias(a.lower()) for a in ("A0", "A1", "A2")], "b", "c", "fire_rate", "a1_a0", "a2_a1", "p")
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

@@ -12,7 +12,7 @@ from chronoloom import queries
 from chronoloom.kernels import shape
 from chronoloom.operators import shape as shapes
 from chronoloom.operators import anomaly, answers, branches, channels, evidence, experiment, heads, kernels, loops, pairwise, replies, resampling, spectral, stats, trend, verify
-from chronoloom.plans import numeric
+from chronoloom.plans import numeric, stress
 from chronoloom.sources import ingest
 from chronoloom.sources.series import to_arrays, to_points
 
@@ -400,6 +400,22 @@ def test_peaks_have_the_prominence_of_a_plain_search(spark):
     assert shapes.shape_summary(pts.limit(0)).count() == 0
 
 
+def test_stress_set_measures_parsing_only(spark):
+    pts = spark.createDataFrame([(k, i, float(v)) for k, values in {1: [1, 5, 2, 8], 2: [3, 3, 3], 3: [7, 1]}.items() for i, v in enumerate(values)], "series_id long, pos long, value double")
+    ids = spark.createDataFrame([(1,), (2,), (3,), (4,), (None,)], "series_id long")
+    asked = stress.stress_set(ids, paraphrases={"max": "How far up does it get?"})
+    rows = asked.collect()
+    assert sorted({r["series_id"] for r in rows}) == [1, 2, 3, 4] and len(rows) == 16 and rows == stress.stress_set(ids, paraphrases={"max": "How far up does it get?"}).collect()
+    told = stress.arm_rows(asked.withColumn("reply", F.when(F.col("series_id") == 1, F.col("intent"))), pts).collect()
+    right = {(r["layer"], r["arm"], r["series_id"]): r["correct"] for r in told}
+    assert {s for _, _, s in right} <= {1, 2, 3}  # a series without points has no right value
+    assert all(v for (layer, arm, _), v in right.items() if layer == "clean")
+    assert [right["paraphrase", arm, s] for arm in ("A0", "A1", "A2") for s in (1, 2, 3)] == [0, 0, 0, 0, 0, 0, 1, 0, 0]
+    table = {r["layer"]: r for r in stress.three_arms(spark.createDataFrame(told)).collect()}
+    assert table["paraphrase"]["fire_rate"] == 1.0 and table["paraphrase"]["c"] == 1 and table["clean"]["a2_a1"] == 0.0 and table["OVERALL"]["n"] == sum(table[x]["n"] for x in table if x != "OVERALL")
+    assert stress.stress_set(ids.limit(0)).count() == 0
+
+
 def test_experiment(spark):
     rows = spark.createDataFrame([(0, ["low_r2"]), (0, ["low_r2"]), (1, ["low_r2"]), (0, []), (1, []), (None, ["low_r2"])], "correct int, flags array<string>")
     row = experiment.flag_diagnostics(rows).first()
