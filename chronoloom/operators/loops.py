@@ -3,8 +3,9 @@
 A row is ``question_id, question, branch, scope, flags, evidence`` (a map of text).  What is asked from outside comes as functions from
 DataFrame to DataFrame that get only the rows that ask: ``run`` turns ``question_id, branch, scope`` into ``question_id, flags,
 evidence``; ``route`` and ``propose`` turn ``question_id, question, branch, scope, flags, turn`` (and ``executed``) into ``question_id, reply``.
-A row without an answer, or with a null reply, counts as an error of that call.  The turns are unrolled into one plan, at most
-``most`` of them; rows that have stopped are handed on unchanged.  The functions' tables hold one row a question.
+A row without an answer, or with a null reply, counts as an error of that call.  There are at most ``most`` turns; the table is written
+before each (``cut``), as a turn reads it several times, so plans don't grow with the turns.  Rows that have stopped are
+handed on unchanged.  The functions' tables hold one row a question.
 
 Null or empty flags trigger nothing; a null branch is in no list of branches and never loops; an empty table gives an empty result.
 """
@@ -16,6 +17,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronoloom.functions.durable import cut
 from chronoloom.operators.replies import proposal
 from chronoloom.operators.verify import BRANCHES, REQUIRED, keyword_routes, parse_routing, quality_gate
 
@@ -69,7 +71,7 @@ def reroute(rows: DataFrame, route: Call, run: Call, enabled: Sequence[str], bra
         }
     )
     for turn in range(most):
-        on = F.col("__on")
+        state, on = cut(state), F.col("__on")
         asked = ["question", "branch", "scope", F.col("loop_trigger_flags").alias("flags"), F.lit(turn).alias("turn")]
         state = _answered(state, on, route, asked, {"reply": "__reply"}).withColumn("__to", parse_routing(F.col("__reply")))
         error = F.when(F.col("__reply").isNull(), "reroute_exception").when(~F.col("__to.parse_success"), "reroute_parse_failed")
@@ -116,7 +118,7 @@ def refine(rows: DataFrame, run: Call, enabled: Sequence[str], branches: Sequenc
         {"refine_branches": _texts(), "refine_quality_trace": F.when(entered, F.array("quality_score")), "__words": keyword_routes(F.col("question"), F.col("branch"), most + 1), "__first": F.col("branch")}
     )
     for place in range(most + 1 if most > 1 else 0):
-        state = state.withColumn("__branch", F.try_element_at("__words", F.lit(place + 1)))
+        state = cut(state).withColumn("__branch", F.try_element_at("__words", F.lit(place + 1)))
         usable = F.col("__branch").isin(*[b for b in branches if b in enabled]) & (F.col("__branch") != F.col("__first"))
         asks = F.coalesce((F.col("quality_score") < threshold) & (F.size("refine_branches") < most - 1) & usable, F.lit(False))
         state = _ran(state.withColumn("__asks", asks), F.col("__asks"), run, "__branch", "scope")
@@ -144,7 +146,7 @@ def propose_actions(rows: DataFrame, propose: Call, run: Call, enabled: Sequence
         {"propose_executed": _texts(), "propose_fallbacks": _texts(), "__on": F.coalesce(F.col("propose_quality_score") < threshold, F.lit(False)), "__first": F.col("branch")}
     )
     for turn in range(most):
-        on = F.col("__on")
+        state, on = cut(state), F.col("__on")
         asked = ["question", "branch", "scope", "flags", F.lit(turn).alias("turn"), F.col("propose_executed").alias("executed")]
         state = _answered(state, on, propose, asked, {"reply": "__reply"}).withColumn("__branch", proposal(F.col("__reply"))["action"])
         action = F.col("__branch")
