@@ -21,6 +21,7 @@ import bisect
 import json
 import os
 import re
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -50,51 +51,48 @@ def read_tokenizer(path: str = VOCABULARY) -> str:
         return f.read()
 
 
+class Words(dict):
+    """Ids of words as bytes; a word that is not known yet is asked for."""
+
+    def __init__(self, model, byte_level) -> None:
+        self.model, self.byte_level = model, byte_level
+
+    def __missing__(self, word: str) -> bytes:
+        spelt = word if word.isascii() else self.byte_level.pre_tokenize_str(word)[0][0]
+        ids = [token.id for token in self.model.tokenize(spelt)]
+        found = self[word] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
+
+
 class Encoder:
-    """Ids of texts by the library ``tokenizers``, which is asked once for each word of plain texts and keeps at most ``KNOWN_WORDS`` of them.
+    """Ids of texts by the library ``tokenizers``, whose model is asked once for each word of plain texts; at most about ``KNOWN_WORDS`` are kept.
 
-    That holds for vocabularies whose tokenizer cuts as ``WORDS`` does; ``cuts`` compares the two by the description.
+    That holds for vocabularies whose tokenizer cuts as ``WORDS`` does and spells by bytes; ``cuts`` tells it from the description.
     """
 
     def __init__(self, description: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(description)
-        self.known: dict[str, bytes] = {}
-        told = json.loads(description)
-        self.cuts = self._cuts(told)
-        self.last = np.zeros(1 + max(told["model"]["vocab"].values()), bool)  # ids that end a word
-        self.last[[i for piece, i in told["model"]["vocab"].items() if piece.endswith("</w>")]] = True
+        self.known = Words(self.tokenizer.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False))
+        self.cuts = self._cuts(json.loads(description))
 
     @staticmethod
     def _cuts(told: dict) -> bool:
         steps = (told.get("normalizer") or {}).get("normalizers") or []
         parts = (told.get("pre_tokenizer") or {}).get("pretokenizers") or []
         pattern = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"  # fixed value
-        return [s.get("type") for s in steps] == ["NFC", "Replace", "Lowercase"] and bool(parts) and (parts[0].get("pattern") or {}).get("Regex") == pattern and bool(parts[0].get("invert"))
+        return [s.get("type") for s in steps] == ["NFC", "Replace", "Lowercase"] and bool(parts) and (parts[0].get("pattern") or {}).get("Regex") == pattern and bool(parts[0].get("invert")) and [p.get("type") for p in parts[1:]] == ["ByteLevel"]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(found.ids, "<u4").tobytes() for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        """Ask for words in one text, which is parted where ids end a word; one by one, if that is not a word each."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.flatnonzero(self.last[ids]) + 1 if len(ids) and ids.max() < len(self.last) else np.empty(0, np.int64)
-        if len(ends) == len(words) and ends[-1] == len(ids):
-            raw, begins = ids.tobytes(), np.append(0, ends[:-1])
-            self.known.update(zip(words, (raw[4 * a : 4 * b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)), strict=True))
-        else:
-            self.known.update(zip(words, self._whole(words), strict=True))
-
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         plain = [self.cuts and PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
         cut = [WORDS.findall(t.lower()) if p else [] for t, p in zip(texts, plain, strict=True)]
         if len(self.known) > KNOWN_WORDS:
             self.known.clear()
-        new = list({w for words in cut for w in words} - self.known.keys())
-        if new:
-            self._learn(new)
         rest = iter(self._whole([t for t, p in zip(texts, plain, strict=True) if not p]))
         found = [b"".join(map(self.known.__getitem__, words)) if p else next(rest) for words, p in zip(cut, plain, strict=True)]
         return [np.frombuffer(ids, "<u4") for ids in found]
