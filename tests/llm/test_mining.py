@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from chronoloom.llm import collocation, mixing, packing, spelling
+from chronoloom.llm import collocation, lm, mixing, packing, spelling
 from tests.llm.test_operators import SCHEMA, odd_rows
 
 
@@ -225,3 +225,18 @@ def test_targets_meet_documents_without_a_shuffle_on_source(spark):
     assert key(plain) == key(salted) and plain.count() == 400
     told = lambda df: df._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in told(plain) and "hashpartitioning(coalesce(source" not in told(plain)
+
+
+# ---- language model: counts beyond 32 bits
+
+
+def test_counts_beyond_32_bits():
+    import pyarrow as pa
+
+    words = np.array([3, 9], np.uint64).tobytes()
+    rows = [(0, block, words, np.array([2**31, block], np.uint32).tobytes()) for block in (1, 2, 3)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int32(), pa.int64(), pa.binary(), pa.binary()], strict=True)], names=["part", "block", "words", "counts"])
+    out = [r for b in lm._answer([batch]) for r in b.to_pylist()]
+    assert [r["n"] for r in out if r["block"] is None] == [3 * 2**31 + 6]
+    assert all(lm._wide(r["counts"]).tolist() == [3 * 2**31, 6] for r in out if r["block"])
+    assert lm._narrow(np.array([5])) == b"\x04\x05\0\0\0" and lm._wide(lm._narrow(np.array([2**40]))).tolist() == [2**40]
