@@ -21,6 +21,8 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 COMPARED = [
     "basic_stats", "moving_average", "trend_fit", "autocorr", "rolling_std", "lag_corr", "acf_similarity", "jigsaw_ref", "plan_parse", "plan_eval", "route_parse", "answer_shapes", "visual_gate",
     "verifier_flags", "event_threshold", "forecast_range", "score_rows", "paired_stats", "holm", "hash_bootstrap", "loso_cv",
+    "nested_plan_eval", "loop_propose", "answer_letters", "answer_numbers", "answer_labels", "multi_series", "evidence_prune", "evidence_summary", "trajectory_rank", "verifier_scopes", "spectrogram_rows", "shape_summary",
+    "paired_bootstrap", "tau_rule",
 ]
 
 
