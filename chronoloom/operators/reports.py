@@ -98,14 +98,18 @@ def gate_verdict(rows: DataFrame, floor: float = -0.005, reps: int = 10_000) ->
     return told.withColumns({"h1": (F.col("low") >= floor) & (F.col("looks_t") < F.col("looks")), "h2": F.col("regressions") == 0})
 
 
+def fired_looks(rows: DataFrame) -> DataFrame:
+    """Rows on which the arm ``s`` looked: ``fired`` is none of false, 0, none or nothing and ``look_s`` names a letter."""
+    told = ~F.lower(F.trim(F.coalesce(F.col("fired").cast("string"), F.lit("")))).isin("false", "0", "none", "")
+    return rows.filter(told & (normal_letter(F.col("look_s")) != ""))
+
+
 def net_value(rows: DataFrame, by: str) -> DataFrame:
     """Net value of two looking arms (``s``, ``p``) over the arm without, and how often each follows a wrong look.
 
-    ``rows`` has ``correct_off, math`` (the letter without looking), ``gold``, per arm ``correct_, look_, pred_``, and ``fired``: only rows count on which
-    the arm ``s`` looked, that is whose ``fired`` is none of false, 0, none or nothing and whose look named a letter.
+    ``rows`` has ``correct_off, math`` (the letter without looking), ``gold`` and per arm ``correct_, look_, pred_``.  Every row counts;
+    for the rows with a look alone, pass those of ``fired_looks``.
     """
-    told = ~F.lower(F.trim(F.coalesce(F.col("fired").cast("string"), F.lit("")))).isin("false", "0", "none", "")
-    rows = rows.filter(told & (normal_letter(F.col("look_s")) != ""))
     gold, math = normal_letter(F.col("gold")), normal_letter(F.col("math"))
     out = [F.count("*").alias("n")]
     for arm in ("s", "p"):

@@ -480,3 +480,16 @@ def test_partial_autocorrelation_solves_yule_walker(pts):
     for k in range(1, 13):
         want = np.linalg.solve(np.array([[acf[abs(i - j)] for j in range(k)] for i in range(k)]), acf[1 : k + 1])[-1]
         assert rows[k]["pacf"] == pytest.approx(want) and rows[k]["significant"] == (abs(want) > 2 / np.sqrt(128))
+
+
+def test_net_value_counts_every_row(spark):
+    """Rows whose ``fired`` says no, and whose look names no letter, count too; ``fired_looks`` gives the others alone."""
+    from chronoloom.operators import reports
+
+    rows = spark.createDataFrame(
+        [("x", 0, 1, 1, "A", "B", "C", "A", "A", "B", "yes"), ("x", 1, 0, 1, "C", "B", "A", "C", "C", "B", "0"), ("x", 0, 0, 1, "A", "B", "none", "C", "A", "C", "True")],
+        "branch string, correct_off int, correct_s int, correct_p int, math string, gold string, look_s string, look_p string, pred_s string, pred_p string, fired string",
+    )
+    told = reports.net_value(rows, "branch").first().asDict()
+    assert told == {"branch": "x", "n": 3, "net_s": 0.0, "wrong_s": 2, "sycophancy_s": 0.0, "net_p": pytest.approx(2 / 3), "wrong_p": 1, "sycophancy_p": 1.0}
+    assert reports.net_value(reports.fired_looks(rows), "branch").first()["n"] == 1
