@@ -13,10 +13,11 @@ The model reads overlapping windows of ``WINDOW`` ids, of which the last ``STRID
 id is scored once, with at least ``WINDOW - STRIDE`` ids of context inside a text; windows are
 scored in batches with a causal mask.
 
-Counts of words and ids cover all training texts.  The attention begins with a fit of about ``FIRST_WINDOWS`` training windows, drawn by
-hash of document and place, and is then trained on every ``1 / SHARE`` of all training windows, so on more the larger the corpus is: in
-``TURNS`` turns the windows' shards (dealt by hash of the document, of about ``SHARD_WINDOWS`` each) train copies of the model, which are averaged by their
-numbers of windows.  None of this depends on how the input is split into files.
+Counts of words and ids cover all training texts, and every window of every training text trains the attention, once.  It begins
+with a fit of about ``FIRST_WINDOWS`` windows, drawn by hash of document and place, that only gives where training starts.  Then, in
+``TURNS`` turns, shards of about ``SHARD_WINDOWS`` windows train copies of the model, which are averaged by their numbers of windows.  Texts
+are dealt to turns and shards in pieces of at most ``PIECE`` windows, by hash of document, place and ids, so a long text trains in many shards.  None
+of this depends on how the input is split into files.
 
 Counting is a join of blocks (some MB of texts each) with words: a block asks once for each of its
 distinct words, so a word of every text costs one row a block, and gets back an array of counts.  Words are told apart by a hash of
@@ -31,6 +32,8 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -51,14 +54,20 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 BLOCK_BYTES = 4 << 20
 PART_WORDS = 1_500_000
 WINDOW, STRIDE = 32, 24
+_HEAD = WINDOW - STRIDE
 #: Groups (half of them of ids that begin words, and of the end), leaves of a group, of these of one id in each half, and the model's width.
 GROUPS, MEMBERS, OWN, WIDTH = 32, 32, 480, 16
 LEAVES = GROUPS * MEMBERS
 START = LEAVES  # what stands before a text
 FIRST_WINDOWS, STEPS, BATCH = 30_000, 500, 256
-SHARE, TURNS, SHARD_WINDOWS = 16, 2, 16_384
+TURNS, SHARD_WINDOWS, PIECE = 2, 65_536, 64
+#: Words whose ids a worker keeps, to twice as many.
+CACHE = 150_000
 _LOG10_E = np.float32(0.4342944819)
+#: Spaces that may stand inside words.
+_UNUSUAL = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _tokenizers: dict[int, tuple[tiktoken.Encoding, np.ndarray, int]] = {}
+_known: dict[int, list[dict[bytes, bytes]]] = {}
 
 
 def _tokenizer(ranks: dict[bytes, int]) -> tuple[tiktoken.Encoding, np.ndarray, int]:
@@ -77,18 +86,42 @@ class Subwords:
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.encoding, self.begins, self.end = _tokenizer(ranks)
-
-    def _word(self, word: bytes) -> list[int]:
-        """A word with unusual spaces inside, which would seem to begin several times."""
-        parts = self.encoding.encode_ordinary(word.decode("utf-8", "replace"))
-        return [self.encoding.encode_single_token(b" "), *[i for i in parts if not self.begins[i]]]
+        #: Bytes of the ids of words met so far, newer and older ones, kept from task to task of one worker.
+        self.known = _known.setdefault(id(self.encoding), [{}, {}])
+
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        """Bytes of each word's ids."""
+        text = (b" " + b" ".join(words)).decode("utf-8", "replace")
+        if not _UNUSUAL.search(text):
+            ids = np.array(self.encoding.encode_ordinary(text), np.uint16)
+            bounds = [*(2 * np.flatnonzero(self.begins[ids])).tolist(), 2 * len(ids)]
+            if len(bounds) == len(words) + 1:
+                data = ids.tobytes()
+                return [data[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        return [self._word(w) for w in words]
+
+    def _word(self, word: bytes) -> bytes:
+        ids = self.encoding.encode_ordinary((b" " + word).decode("utf-8", "replace"))
+        if int(self.begins[ids].sum()) != 1:  # unusual spaces inside would seem to begin words
+            parts = self.encoding.encode_ordinary(word.decode("utf-8", "replace"))
+            ids = [self.encoding.encode_single_token(b" "), *[i for i in parts if not self.begins[i]]]
+        return np.array(ids, np.uint16).tobytes()
 
     def text(self, words: list[bytes]) -> np.ndarray:
         """Ids of a text's words and its end."""
-        ids = np.array(self.encoding.encode_ordinary((b" " + b" ".join(words)).decode("utf-8", "replace")) if words else [], np.int64)
-        if int(self.begins[ids].sum()) != len(words):
-            ids = np.array([i for w in words for i in self._word(w)], np.int64)
-        return np.append(ids, self.end).astype(np.uint16)
+        newer, older = self.known
+        found = list(map(newer.get, words))
+        if None in found:
+            new = {w for w, f in zip(words, found, strict=True) if f is None}
+            told = {w: older[w] for w in new if w in older}
+            new = [w for w in new if w not in told]
+            if new:
+                told.update(zip(new, self._words(new), strict=True))
+            newer.update({w: ids for w, ids in told.items() if len(w) <= 64})
+            found = [told[w] if f is None else f for w, f in zip(words, found, strict=True)]
+            if len(newer) > CACHE:
+                self.known[:] = {}, newer
+        return np.append(np.frombuffer(b"".join(found), np.uint16), np.uint16(self.end))
 
 
 def read_vocabulary(path: str = VOCABULARY) -> dict[bytes, int]:
@@ -245,30 +278,72 @@ def _least(rate: float) -> int:
     return min(2**64 - 1, max(1, int(rate * 2.0**64)))
 
 
-def _drawn(rate: float, shards: int) -> object:
-    """Windows of training texts by a hash of document and place: for the first fit (``turn`` -1), and by shard for the turns."""
+def _hashed(docs: list[int | None]) -> np.ndarray:
+    return mix(np.array([d or 0 for d in docs], np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+
+
+def _first(rate: float) -> object:
+    """Windows of training texts by a hash of document and place, for the first fit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for docs, held, lengths, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 lengths, ids = np.frombuffer(lengths.as_py(), np.int32), _unpacked(ids.as_py(), np.uint16)
-                found, _ = windows(ids.astype(np.int64), lengths, 65535)
                 per = -(-lengths // STRIDE)
                 text = np.repeat(np.arange(len(lengths)), per)
                 place = np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)
-                doc = mix(np.array([d or 0 for d in docs], np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-                draw = mix(doc[text] ^ mix(place.astype(np.uint64) + np.uint64(0xD1B54A32D192ED03)))
-                other = mix(draw ^ np.uint64(0x8CB92BA72F3D8DD7))
-                train = ~np.array(held)[text]
-                first = np.flatnonzero(train & (draw < np.uint64(_least(rate))))
-                more = np.flatnonzero(train & (other % np.uint64(SHARE) == 0))
-                where = np.concatenate([first, more])
-                turn = np.concatenate([np.full(len(first), -1), ((other[more] >> np.uint64(32)) % np.uint64(TURNS)).astype(np.int64)])
-                shard = (doc[text[where]] % np.uint64(shards)).astype(np.int32)
-                cells = [found[w].astype(np.uint16).tobytes() for w in where]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(turn.astype(np.int32)), pa.array(shard), pa.array(draw[where].view(np.int64)), pa.array(cells, pa.binary())], names=["turn", "shard", "draw", "window"]
-                )
+                draw = mix(_hashed(docs)[text] ^ mix(place.astype(np.uint64) + np.uint64(0xD1B54A32D192ED03)))
+                where = np.flatnonzero(~np.array(held)[text] & (draw < np.uint64(_least(rate))))
+                if len(where):
+                    text, ends = text[where], np.cumsum(lengths)
+                    at = place[where, None] * STRIDE + np.arange(WINDOW) - _HEAD
+                    inside = (at >= 0) & (at < lengths[text, None])
+                    found = np.where(inside, ids[np.where(inside, (ends - lengths)[text, None] + at, 0)], np.uint16(65535))
+                    yield pa.RecordBatch.from_arrays([pa.array([w.tobytes() for w in found], pa.binary())], names=["window"])
+        release()
+
+    return run
+
+
+_DEALT = "shard int, draw long, ids binary"
+
+
+def pieces(ids: np.ndarray) -> list[np.ndarray]:
+    """A text's ids in pieces of whole strides (65535 behind the text), each after the ``WINDOW - STRIDE`` ids before it (65535: none)."""
+    n = -(-len(ids) // STRIDE) * STRIDE
+    full = np.full(_HEAD + n, 65535, np.uint16)
+    full[_HEAD : _HEAD + len(ids)] = ids
+    return [full[a : min(a + PIECE * STRIDE, n) + _HEAD] for a in range(0, n, PIECE * STRIDE)]
+
+
+def piece_windows(data: list[np.ndarray]) -> np.ndarray:
+    """All windows of some pieces."""
+    per = np.array([len(d) // STRIDE for d in data])  # what is before is shorter than a stride
+    starts = np.repeat(np.cumsum([0, *[len(d) for d in data[:-1]]]), per) + STRIDE * (np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per))
+    return np.concatenate(data)[starts[:, None] + np.arange(WINDOW)]
+
+
+def _dealt(turn: int, shards: int) -> object:
+    """All pieces of training texts whose turn it is, with their shards and places in these, by a hash of document, place and ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for docs, held, lengths, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                lengths, ids = np.frombuffer(lengths.as_py(), np.int32), _unpacked(ids.as_py(), np.uint16)
+                ends = np.cumsum(lengths)
+                cells, at, place = [], [], []
+                for i in np.flatnonzero(~np.array(held)).tolist():
+                    own = pieces(ids[ends[i] - lengths[i] : ends[i]])
+                    cells += own
+                    at += [i] * len(own)
+                    place += range(len(own))
+                if not cells:
+                    continue
+                told = np.array([zlib.crc32(c) for c in cells], np.uint64) << np.uint64(32) | np.array(place, np.uint64)
+                draw = mix(_hashed(docs)[at] ^ mix(told + np.uint64(0xD1B54A32D192ED03)))
+                mine = np.flatnonzero(draw % np.uint64(TURNS) == turn)
+                shard = (mix(draw[mine] ^ np.uint64(0x8CB92BA72F3D8DD7)) % np.uint64(shards)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(draw[mine].view(np.int64)), pa.array([_packed(cells[i]) for i in mine], pa.binary())], names=["shard", "draw", "ids"])
         release()
 
     return run
@@ -290,48 +365,52 @@ class Attention:
     leaf_out: np.ndarray
     leaf_bias: np.ndarray
 
-    def attend(self, window: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The head's output at the wanted scored places, with the steps for training."""
-        x = self.e[window[:, :-1]]
-        last = x[:, WINDOW - STRIDE - 1 :]
-        q, k, v = ((a.reshape(-1, WIDTH) @ w).reshape(a.shape) for a, w in ((last, self.q), (x, self.k), (x, self.v)))
-        s = q @ k.transpose(0, 2, 1)
-        s *= np.float32(WIDTH**-0.5)
-        s += _relative(self.near)
+    def attend(self, window: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The head's output at the scored places, a column of ones behind it, with the steps for training."""
+        seen, last = np.ascontiguousarray(window[:, :-1]), np.ascontiguousarray(window[:, _HEAD - 1 : -1])
+        one = np.ones((len(self.e), 1), np.float32)
+        rows = lambda table, at: np.take(table, at, axis=0, mode="clip")
+        q, k, v = rows(self.e @ self.q * _SCALE, last), rows(self.e @ self.k, seen), rows(np.hstack([self.e @ self.v, one]), seen)
+        s = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
+        np.clip(s, -60, 60, out=s)
         np.exp(s, out=s)
-        s /= s.sum(axis=2, keepdims=True)
-        h = (last + s @ v).reshape(-1, WIDTH)[wanted]
-        return h, x, last, q, k, v, s
+        s *= _relative(self.near)
+        mixed = s @ v  # its last column is the sum of weights
+        total = mixed[:, :, WIDTH:].copy()
+        mixed /= total
+        return mixed + rows(np.hstack([self.e, one * 0]), last), mixed, total, q, k, v, s
 
     def log_leaf(self, h: np.ndarray, target: np.ndarray, grads: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """log p(leaf | before) of the targets; with ``grads`` those of their mean's negative are added, and d / d h returned."""
-        group, member = np.divmod(target, MEMBERS)
-        at = np.arange(len(h))
-        logits = h @ self.out + self.bias
-        logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
-        result, dh = logits[at, group], None
+        """log p(leaf | before) of targets in order of group (``h``: outputs and a column of ones); with ``grads`` those of their mean's negative are added, and d / d h returned."""
+        group, member = target // MEMBERS, target % MEMBERS
+        at, n = np.arange(len(h)), np.float32(max(1, len(h)))
+        bounds = np.searchsorted(group, np.arange(GROUPS + 1))
+        some = [(i, slice(bounds[i], bounds[i + 1])) for i in range(GROUPS) if bounds[i] < bounds[i + 1]]
+        leaves = np.concatenate([self.leaf_out, self.leaf_bias[:, None]], axis=1)
+        inner = np.empty((len(h), MEMBERS), np.float32)
+        for i, rows in some:
+            np.matmul(h[rows], leaves[i], out=inner[rows])
+        outer = h @ np.vstack([self.out, self.bias])
+        for logits in (outer, inner):  # no overflow; what is cut still sums to 1
+            np.clip(logits, -80, 80, out=logits)
+        outer_at, inner_at = at * GROUPS + group, at * MEMBERS + member
+        result, dh = outer.ravel().take(outer_at) + inner.ravel().take(inner_at), None
+        np.exp(outer, out=outer)
+        np.exp(inner, out=inner)
+        outer_sum, inner_sum = outer @ _ONES[:GROUPS], inner @ _ONES[:MEMBERS]
+        result -= np.log(outer_sum) + np.log(inner_sum)
         if grads is not None:
-            g = np.exp(logits)
-            g[at, group] -= 1
-            g /= max(1, len(h))
-            grads["out"], grads["bias"], dh = h.T @ g, g.sum(0), g @ self.out.T
-            grads["leaf_out"], grads["leaf_bias"] = np.zeros_like(self.leaf_out), np.zeros_like(self.leaf_bias)
-        order = np.argsort(group, kind="stable")
-        bounds = np.searchsorted(group[order], np.arange(GROUPS + 1))
-        for i in range(GROUPS):
-            rows = order[bounds[i] : bounds[i + 1]]
-            if not len(rows):
-                continue
-            mine = h[rows]
-            logits = mine @ self.leaf_out[i] + self.leaf_bias[i]
-            logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
-            result[rows] += logits[np.arange(len(rows)), member[rows]]
-            if grads is not None:
-                g = np.exp(logits)
-                g[np.arange(len(rows)), member[rows]] -= 1
-                g /= len(h)
-                grads["leaf_out"][i], grads["leaf_bias"][i] = mine.T @ g, g.sum(0)
-                dh[rows] += g @ self.leaf_out[i].T
+            outer *= (1 / (outer_sum * n))[:, None]
+            inner *= (1 / (inner_sum * n))[:, None]
+            outer.reshape(-1)[outer_at] -= 1 / n
+            inner.reshape(-1)[inner_at] -= 1 / n
+            both = h.T @ outer
+            grads["out"], grads["bias"], dh = both[:WIDTH], both[WIDTH], outer @ self.out.T
+            within = np.zeros_like(leaves)
+            for i, rows in some:
+                np.matmul(h[rows].T, inner[rows], out=within[i])
+                dh[rows] += inner[rows] @ self.leaf_out[i].T
+            grads["leaf_out"], grads["leaf_bias"] = within[:, :WIDTH], within[:, WIDTH]
         return result, dh
 
     def score(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -339,40 +418,52 @@ class Attention:
         leaves = self.leaf_of[ids]
         result = np.zeros(len(ids))
         window, at = windows(leaves, lengths)
-        for a in range(0, len(window), 1024):
-            part, places = window[a : a + 1024], at[a : a + 1024].ravel()
-            target = part[:, WINDOW - STRIDE :].ravel()
-            wanted = np.flatnonzero(target < LEAVES)
-            result[places[wanted]] = self.log_leaf(self.attend(part, wanted)[0], target[wanted])[0]
+        for a in range(0, len(window), BATCH):
+            part, places = window[a : a + BATCH], at[a : a + BATCH].ravel()
+            wanted, target = _wanted(part)
+            result[places[wanted]] = self.log_leaf(self.attend(part)[0].reshape(-1, WIDTH + 1)[wanted], target)[0]
         return (result + self.share[ids]) * _LOG10_E
 
     def step(self, window: np.ndarray, moment: dict[str, tuple[np.ndarray, np.ndarray]], turn: int, rate: float) -> None:
         """One step of Adam on the cross-entropy of the scored places."""
-        head, scale = WINDOW - STRIDE, np.float32(WIDTH**-0.5)
-        target = window[:, head:].ravel()
-        wanted = np.flatnonzero(target < LEAVES)
-        h, x, last, q, k, v, s = self.attend(window, wanted)
+        wanted, target = _wanted(window)
+        h, mixed, total, q, k, v, s = self.attend(window)
         grads: dict[str, np.ndarray] = {}
-        dh = np.zeros((len(target), WIDTH), np.float32)
-        dh[wanted] = self.log_leaf(h, target[wanted], grads)[1]
-        dh = dh.reshape(last.shape)
-        ds = dh @ v.transpose(0, 2, 1)
-        dv = s.transpose(0, 2, 1) @ dh
-        ds = s * (ds - (s * ds).sum(axis=2, keepdims=True))
-        grads["near"] = np.bincount(np.maximum(_FAR, 0).ravel(), ds.sum(0).ravel(), WINDOW).astype(np.float32)
-        ds *= scale
+        dh = np.zeros((len(window) * STRIDE, WIDTH), np.float32)
+        dh[wanted] = self.log_leaf(h.reshape(-1, WIDTH + 1)[wanted], target, grads)[1]
+        dh = dh.reshape(len(window), STRIDE, WIDTH)
+        part = np.empty_like(h)
+        part[:, :, :WIDTH] = dh
+        part[:, :, WIDTH] = -np.einsum("ijk,ijk->ij", dh, mixed[:, :, :WIDTH])
+        part /= total
+        ds = part @ np.ascontiguousarray(v.transpose(0, 2, 1))
+        ds *= s
+        dv = s.transpose(0, 2, 1) @ np.ascontiguousarray(part[:, :, :WIDTH])
+        far = (np.ones(len(window), np.float32) @ ds.reshape(len(window), -1)).reshape(_FAR.shape)
+        grads["near"] = np.bincount(np.maximum(_FAR, 0).ravel(), far.ravel(), WINDOW).astype(np.float32)
         dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
         flat = lambda a: a.reshape(-1, WIDTH)
-        grads |= {"q": flat(last).T @ flat(dq), "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv)}
-        dx = dk @ self.k.T + dv @ self.v.T
-        dx[:, head - 1 :] += dh + dq @ self.q.T
-        used, column = window[:, :-1].ravel(), flat(dx)
-        grads["e"] = np.stack([np.bincount(used, column[:, i], LEAVES + 1) for i in range(WIDTH)], axis=1).astype(np.float32)
+        seen = np.ascontiguousarray(window[:, :-1])
+        x = np.take(self.e, seen, axis=0, mode="clip")
+        dq *= _SCALE
+        grads |= {"q": flat(np.ascontiguousarray(x[:, _HEAD - 1 :])).T @ flat(dq), "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv)}
+        dx = np.hstack([flat(dk), flat(dv)]) @ np.vstack([self.k.T, self.v.T])
+        dx = dx.reshape(x.shape)
+        dx[:, _HEAD - 1 :] += dh + (flat(dq) @ self.q.T).reshape(dh.shape)
+        grads["e"] = np.stack([np.bincount(seen.ravel(), c, LEAVES + 1) for c in np.ascontiguousarray(flat(dx).T)], axis=1).astype(np.float32)
+        move = np.concatenate([grads[n].ravel() for n in _WEIGHTS])
+        m1, m2 = moment.setdefault("all", (np.zeros_like(move), np.zeros_like(move)))
+        m1 += np.float32(0.1) * (move - m1)
+        m2 += np.float32(0.01) * (move * move - m2)
+        move = np.sqrt(m2 * np.float32(1 / (1 - 0.99**turn)))
+        move += np.float32(1e-8)
+        np.divide(m1, move, out=move)
+        move *= np.float32(rate / (1 - 0.9**turn))
+        at = 0
         for n in _WEIGHTS:
-            m1, m2 = moment.setdefault(n, (np.zeros_like(getattr(self, n)), np.zeros_like(getattr(self, n))))
-            m1 += 0.1 * (grads[n] - m1)
-            m2 += 0.01 * (grads[n] ** 2 - m2)
-            getattr(self, n)[...] -= rate * (m1 / (1 - 0.9**turn)) / (np.sqrt(m2 / (1 - 0.99**turn)) + 1e-8)
+            own = getattr(self, n)
+            own -= move[at : at + own.size].reshape(own.shape)
+            at += own.size
 
     def packed(self) -> np.ndarray:
         return np.concatenate([getattr(self, n).ravel() for n in _WEIGHTS]).astype(np.float64)
@@ -387,11 +478,23 @@ class Attention:
 
 
 _WEIGHTS = ("e", "q", "k", "v", "near", "out", "bias", "leaf_out", "leaf_bias")
-_FAR = np.arange(WINDOW - STRIDE - 1, WINDOW - 1)[:, None] - np.arange(WINDOW - 1)[None]
+_FAR = np.arange(_HEAD - 1, WINDOW - 1)[:, None] - np.arange(WINDOW - 1)[None]
+_SCALE = np.float32(WIDTH**-0.5)
+_ONES = np.ones(max(GROUPS, MEMBERS), np.float32)
 
 
 def _relative(near: np.ndarray) -> np.ndarray:
-    return np.where(_FAR >= 0, near[np.maximum(_FAR, 0)], np.float32(-1e9))
+    """Factors of the attention by distance, 0 for what is not before."""
+    return np.where(_FAR >= 0, np.exp(near)[np.maximum(_FAR, 0)], np.float32(0))
+
+
+def _wanted(window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The scored places of windows that have a leaf, in order of its group, and the leaves."""
+    target = window[:, _HEAD:].ravel()
+    group = (target // MEMBERS).astype(np.uint8)  # GROUPS where none
+    order = np.argsort(group, kind="stable")
+    wanted = order[: len(order) - int((group == GROUPS).sum())]
+    return wanted, target[wanted]
 
 
 def _leaves(counts: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -436,19 +539,23 @@ def _as_leaves(windows_of_ids: np.ndarray, leaf_of: np.ndarray) -> np.ndarray:
 _TRAINED = "part int, n long, weights binary"
 
 
-def _trained(shared, rate: float) -> object:
-    """Each shard's copy of the model after its windows (``turn, shard, draw, window``, in order of shard and draw), times their number."""
+def _trained(shared, rate: float, turn: int) -> object:
+    """Each shard's copy of the model after all its windows (rows in order of shard and draw), times their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start: Attention = shared.value
-        model, moment, waiting, shard, n, turn = None, {}, [], None, 0, 0
+        model, moment, waiting, shard, n, steps, size = None, {}, [], None, 0, 0, 0
 
         def learn() -> None:
-            nonlocal turn, n
-            turn += 1
-            n += len(waiting)
-            data = np.frombuffer(b"".join(waiting), np.uint16).reshape(-1, WINDOW).astype(np.int64)
-            model.step(_as_leaves(data, model.leaf_of), moment, turn, rate)
+            """The windows that wait, in mixed order."""
+            nonlocal steps, n, size
+            data = _as_leaves(piece_windows(waiting), model.leaf_of)
+            order = np.random.default_rng([turn, shard]).permutation(len(data))
+            for a in range(0, len(data), BATCH):
+                steps += 1
+                model.step(data[order[a : a + BATCH]], moment, steps, rate)
+            n += len(data)
+            size = 0
             waiting.clear()
 
         def done() -> pa.RecordBatch:
@@ -459,13 +566,14 @@ def _trained(shared, rate: float) -> object:
             )
 
         for batch in batches:
-            for own, window in zip(batch.column(1).to_pylist(), batch.column(3), strict=True):
+            for own, ids in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
                 if own != shard:
                     if shard is not None:
                         yield done()
-                    model, moment, shard, n, turn = start.with_weights(start.packed()), {}, own, 0, 0
-                waiting.append(window.as_py())
-                if len(waiting) == BATCH:
+                    model, moment, shard, n, steps = start.with_weights(start.packed()), {}, own, 0, 0
+                waiting.append(_unpacked(ids.as_py(), np.uint16))
+                size += len(waiting[-1])
+                if size > SHARD_WINDOWS * WINDOW:
                     learn()
         if shard is not None:
             yield done()
@@ -483,32 +591,49 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([n]), pa.array([total.tobytes()], pa.binary())], names=["part", "n", "weights"])
 
 
-def refine(model: Attention, drawn: DataFrame, shards: int, turn: int) -> Attention:
+def refine(model: Attention, blocks: DataFrame, shards: int, turn: int) -> Attention:
     """The average of the copies that the turn's shards train; at most 16 sums of weights reach the driver."""
-    shared = drawn.sparkSession.sparkContext.broadcast(model)
-    rows = drawn.filter(F.col("turn") == turn).repartition(shards, "shard").sortWithinPartitions("shard", "draw", "window")
-    trained = rows.mapInArrow(_trained(shared, 0.002), _TRAINED)
+    shared = blocks.sparkSession.sparkContext.broadcast(model)
+    dealt = blocks.select("doc_ids", "held", "lengths", "ids").mapInArrow(_dealt(turn, shards), _DEALT)
+    rows = dealt.repartitionById(shards, "shard").sortWithinPartitions("shard", "draw", "ids")
+    trained = rows.mapInArrow(_trained(shared, 0.002, turn), _TRAINED)
     sums = trained.repartition(16, "part").mapInArrow(_added, _TRAINED).collect()
     n = sum(r["n"] for r in sums)
     return model.with_weights(sum(np.frombuffer(r["weights"]) for r in sorted(sums, key=lambda r: r["n"])) / n) if n else model
 
 
-def _score(shared, total: int, types: int, n_train: int):
-    """Per text of a block the base score and the model's."""
+_MODELLED = "block long, doc_ids array<long>, held array<boolean>, tokens binary, scores binary"
+
+
+def _modelled(shared):
+    """Blocks with the model's scores of their texts in place of the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Attention = shared.value
         for batch in batches:
-            for docs, held, *cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *batch.columns[2:5], batch.column(5), strict=True):
-                lengths, ids = np.frombuffer(cells[0].as_py(), np.int32), _unpacked(cells[1].as_py(), np.uint16)
-                known = np.concatenate([*[_wide(a["counts"]) for a in cells[3].as_py() or []], np.array([n_train], np.int64)])
-                words = _unpacked(cells[2].as_py(), np.uint32)
+            for i in range(len(batch)):
+                lengths, ids = np.frombuffer(batch.column(4)[i].as_py(), np.int32), _unpacked(batch.column(5)[i].as_py(), np.uint16)
+                full = np.add.reduceat(model.score(ids, lengths), np.concatenate([[0], np.cumsum(lengths)[:-1]]))
+                yield pa.RecordBatch.from_arrays([*[batch.column(j).slice(i, 1) for j in range(4)], pa.array([full.tobytes()], pa.binary())], names=[f.split()[0] for f in _MODELLED.split(", ")])
+        release()
+
+    return run
+
+
+def _score(total: int, types: int, n_train: int):
+    """Per text of a block the base score, and the model's as it is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for docs, held, *cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *batch.columns[2:5], strict=True):
+                known = np.concatenate([*[_wide(a["counts"]) for a in cells[2].as_py() or []], np.array([n_train], np.int64)])
+                words = _unpacked(cells[0].as_py(), np.uint32)
                 c = known[words]
                 base = np.log10((c + 1) / (total + types + 1))
                 ends = np.flatnonzero(words == len(known) - 1) + 1  # every text's last token is its end
                 starts = np.concatenate([[0], ends[:-1]])
                 sums = [np.add.reduceat(x, starts) for x in (np.ones(len(c), np.int64), (c > 0).astype(np.int64), base)]
-                full = np.add.reduceat(model.score(ids, lengths), np.concatenate([[0], np.cumsum(lengths)[:-1]]))
+                full = np.frombuffer(cells[1].as_py())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(docs, pa.int64()), pa.array(held), pa.array(sums[0]), pa.array(sums[1]), pa.array(np.full(len(docs), total)), pa.array(sums[2]), pa.array(full)],
                     names=_NAMES,
@@ -540,15 +665,15 @@ def scores(docs: DataFrame, vocabulary: dict[bytes, int], id_col: str = "doc_id"
     for row in id_counts.groupBy("id").agg(F.sum("n").alias("n")).collect():  # one row an id of the vocabulary
         counts[row["id"]] = row["n"]
     n_windows = max(1, sizes["windows"] or 0)
-    shards = max(1, n_windows // SHARE // SHARD_WINDOWS)
-    drawn = blocks.select("doc_ids", "held", "lengths", "ids").mapInArrow(_drawn(min(1.0, FIRST_WINDOWS / n_windows), shards), "turn int, shard int, draw long, window binary")
-    drawn = materialise(drawn, "lm-windows")
-    first = drawn.filter("turn = -1").select("window").toArrow()["window"].to_pylist()
+    shards = max(1, n_windows // TURNS // SHARD_WINDOWS)
+    drawn = blocks.select("doc_ids", "held", "lengths", "ids").mapInArrow(_first(min(1.0, FIRST_WINDOWS / n_windows)), "window binary")
+    first = drawn.toArrow()["window"].to_pylist()
     model = train(np.array([np.frombuffer(w, np.uint16) for w in sorted(first)], np.int64).reshape(-1, WINDOW), counts, begins)
     for turn in range(TURNS):
-        model = refine(model, drawn, shards, turn)
+        model = refine(model, blocks, shards, turn)
     total, types = (known["n"] or 0) + n_train, (known["v"] or 0) + (n_train > 0)
     shared = spark.sparkContext.broadcast(model)
     told = answers.filter("block IS NOT NULL").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "counts"))).alias("told"))
-    full = blocks.join(told, "block", "left").select("doc_ids", "held", "lengths", "ids", "tokens", "told")
-    return full.mapInArrow(_score(shared, total, types, n_train), _SCORED)
+    modelled = blocks.select("block", "doc_ids", "held", "tokens", "lengths", "ids").mapInArrow(_modelled(shared), _MODELLED)
+    full = modelled.join(told, "block", "left").select("doc_ids", "held", "tokens", "scores", "told")
+    return full.mapInArrow(_score(total, types, n_train), _SCORED)

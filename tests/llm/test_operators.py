@@ -693,3 +693,59 @@ def test_pipeline_against_plain_python(spark, sf_dir, docs, empty, what):
     rows = current.collect()
     assert sorted(str(r["doc_id"]) for r in rows) == plain_pipeline(data.collect(), lambda r: score[r["text"]] > 0)
     assert all(r["piece_ids"] == library.encode(r["text"]) and r["round_trip"] for r in rows)
+
+
+def test_lm_trains_on_every_window_once(spark):
+    """All turns and shards together hold just the windows of the training texts, as often as they occur."""
+    from collections import Counter
+
+    import numpy as np
+
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["river", "stone", "Winter", "light"]) + str(rng.randrange(50)) for _ in range(n)) for n in (0, 3, 30, 400, 9000)]
+    data = spark.createDataFrame([(i if i % 5 else None, i % 7 == 2, texts[i % 5]) for i in range(40)], "doc_id long, held_out boolean, text string").repartition(3)
+    cut = lm.Subwords(lm.read_vocabulary())
+    wanted = Counter()
+    for r in data.collect():
+        if not r["held_out"]:
+            ids = cut.text(lm.lowered(r["text"].encode()).split())
+            wanted.update(w.tobytes() for w in lm.windows(ids, np.array([len(ids)]), 65535)[0].astype(np.uint16))
+    blocks = data.mapInArrow(lm._blocks(spark.sparkContext.broadcast(lm.read_vocabulary())), lm._BLOCK).select("doc_ids", "held", "lengths", "ids")
+    dealt = [r for turn in range(lm.TURNS) for r in blocks.mapInArrow(lm._dealt(turn, 5), lm._DEALT).collect()]
+    assert len({r["shard"] for r in dealt}) > 1
+    assert Counter(w.tobytes() for w in lm.piece_windows([lm._unpacked(r["ids"], np.uint16) for r in dealt])) == wanted
+
+
+def test_lm_steps_along_the_gradient():
+    """The first step of training moves each kind of weights as the slope of the loss says."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    model = lm.train(rng.integers(0, 3000, (5000, lm.WINDOW)), rng.integers(0, 50, 3001), np.arange(3001) % 3 == 0)
+    window = lm._as_leaves(rng.integers(0, 3000, (20, lm.WINDOW)), model.leaf_of)
+
+    def loss(m):
+        wanted, target = lm._wanted(window)
+        return -float(m.log_leaf(m.attend(window)[0].reshape(-1, lm.WIDTH + 1)[wanted], target)[0].astype(np.float64).mean())
+
+    for name in lm._WEIGHTS:
+        moved, moment = model.with_weights(model.packed()), {}
+        moved.step(window, moment, 1, 1e-3)
+        way = getattr(moved, name) - getattr(model, name)
+        at = sum(getattr(model, n).size for n in lm._WEIGHTS[: lm._WEIGHTS.index(name)])
+        told = float((moment["all"][0][at : at + way.size] * 10 * way.ravel()).sum())
+        ends = []
+        for sign in (1, -1):
+            m = model.with_weights(model.packed())
+            getattr(m, name)[...] += sign * way
+            ends.append(loss(m))
+        assert told < 0 and (ends[0] - ends[1]) / 2 == pytest.approx(told, rel=0.1), name
+
+
+def test_lm_ids_of_words_do_not_depend_on_what_came_before():
+    cut = lm.Subwords(lm.read_vocabulary())
+    words = [w.encode() for w in ["plain", "one ", " ", " ", " two", "three　four", "café's", "12ab--", "漢字"]]
+    together = cut.text(words).tolist()
+    cut.known[:] = {}, {}
+    assert together == [i for w in words for i in cut.text([w]).tolist()[:-1]] + [cut.end] == cut.text(words).tolist()
+    assert cut.begins[together[:-1]].sum() == len(words)
