@@ -13,6 +13,7 @@
 
 An input is composed with the normaliser, then with lexicon, fallback and acceptor: states are (position, last piece), or
 positions alone for unigram models.  They are relaxed in order of position, and the shortest path is read off backwards.
+Where a model of kind BPE has a piece for each character of an input, only one path has a finite weight, so it is looked for depth first, longest arcs first.
 The acceptor's arcs are computed when first met and kept.
 
 No piece crosses the start of a word (meta symbols or spaces after another character), so texts are composed word by word,
@@ -94,6 +95,8 @@ class Transducer:
     dummy_prefix: bool
     join_spaces: bool
     joined: set[str]  # two characters side by side in a piece
+    reach: dict[str, int]  # length of the longest piece that begins with these four characters
+    single: frozenset[str]  # characters with a piece of their own
     spelled: list[bytes]  # what each piece decodes to
     follows: dict[int, bool] = field(default_factory=dict)  # arcs of the acceptor met so far: whether their weight is 0
     spines: dict[tuple[int, bool], list[tuple[str, float]]] = field(default_factory=dict)
@@ -115,8 +118,8 @@ class Transducer:
     def segments(self, word: str) -> list[str]:
         """Cuts between characters that stand side by side in no piece: no path crosses there."""
         joined, out, start = self.joined, [], 0
-        for i in range(1, len(word)):
-            if word[i - 1 : i + 1] not in joined:
+        for i, (a, b) in enumerate(zip(word, word[1:], strict=False), 1):
+            if a + b not in joined:
                 out.append(word[start:i])
                 start = i
         out.append(word[start:])
@@ -191,7 +194,44 @@ class Transducer:
             found.append((i + 1, -1, self.fallback))
         return found
 
+    def only_path(self, word: str) -> list[int] | None:
+        """The one path of finite weight through a BPE model's composition, or None where there may be none or several."""
+        if not self.single.issuperset(word):
+            return None
+        n, ids, follows, reach = len(word), self.ids, self.follows, self.reach
+        whole = ids.get(word)
+        if whole is not None:  # the acceptor has no arc to judge it by
+            return [whole] if self.spine(whole, True)[-1][0] == word else None
+        places, pieces, tops, dead = [0], [-1], [min(n, reach.get(word[:4], 3))], set()
+        while places:
+            i, last, j = places[-1], pieces[-1], tops[-1]
+            if i == n:
+                return pieces[1:]
+            while j > i:
+                piece = ids.get(word[i:j])
+                if piece is not None and (j, piece) not in dead:
+                    allowed = last < 0 or follows.get(last << 20 | piece)
+                    if allowed is None:
+                        allowed = self.may_follow(last, piece)
+                    if allowed:
+                        break
+                j -= 1
+            if j > i:
+                tops[-1] = j - 1
+                places.append(j)
+                pieces.append(piece)
+                tops.append(min(n, j + reach.get(word[j : j + 4], 3)))
+            else:
+                dead.add((i, last))
+                places.pop(), pieces.pop(), tops.pop()
+        return None
+
     def path(self, word: str) -> list[int]:
+        """Output labels of the path of least weight through the composition with one word."""
+        only = self.only_path(word) if self.bpe else None
+        return self.shortest_path(word) if only is None else only
+
+    def shortest_path(self, word: str) -> list[int]:
         """Output labels of the shortest path through the composition with one word.
 
         A state is (weight from the start, last piece, the state before it); they stand by position.
@@ -298,7 +338,11 @@ def compile_model(model: bytes) -> Transducer:
         normal = {(BEGIN, True): (TEXT, front + META, False), (BEGIN, False): (TEXT, front, True), (TEXT, True): (TEXT, META, False), (TEXT, False): (TEXT, "", True)}
     spelled = [bytes([byte_at[i]]) if i in byte_at else p.replace(META, " ").encode() for i, p in enumerate(pieces)]
     joined = {p[i : i + 2] for p in ids for i in range(len(p) - 1)}
-    return Transducer(pieces, ids, [-s for s in scores], normal, lexicon, ends, [of_byte[b] for b in range(256)], is_byte, 10 - min(scores), bpe, dummy, join, joined, spelled)
+    reach: dict[str, int] = {}
+    for piece in ids:
+        reach[piece[:4]] = max(len(piece), reach.get(piece[:4], 0))
+    single = frozenset(p for p in ids if len(p) == 1)
+    return Transducer(pieces, ids, [-s for s in scores], normal, lexicon, ends, [of_byte[b] for b in range(256)], is_byte, 10 - min(scores), bpe, dummy, join, joined, reach, single, spelled)
 
 
 _encoders: dict[bytes, Encoder] = {}
@@ -321,7 +365,8 @@ class Encoder:
     def _path(self, token: str, state: int) -> bytes:
         """The path of a token, from those of its segments."""
         machine, out = self.machine, []
-        for word in _WORD.findall(machine.normalised(token, state)):
+        plain = state == TEXT and token[0] == " " and token.rfind(" ") == 0 and META not in token
+        for word in [META + token[1:]] if plain and len(token) > 1 else _WORD.findall(machine.normalised(token, state)):
             for part in machine.segments(word):
                 path = self.parts.get(part)
                 if path is None:

@@ -749,3 +749,15 @@ def test_lm_ids_of_words_do_not_depend_on_what_came_before():
     cut.known[:] = {}, {}
     assert together == [i for w in words for i in cut.text([w]).tolist()[:-1]] + [cut.end] == cut.text(words).tolist()
     assert cut.begins[together[:-1]].sum() == len(words)
+
+
+def test_sentencepiece_finds_the_only_path_without_the_others(monkeypatch):
+    """Depth first and by relaxing all states, BPE words have one path; words of known characters need no relaxing."""
+    machine = sentencepiece_wfst.compile_model(sentencepiece_wfst.read_model())
+    rng = random.Random(2)
+    words = ["▁" * rng.randrange(2) + "".join(rng.choice("etaoinshrdlu0123456789äß-._") for _ in range(rng.randrange(1, 24))) for _ in range(3000)]
+    words += [machine.pieces[rng.randrange(300, 32000)] + machine.pieces[rng.randrange(300, 32000)] for _ in range(3000)]
+    told = [machine.shortest_path(w) for w in words]
+    monkeypatch.setattr(machine, "shortest_path", lambda w: None)
+    assert all(machine.path(w) == t for w, t in zip(words, told, strict=True) if machine.single.issuperset(w))
+    assert sum(machine.path(w) is None for w in words) < 0.02 * len(words)
