@@ -47,12 +47,12 @@ FIRST = np.array([[next(i for i, p in enumerate(PAIRS) if a in p and b in p) for
 #: Words of a signature that are compared pair by pair.
 FEW = 24
 #: Letters that a task works on at once, and letters of pairs.
-LETTERS, PAIR_LETTERS = 1_000_000, 32_000_000
+LETTERS, PAIR_LETTERS = 400_000, 6_000_000
 #: Words up to this length are compared in one table, longer ones by length.
 SHORT = 32
 #: Turns of a letter with a load of their own.
 TURNS = 8
-_TYPES = 400_000
+_TYPES = 200_000
 _KEY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -61,9 +61,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: Counter[str] = Counter()
 
     def flush() -> pa.RecordBatch:
-        rows = [(w, n) for w, n in total.items() if n and len(w) >= 5]
+        for w in [w for w, n in total.items() if not n or len(w) < 5]:
+            del total[w]
+        found = pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
         total.clear()
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["word", "n"])
+        return found
 
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -356,13 +358,18 @@ def _near_words(shared) -> object:
                 table = pa.Table.from_batches(held).combine_chunks()
                 sig = table.column("sig").to_numpy()
                 cut = int(np.searchsorted(sig, sig[-1]))  # the last signature may go on
-                for rows in _Rows.by_width(table.slice(0, cut)):
+                rest = table.slice(cut).take(pa.array(np.arange(len(sig) - cut)))  # a copy, so that the others can go
+                table, sig = table.slice(0, cut), None
+                held, batch = [], None
+                for rows in _Rows.by_width(table):
                     yield from told(rows)
-                held = table.slice(cut).to_batches()
-                size = letters(table.slice(cut))
-        if held:
-            for rows in _Rows.by_width(pa.Table.from_batches(held).combine_chunks()):
-                yield from told(rows)
+                held, size = rest.to_batches(), letters(rest)
+                table = rows = rest = None
+                release()
+        table, held, batch = pa.Table.from_batches(held).combine_chunks() if held else None, [], None
+        for rows in _Rows.by_width(table) if table else []:
+            yield from told(rows)
+        table = rows = None  # what is still held when memory is given back stays with the worker, idle or not
         release()
 
     return run

@@ -240,3 +240,41 @@ def test_counts_beyond_32_bits():
     assert [r["n"] for r in out if r["block"] is None] == [3 * 2**31 + 6]
     assert all(lm._wide(r["counts"]).tolist() == [3 * 2**31, 6] for r in out if r["block"])
     assert lm._narrow(np.array([5])) == b"\x04\x05\0\0\0" and lm._wide(lm._narrow(np.array([2**40]))).tolist() == [2**40]
+
+
+def test_spelling_memory_of_a_worker_does_not_grow_with_its_rows():
+    """Words are counted and compared a bounded number at a time, and an idle worker holds none of them."""
+    import gc
+    import weakref
+
+    import numpy as np
+    import pyarrow as pa
+
+    class Held:
+        value = spelling.Seats({})
+
+    words = sorted({f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}lantern" for i in range(3000)})
+    rows = pa.RecordBatch.from_arrays([pa.array(words), pa.array([1] * len(words), pa.int64())], names=["word", "n"])
+    table = pa.Table.from_batches(list(spelling._signatures(Held, np.empty(0, np.uint64))(iter([rows])))).sort_by([("sig", "ascending"), ("side", "ascending")])
+    made, alive = [], []
+    kept = spelling._Rows.__init__
+
+    def watched(self, part):
+        kept(self, part)
+        made.append(sum(self.lengths))
+        alive.append(weakref.ref(self))
+
+    given = []
+    spelling._Rows.__init__ = watched
+    release, spelling.release = spelling.release, lambda: (gc.collect(), given.append(sum(r() is not None for r in alive)))
+    try:
+        near = {}
+        for batch in spelling._near_words(Held)(iter(table.combine_chunks().to_batches(500))):
+            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                near[word] = near.get(word, 0) + n
+    finally:
+        spelling._Rows.__init__, spelling.release = kept, release
+    assert given and given[-1] == 0  # nothing is held when memory is given back
+    assert max(made) <= 500_000
+    wanted = {w: sum(v != w and sum(a != b for a, b in zip(v, w, strict=True)) == 1 for v in words) for w in words[::300]}
+    assert {w: near.get(w, 0) for w in wanted} == wanted
