@@ -133,6 +133,32 @@ def test_jaccard_join_against_brute_force(spark, empty, monkeypatch):
     assert jaccard_join.linked_documents(empty).count() == 0 and jaccard_join.one_of_each(empty).count() == 0
 
 
+def test_a_pair_shuffles_few_of_the_nodes(spark):
+    """The tokens of nodes in no pair of the round stay where they are."""
+    rng = random.Random(5)
+    own = [[rng.getrandbits(62) for _ in range(400)] for _ in range(600)]
+    own[7][:390] = own[3][:390]
+    rows = [(bytes([i % 256, i // 256]) * 8, 400, sorted(t), sorted(t)[:90], sorted(t)[:90]) for i, t in enumerate(own)]
+    nodes = jaccard_join.materialise(spark.createDataFrame(rows, "node binary, n long, tokens array<long>, prefix2 array<long>, prefix3 array<long>"), "test-nodes")
+    pairs = spark.createDataFrame([(rows[3][0], rows[7][0]), (rows[4][0], rows[9][0])], "a binary, b binary")
+    context = spark.sparkContext
+    store, none = context._jsc.sc().statusStore(), context._gateway.new_array(context._jvm.double, 0)
+
+    def shuffled():
+        stages = store.stageList(None, False, False, none, None)
+        return {(s := stages.apply(i)).stageId(): s.shuffleWriteBytes() for i in range(stages.size())}
+
+    before, limit = shuffled(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {(bytes(r["a"]), bytes(r["b"])): r["links"] for r in jaccard_join._tested(pairs, nodes, 75, 100).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert got == {(rows[3][0], rows[7][0]): True, (rows[4][0], rows[9][0]): False}
+    moved = sum(n for at, n in shuffled().items() if at not in before)
+    assert 0 < moved < 600 * 400 * 8 / 4
+
+
 def test_word_hashes_tell_doubling_words_apart():
     """Words of the doubling sequence of a and b, which collide under polynomials modulo 2^64."""
     import numpy as np
