@@ -3,9 +3,12 @@
 import collections
 import random
 import re
+import sys
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from chronoloom.llm import collocation, lm, mixing, packing, spelling
@@ -197,6 +200,58 @@ def test_large_counts_are_exact(spark):
     assert collocation.scored(found, words).first()["score"] == 2000000 * big // (2 * big + 3)
 
 
+def test_words_and_proposals_are_counted_in_arrays(monkeypatch):
+    """Few rows for many texts, in batches of bounded size, and no Python call a word."""
+    rows = [" ".join(f"w{i * j % 7919}" for j in range(1, 400)) for i in range(1, 120)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(rows)), pa.array(rows)], names=["lang", "text"])
+    monkeypatch.setattr(collocation, "chunks", lambda offsets: ((a, a + 1) for a in range(len(offsets) - 1)))
+    want = collections.Counter(w for r in rows for w in r.split())
+    calls = 0
+
+    def count(frame, event, _):
+        nonlocal calls
+        calls += event == "call" and frame.f_code.co_filename == collocation.__file__
+
+    for held in (250_000, 500):  # with the small one, words are told several times
+        monkeypatch.setattr(collocation, "HELD_WORDS", held)
+        calls = 0
+        sys.setprofile(count)
+        try:
+            told = list(collocation._counted(0)(iter([batch])))
+        finally:
+            sys.setprofile(None)
+        got, totals = collections.Counter(), 0
+        for r in pa.Table.from_batches(told).to_pylist():
+            if r["word"] is None:
+                totals += r["n"]
+            else:
+                got[r["word"]] += r["n"]
+        assert got == want and totals == sum(want.values())
+        assert calls < 20 * len(rows) < len(want)
+    sums = {}
+    words = np.unique(np.concatenate([f.hashes for f, _ in collocation._texts(iter([batch]), 0)]))
+    trie = collocation.Trie([[int(w)] for w in words], words.view(np.int64))
+    for held in (2_400_000, 300):
+        monkeypatch.setattr(collocation, "HELD_PROPOSALS", held)
+        for whole in (True, False):
+            told = pa.Table.from_batches(collocation._proposed(SimpleNamespace(value=trie), 1, whole, 10**6, 0)(iter([batch]))).to_pylist()
+            sums[held, whole] = collections.Counter()
+            for r in told:
+                sums[held, whole][r["prefix"], r["next"]] += r["seen"]
+    assert len({frozenset(c.items()) for c in sums.values()}) == 1 and sum(sums[300, True].values()) == sum(len(r.split()) - 1 for r in rows)
+
+
+def test_one_pass_counts_with_two_tries():
+    rng = random.Random(6)
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 40), pa.array([" ".join(rng.choice("abcdefgh") for _ in range(60)) for _ in range(40)])], names=["lang", "text"])
+    hashes = {w: int(found.hashes[list("abcdefgh").index(w)]) for found, _ in collocation._texts(iter([pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array(["a b c d e f g h"])], names=["lang", "text"])]), 0) for w in "abcdefgh"}
+    paths = sorted({tuple(rng.choice("abcdefgh") for _ in range(rng.randint(2, 3))) for _ in range(60)})
+    made = [SimpleNamespace(value=collocation.Trie([[hashes[w] for w in paths[i]] for i in own], np.array(own))) for own in (list(range(0, len(paths), 2)), list(range(1, len(paths), 2)))]
+    got = {r["key"]: r["f"] for r in pa.Table.from_batches(list(collocation._accepted(made, 0)(iter([batch])))).to_pylist()}
+    want = collections.Counter(" ".join(t[i : i + k]) for t in (t.split() for t in batch.column(1).to_pylist()) for k in (2, 3) for i in range(len(t) - k + 1))
+    assert got == {i: want[" ".join(p)] for i, p in enumerate(paths) if want[" ".join(p)]}
+
+
 def test_trie_counts_like_a_dictionary():
     rng = random.Random(4)
     paths = sorted({tuple(rng.randrange(2**63) % 40 + 1 for _ in range(rng.randint(2, 4))) for _ in range(500)})
