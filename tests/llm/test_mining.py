@@ -241,13 +241,18 @@ def test_words_and_proposals_are_counted_in_arrays(monkeypatch):
     assert len({frozenset(c.items()) for c in sums.values()}) == 1 and sum(sums[300, True].values()) == sum(len(r.split()) - 1 for r in rows)
 
 
-def test_one_pass_counts_with_two_tries():
+@pytest.mark.parametrize("size", [1 << 14, 7])
+def test_one_pass_counts_with_two_tries(monkeypatch, size):
+    monkeypatch.setattr(collocation, "RANGE", size)
     rng = random.Random(6)
     batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 40), pa.array([" ".join(rng.choice("abcdefgh") for _ in range(60)) for _ in range(40)])], names=["lang", "text"])
     hashes = {w: int(found.hashes[list("abcdefgh").index(w)]) for found, _ in collocation._texts(iter([pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array(["a b c d e f g h"])], names=["lang", "text"])]), 0) for w in "abcdefgh"}
     paths = sorted({tuple(rng.choice("abcdefgh") for _ in range(rng.randint(2, 3))) for _ in range(60)})
     made = [SimpleNamespace(value=collocation.Trie([[hashes[w] for w in paths[i]] for i in own], np.array(own))) for own in (list(range(0, len(paths), 2)), list(range(1, len(paths), 2)))]
-    got = {r["key"]: r["f"] for r in pa.Table.from_batches(list(collocation._accepted(made, 0)(iter([batch])))).to_pylist()}
+    told = list(collocation._accepted(made, 0)(iter([batch])))
+    assert sum(map(len, told)) <= sum(-(-len(m.value.keys) // size) for m in made)  # not a row a phrase
+    twice = pa.Table.from_batches(told + told).sort_by([("trie", "ascending"), ("range", "ascending")]).to_batches()
+    got = {r["key"]: r["a"] // 2 for r in pa.Table.from_batches(list(collocation._summed(made)(iter(twice)))).to_pylist()}
     want = collections.Counter(" ".join(t[i : i + k]) for t in (t.split() for t in batch.column(1).to_pylist()) for k in (2, 3) for i in range(len(t) - k + 1))
     assert got == {i: want[" ".join(p)] for i, p in enumerate(paths) if want[" ".join(p)]}
 
