@@ -39,13 +39,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialise, parallelism, release
+from .runtime import materialise, parallelism, release, text_bytes
 from .words import lowered, mix, word_hashes
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -60,6 +61,8 @@ GROUPS, MEMBERS, OWN, WIDTH = 32, 32, 480, 16
 LEAVES = GROUPS * MEMBERS
 START = LEAVES  # what stands before a text
 FIRST_WINDOWS, STEPS, BATCH = 30_000, 500, 256
+#: Rows that are multiplied at once.
+ROWS = 1024
 TURNS, SHARD_WINDOWS, PIECE = 2, 65_536, 64
 #: Words whose ids a worker keeps, to twice as many.
 CACHE = 150_000
@@ -68,6 +71,7 @@ _LOG10_E = np.float32(0.4342944819)
 _UNUSUAL = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _tokenizers: dict[int, tuple[tiktoken.Encoding, np.ndarray, int]] = {}
 _known: dict[int, list[dict[bytes, bytes]]] = {}
+_compressor, _decompressor = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
 
 
 def _tokenizer(ranks: dict[bytes, int]) -> tuple[tiktoken.Encoding, np.ndarray, int]:
@@ -107,8 +111,8 @@ class Subwords:
             ids = [self.encoding.encode_single_token(b" "), *[i for i in parts if not self.begins[i]]]
         return np.array(ids, np.uint16).tobytes()
 
-    def text(self, words: list[bytes]) -> np.ndarray:
-        """Ids of a text's words and its end."""
+    def of(self, words: list[bytes]) -> list[bytes]:
+        """Bytes of each word's ids, those met before from memory."""
         newer, older = self.known
         found = list(map(newer.get, words))
         if None in found:
@@ -121,7 +125,20 @@ class Subwords:
             found = [told[w] if f is None else f for w, f in zip(words, found, strict=True)]
             if len(newer) > CACHE:
                 self.known[:] = {}, newer
-        return np.append(np.frombuffer(b"".join(found), np.uint16), np.uint16(self.end))
+        return found
+
+    def text(self, words: list[bytes]) -> np.ndarray:
+        """Ids of a text's words and its end."""
+        return np.append(np.frombuffer(b"".join(self.of(words)), np.uint16), np.uint16(self.end))
+
+    def texts(self, words: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a sequence of numbers of words (that after the last word's is an end), and how many each number has."""
+        found = self.of(words)
+        table = np.append(np.frombuffer(b"".join(found), np.uint16), np.uint16(self.end))
+        length = np.diff(np.flatnonzero(self.begins[table[:-1]]), append=[len(table) - 1, len(table)])
+        many = length[codes]
+        ends = np.cumsum(many)
+        return table[np.repeat((np.cumsum(length) - length)[codes] - ends + many, many) + np.arange(ends[-1])], many
 
 
 def read_vocabulary(path: str = VOCABULARY) -> dict[bytes, int]:
@@ -131,14 +148,25 @@ def read_vocabulary(path: str = VOCABULARY) -> dict[bytes, int]:
 
 def _packed(x: np.ndarray) -> bytes:
     """Compressed bytes of an array, the bytes of its numbers by place, for blocks at rest and in shuffles."""
-    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), 3)
+    return _compressor.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
 
 
 def _unpacked(data: bytes, kind: type) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    planes = np.frombuffer(_decompressor.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
+def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Numbers of all words of texts (A-Z lower-cased, cut at spaces and 0x09-0x0D) in order, where each text's begin, and the distinct words."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, per = lists.flatten(), np.asarray(pc.list_value_length(lists))
+    some = np.asarray(pc.binary_length(words)) > 0  # spaces at a text's ends leave empty words there
+    if not some.all():
+        words, per = words.filter(pa.array(some)), np.bincount(np.repeat(np.arange(len(per)), per)[some], minlength=len(per))
+    told = words.dictionary_encode()
+    return np.asarray(told.indices), np.concatenate([[0], np.cumsum(per)]), told.dictionary
+
+
 _BLOCK = "block long, doc_ids array<long>, held array<boolean>, lengths binary, ids binary, tokens binary, words binary, counts binary, n_windows long, n_train long"
 
 
@@ -150,20 +178,20 @@ def _blocks(shared) -> object:
         base, made = TaskContext.get().partitionId() << 32, 0
         docs: list = []
         held: list[bool] = []
-        texts: list[bytes] = []
+        texts: list[pa.Array] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal docs, held, texts, size, made
-            ids = [cut.text(t.split()) for t in texts]
-            lengths = np.array([len(i) for i in ids], np.int32)
-            offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-            hashes, pointers = word_hashes(np.frombuffer(b"".join(texts), np.uint8), offsets)
-            trains = np.repeat(~np.array(held), np.diff(pointers))
+            codes, pointers, distinct = split_words(pa.concat_arrays(texts))
+            hashes, _ = word_hashes(*text_bytes(distinct))
             words, inverse = np.unique(hashes, return_inverse=True)
-            counts = np.bincount(inverse, trains, len(words)).astype(np.uint32)
-            all_ids = np.concatenate(ids)
-            tokens = np.insert(inverse, pointers[1:], len(words)).astype(np.uint32)
+            trains = np.repeat(~np.array(held), np.diff(pointers))
+            counts = np.bincount(inverse[codes], trains, len(words)).astype(np.uint32)
+            codes = np.insert(codes, pointers[1:], len(hashes))  # the ends
+            all_ids, many = cut.texts(distinct.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist(), codes)
+            lengths = np.add.reduceat(many, pointers[:-1] + np.arange(len(docs))).astype(np.int32)
+            tokens = np.append(inverse, len(words)).astype(np.uint32)[codes]
             out = pa.RecordBatch.from_arrays(
                 [
                     pa.array([base + made], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())),
@@ -178,11 +206,16 @@ def _blocks(shared) -> object:
             return out
 
         for batch in batches:
-            for doc, out_of, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                docs.append(doc)
-                held.append(bool(out_of))
-                texts.append(lowered((text.as_py() or "").encode()))
-                size += len(texts[-1])
+            column = batch.column(2).cast(pa.large_string()).fill_null("")
+            ends, begin = np.cumsum(np.asarray(pc.binary_length(column))), 0
+            while begin < len(batch):  # up to the text that fills a block
+                before = ends[begin - 1] if begin else 0
+                end = min(len(batch), int(np.searchsorted(ends, before + BLOCK_BYTES - size)) + 1)
+                docs += batch.column(0).slice(begin, end - begin).to_pylist()
+                held += [bool(x) for x in batch.column(1).slice(begin, end - begin).to_pylist()]
+                texts.append(column.slice(begin, end - begin))
+                size += int(ends[end - 1] - before)
+                begin = end
                 if size >= BLOCK_BYTES:
                     yield flush()
         if docs:
@@ -365,35 +398,54 @@ class Attention:
     leaf_out: np.ndarray
     leaf_bias: np.ndarray
 
-    def attend(self, window: np.ndarray) -> tuple[np.ndarray, ...]:
+    def tables(self) -> tuple:
+        """Queries, keys and values (a column of ones behind) of all leaves, what these add themselves, factors by distance, and whether attention's logits may pass 60."""
+        one = np.ones((len(self.e), 1), np.float32)
+        q, k = self.e @ self.q * _SCALE, self.e @ self.k
+        most = np.sqrt(np.einsum("ij,ij->i", q, q).max() * np.einsum("ij,ij->i", k, k).max())
+        return q, k, np.hstack([self.e @ self.v, one]), np.hstack([self.e, one * 0]), _relative(self.near), not most < 60
+
+    def heads(self) -> tuple:
+        """Weights of groups and of leaves, the biases behind, the largest sums of them that a logit takes, and for the way back their transposes, those of the groups last."""
+        first, leaves = np.vstack([self.out, self.bias]), np.concatenate([self.leaf_out, self.leaf_bias[:, None]], axis=1)
+        back = [*np.ascontiguousarray(self.leaf_out.transpose(0, 2, 1)), np.ascontiguousarray(self.out.T)]
+        return first, leaves, np.abs(first).sum(0).max(), np.abs(leaves).sum(1).max(), back
+
+    def attend(self, window: np.ndarray, tables: tuple | None = None) -> tuple[np.ndarray, ...]:
         """The head's output at the scored places, a column of ones behind it, with the steps for training."""
+        of_q, of_k, of_v, of_e, near, high = tables or self.tables()
         seen, last = np.ascontiguousarray(window[:, :-1]), np.ascontiguousarray(window[:, _HEAD - 1 : -1])
-        one = np.ones((len(self.e), 1), np.float32)
         rows = lambda table, at: np.take(table, at, axis=0, mode="clip")
-        q, k, v = rows(self.e @ self.q * _SCALE, last), rows(self.e @ self.k, seen), rows(np.hstack([self.e @ self.v, one]), seen)
+        q, k, v = rows(of_q, last), rows(of_k, seen), rows(of_v, seen)
         s = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
-        np.clip(s, -60, 60, out=s)
+        if high:
+            np.clip(s, -60, 60, out=s)
         np.exp(s, out=s)
-        s *= _relative(self.near)
+        s *= near
         mixed = s @ v  # its last column is the sum of weights
         total = mixed[:, :, WIDTH:].copy()
         mixed /= total
-        return mixed + rows(np.hstack([self.e, one * 0]), last), mixed, total, q, k, v, s
-
-    def log_leaf(self, h: np.ndarray, target: np.ndarray, grads: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """log p(leaf | before) of targets in order of group (``h``: outputs and a column of ones); with ``grads`` those of their mean's negative are added, and d / d h returned."""
-        group, member = target // MEMBERS, target % MEMBERS
-        at, n = np.arange(len(h)), np.float32(max(1, len(h)))
-        bounds = np.searchsorted(group, np.arange(GROUPS + 1))
+        h = rows(of_e, last)
+        h += mixed
+        return h, mixed, total, q, k, v, s
+
+    def log_leaf(self, h: np.ndarray, target: np.ndarray, grads: dict[str, np.ndarray] | None = None, heads: tuple | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+        """log p(leaf | before) of targets in order of group (``h``: outputs and a column of ones); with ``grads`` those of their mean's negative are set, and d / d h returned."""
+        group = target // MEMBERS
+        n = np.float32(max(1, len(h)))
+        bounds = np.searchsorted(group, np.arange(GROUPS + 1)).tolist()
         some = [(i, slice(bounds[i], bounds[i + 1])) for i in range(GROUPS) if bounds[i] < bounds[i + 1]]
-        leaves = np.concatenate([self.leaf_out, self.leaf_bias[:, None]], axis=1)
-        inner = np.empty((len(h), MEMBERS), np.float32)
+        first, leaves, most_outer, most_inner, back = heads or self.heads()
+        outer, inner = np.empty((len(h), GROUPS), np.float32), np.empty((len(h), MEMBERS), np.float32)
         for i, rows in some:
             np.matmul(h[rows], leaves[i], out=inner[rows])
-        outer = h @ np.vstack([self.out, self.bias])
-        for logits in (outer, inner):  # no overflow; what is cut still sums to 1
-            np.clip(logits, -80, 80, out=logits)
-        outer_at, inner_at = at * GROUPS + group, at * MEMBERS + member
+        for rows in _parts(len(h)):
+            np.matmul(h[rows], first, out=outer[rows])
+        most = max(h.max(initial=0), -h.min(initial=0))
+        for logits, weight in ((outer, most_outer), (inner, most_inner)):  # no overflow; what is cut still sums to 1
+            if not most * weight < 80:
+                np.clip(logits, -80, 80, out=logits)
+        outer_at, inner_at = np.arange(0, len(h) * GROUPS, GROUPS) + group, np.arange(0, len(h) * MEMBERS, MEMBERS) + target % MEMBERS
         result, dh = outer.ravel().take(outer_at) + inner.ravel().take(inner_at), None
         np.exp(outer, out=outer)
         np.exp(inner, out=inner)
@@ -404,33 +456,40 @@ class Attention:
             inner *= (1 / (inner_sum * n))[:, None]
             outer.reshape(-1)[outer_at] -= 1 / n
             inner.reshape(-1)[inner_at] -= 1 / n
-            both = h.T @ outer
-            grads["out"], grads["bias"], dh = both[:WIDTH], both[WIDTH], outer @ self.out.T
-            within = np.zeros_like(leaves)
+            dh, within = np.empty((len(h), WIDTH), np.float32), np.zeros_like(leaves)
             for i, rows in some:
-                np.matmul(h[rows].T, inner[rows], out=within[i])
-                dh[rows] += inner[rows] @ self.leaf_out[i].T
-            grads["leaf_out"], grads["leaf_bias"] = within[:, :WIDTH], within[:, WIDTH]
+                mine = inner[rows]
+                np.matmul(h[rows].T, mine, out=within[i])
+                np.matmul(mine, back[i], out=dh[rows])
+            for rows in _parts(len(h)):
+                dh[rows] += outer[rows] @ back[GROUPS]
+            over = _inner(h, outer)
+            grads["out"][:], grads["bias"][:] = over[:WIDTH], over[WIDTH]
+            grads["leaf_out"][:], grads["leaf_bias"][:] = within[:, :WIDTH], within[:, WIDTH]
         return result, dh
 
     def score(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """log10 probability of every id of texts of these lengths."""
         leaves = self.leaf_of[ids]
-        result = np.zeros(len(ids))
+        result, tables, heads = np.zeros(len(ids)), self.tables(), self.heads()
         window, at = windows(leaves, lengths)
         for a in range(0, len(window), BATCH):
             part, places = window[a : a + BATCH], at[a : a + BATCH].ravel()
             wanted, target = _wanted(part)
-            result[places[wanted]] = self.log_leaf(self.attend(part)[0].reshape(-1, WIDTH + 1)[wanted], target)[0]
+            result[places[wanted]] = self.log_leaf(self.attend(part, tables)[0].reshape(-1, WIDTH + 1).take(wanted, axis=0), target, heads=heads)[0]
         return (result + self.share[ids]) * _LOG10_E
 
     def step(self, window: np.ndarray, moment: dict[str, tuple[np.ndarray, np.ndarray]], turn: int, rate: float) -> None:
         """One step of Adam on the cross-entropy of the scored places."""
+        weights = [getattr(self, n) for n in _WEIGHTS]
+        move, at, grads = np.empty(sum(w.size for w in weights), np.float32), 0, {}
+        for name, w in zip(_WEIGHTS, weights, strict=True):
+            grads[name] = move[at : at + w.size].reshape(w.shape)
+            at += w.size
         wanted, target = _wanted(window)
         h, mixed, total, q, k, v, s = self.attend(window)
-        grads: dict[str, np.ndarray] = {}
         dh = np.zeros((len(window) * STRIDE, WIDTH), np.float32)
-        dh[wanted] = self.log_leaf(h.reshape(-1, WIDTH + 1)[wanted], target, grads)[1]
+        dh[wanted] = self.log_leaf(h.reshape(-1, WIDTH + 1).take(wanted, axis=0), target, grads)[1]
         dh = dh.reshape(len(window), STRIDE, WIDTH)
         part = np.empty_like(h)
         part[:, :, :WIDTH] = dh
@@ -438,20 +497,22 @@ class Attention:
         part /= total
         ds = part @ np.ascontiguousarray(v.transpose(0, 2, 1))
         ds *= s
-        dv = s.transpose(0, 2, 1) @ np.ascontiguousarray(part[:, :, :WIDTH])
-        far = (np.ones(len(window), np.float32) @ ds.reshape(len(window), -1)).reshape(_FAR.shape)
-        grads["near"] = np.bincount(np.maximum(_FAR, 0).ravel(), far.ravel(), WINDOW).astype(np.float32)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        flat = lambda a: a.reshape(-1, WIDTH)
+        back = np.empty((len(window), WINDOW - 1, 2 * WIDTH), np.float32)  # of keys and of values
+        np.matmul(ds.transpose(0, 2, 1), q, out=back[:, :, :WIDTH])
+        np.matmul(s.transpose(0, 2, 1), np.ascontiguousarray(part[:, :, :WIDTH]), out=back[:, :, WIDTH:])
+        grads["near"][:] = np.bincount(_PLACES, np.ones(len(window), np.float32) @ ds.reshape(len(window), -1), WINDOW)
+        dq = ds @ k
+        dq *= _SCALE
+        flat = lambda a: a.reshape(-1, a.shape[-1])
         seen = np.ascontiguousarray(window[:, :-1])
         x = np.take(self.e, seen, axis=0, mode="clip")
-        dq *= _SCALE
-        grads |= {"q": flat(np.ascontiguousarray(x[:, _HEAD - 1 :])).T @ flat(dq), "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv)}
-        dx = np.hstack([flat(dk), flat(dv)]) @ np.vstack([self.k.T, self.v.T])
-        dx = dx.reshape(x.shape)
-        dx[:, _HEAD - 1 :] += dh + (flat(dq) @ self.q.T).reshape(dh.shape)
-        grads["e"] = np.stack([np.bincount(seen.ravel(), c, LEAVES + 1) for c in np.ascontiguousarray(flat(dx).T)], axis=1).astype(np.float32)
-        move = np.concatenate([grads[n].ravel() for n in _WEIGHTS])
+        grads["k"][:], grads["v"][:] = np.split(_inner(flat(x), flat(back)), 2, axis=1)
+        grads["q"][:] = _inner(flat(np.ascontiguousarray(x[:, _HEAD - 1 :])), flat(dq))
+        dx = (flat(back) @ np.vstack([self.k.T, self.v.T])).reshape(x.shape)
+        dh += (flat(dq) @ self.q.T).reshape(dh.shape)
+        dx[:, _HEAD - 1 :] += dh
+        for i, c in enumerate(np.ascontiguousarray(flat(dx).T)):
+            grads["e"][:, i] = np.bincount(seen.ravel(), c, LEAVES + 1)
         m1, m2 = moment.setdefault("all", (np.zeros_like(move), np.zeros_like(move)))
         m1 += np.float32(0.1) * (move - m1)
         m2 += np.float32(0.01) * (move * move - m2)
@@ -460,8 +521,7 @@ class Attention:
         np.divide(m1, move, out=move)
         move *= np.float32(rate / (1 - 0.9**turn))
         at = 0
-        for n in _WEIGHTS:
-            own = getattr(self, n)
+        for own in weights:
             own -= move[at : at + own.size].reshape(own.shape)
             at += own.size
 
@@ -480,6 +540,7 @@ class Attention:
 _WEIGHTS = ("e", "q", "k", "v", "near", "out", "bias", "leaf_out", "leaf_bias")
 _FAR = np.arange(_HEAD - 1, WINDOW - 1)[:, None] - np.arange(WINDOW - 1)[None]
 _SCALE = np.float32(WIDTH**-0.5)
+_PLACES = np.maximum(_FAR, 0).ravel()
 _ONES = np.ones(max(GROUPS, MEMBERS), np.float32)
 
 
@@ -497,6 +558,15 @@ def _wanted(window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return wanted, target[wanted]
 
 
+def _parts(n: int) -> list[slice]:
+    return [slice(a, a + ROWS) for a in range(0, n, ROWS)]
+
+
+def _inner(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """x.T @ y of many rows, some that fit a core's cache at a time."""
+    return sum(x[rows].T @ y[rows] for rows in _parts(len(x)))
+
+
 def _leaves(counts: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Leaf of each id by its frequency and kind, and its log share of the leaf; the last id is the end."""
     leaf_of = np.empty(len(counts), np.int64)
@@ -628,11 +698,10 @@ def _score(total: int, types: int, n_train: int):
             for docs, held, *cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *batch.columns[2:5], strict=True):
                 known = np.concatenate([*[_wide(a["counts"]) for a in cells[2].as_py() or []], np.array([n_train], np.int64)])
                 words = _unpacked(cells[0].as_py(), np.uint32)
-                c = known[words]
-                base = np.log10((c + 1) / (total + types + 1))
+                base = np.log10((known + 1) / (total + types + 1))
                 ends = np.flatnonzero(words == len(known) - 1) + 1  # every text's last token is its end
                 starts = np.concatenate([[0], ends[:-1]])
-                sums = [np.add.reduceat(x, starts) for x in (np.ones(len(c), np.int64), (c > 0).astype(np.int64), base)]
+                sums = [ends - starts, *[np.add.reduceat(x[words], starts) for x in ((known > 0).astype(np.int64), base)]]
                 full = np.frombuffer(cells[1].as_py())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(docs, pa.int64()), pa.array(held), pa.array(sums[0]), pa.array(sums[1]), pa.array(np.full(len(docs), total)), pa.array(sums[2]), pa.array(full)],
