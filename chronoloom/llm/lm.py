@@ -131,9 +131,12 @@ class Subwords:
         """Ids of a text's words and its end."""
         return np.append(np.frombuffer(b"".join(self.of(words)), np.uint16), np.uint16(self.end))
 
-    def texts(self, words: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of a sequence of numbers of words (that after the last word's is an end), and how many each number has."""
-        found = self.of(words)
+    def texts(self, words: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a sequence of numbers of words (that after the last word's is an end), and how many each number has; words that occur once are not kept."""
+        often = np.bincount(codes, minlength=len(words) + 1)[: len(words)] > 1
+        place = np.append(np.where(often, np.cumsum(often) - 1, often.sum() + np.cumsum(~often) - 1), len(words))
+        codes, once = place[codes], words[~often].tolist()
+        found = self.of(words[often].tolist()) + (self._words(once) if once else [])
         table = np.append(np.frombuffer(b"".join(found), np.uint16), np.uint16(self.end))
         length = np.diff(np.flatnonzero(self.begins[table[:-1]]), append=[len(table) - 1, len(table)])
         many = length[codes]
@@ -189,7 +192,7 @@ def _blocks(shared) -> object:
             trains = np.repeat(~np.array(held), np.diff(pointers))
             counts = np.bincount(inverse[codes], trains, len(words)).astype(np.uint32)
             codes = np.insert(codes, pointers[1:], len(hashes))  # the ends
-            all_ids, many = cut.texts(distinct.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist(), codes)
+            all_ids, many = cut.texts(distinct.cast(pa.large_binary()).to_numpy(zero_copy_only=False), codes)
             lengths = np.add.reduceat(many, pointers[:-1] + np.arange(len(docs))).astype(np.int32)
             tokens = np.append(inverse, len(words)).astype(np.uint32)[codes]
             out = pa.RecordBatch.from_arrays(
@@ -297,13 +300,14 @@ def _id_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def windows(classes: np.ndarray, lengths: np.ndarray, outside: int = START) -> tuple[np.ndarray, np.ndarray]:
     """Windows of classes (``outside`` before a text and after it) and where in ``classes`` each scored place lies (-1: none)."""
     per = -(-lengths // STRIDE)
-    text = np.repeat(np.arange(len(lengths)), per)
-    first = np.concatenate([[0], np.cumsum(lengths)])[:-1]
-    turn = np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)
-    place = turn[:, None] * STRIDE + np.arange(WINDOW)[None] - (WINDOW - STRIDE)
-    inside = (place >= 0) & (place < lengths[text][:, None])
-    at = np.where(inside, first[text][:, None] + place, -1)
-    return np.where(inside, classes[at], outside), at[:, WINDOW - STRIDE :]
+    first = np.cumsum(per) - per
+    slot = np.arange(len(classes)) + np.repeat(STRIDE * first - (np.cumsum(lengths) - lengths), lengths)  # texts one after the other, each filled up to whole strides
+    at, scored = np.full((per.sum(), STRIDE), -1), np.full((per.sum(), STRIDE), outside, classes.dtype)
+    at.reshape(-1)[slot], scored.reshape(-1)[slot] = np.arange(len(classes)), classes
+    before = np.full((len(scored), _HEAD), outside, classes.dtype)
+    before[1:] = scored[:-1, STRIDE - _HEAD :]
+    before[first[per > 0]] = outside
+    return np.hstack([before, scored]), at
 
 
 def _least(rate: float) -> int:
@@ -400,10 +404,11 @@ class Attention:
 
     def tables(self) -> tuple:
         """Queries, keys and values (a column of ones behind) of all leaves, what these add themselves, factors by distance, and whether attention's logits may pass 60."""
-        one = np.ones((len(self.e), 1), np.float32)
-        q, k = self.e @ self.q * _SCALE, self.e @ self.k
+        q, k = self.e @ (self.q * _SCALE), self.e @ self.k
+        v, own = np.ones((2, len(self.e), WIDTH + 1), np.float32)
+        v[:, :WIDTH], own[:, :WIDTH], own[:, WIDTH] = self.e @ self.v, self.e, 0
         most = np.sqrt(np.einsum("ij,ij->i", q, q).max() * np.einsum("ij,ij->i", k, k).max())
-        return q, k, np.hstack([self.e @ self.v, one]), np.hstack([self.e, one * 0]), _relative(self.near), not most < 60
+        return q, k, v, own, _relative(self.near), not most < 60
 
     def heads(self) -> tuple:
         """Weights of groups and of leaves, the biases behind, the largest sums of them that a logit takes, and for the way back their transposes, those of the groups last."""
@@ -429,29 +434,28 @@ class Attention:
         h += mixed
         return h, mixed, total, q, k, v, s
 
-    def log_leaf(self, h: np.ndarray, target: np.ndarray, grads: dict[str, np.ndarray] | None = None, heads: tuple | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """log p(leaf | before) of targets in order of group (``h``: outputs and a column of ones); with ``grads`` those of their mean's negative are set, and d / d h returned."""
+    def log_leaf(self, h: np.ndarray, target: np.ndarray, grads: dict[str, np.ndarray] | None = None, heads: tuple | None = None) -> tuple[np.ndarray | None, np.ndarray | None]:
+        """log p(leaf | before) of targets in order of group (``h``: outputs and a column of ones); with ``grads`` instead those of their mean's negative are set, and d / d h returned."""
         group = target // MEMBERS
         n = np.float32(max(1, len(h)))
         bounds = np.searchsorted(group, np.arange(GROUPS + 1)).tolist()
         some = [(i, slice(bounds[i], bounds[i + 1])) for i in range(GROUPS) if bounds[i] < bounds[i + 1]]
         first, leaves, most_outer, most_inner, back = heads or self.heads()
-        outer, inner = np.empty((len(h), GROUPS), np.float32), np.empty((len(h), MEMBERS), np.float32)
+        outer, inner = _times(h, first), np.empty((len(h), MEMBERS), np.float32)
         for i, rows in some:
             np.matmul(h[rows], leaves[i], out=inner[rows])
-        for rows in _parts(len(h)):
-            np.matmul(h[rows], first, out=outer[rows])
         most = max(h.max(initial=0), -h.min(initial=0))
         for logits, weight in ((outer, most_outer), (inner, most_inner)):  # no overflow; what is cut still sums to 1
             if not most * weight < 80:
                 np.clip(logits, -80, 80, out=logits)
         outer_at, inner_at = np.arange(0, len(h) * GROUPS, GROUPS) + group, np.arange(0, len(h) * MEMBERS, MEMBERS) + target % MEMBERS
-        result, dh = outer.ravel().take(outer_at) + inner.ravel().take(inner_at), None
+        result, dh = None if grads is not None else outer.ravel().take(outer_at) + inner.ravel().take(inner_at), None
         np.exp(outer, out=outer)
         np.exp(inner, out=inner)
         outer_sum, inner_sum = outer @ _ONES[:GROUPS], inner @ _ONES[:MEMBERS]
-        result -= np.log(outer_sum) + np.log(inner_sum)
-        if grads is not None:
+        if grads is None:
+            result -= np.log(outer_sum) + np.log(inner_sum)
+        else:
             outer *= (1 / (outer_sum * n))[:, None]
             inner *= (1 / (inner_sum * n))[:, None]
             outer.reshape(-1)[outer_at] -= 1 / n
@@ -461,8 +465,7 @@ class Attention:
                 mine = inner[rows]
                 np.matmul(h[rows].T, mine, out=within[i])
                 np.matmul(mine, back[i], out=dh[rows])
-            for rows in _parts(len(h)):
-                dh[rows] += outer[rows] @ back[GROUPS]
+            dh += _times(outer, back[GROUPS])
             over = _inner(h, outer)
             grads["out"][:], grads["bias"][:] = over[:WIDTH], over[WIDTH]
             grads["leaf_out"][:], grads["leaf_bias"][:] = within[:, :WIDTH], within[:, WIDTH]
@@ -488,12 +491,13 @@ class Attention:
             at += w.size
         wanted, target = _wanted(window)
         h, mixed, total, q, k, v, s = self.attend(window)
-        dh = np.zeros((len(window) * STRIDE, WIDTH), np.float32)
-        dh[wanted] = self.log_leaf(h.reshape(-1, WIDTH + 1).take(wanted, axis=0), target, grads)[1]
-        dh = dh.reshape(len(window), STRIDE, WIDTH)
+        rank = np.full(len(window) * STRIDE, len(wanted))
+        rank[wanted] = np.arange(len(wanted))
+        dh = np.vstack([self.log_leaf(h.reshape(-1, WIDTH + 1).take(wanted, axis=0), target, grads)[1], np.zeros((1, WIDTH), np.float32)])
+        dh = dh.take(rank, axis=0).reshape(len(window), STRIDE, WIDTH)
         part = np.empty_like(h)
         part[:, :, :WIDTH] = dh
-        part[:, :, WIDTH] = -np.einsum("ijk,ijk->ij", dh, mixed[:, :, :WIDTH])
+        part[:, :, WIDTH] = -((dh * mixed[:, :, :WIDTH]) @ _ONES[:WIDTH])
         part /= total
         ds = part @ np.ascontiguousarray(v.transpose(0, 2, 1))
         ds *= s
@@ -508,8 +512,8 @@ class Attention:
         x = np.take(self.e, seen, axis=0, mode="clip")
         grads["k"][:], grads["v"][:] = np.split(_inner(flat(x), flat(back)), 2, axis=1)
         grads["q"][:] = _inner(flat(np.ascontiguousarray(x[:, _HEAD - 1 :])), flat(dq))
-        dx = (flat(back) @ np.vstack([self.k.T, self.v.T])).reshape(x.shape)
-        dh += (flat(dq) @ self.q.T).reshape(dh.shape)
+        dx = _times(flat(back), np.vstack([self.k.T, self.v.T])).reshape(x.shape)
+        dh += _times(flat(dq), np.ascontiguousarray(self.q.T)).reshape(dh.shape)
         dx[:, _HEAD - 1 :] += dh
         for i, c in enumerate(np.ascontiguousarray(flat(dx).T)):
             grads["e"][:, i] = np.bincount(seen.ravel(), c, LEAVES + 1)
@@ -567,6 +571,14 @@ def _inner(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return sum(x[rows].T @ y[rows] for rows in _parts(len(x)))
 
 
+def _times(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """x @ y of many rows, likewise."""
+    out = np.empty((len(x), y.shape[1]), np.float32)
+    for rows in _parts(len(x)):
+        np.matmul(x[rows], y, out=out[rows])
+    return out
+
+
 def _leaves(counts: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Leaf of each id by its frequency and kind, and its log share of the leaf; the last id is the end."""
     leaf_of = np.empty(len(counts), np.int64)

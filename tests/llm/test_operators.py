@@ -777,6 +777,43 @@ def test_lm_ids_of_words_do_not_depend_on_what_came_before():
     assert cut.begins[together[:-1]].sum() == len(words)
 
 
+def test_lm_blocks_ask_once_for_each_distinct_word(monkeypatch):
+    """A block's ids are those of its texts one by one, and only distinct words are looked up."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(["River", "stone", "é", "\u3000", "\x1c", "\xa0", "'s", "12", " ", "\t", "\n", "\x0b"]) for _ in range(rng.randrange(40))) for _ in range(300)]
+    texts += ["", " ", "\n\n", "once ", " Once", "ONCE"]
+    cut = lm.Subwords(lm.read_vocabulary())
+    plain = [lm.lowered(t.encode()).split() for t in texts]
+    wanted = [i for words in plain for i in cut.text(words).tolist()]
+    codes, pointers, distinct = lm.split_words(pa.array(texts, pa.large_string()))
+    words = distinct.cast(pa.large_binary()).to_numpy(zero_copy_only=False)
+    assert sorted(words) == sorted({w for some in plain for w in some})
+    assert np.diff(pointers).tolist() == [len(some) for some in plain]
+    asked, of, anew = [], cut.of, cut._words
+    cut.known[:] = {}, {}
+    monkeypatch.setattr(cut, "of", lambda some: asked.extend(some) or of(some))
+    monkeypatch.setattr(cut, "_words", lambda some: asked.extend(set(some) - set(asked)) or anew(some))
+    ids, many = cut.texts(words, np.insert(codes, pointers[1:], len(words)))
+    assert ids.tolist() == wanted and many.sum() == len(wanted)
+    assert sorted(asked) == sorted(words)
+
+
+def test_lm_training_leaves_log_probabilities_out():
+    """Slopes alone are worked out where they are asked for."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    model = lm.train(rng.integers(0, 3000, (50, lm.WINDOW)), rng.integers(0, 50, 3001), np.arange(3001) % 3 == 0)
+    window = lm._as_leaves(rng.integers(0, 3000, (20, lm.WINDOW)), model.leaf_of)
+    wanted, target = lm._wanted(window)
+    grads = {n: np.zeros_like(getattr(model, n)) for n in lm._WEIGHTS}
+    told, dh = model.log_leaf(model.attend(window)[0].reshape(-1, lm.WIDTH + 1)[wanted], target, grads)
+    assert told is None and dh.shape == (len(wanted), lm.WIDTH)
+
+
 def test_sentencepiece_finds_the_only_path_without_the_others(monkeypatch):
     """Depth first and by relaxing all states, BPE words have one path; words of known characters need no relaxing."""
     machine = sentencepiece_wfst.compile_model(sentencepiece_wfst.read_model())
