@@ -456,8 +456,8 @@ class Attention:
         if grads is None:
             result -= np.log(outer_sum) + np.log(inner_sum)
         else:
-            outer *= (1 / (outer_sum * n))[:, None]
-            inner *= (1 / (inner_sum * n))[:, None]
+            outer *= (1 / n / outer_sum)[:, None]
+            inner *= (1 / n / inner_sum)[:, None]
             outer.reshape(-1)[outer_at] -= 1 / n
             inner.reshape(-1)[inner_at] -= 1 / n
             dh, within = np.empty((len(h), WIDTH), np.float32), np.zeros_like(leaves)
