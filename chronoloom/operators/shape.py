@@ -47,11 +47,19 @@ def extremes(pts: DataFrame) -> DataFrame:
     return out.filter("x.kind != 'end'").select("series_id", F.col("x.pos").alias("pos"), F.col("x.value").alias("value"), F.col("x.kind").alias("kind"), prominence.alias("prominence"))
 
 
+def _mean(value: Column) -> Column:
+    """The mean as an aggregate, whatever the order of rows: the parts of values above 2^-20 add up exactly to a sum of 2^33, the rests round off far below a double's digits."""
+    near = F.abs(value) < 2.0**33
+    coarse = F.when(near, F.rint(value * 2.0**20) / 2.0**20).otherwise(value)
+    return F.when(F.count(value) > 0, (F.sum(coarse) + F.sum(F.when(near, value - coarse).otherwise(0.0))) / F.count(value))
+
+
 def shape_summary(pts: DataFrame, share: float = 0.05) -> DataFrame:
     """Per series the peaks and troughs of a prominence of at least that share of the range, how regular and how symmetric they are.
 
     Without peaks (troughs) their mean is the largest (least) value; without two peaks regularity is 0, and without two peaks or a
-    peak between two troughs the ratio is 1 with the hint ``insufficient_peaks``.
+    peak between two troughs the ratio is 1 with the hint ``insufficient_peaks``.  Means are of exact sums and the variation of gaps is
+    of whole numbers, so neither hangs on the order of rows where it meets a bound or the middle of two rounded values.
     """
     ends = cleaned(pts).groupBy("series_id").agg(F.max("value").alias("most"), F.min("value").alias("least"))
     found = extremes(pts).join(ends, "series_id").filter(F.round("prominence", 12) >= F.round(share * (F.col("most") - F.col("least")), 12))
@@ -67,13 +75,13 @@ def shape_summary(pts: DataFrame, share: float = 0.05) -> DataFrame:
     gap = F.when(is_("peak"), F.col("pos") - F.col("back"))
     between = is_("peak") & F.col("before").isNotNull() & F.col("after").isNotNull()
     per = flanked.groupBy("series_id").agg(
-        F.count_if(is_("peak")).alias("peaks"), F.count_if(is_("trough")).alias("troughs"), F.avg(F.when(is_("peak"), F.col("value"))).alias("peak"), F.avg(F.when(is_("trough"), F.col("value"))).alias("trough"),
-        F.avg(gap).alias("gap"), F.stddev_pop(gap).alias("spread"), F.avg(F.when(between, F.col("pos") - F.col("before"))).alias("rise"), F.avg(F.when(between, F.col("after") - F.col("pos"))).alias("fall"),
+        F.count_if(is_("peak")).alias("peaks"), F.count_if(is_("trough")).alias("troughs"), _mean(F.when(is_("peak"), F.col("value"))).alias("peak"), _mean(F.when(is_("trough"), F.col("value"))).alias("trough"),
+        F.count(gap).cast("decimal(19,0)").alias("gaps"), F.sum(gap).cast("decimal(19,0)").alias("gap"), F.sum(gap.cast("decimal(19,0)") * gap.cast("decimal(19,0)")).cast("decimal(19,0)").alias("square"), F.avg(F.when(between, F.col("pos") - F.col("before"))).alias("rise"), F.avg(F.when(between, F.col("after") - F.col("pos"))).alias("fall"),
     )
     joined = ends.join(per, "series_id", "left")
     peaks = F.coalesce("peaks", F.lit(0))
     top, bottom = F.coalesce("peak", "most"), F.coalesce("trough", "least")
-    cv = F.when(peaks >= 2, F.col("spread") / F.col("gap")).otherwise(0.0)
+    cv = F.when(peaks >= 2, F.sqrt((F.col("gaps") * F.col("square") - F.col("gap") * F.col("gap")).cast("double")) / F.col("gap").cast("double")).otherwise(0.0)
     known = (peaks >= 2) & F.col("rise").isNotNull()
     ratio = F.when(known, F.col("rise") / F.col("fall")).otherwise(1.0)
     hint = F.when(~known, "insufficient_peaks").when(cv > 0.4, "irregular").when(ratio > 2.0, "slow_rise_fast_fall").when(ratio < 0.5, "fast_rise_slow_fall").otherwise("symmetric")

@@ -402,6 +402,17 @@ def test_peaks_have_the_prominence_of_a_plain_search(spark):
     assert shapes.shape_summary(pts.limit(0)).count() == 0
 
 
+def test_shape_summary_at_a_bound_and_in_the_middle_of_rounded_values(spark):
+    # Peaks of mean 85.5040625, whose plain sum rounds off below; gaps whose deviation is 0.4 of their mean, and above it where means are carried on.
+    cents = [2892, 3243, 13277, 7845, 3916, 2778, 18393, 12390, 1638, 5946, 13479, 6022, 15516, 6478, 13009, 2856, 16399, 15077, 11247, 13362, 2208, 12523, 9670, 1646, 1543, 9159, 14710, 14018, 4326, 3970, 5750, 8327]
+    at = np.cumsum([1, 7, 7, 7, 7, 3, 4, 2, 5, 2, 6])
+    x = {1: [v for c in cents for v in (0.0, c / 100)] + [0.0], 2: np.isin(np.arange(at[-1] + 2), at).astype(float), 3: [0.0, float("inf"), 0.0]}
+    pts = spark.createDataFrame([(k, i, float(v)) for k, values in x.items() for i, v in enumerate(values)], "series_id long, pos long, value double")
+    told = {r["series_id"]: r for r in queries.rounded(shapes.shape_summary(pts)).collect()}
+    assert told[1]["peak_count"] == 32 and told[1]["mean_peak_value"] == 85.504063
+    assert told[2]["inter_peak_cv"] == 0.4 and told[2]["waveform_hint"] == "symmetric" and told[3]["mean_peak_value"] == float("inf")
+
+
 def test_stress_set_measures_parsing_only(spark):
     pts = spark.createDataFrame([(k, i, float(v)) for k, values in {1: [1, 5, 2, 8], 2: [3, 3, 3], 3: [7, 1]}.items() for i, v in enumerate(values)], "series_id long, pos long, value double")
     ids = spark.createDataFrame([(1,), (2,), (3,), (4,), (None,)], "series_id long")
