@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Callable
 
 import numpy as np
+from numpy.lib.stride_tricks import sliding_window_view
 
 from chronoloom.kernels.noise import acf
 
@@ -114,49 +116,98 @@ def trend_segments(x: np.ndarray) -> dict:
     }
 
 
-def _loess(y: np.ndarray, span: int, weights: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Local linear fits with tricube weights at positions ``at`` of points 0 .. n - 1."""
-    n = len(y)
-    t = np.arange(n)
+#: Numbers that a step of a decomposition works on at once: some MB, so that windows stay near the processor.
+BLOCK = 1 << 18
+
+
+def _windows(n: int, span: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For local fits at positions ``at`` of points 0 .. n - 1: the points of each window, their tricube weights, and how far they are."""
     width = min(span, n)
     start = np.clip(np.round(at - (width - 1) / 2).astype(int), 0, n - width)
     near = start[:, None] + np.arange(width)[None]
-    far = np.abs(near - at[:, None])
-    reach = np.maximum(far.max(axis=1), 1e-9) * (1.0 if span <= n else span / n) + 1e-9
-    w = (1 - np.minimum(far / reach[:, None], 1) ** 3) ** 3 * weights[near]
-    total = w.sum(axis=1)
-    total[total <= 0] = 1e-300
-    w /= total[:, None]
-    mx, my = (w * t[near]).sum(1), (w * y[near]).sum(1)
-    dx = t[near] - mx[:, None]
-    vx = (w * dx * dx).sum(1)
-    slope = np.where(vx > 1e-12, (w * dx * y[near]).sum(1) / np.maximum(vx, 1e-12), 0.0)
-    return my + slope * (at - mx)
-
-
-def stl(x: np.ndarray, period: int, inner: int = 2, outer: int = 15) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Robust seasonal-trend decomposition by loess: trend, seasonal, residual."""
-    n = len(x)
+    far = near - at[:, None]
+    reach = np.maximum(np.abs(far).max(axis=1), 1e-9) * (1.0 if span <= n else span / n) + 1e-9
+    return near, (1 - np.minimum(np.abs(far) / reach[:, None], 1) ** 3) ** 3, far
+
+
+def _smoother(n: int, span: int, at: np.ndarray, rows: int) -> Callable[[np.ndarray], Callable[[np.ndarray], np.ndarray]]:
+    """Local linear fits with tricube weights at positions ``at`` of points 0 .. n - 1, for some rows at a time: from weights of points to a function of values.
+
+    A fit is a weighted sum of its window.  These sums' weights are kept, or, where they are many, found again block by block.
+    """
+    step = max(1, BLOCK // (rows * min(span, n)))
+    windows = [_windows(n, span, at)] if len(at) <= step else None
+
+    def sums(weights: np.ndarray, near: np.ndarray, tricube: np.ndarray, t: np.ndarray) -> np.ndarray:
+        w = weights.take(near, axis=1)
+        w *= tricube
+        total = w.sum(axis=2, keepdims=True)
+        total[total <= 0] = 1e-300
+        w /= total
+        mean = np.einsum("bmw,mw->bm", w, t)[:, :, None]
+        far = t - mean
+        spread = np.einsum("bmw,bmw,bmw->bm", w, far, far)[:, :, None]
+        far *= np.where(spread > 1e-12, -mean / np.maximum(spread, 1e-12), 0.0)
+        far += 1
+        w *= far
+        return w
+
+    def weighted(weights: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+        if windows:
+            near, w = windows[0][0], sums(weights, *windows[0])
+            return lambda y: np.einsum("bmw,bmw->bm", np.broadcast_to(w, (len(y), *w.shape[1:])), y.take(near, axis=1))
+
+        def fits(y: np.ndarray) -> np.ndarray:
+            out = np.empty((len(y), len(at)))
+            for a in range(0, len(at), step):
+                window = _windows(n, span, at[a : a + step])
+                w = sums(weights, *window)
+                out[:, a : a + step] = np.einsum("bmw,bmw->bm", np.broadcast_to(w, (len(y), *w.shape[1:])), y.take(window[0], axis=1))
+            return out
+
+        return fits
+
+    return weighted
+
+
+def stl_together(x: np.ndarray, period: int, inner: int = 2, outer: int = 15) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Robust seasonal-trend decompositions by loess of series of one length and period, a row each: trend, seasonal, residual."""
+    rows, n = x.shape
     odd = lambda v: int(math.ceil(v)) | 1
     trend_span, low_span = odd(1.5 * period / (1 - 1.5 / 7)), odd(period + 1)
-    trend, seasonal, robust = np.zeros(n), np.zeros(n), np.ones(n)
-    mean = lambda v, w: np.convolve(v, np.ones(w) / w, "valid")
+    if rows > 1 and (most := max(1, BLOCK // (n * min(n, max(7, trend_span))))) < rows:
+        parts = [stl_together(x[a : a + most], period, inner, outer) for a in range(0, rows, most)]
+        return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+    trend, seasonal, robust = np.zeros((rows, n)), np.zeros((rows, n)), np.ones((rows, n))
+    mean = lambda v, w: np.einsum("bmw->bm", sliding_window_view(v, w, axis=1)) / w
+    points = np.arange(n, dtype=float)
+    lowly, trendly = _smoother(n, low_span, points, rows)(np.ones((1, n))), _smoother(n, trend_span, points, rows)
+    # Seasons that begin in the first n % period positions have a point more than others.
+    phases = [(m, a + np.arange(b - a)[:, None] + period * np.arange(m + 2)) for a, b, m in ((0, n % period, n // period + 1), (n % period, period, n // period)) if a < b]
+    phases = [(m, i[:, :m], i, _smoother(m, 7, np.arange(-1, m + 1, dtype=float), rows * len(i))) for m, i in phases]
     for _ in range(outer + 1):
+        seasons = [(i, every, fits(robust.take(i, axis=1).reshape(-1, m))) for m, i, every, fits in phases]
+        trends = trendly(robust)
         for _ in range(inner):
             rest = x - trend
-            cycle = np.empty(n + 2 * period)
-            for p in range(period):
-                sub, w = rest[p::period], robust[p::period]
-                cycle[p::period] = _loess(sub, 7, w, np.arange(-1, len(sub) + 1, dtype=float))
-            low = _loess(mean(mean(mean(cycle, period), period), 3), low_span, np.ones(n), np.arange(n, dtype=float))
-            seasonal = cycle[period : period + n] - low
-            trend = _loess(x - seasonal, trend_span, robust, np.arange(n, dtype=float))
+            cycle = np.empty((rows, n + 2 * period))
+            for i, every, fits in seasons:
+                cycle[:, every] = fits(rest.take(i, axis=1).reshape(-1, i.shape[1])).reshape(rows, *every.shape)
+            low = lowly(mean(mean(mean(cycle, period), period), 3))
+            seasonal = cycle[:, period : period + n] - low
+            trend = trends(x - seasonal)
         e = np.abs(x - trend - seasonal)
-        h = 6 * np.median(e)
-        robust = (1 - np.minimum(e / h, 1) ** 2) ** 2 if h > 0 else np.ones(n)
+        h = 6 * np.median(e, axis=1, keepdims=True)
+        robust = np.where(h > 0, (1 - np.minimum(e / np.where(h > 0, h, 1), 1) ** 2) ** 2, 1.0)
     return trend, seasonal, x - trend - seasonal
 
 
+def stl(x: np.ndarray, period: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Robust seasonal-trend decomposition by loess: trend, seasonal, residual."""
+    trend, season, rest = stl_together(x[None], period)
+    return trend[0], season[0], rest[0]
+
+
 def season_length(x: np.ndarray) -> int:
     """The first significant autocorrelation peak after detrending, else a tenth of the series."""
     n = len(x)
@@ -167,29 +218,59 @@ def season_length(x: np.ndarray) -> int:
     return max(2, n // 10)
 
 
-def seasonal(x: np.ndarray, period: int | None = None) -> dict:
+def _fitting(n: int, period: int) -> int:
+    return max(2, n // 4) if n < 2 * period else period
+
+
+def decompositions(series: list[np.ndarray], kernels: list[str]) -> list[tuple | None]:
+    """For each series of at least 8 points its period, seasonal part, trend, residual, and residual of its logarithm (where decomposition_type asks for it).
+
+    Series of one length and period go together, bit by bit as they would alone; one without a period has none.
+    """
+    found: list[tuple | None] = [None] * len(series)
+    groups: dict[tuple[int, int], list[int]] = {}
+    for k, x in enumerate(series):
+        if len(x) >= 8:
+            try:
+                groups.setdefault((len(x), _fitting(len(x), season_length(x))), []).append(k)
+            except (ValueError, np.linalg.LinAlgError):
+                continue
+    for (n, period), members in groups.items():
+        x = np.stack([series[k] for k in members])
+        trends, seasons, rests = stl_together(x, period)
+        positive = np.flatnonzero((x.min(axis=1) > 0) & ("decomposition_type" in kernels and n >= 16)).tolist()
+        logged = dict(zip(positive, stl_together(np.log(x[positive]), period)[2], strict=True)) if positive else {}
+        for i, k in enumerate(members):
+            found[k] = period, trends[i], seasons[i], rests[i], logged.get(i)
+    return found
+
+
+def seasonal(x: np.ndarray, period: int | None = None, known: tuple | None = None) -> dict:
+    """``known``: of ``decompositions``."""
     n = len(x)
     if n < 8:
         raise ValueError("too short")
-    period = period or season_length(x)
-    period = max(2, n // 4) if n < 2 * period else period
-    trend, season, rest = stl(x, period)
+    if known is None:
+        period = _fitting(n, period or season_length(x))
+        known = period, *stl(x, period)
+    period, trend, season, rest = known[:4]
     strength = lambda c: max(0.0, 1 - rest.var() / (c + rest).var()) if (c + rest).var() > 0 else 0.0
     return {"stl_period_used": period, "seasonal_strength": strength(season), "trend_strength": strength(trend), "residual_std": float(rest.std())}
 
 
-def decomposition_type(x: np.ndarray) -> dict:
-    """Additive or multiplicative, by two votes: which scale leaves less residual, and whether spread follows level."""
+def decomposition_type(x: np.ndarray, known: tuple | None = None) -> dict:
+    """Additive or multiplicative, by two votes: which scale leaves less residual, and whether spread follows level.  ``known``: of ``decompositions``."""
     n = len(x)
     if n < 16:
         raise ValueError("too short")
-    period = season_length(x)
-    period = max(2, n // 4) if n < 2 * period else period
-    share = lambda v: float(stl(v, period)[2].var() / v.var()) if v.var() > 0 else 0.0
+    if known is None:
+        period = _fitting(n, season_length(x))
+        known = period, *stl(x, period), stl(np.log(x), period)[2] if x.min() > 0 else None
+    period, _, _, rest, logged = known
+    share = lambda v, left: float(left.var() / v.var()) if v.var() > 0 else 0.0
     votes = []
     if x.min() > 0:
-        raw, logged = share(x), share(np.log(x))
-        votes.append("multiplicative" if logged < 0.95 * raw else "additive")
+        votes.append("multiplicative" if share(np.log(x), logged) < 0.95 * share(x, rest) else "additive")
     size = max(4, 2 * period)
     starts = range(0, n - size + 1, max(1, size // 2))
     spread, level = np.array([x[s : s + size].std() for s in starts]), np.array([x[s : s + size].mean() for s in starts])

@@ -31,6 +31,8 @@ PAIR_FIELDS = {
     "warping": "dtw_distance double, dtw_similarity double",
     "causality": "granger_best_lag long, pval_12 double, pval_21 double, direction string",
 }
+#: Kernels that use a decomposition, which is found once and for many series together, and values that a task holds for that.
+DECOMPOSED, HELD = {"seasonal", "decomposition_type"}, 1 << 20
 _KINDS = {"double": pa.float64(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64()), "array<string>": pa.list_(pa.string())}
 
 
@@ -52,26 +54,41 @@ def _finite_together(cells: tuple) -> list[np.ndarray]:
     return [_finite(c) for c in cells]
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[list[np.ndarray]]]]:
+    """Keys and finite inputs of rows with about ``HELD`` values together."""
+    keys, rows, size = [], [], 0
+    for batch in batches:
+        first = 0
+        for i, cells in enumerate(zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True)):
+            rows.append(_finite_together(cells))
+            size += sum(map(len, rows[-1]))
+            if size >= HELD:
+                yield pa.concat_arrays([*keys, batch.column(0)[first : i + 1]]), rows
+                keys, rows, size, first = [], [], 0, i + 1
+        if first < batch.num_rows:
+            keys.append(batch.column(0)[first:])
+    if rows:
+        yield pa.concat_arrays(keys), rows
+
+
 def _run(df: DataFrame, key: str, inputs: list[str], names: list[str], fields: dict[str, str]) -> DataFrame:
     columns = [tuple(f.split()) for name in names for f in fields[name].split(", ")]
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for keys, cells in _gathered(batches):
+            decomposed = shape.decompositions([s[0] for s in cells], names) if DECOMPOSED & set(names) else [None] * len(cells)
             rows = []
-            for cells in zip(*[batch.column(i + 1).to_pylist() for i in range(len(inputs))], strict=True):
-                series, found, notes = _finite_together(cells), {}, []
+            for series, known in zip(cells, decomposed, strict=True):
+                found, notes = {}, []
                 for name in names:
                     try:
-                        found |= _kernel(name)(*series)
+                        found |= _kernel(name)(*series, **{"known": known} if name in DECOMPOSED else {})
                     except (ValueError, IndexError, ZeroDivisionError, TypeError, np.linalg.LinAlgError) as e:
                         notes.append(f"{name}: {e}")
                 rows.append([*[found.get(c) for c, _ in columns], "; ".join(notes) or "ok"])
-            if rows:
-                made = [pa.array([r[i] for r in rows], _KINDS[t]) for i, (_, t) in enumerate(columns)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), *made, pa.array([r[-1] for r in rows], pa.string())], names=[key, *[c for c, _ in columns], "status"]
-                )
+            made = [pa.array([r[i] for r in rows], _KINDS[t]) for i, (_, t) in enumerate(columns)]
+            yield pa.RecordBatch.from_arrays([keys, *made, pa.array([r[-1] for r in rows], pa.string())], names=[key, *[c for c, _ in columns], "status"])
 
     schema = ", ".join([f"{key} {kind}", *[f"{c} {t}" for c, t in columns], "status string"])
     return df.select(key, *inputs).mapInArrow(run, schema)

@@ -43,6 +43,21 @@ def test_decomposition_adds_up_and_finds_the_season():
     assert shape.seasonal(x, 12)["seasonal_strength"] > 0.9
 
 
+def test_series_are_decomposed_together_as_alone(monkeypatch):
+    rng = np.random.default_rng(4)
+    series = [np.abs(rng.normal(5, 1, n)) + 2 * np.sin(np.arange(n) * 2 * np.pi / 6) + (4 if k % 3 else -9) for k, n in enumerate([60] * 30 + [61] * 5 + [7, 9])]
+    alone = [None if len(x) < 8 else (shape.seasonal(x), shape.decomposition_type(x) if len(x) >= 16 else None) for x in series]
+    calls, plain = [], shape.stl_together
+    monkeypatch.setattr(shape, "stl_together", lambda x, *a: calls.append(len(x)) or plain(x, *a))
+    known = shape.decompositions(series, ["seasonal", "decomposition_type"])
+    assert len(calls) < 20 and max(calls) > 20  # 36 series, raw and logged
+    for x, k, told in zip(series, known, alone, strict=True):
+        assert (k is None) == (told is None) and (k is None or shape.seasonal(x, known=k) == told[0])
+        assert len(x) < 16 or shape.decomposition_type(x, k) == told[1]
+    monkeypatch.setattr(shape, "BLOCK", 64)  # a long series in blocks
+    assert all(np.allclose(a, b, atol=1e-12) for a, b in zip(plain(series[0][None], known[0][0]), known[0][1:4], strict=True))
+
+
 def test_change_point():
     x = np.concatenate([np.zeros(60), np.full(60, 5.0)]) + np.random.default_rng(2).normal(0, 0.1, 120)
     found = shape.change_points(x)
