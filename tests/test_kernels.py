@@ -4,9 +4,11 @@ import itertools
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from chronoloom.kernels import noise, shape, tails
+from chronoloom.operators import kernels
 
 
 def test_tails():
@@ -58,6 +60,17 @@ def test_series_are_decomposed_together_as_alone(monkeypatch):
     assert all(np.allclose(a, b, atol=1e-12) for a, b in zip(plain(series[0][None], known[0][0]), known[0][1:4], strict=True))
 
 
+def test_rows_are_gathered_across_batches(monkeypatch):
+    monkeypatch.setattr(kernels, "HELD", 10)
+    rows = [(k, None if k == 3 else [float(k)] * (k % 5) + [None, float("nan")]) for k in range(40)]
+    table = pa.table({"series_id": pa.array([k for k, _ in rows]), "values": pa.array([v for _, v in rows], pa.list_(pa.float64()))})
+    for size in (1, 7, 40):
+        got = list(kernels._gathered(iter(table.to_batches(max_chunksize=size))))
+        assert [k for keys, _ in got for k in keys.to_pylist()] == list(range(40)) and 5 < len(got) < 12
+        assert [x.tolist() for _, cells in got for (x,) in cells] == [[] if k == 3 else [float(k)] * (k % 5) for k in range(40)]
+    assert list(kernels._gathered(iter(table.slice(0, 0).to_batches()))) == []
+
+
 def test_change_point():
     x = np.concatenate([np.zeros(60), np.full(60, 5.0)]) + np.random.default_rng(2).normal(0, 0.1, 120)
     found = shape.change_points(x)
