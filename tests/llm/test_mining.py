@@ -193,6 +193,20 @@ def test_collocations(spark, empty, slice_phrases):
         assert collocation.collocations(empty).count() == 0
 
 
+def test_many_slices_take_few_passes(spark, monkeypatch):
+    rows = [*odd_rows(), *spoken(2, 90, ["of", "the", "New", "York", "über x", "a.b", "tick, tock", "\t漢字", "the of", "x" * 3000])]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    passes = []
+    for name in ("_counted", "_proposed", "_accepted"):
+        plain = getattr(collocation, name)
+        monkeypatch.setattr(collocation, name, lambda *a, _name=name, _plain=plain: passes.append(_name) or _plain(*a))
+    found, _ = collocation.candidates(docs, least=4, slice_phrases=40)
+    n = found.count()
+    assert n > 4 * 40 and passes.count("_accepted") == 0 and passes.count("_proposed") <= 2 + -(-n // 80)
+    whole, _ = collocation.candidates(docs, least=4)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, whole.collect())) and passes.count("_accepted") == 1
+
+
 def test_large_counts_are_exact(spark):
     big = 10**15
     found = spark.createDataFrame([("en", "a b", 2, big)], "lang string, phrase string, words int, a long")
